@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import chat, mixing, sharding, simhash
 from ._shared import read
 
 
@@ -16,5 +16,98 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash_dedup": op2_simhash_dedup}
-ORACLE_SQL: dict[str, str] = {}
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digests(chat.format_chats(told.unionByName(added)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_simhash_dedup": op2_simhash_dedup,
+    "op5_sampled_splitters": op5_sampled_splitters,
+    "op6_chat_round_trip": op6_chat_round_trip,
+}
+
+_ESCAPED = r"replace(replace(replace({}, '\', '\\'), '</turn>', '\e'), '### ', '\h')"
+_OP6 = rf"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)
+), escaped AS (
+  SELECT *, length('### : </turn>' || chr(10)) + length(replace({_ESCAPED.format("role")}, ': ', '\c')) + length({_ESCAPED.format("text")}) AS chars FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, true AS exact
+FROM escaped GROUP BY conv_id
+"""
+
+
+def _apportioned(name: str, parts: str, by: str, weight: str, seats: str, order: str, out: str) -> str:
+    """CTEs ``name``: Sainte-Lague quotas of the rows of ``parts``."""
+    over = f"(PARTITION BY {by})" if by else "()"
+    keys = f"{by}, {order}" if by else order
+    return f"""
+{name}_b AS (
+  SELECT *, CASE WHEN {weight} > 0 THEN CAST(greatest(0, floor(n * {weight} / w - k / 2 * {weight} / w + 0.5) - 1) AS BIGINT) ELSE 0 END AS low,
+    CASE WHEN {weight} > 0 THEN CAST(ceil(n * {weight} / w + k / 2 * {weight} / w + 0.5) + 1 AS BIGINT) ELSE 0 END AS high
+  FROM (SELECT *, sum({weight}) OVER {over} AS w, CAST(count(*) FILTER ({weight} > 0) OVER {over} AS DOUBLE) AS k, CAST({seats} AS DOUBLE) AS n FROM {parts})
+), {name}_o AS (SELECT *, {seats} - sum(low) OVER {over} AS open FROM {name}_b
+), {name}_s AS (SELECT {keys}, {weight}, open, unnest(range(low, high + 1)) AS s FROM {name}_o WHERE {weight} > 0
+), {name}_w AS (
+  SELECT {keys}, count(*) AS won FROM (
+    SELECT *, row_number() OVER ({f"PARTITION BY {by} " if by else ""}ORDER BY CAST({weight} AS DOUBLE) / (2 * s + 1) DESC, {order}) AS r FROM {name}_s) WHERE r <= open GROUP BY ALL
+), {name} AS (SELECT o.* EXCLUDE (w, k, n, low, high, open), low + coalesce(won, 0) AS {out} FROM {name}_o o LEFT JOIN {name}_w USING ({keys}))"""
+
+
+_OP1 = rf"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest, greatest(1, least({mixing.MOST_CELLS}, (count(*) OVER () + {mixing.CELL_ROWS - 1}) // {mixing.CELL_ROWS})) AS cells
+  FROM documents
+), placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY src, cell ORDER BY digest, size ROWS UNBOUNDED PRECEDING) AS fin FROM (SELECT *, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % cells AS cell FROM d)
+), whole AS (
+  SELECT src, cell, sum(size) AS words, CAST(ceil(sum(size) / {mixing.BLOCK_WORDS}) AS BIGINT) AS blocks FROM placed GROUP BY ALL
+), source AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY src) - 1) % 3 + 1] AS weight FROM (SELECT src, sum(words) AS source_size, sum(blocks) AS source_blocks FROM whole GROUP BY src)
+), fill AS (
+  SELECT *, row_number() OVER f AS pos, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+  FROM source WINDOW f AS (ORDER BY 3 * source_size / weight, weight, src)
+), level AS (SELECT pos AS first_pos, rest AS l, share AS s FROM fill WHERE 3 * source_size * share >= rest * weight ORDER BY pos LIMIT 1
+), claims AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target * source_blocks / source_size ELSE 0.0 END AS claim
+  FROM (SELECT src, source_size, source_blocks, CASE WHEN pos >= first_pos THEN CAST(l * weight AS DOUBLE) / CAST(s AS DOUBLE) ELSE CAST(3 * source_size AS DOUBLE) END AS target FROM fill, level)
+), seated AS (SELECT *, CAST(round(sum(claim) OVER ()) AS BIGINT) AS seats FROM claims
+), {_apportioned("quota1", "seated", "", "claim", "seats", "src", "source_quota")}
+, cellq AS (SELECT whole.*, source_size, target, source_quota FROM whole JOIN quota1 USING (src)
+), {_apportioned("quota2", "cellq", "src", "blocks", "source_quota", "cell", "quota")}
+, lined AS (
+  SELECT *, least(quota, 3 * blocks) // greatest(blocks, 1) AS passes, least(quota, 3 * blocks) % greatest(blocks, 1) AS rest, greatest(blocks, 1) AS n,
+    CAST('0x' || substr(md5('mix:' || src || ':' || CAST(cell AS VARCHAR)), 1, 8) AS BIGINT) % greatest(blocks, 1) AS off
+  FROM placed JOIN quota2 USING (src, cell)
+), ends AS (
+  SELECT *, fin // {mixing.BLOCK_WORDS} AS b1, (fin - size) // {mixing.BLOCK_WORDS} AS b0 FROM lined
+)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(passes * size
+    + ((b1 + off) * rest // n - off * rest // n) * {mixing.BLOCK_WORDS} + ((b1 + 1 + off) * rest // n - (b1 + off) * rest // n) * (fin - b1 * {mixing.BLOCK_WORDS})
+    - ((b0 + off) * rest // n - off * rest // n) * {mixing.BLOCK_WORDS} - ((b0 + 1 + off) * rest // n - (b0 + off) * rest // n) * (fin - size - b0 * {mixing.BLOCK_WORDS}) AS BIGINT) AS taken
+FROM ends
+"""
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": _OP1, "op6_chat_round_trip": _OP6}
