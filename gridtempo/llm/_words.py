@@ -19,6 +19,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+#: Every ASCII byte but letters and digits parts tokens; bytes of other characters belong to them.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _PIECE = 1 << 21
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -49,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """starts, ends: byte positions of all words in ``data``; document i has words bounds[i] to bounds[i+1]."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, separators: np.ndarray = _SPACE):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = texts.fill_null("") if texts.null_count else texts
@@ -60,7 +62,7 @@ class Words:
         self.data = whole[raw[0] : raw[-1]]
         self.offsets = raw - raw[0]
         n = len(self.data)
-        space = _SPACE[self.data]
+        space = separators[self.data]
         edges = np.ones(n + 1, dtype=bool)
         edges[1:n] = space[: n - 1] if n else False
         begin = edges[:n].copy()
@@ -70,6 +72,7 @@ class Words:
         begin[inner] = True
         after[inner - 1] = True
         word = ~space
+        self.inside = word
         self.starts = np.flatnonzero(word & begin)
         self.ends = np.flatnonzero(word & after) + 1
         self.bounds = np.searchsorted(self.starts, self.offsets)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, simhash
+from . import chat, decontamination, mixing, quality, sharding, simhash
 from ._shared import read
 
 
@@ -33,11 +33,23 @@ def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(told.unionByName(added)))
 
 
+def op9_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept")
+
+
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "matched", "width")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_chat_round_trip": op6_chat_round_trip,
+    "op9_isolation_forest": op9_isolation_forest,
+    "op10_spaced_seeds": op10_spaced_seeds,
 }
 
 _ESCAPED = r"replace(replace(replace({}, '\', '\\'), '</turn>', '\e'), '### ', '\h')"
