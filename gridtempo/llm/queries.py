@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, quality, sharding, simhash
+from . import chat, decontamination, mixing, quality, sharding, simhash, substrings
 from ._shared import read
 
 
@@ -21,6 +21,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(read(spark, sf_dir, "documents"), out="kept_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -46,6 +51,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_suffix_trees": op3_suffix_trees,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_chat_round_trip": op6_chat_round_trip,
     "op9_isolation_forest": op9_isolation_forest,
