@@ -1,7 +1,7 @@
 """Sharding by sampled splitters into shards of near-equal bytes. DataFrame operations only.
 
 A sample of text hashes, drawn with chances in proportion to size, gives quantile boundaries; records are range-partitioned by them.
-Exact byte counts of the ranges then show the overfull ones, which are subdivided: by another hash of the text, or, where a
+Exact counts of the ranges' bytes and rows then show the overfull ones, which are subdivided: by another hash of the text, or, where a
 single text fills the range (a large group of copies), by the hash of the row. So no range is much above its share, whatever
 the groups. Prefix sums over the ranges (a bounded number) and inside each place every record on one line of bytes, which is cut
 into equal shards. Equal texts stand together; a group goes to one shard if it's below ``group_share`` of a shard, else the
@@ -66,9 +66,9 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     bounds = checkpoint(splitters(rows, ranges))
     ranged = rows.withColumn("splitters", bounds.scalar()).withColumn("range", range_of(F.col("text_key"), F.col("splitters"), ranges)).drop("splitters")
 
-    filled = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), (F.min("text_key") == F.max("text_key")).alias("single"))
-    fair = F.greatest(F.lit(1), F.sum("bytes").over(Window.partitionBy(F.lit(0))) / ranges)
-    parts = filled.select("range", F.when(F.col("bytes") > 2 * fair, F.ceil(F.col("bytes") / fair)).otherwise(1).cast("int").alias("parts"), "single")
+    filled = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), (F.min("text_key") == F.max("text_key")).alias("single"))
+    fill = F.greatest(*[F.col(c) * ranges / F.sum(c).over(Window.partitionBy(F.lit(0))) for c in ("bytes", "rows")])
+    parts = filled.select("range", F.when(fill > 2, F.ceil(fill)).otherwise(1).cast("int").alias("parts"), "single")
     plan = checkpoint(parts.agg(F.map_from_entries(F.collect_list(F.struct("range", F.struct("parts", "single")))).alias("plan")))
     here = F.element_at(plan.scalar(), F.col("range"))
     cut = ranged.withColumn("here", here)
