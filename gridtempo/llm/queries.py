@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, quality, sharding, simhash, substrings
-from ._shared import read
+from . import chat, decontamination, language, mixing, quality, sharding, simhash, substrings
+from ._shared import crc_mod, read
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(told.unionByName(added)))
 
 
+def op7_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language.predict(docs, crc_mod("doc_id", 4) != 2)
+    return found.select(F.col("id").alias("doc_id"), (crc_mod("id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept")
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_trees": op3_suffix_trees,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_chat_round_trip": op6_chat_round_trip,
+    "op7_word_backoff": op7_word_backoff,
     "op9_isolation_forest": op9_isolation_forest,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
