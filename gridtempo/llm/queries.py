@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, mixing, quality, sharding, simhash, substrings
+from . import brown, chat, decontamination, language, mixing, quality, sharding, simhash, substrings
 from ._shared import crc_mod, read
 
 
@@ -44,6 +44,11 @@ def op7_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (crc_mod("id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = brown.scored(read(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept")
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_chat_round_trip": op6_chat_round_trip,
     "op7_word_backoff": op7_word_backoff,
+    "op8_brown_classes": op8_brown_classes,
     "op9_isolation_forest": op9_isolation_forest,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
