@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, decontamination, language, mixing, quality, sharding, simhash, substrings
+from . import brown, chat, decontamination, html_text, language, mixing, quality, sharding, simhash, substrings
 from ._shared import crc_mod, read
 
 
@@ -26,6 +26,11 @@ def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op4_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(read(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "title", "text")
+
+
 def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_suffix_trees": op3_suffix_trees,
+    "op4_layout_text": op4_layout_text,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_chat_round_trip": op6_chat_round_trip,
     "op7_word_backoff": op7_word_backoff,
