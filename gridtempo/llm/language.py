@@ -1,13 +1,14 @@
 """Language identification by word-first backoff.
 
-Each language has the logarithms of the relative frequencies of its words, and of its character 1- to ``LONGEST``-grams (words padded with a
-blank on both sides). A known word is scored by its frequency in each language (a language that lacks it gets a fixed penalty). An
+Each language has the logarithms of the relative frequencies of its words, and of its character 1- to ``LONGEST``-grams (a word's n-grams reach over one
+boundary on either side). A known word is scored by its frequency in each language (a language that lacks it gets a fixed penalty). An
 unknown word is scored by its longest n-grams, if any is known, by the mean of the known ones' scores; else by shorter ones, down to
 single characters. A text's score in a language is the mean over its words; the best language is predicted. ``score`` is that language's share
 of the probabilities, tempered by ``TEMPER`` words of evidence, from 0 to 1.
 
 The classifier is fitted on a bounded sample of the labelled rows (about ``FIT_ROWS``, by row hash) and holds at most ``ENTRIES`` words and
-as many n-grams of each length, those of the largest frequency in any language; so what is broadcast is bounded.
+as many n-grams of each length, those of the largest frequency in any language; so what is broadcast is bounded. Words and n-grams are held and
+found by 64-bit hashes of their characters, whole batches at a time.
 
 Words are runs of letters, lower-cased. Defined results: a text without letters or a null one is ``und`` with score 0; without any labelled row
 every text is ``und``; letters the model has never seen score alike in all languages, and the smallest language name wins ties; repeated rows
@@ -17,8 +18,7 @@ count as often as they occur; an empty table gives an empty one.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,155 +26,145 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import checkpoint, map_text, row_key
+from ._lookup import Lookup
+from ._shared import checkpoint, row_key, text_slices
+from ._words import _power, mix
 
-FIT_ROWS, ENTRIES, LONGEST = 20_000, 30_000, 5
+FIT_ROWS, ENTRIES, LONGEST = 10_000, 30_000, 5
 PENALTY, TEMPER = 7.0, 8.0
-CACHE = 200_000
+SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_letter: list[np.ndarray] = []
 
 
-def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+def letters() -> np.ndarray:
+    """Whether each code point is a letter, or a mark that belongs to one."""
+    if not _letter:
+        _letter.append(np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)]))
+    return _letter[0]
 
 
-def grams_of(word: str, n: int) -> list[str]:
-    padded = f" {word} " if n > 1 else word
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+class Characters:
+    """The lower-cased code points of some texts, one boundary around each; words by start and end."""
+
+    def __init__(self, texts: list[str | None]):
+        lowered = [(t or "").lower() for t in texts]
+        body = "\n" + "\n".join(lowered) + "\n"
+        self.points = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        ends = np.cumsum([len(t) + 1 for t in lowered]) if lowered else np.zeros(0, np.int64)
+        inside = letters()[self.points]
+        step = np.diff(inside.astype(np.int8))
+        self.starts, self.ends = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
+        self.bounds = np.concatenate([[0], np.searchsorted(self.starts, ends)])
+        value = np.where(inside, mix(self.points.astype(np.uint64) + np.uint64(1)), np.uint64(7))
+        power, self.inverse = _power(len(value))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[: len(value)])])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+
+    def grams(self, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``which``, hash) of all n-grams of those words; beyond single characters with their boundaries."""
+        pad = int(n > 1)
+        first, count = self.starts[which] - pad, self.ends[which] - self.starts[which] + 2 * pad - n + 1
+        count = np.maximum(count, 0)
+        owner = np.repeat(np.arange(len(which)), count)
+        at = first[owner] + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        return owner, self.hashes(at, at + n)
 
 
 def counted(sample: DataFrame) -> DataFrame:
-    """Rows (kind, entry, lang, n): kind 0 words, kind k k-grams; summed within each task first."""
+    """Rows (kind, entry, lang, n): kind 0 words, kind k k-grams; summed within each task's slices first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(words_of(text))
-        for lang, words in found.items():
-            kinds = [Counter() for _ in range(LONGEST + 1)]
-            kinds[0] = words
-            for word, n in words.items():
-                for k in range(1, LONGEST + 1):
-                    for gram in grams_of(word, k):
-                        kinds[k][gram] += n
-            for kind, counts in enumerate(kinds):
-                if counts:
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(counts), pa.int32()), pa.array(list(counts)), pa.array([lang] * len(counts)), pa.array(list(counts.values()), pa.int64())], ["kind", "entry", "lang", "n"])
-
-    return sample.select("text", "lang").mapInArrow(run, "kind int, entry string, lang string, n long").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n"))
+            for part in text_slices(batch, "text", 4 * SLICE_BYTES):
+                langs = np.array(part.column(1).to_pylist(), dtype=object)
+                for lang in sorted(set(langs)):
+                    c = Characters(part.column(0).filter(pa.array(langs == lang)).to_pylist())
+                    every = np.arange(len(c.starts))
+                    for kind in range(LONGEST + 1):
+                        found = c.hashes(c.starts, c.ends) if kind == 0 else c.grams(every, kind)[1]
+                        entry, n = np.unique(found, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(entry), kind, np.int32)), pa.array(entry.view(np.int64)), pa.array([lang] * len(entry), pa.string()), pa.array(n.astype(np.int64))], ["kind", "entry", "lang", "n"])
 
+    return sample.select("text", "lang").mapInArrow(run, "kind int, entry long, lang string, n long").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n"))
 
-class Model:
-    """Log frequencies of entries: a row of ``matrix`` for each, a column for each language, and a last column of ones.
 
-    ``tables[0]`` gives the rows of words, ``tables[k]`` those of k-grams.
-    """
-
-    def __init__(self, langs: list[str], tables: list[dict[str, int]], matrix: np.ndarray):
-        self.langs, self.tables, self.matrix = langs, tables, matrix
-        self.rows = _Rows(self)
-
-    def backed_off(self, word: str) -> np.ndarray:
-        """The mean row of the longest n-grams of which any is known; zeros if nothing of the word is."""
+class Model:
+    """Log frequencies of entries: for each kind their hashes, and a row for each with a column for each language and a last one of ones."""
+
+    def __init__(self, langs: list[str], entries: list[np.ndarray], tables: list[np.ndarray]):
+        self.langs, self.entries, self.tables = langs, entries, tables
+        self.find = [Lookup(e) for e in entries]
+
+    def word_scores(self, c: Characters) -> np.ndarray:
+        """A row for each word: its scores and whether it has any."""
+        out = np.zeros((len(c.starts), len(self.langs) + 1))
+        at = self.find[0](c.hashes(c.starts, c.ends))
+        out[at >= 0] = self.tables[0][at[at >= 0]]
+        left = np.flatnonzero(at < 0)
         for n in range(LONGEST, 0, -1):
-            table = self.tables[n]
-            known = [table[g] for g in grams_of(word, n) if g in table]
-            if known:
-                return self.matrix[known].mean(axis=0)
-        return np.zeros(self.matrix.shape[1])
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else None
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        total = self.rows.summed(words)
-        seen = max(total[-1], 1.0)
-        mean = total[:-1] / seen
-        best = int(np.argmax(mean))
-        share = np.exp((mean - mean[best]) * math.log(10) * min(seen, TEMPER))
-        return self.langs[best], float(1.0 / share.sum())
-
-
-class _Rows(dict):
-    """word -> row number; a word that the model lacks gets a row of its own, of which ``CACHE`` are held."""
-
-    def __init__(self, model: Model):
-        super().__init__(model.tables[0])
-        self.model, self.known = model, len(model.matrix)
-        self.matrix = np.concatenate([model.matrix, np.zeros((CACHE, model.matrix.shape[1]))])
-        self.next = self.known
-
-    def __missing__(self, word: str) -> int:
-        row = self[word] = self.next
-        self.matrix[row] = self.model.backed_off(word)
-        self.next += 1
-        return row
-
-    def summed(self, words: list[str], piece: int = CACHE // 2) -> np.ndarray:
-        """The sum of the rows of all words, in pieces that the free rows suffice for."""
-        total = np.zeros(self.matrix.shape[1])
-        for a in range(0, len(words), piece):
-            some = words[a : a + piece]
-            if self.next + len(some) > len(self.matrix):
-                self.clear()
-                self.update(self.model.tables[0])
-                self.next = self.known
-            total += self.matrix[list(map(self.__getitem__, some))].sum(axis=0)
-        return total
+            if not len(left):
+                break
+            owner, found = c.grams(left, n)
+            row = self.find[n](found)
+            owner, row = owner[row >= 0], row[row >= 0]
+            if len(row):
+                head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                size = np.diff(np.append(head, len(owner)))
+                out[left[owner[head]]] = np.add.reduceat(self.tables[n][row], head, axis=0) / size[:, None]
+                left = np.delete(left, owner[head])
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        c = Characters(texts)
+        words = np.diff(c.bounds)
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        sums = np.concatenate([np.zeros((1, len(self.langs) + 1)), np.cumsum(self.word_scores(c), axis=0)])
+        total = np.diff(sums[c.bounds], axis=0)
+        seen = np.maximum(total[:, -1:], 1.0)
+        mean = total[:, :-1] / seen
+        best = mean.argmax(axis=1)
+        share = np.exp((mean - mean.max(axis=1, keepdims=True)) * math.log(10) * np.minimum(seen, TEMPER)).sum(axis=1)
+        return [self.langs[b] if n else UNKNOWN for b, n in zip(best, words, strict=True)], np.where(words > 0, 1.0 / share, 0.0)
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, entries: int = ENTRIES) -> Model:
     """From rows (text, lang, row_key)."""
-    rows = labelled.count()
-    share = min(1.0, fit_rows / max(rows, 1))
+    share = min(1.0, fit_rows / max(labelled.count(), 1))
     sample = labelled.filter(F.pmod(F.xxhash64("row_key", F.lit("fit")), F.lit(1 << 20)) < int(math.ceil(share * (1 << 20))))
     counts = checkpoint(counted(sample))
     totals = {(r[0], r[1]): r[2] for r in counts.groupBy("kind", "lang").agg(F.sum("n")).collect()}
     langs = sorted({lang for _, lang in totals})
     if not langs:
-        return Model([], [{} for _ in range(LONGEST + 1)], np.zeros((0, 1)))
+        return Model([], [np.zeros(0, np.uint64)] * (LONGEST + 1), [np.zeros((0, 1))] * (LONGEST + 1))
     share_of = F.create_map(*[F.lit(x) for (k, lang), n in totals.items() for x in (f"{k}:{lang}", float(n))])
-    ranked = counts.withColumn("share", F.col("n") / F.element_at(share_of, F.concat_ws(":", "kind", "lang"))).groupBy("kind", "entry").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("by"))
-    ranked = checkpoint(ranked)
-    at = {lang: i for i, lang in enumerate(langs)}
-    tables: list[dict[str, int]] = []
-    matrix = []
+    each = counts.withColumn("share", F.col("n") / F.element_at(share_of, F.concat_ws(":", "kind", "lang")))
+    by_lang = [F.max(F.when(F.col("lang") == lang, F.col("share"))).alias(f"s{i}") for i, lang in enumerate(langs)]
+    ranked = checkpoint(each.groupBy("kind", "entry").agg(F.max("share").alias("top"), *by_lang))
+    found, tables = [], []
     for kind in range(LONGEST + 1):
-        table = {}
-        for entry, by in ranked.filter(F.col("kind") == kind).orderBy(F.desc("top"), "entry").limit(entries).select("entry", "by").collect():
-            scores = [-PENALTY] * len(langs) + [1.0]
-            for lang, share in by:
-                scores[at[lang]] = max(-PENALTY, math.log10(share))
-            table[entry] = len(matrix)
-            matrix.append(scores)
-        tables.append(table)
-    return Model(langs, tables, np.array(matrix))
+        top = ranked.filter(F.col("kind") == kind).orderBy(F.desc("top"), "entry").limit(entries).drop("kind", "top").toArrow()
+        shares = np.stack([np.asarray(top.column(1 + i).fill_null(0.0)) for i in range(len(langs))], axis=1)
+        found.append(np.asarray(top.column(0)).view(np.uint64))
+        tables.append(np.concatenate([np.maximum(np.log10(np.maximum(shares, 1e-300)), -PENALTY), np.ones((len(shares), 1))], axis=1))
+    return Model(langs, found, tables)
 
 
 def predict(docs: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **bounds) -> DataFrame:
     """One row for each row of ``docs``: id, row_key, lang_pred, score. ``learn_from``: which rows may be learned from, if labelled."""
     labelled = docs.filter(learn_from & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), row_key(doc_id, text).alias("row_key"))
     model = fit(labelled, **bounds)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables, model.matrix))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.entries, model.tables))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        local = _local(shared)
-        found = [local.predict(t) for t in batch.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["id", "row_key", "lang_pred", "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = Model(*shared.value)
+        for batch in batches:
+            for part in text_slices(batch, "text", SLICE_BYTES):
+                names, scores = local.predict(part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores)], ["id", "row_key", "lang_pred", "score"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), row_key(doc_id, text).alias("row_key"), F.col(text).cast("string").alias("text"))
-    return map_text(rows, "text", run, "id long, row_key long, lang_pred string, score double")
-
-
-_models: dict[int, tuple[list, Model]] = {}
-
-
-def _local(shared) -> Model:
-    """The broadcast model with this worker's own cache."""
-    langs, tables, matrix = shared.value
-    held = _models.get(0)
-    if held is None or held[0] is not tables:
-        held = _models[0] = (tables, Model(langs, tables, matrix))
-    return held[1]
+    return rows.mapInArrow(run, "id long, row_key long, lang_pred string, score double")
