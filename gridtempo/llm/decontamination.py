@@ -1,11 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are runs of letters and digits, A-Z folded. Four fixed masks of twelve positions each ignore four of them, so a hit survives
-substituted tokens. The masked hashes of all benchmark positions make a table; their bits make a filter of fixed size, which
-every training position passes before it leaves its task. Positions that pass are joined with the table; for each (document, item,
-diagonal) hit, the tokens around it are compared with the item's: a window of ``WINDOW`` tokens (the whole item, if shorter) of which
-at least ``AGREE`` are equal is an overlap. Items of 5 to 11 tokens are found by unmasked runs of five; shorter ones are too common to be
-evidence and are not looked for.
+Tokens are runs of letters and digits, A-Z folded. An overlap is a window of ``WINDOW`` tokens (the whole item, if shorter) on one diagonal of a
+document and an item, of which at least ``AGREE`` are equal. Of such a window's halves one has at most one substituted token in its first
+seven, so one of four fixed masks of seven positions, which between them ignore each position, hits: no overlap is missed. Shorter
+items (5 tokens at least) are found alike by masks of five positions; still shorter ones are too common to be evidence and aren't looked for.
+
+The masked hashes of all benchmark positions make a table; their bits make a filter of fixed size, which every training position
+passes before it leaves its task. Positions that pass are joined with the table, and the tokens around each (document, item,
+diagonal) hit are compared with the item's.
 
 Defined results: null and empty texts have no tokens and no hit; repeated items and rows are reported once for each id and
 item id; null ids are reported as null; empty tables give an empty one.
@@ -22,11 +24,11 @@ from ._shared import checkpoint, map_text, row_key
 from ._words import NOT_ALNUM, Words, mix
 
 # 1 counts, 0 is ignored.
-MASKS = ("111100001111", "110011110011", "101101101101", "111010010111")
-SHORT_MASK = "11111"
-SPAN, SHORT = 12, 5
-WINDOW, AGREE = 20, 0.8
-MARGIN = 20
+MASKS = ("0111110", "1011101", "1101011", "1110111")
+SHORT_MASKS = ("01111", "10111", "11011", "11101", "11110")
+WINDOW, AGREE, SHORT = 15, 0.8, 5
+SPAN = 7
+MARGIN = WINDOW
 FILTER_BITS = 24
 SEGMENT = 2048
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -35,7 +37,7 @@ _Q = np.uint64(0xD6E8FEB86659FD93)
 def masked_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     """A hash of the counted positions for each position at which the mask fits in the array."""
     n = len(tokens) - len(mask) + 1
-    out = np.full(max(n, 0), int(mask, 2), dtype=np.uint64)
+    out = np.full(max(n, 0), int("1" + mask, 2), dtype=np.uint64)
     if n > 0:
         for j, used in enumerate(mask):
             if used == "1":
@@ -73,7 +75,7 @@ def seeds(table: DataFrame) -> DataFrame:
         for batch in batches:
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = np.frombuffer(raw, dtype=np.uint64)
-                for mask in MASKS if len(tokens) >= SPAN else (SHORT_MASK,):
+                for mask in MASKS if len(tokens) >= WINDOW else SHORT_MASKS:
                     h = masked_hashes(tokens, mask)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), key, dtype=np.int64)), pa.array(np.arange(len(h), dtype=np.int32))], ["hash", "item_key", "at"])
 
@@ -100,7 +102,7 @@ def hash_filter(table: DataFrame) -> np.ndarray:
 
 def segments(docs: DataFrame, doc_id: str, text: str, bitmap: np.ndarray, short: bool) -> DataFrame:
     """Rows (id, row_key, start, tokens, hits): stretches of documents around positions that pass the filter, at most SEGMENT hits' width long."""
-    masks = MASKS + ((SHORT_MASK,) if short else ())
+    masks = MASKS + (SHORT_MASKS if short else ())
     packed = np.packbits(bitmap)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -166,7 +168,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     """Rows (id, row_key, item_id, matched, width) for every document and item that overlap."""
     table = checkpoint(items(benchmark, item_id, item_text))
     hashes = checkpoint(seeds(table))
-    short = not table.filter(F.octet_length("tokens").between(8 * SHORT, 8 * SPAN - 1)).isEmpty()
+    short = not table.filter(F.octet_length("tokens").between(8 * SHORT, 8 * WINDOW - 1)).isEmpty()
     parts = checkpoint(segments(docs, doc_id, text, hash_filter(hashes), short))
     hits = parts.select("row_key", "start", F.explode("hits").alias("h")).select("row_key", "start", "h.hash", F.col("h.at").alias("place"))
     hits = hits.join(hashes, "hash").select("row_key", "start", "item_key", (F.col("place") - F.col("at") - F.col("start")).alias("shift")).distinct()
