@@ -99,9 +99,10 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
 
 
 def sharded(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with their shard and slot; repeated rows share the places of their group in any order."""
+    """``docs`` with their shard and slot (in place of columns of these names); repeated rows share the places of their group in any order."""
     found = shard(docs, shards, doc_id, text)
-    places = found.withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy("shard", "slot"))).select(F.col("row_key").alias("__row_key"), "nth", "shard", "slot")
-    numbered = docs.withColumn("__row_key", row_key(doc_id, text))
-    numbered = numbered.withColumn("nth", F.row_number().over(Window.partitionBy("__row_key").orderBy("__row_key")))
-    return numbered.join(places, ["__row_key", "nth"]).drop("__row_key", "nth")
+    nth = F.row_number().over(Window.partitionBy("__row_key").orderBy("shard", "slot"))
+    places = found.withColumnRenamed("row_key", "__row_key").select("__row_key", nth.alias("__nth"), "shard", "slot")
+    numbered = docs.drop("shard", "slot").withColumn("__row_key", row_key(doc_id, text))
+    numbered = numbered.withColumn("__nth", F.row_number().over(Window.partitionBy("__row_key").orderBy("__row_key")))
+    return numbered.join(places, ["__row_key", "__nth"]).drop("__row_key", "__nth")
