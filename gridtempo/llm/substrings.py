@@ -11,7 +11,8 @@ subtrees, each of the suffixes that share a prefix of variable length:
 2.  The others go, with their words, to the partition of their minimizer. Its suffixes are sorted, which is the order of the subtree's
     leaves; neighbours that agree on ``WINDOW`` words or more hang below an internal node of that depth, hence repeat.
 3.  A partition of over ``GROUP_ROWS`` documents would not fit: its prefixes are lengthened to the whole window (128 hash bits), so
-    that its deep nodes are found by counting, combined before the shuffle, and joined back.
+    that its deep nodes are found by counting, combined before the shuffle, and joined back under
+    salted keys.
 
 A window that repeats within its document is marked at once and only its first occurrence goes on. Windows are judged on the input.
 
@@ -33,7 +34,7 @@ from ._shared import checkpoint, map_text, partitions, row_key
 from ._words import Words, grams, long_grams, mix
 
 WINDOW, GRAM = 35, 8
-GROUP_ROWS = 2000
+GROUP_ROWS, SALTS = 2000, 32
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -251,8 +252,9 @@ def repeats(rows: DataFrame, base: DataFrame, n: int, group_rows: int = GROUP_RO
     found = subtrees(suffix_rows(small), n)
     if not listed.filter("large").isEmpty():
         spread = lengthened(base.join(listed.filter("large").drop("large"), "row_key").select("row_key", "id", "text", "keys"))
-        deep = spread.groupBy("a", "b").agg(F.count("*").alias("times")).filter("times > 1").select("a", "b")
-        found = found.unionByName(spread.join(deep, ["a", "b"]).select("row_key", "start", (F.col("start") + WINDOW).alias("end")))
+        deep = spread.groupBy("a", "b").agg(F.count("*").alias("times")).filter("times > 1").select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = spread.withColumn("salt", F.pmod("row_key", F.lit(SALTS)).cast("int"))
+        found = found.unionByName(salted.join(deep, ["a", "b", "salt"]).select("row_key", "start", (F.col("start") + WINDOW).alias("end")))
     return found
 
 
