@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from ._shared import checkpoint, row_key
 
-RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 250, 16, 1024
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 250, 16, 8192
 SAMPLE_FOR_RANGE = 8
 GROUP_SHARE = 0.02
 
@@ -37,13 +37,16 @@ def records(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
-def splitters(rows: DataFrame, ranges: int) -> DataFrame:
+def splitters(rows: DataFrame, ranges: int, total: int) -> DataFrame:
     """One row, one array: sorted boundaries at the quantiles of a size-weighted sample of text keys.
 
-    A record comes before another in the sample if an exponential draw of rate ``size`` is smaller, so that large ones come first.
+    A record comes before another in the sample if an exponential draw of rate ``size`` is smaller, so that large ones come first. Of records
+    whose draw is below some three times the sample's expected end, the first are taken: few leave their tasks, however many there are.
     """
+    most = ranges * SAMPLE_FOR_RANGE
     uniform = (F.pmod(F.xxhash64("row_key", F.lit("draw")), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
-    drawn = rows.select("text_key", (-F.ln(uniform) / F.col("size")).alias("wait"), "row_key").orderBy("wait", "row_key").limit(ranges * SAMPLE_FOR_RANGE)
+    waiting = rows.select("text_key", (-F.ln(uniform) / F.col("size")).alias("wait"), "row_key")
+    drawn = waiting.filter(F.col("wait") < 3.0 * most / max(total, 1)).orderBy("wait", "row_key").limit(most)
     every = drawn.withColumn("at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("text_key"))).filter(F.pmod("at", F.lit(SAMPLE_FOR_RANGE)) == 0)
     return every.agg(F.array_sort(F.array_distinct(F.collect_list("text_key"))).alias("splitters"))
 
@@ -62,8 +65,9 @@ def range_of(key: Column, sorted_splitters: Column, most: int) -> Column:
 def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", group_share: float = GROUP_SHARE) -> DataFrame:
     """One row for each row of ``docs``: id, row_key, size, text_crc32, shard and slot (gapless from 0 in each shard)."""
     rows = checkpoint(records(docs, doc_id, text))
-    ranges = max(LEAST_RANGES, min(MOST_RANGES, -(-rows.count() // RANGE_ROWS)))
-    bounds = checkpoint(splitters(rows, ranges))
+    count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    ranges = max(LEAST_RANGES, min(MOST_RANGES, -(-count // RANGE_ROWS)))
+    bounds = checkpoint(splitters(rows, ranges, total))
     ranged = rows.withColumn("splitters", bounds.scalar()).withColumn("range", range_of(F.col("text_key"), F.col("splitters"), ranges)).drop("splitters")
 
     filled = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), (F.min("text_key") == F.max("text_key")).alias("single"))
