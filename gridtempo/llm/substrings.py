@@ -10,7 +10,7 @@ subtrees, each of the suffixes that share a prefix of variable length:
     counts the minimizers: windows whose minimizer is unique in the corpus are leaves at a depth below ``WINDOW``, and drop out.
 2.  The others go, with their words, to the partition of their minimizer. Its suffixes are sorted, which is the order of the subtree's
     leaves; neighbours that agree on ``WINDOW`` words or more hang below an internal node of that depth, hence repeat.
-3.  A partition of over ``GROUP_ROWS`` documents would not fit: its prefixes are lengthened to the whole window (128 hash bits), so
+3.  A partition of over ``GROUP_ROWS`` documents (or eight times as many places) would not fit: its prefixes are lengthened to the whole window (128 hash bits), so
     that its deep nodes are found by counting, combined before the shuffle, and joined back under
     salted keys.
 
@@ -246,7 +246,7 @@ def lengthened(rows: DataFrame) -> DataFrame:
 def repeats(rows: DataFrame, base: DataFrame, n: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Rows (row_key, start, end): ranges of words under repeated windows, of ``rows`` (row_key, id, text); ``base`` has them dealt out by row_key."""
     anchors = anchor_rows(rows)
-    shared = anchors.groupBy("key").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).filter("times > 1").select("key", (F.col("rows") > group_rows).alias("large"))
+    shared = anchors.groupBy("key").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).filter("times > 1").select("key", ((F.col("rows") > group_rows) | (F.col("times") > 8 * group_rows)).alias("large"))
     listed = checkpoint(anchors.select("key", "row_key").join(shared, "key").groupBy("row_key", "large").agg(F.collect_set("key").alias("keys")))
     small = base.join(listed.filter("not large").drop("large"), "row_key").select("row_key", "id", "text", "keys")
     found = subtrees(suffix_rows(small), n)
