@@ -222,7 +222,13 @@ def links(fps: DataFrame, bits: int = 3, bucket_limit: int = BUCKET_LIMIT) -> Da
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows (node, root) for all nodes of ``edges`` (a, b), by large-star and small-star rounds until nothing moves."""
+
+    def state(df: DataFrame) -> tuple:
+        h = F.xxhash64("u", "v")
+        return tuple(df.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+
     now = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    before = state(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -230,9 +236,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         step = checkpoint(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct())
-        moved = step.exceptAll(now).limit(1).count() + now.exceptAll(step).limit(1).count()
-        now = step
-        if not moved:
+        now, last, before = step, before, state(step)
+        if last == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError("the components did not settle")
 
