@@ -18,12 +18,15 @@ def seconds(ts: str) -> Column:
 
 
 def _neighbours(keys: list[str], ts: str, value: str) -> tuple[Column, Column]:
-    """The nearest reading at or before, and at or after, each row, with its time and row number."""
-    w = order(keys, ts)
+    """The nearest reading at or before, and at or after, each row, with its time and row number.
+
+    The one after is the last in descending order: a frame up to unbounded following would be evaluated anew for every row.
+    """
+    w, back = order(keys, ts), Window.partitionBy(*keys).orderBy(F.desc(ts))
     reading = F.when(F.col(value).isNotNull(), F.struct(seconds(ts).alias("t"), F.col(value).cast("double").alias("v"), F.col("__row")))
     return (
         F.last(reading, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        F.first(reading, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        F.last(reading, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .features import half_hour_of_week
+from .features import half_hour_of_day, half_hour_of_week
 from .timegrid import order
 
 
@@ -51,12 +51,11 @@ def perturbation_fit(pairs: DataFrame, keys: list[str], actual: str, forecast: s
         rows = rows.filter(F.col(actual) != F.col(forecast))
     rows = rows.withColumn("e", F.col(forecast) - F.col(actual)).withColumn("before", F.lag("e").over(order(keys, ts)))
     rho = rows.groupBy(*keys).agg(F.corr(F.when(F.col("before").isNotNull(), F.col("e")), "before").alias("rho"))
-    from .features import half_hour_of_day
-
     spread = rows.groupBy(*keys, half_hour_of_day(F.col(ts)).alias("step")).agg(F.stddev_samp("e").alias("s"))
     every = rho.select(*keys, "rho", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step")).join(spread, [*keys, "step"], "left")
-    w = Window.partitionBy(*keys).orderBy("step")
-    filled = F.coalesce(F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    w, back = Window.partitionBy(*keys).orderBy("step"), Window.partitionBy(*keys).orderBy(F.desc("step"))
+    up_to_here = (Window.unboundedPreceding, 0)
+    filled = F.coalesce(F.last("s", ignorenulls=True).over(w.rowsBetween(*up_to_here)), F.last("s", ignorenulls=True).over(back.rowsBetween(*up_to_here)))
     return every.withColumn("__f", filled).withColumn("sigma", F.avg("__f").over(w.rowsBetween(-2, 2))).select(*keys, "step", "rho", "sigma")
 
 
