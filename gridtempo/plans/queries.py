@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import mathx
-from ..operators import calibration, cleanse, diagnostics, features, gates, models, scenarios, scores, splits, timegrid
+from ..operators import calibration, cleanse, diagnostics, features, gates, innovations, models, reports, scenarios, scores, splits, timegrid
 
 KEYS = ["event_type"]
 SYDNEY, BRISBANE = "Australia/Sydney", "Australia/Brisbane"
@@ -849,3 +849,200 @@ def bayes_regression(t):
     rows = panel(t).withColumn("h", features.half_hour_of_day(F.col("ts")).cast("double") / 48)
     found = models.bayes_regression(rows, KEYS, "demand_mw", ["h"], chains=2, draws=60, warmup=60)
     return diagnostics.status(diagnostics.mcmc_summary(found, ["site"], "chain", "draw", "value").withColumnRenamed("ess_bulk", "ess"))
+
+
+# ---------------------------------------------------------------- reports
+
+
+@query(sql("FROM (SELECT event_type, unnest(['value', 'event_id']) AS c, unnest([avg(value), avg(event_id)]) AS loc, unnest([stddev_samp(value), stddev_samp(event_id)]) AS s FROM events GROUP BY event_type)", event_type="event_type", column="c", loc="~loc", scale="~CASE WHEN coalesce(s, 0) = 0 THEN 1 ELSE s END"))
+def scalers(t):
+    return reports.scalers(t("events"), KEYS, ["value", "event_id"])
+
+
+@query("SELECT event_id, round((value - avg(value) OVER w) / stddev_pop(value) OVER w + 1.7e-9, 6) + 0.0 AS value_z FROM events WINDOW w AS (PARTITION BY event_type)")
+def standardised(t):
+    return reports.standardised(t("events"), KEYS, "value", population=True).select("event_id", "value_z")
+
+
+@query("SELECT event_id, CASE WHEN hour(ts) < 6 THEN 'night' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 18 THEN 'afternoon' ELSE 'evening' END AS block, CASE WHEN value > 0 AND value <= 20 THEN 'low' WHEN value > 20 AND value <= 80 THEN 'middle' WHEN value > 80 AND value <= 200 THEN 'high' END AS band FROM events")
+def bands(t):
+    hour = F.hour("ts").cast("double")
+    return t("events").select("event_id", reports.cut(hour, [0, 6, 12, 18, 24], ["night", "morning", "afternoon", "evening"], right=False).alias("block"), reports.cut(F.col("value"), [0, 20, 80, 200], ["low", "middle", "high"]).alias("band"))
+
+
+@query(sql("FROM pn GROUP BY hour(ts)", *PANEL, hour="CAST(hour(ts) AS INTEGER)", bias="~avg(temp_fc - temp)", spread="~stddev_samp(temp_fc - temp)", mae="~avg(abs(temp_fc - temp))"))
+def forecast_bias(t):
+    return reports.bias_and_spread(panel(t).withColumn("hour", F.hour("ts")), ["hour"], "temp", "temp_fc")
+
+
+@query(
+    sql(
+        "FROM (SELECT variable, r, row_number() OVER (ORDER BY r DESC NULLS LAST, variable) AS rk FROM (SELECT unnest(['temp', 'temp_fc']) AS variable, unnest([abs(corr(temp, demand_mw)), abs(corr(temp_fc, demand_mw))]) AS r FROM pn))",
+        *PANEL, variable="variable", r="~r", rank="CAST(rk AS INTEGER)",
+    )
+)
+def weather_screening(t):
+    return reports.screening(panel(t), KEYS, "demand_mw", ["temp", "temp_fc"]).drop("event_type")
+
+
+_LONG = "lg AS (SELECT event_type AS model, unnest(['crps', 'mae']) AS metric, unnest([" + scores.crps_gaussian("y", "mean", "sd") + ", abs(y - mean)]) AS value FROM sc)"
+
+
+@query(sql("FROM (SELECT model, avg(value) FILTER (metric = 'crps') AS crps, avg(value) FILTER (metric = 'mae') AS mae FROM lg GROUP BY model)", *_SCORED, _LONG, model="model", crps="~crps", mae="~mae", crps_rank="CAST(rank() OVER (ORDER BY crps) AS INTEGER)", mae_rank="CAST(rank() OVER (ORDER BY mae) AS INTEGER)"))
+def master_table(t):
+    each = F.explode(F.array(F.struct(F.lit("crps").alias("metric"), mathx.col(scores.crps_gaussian("y", "mean", "sd")).alias("value")), F.struct(F.lit("mae").alias("metric"), F.abs(F.col("y") - F.col("mean")).alias("value")))).alias("s")
+    return reports.master_table(forecasts(t).select(F.col("event_type").alias("model"), each).select("model", "s.*"), "model", ["crps", "mae"])
+
+
+_STEP_CURVES = "cu AS (SELECT step, avg(abs(y - mean)) FILTER (event_type = 'view') AS a, avg(abs(y - mean)) FILTER (event_type = 'click') AS b FROM sc GROUP BY step)"
+
+
+@query(sql("FROM cu", *_SCORED, _STEP_CURVES, crossover="min(step) FILTER (b < a)"))
+def crossover(t):
+    curves = forecasts(t).groupBy("step").pivot("event_type", ["view", "click"]).agg(F.avg(F.abs(F.col("y") - F.col("mean"))))
+    return reports.crossover(curves, "step", "view", "click")
+
+
+@query(
+    sql(
+        "FROM (SELECT *, CASE WHEN r = 1 THEN 'best' WHEN r = (n + 1) // 2 THEN 'typical' WHEN r = n THEN 'worst' END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY s, day) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM (SELECT event_type, CAST(ts AS DATE) AS day, avg(abs(y - mean)) AS s FROM sc GROUP BY ALL))) WHERE kind IS NOT NULL",
+        *_SCORED, event_type="event_type", kind="kind", day="day", score="~s",
+    )
+)
+def picked_days(t):
+    daily = forecasts(t).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg(F.abs(F.col("y") - F.col("mean"))).alias("score"))
+    return reports.picked_days(daily, KEYS, "day", "score")
+
+
+@query("SELECT o_orderkey, round(rank() OVER (PARTITION BY o_orderpriority ORDER BY day) + (count(*) OVER (PARTITION BY o_orderpriority, day) - 1) / 2, 6) + 0.0 AS rank FROM (SELECT *, CAST(o_orderdate AS DATE) AS day FROM orders)")
+def average_ranks(t):
+    rows = t("orders").select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
+    return reports.average_ranks(rows, ["o_orderpriority"], "day").select("o_orderkey", F.col("rank").cast("double").alias("rank"))
+
+
+@query(
+    sql(
+        "FROM (SELECT chain, least(CAST(floor((r - 0.5) / n * 10) AS INTEGER) + 1, 10) AS bin FROM (SELECT chain, rank() OVER (ORDER BY energy) + (count(*) OVER (PARTITION BY energy) - 1) / 2 AS r, count(*) OVER () AS n FROM c)) GROUP BY chain, bin",
+        _CHAINS, chain="chain", bin="CAST(bin AS INTEGER)", n="count(*)",
+    )
+)
+def rank_counts(t):
+    return reports.rank_counts(chains(t), "chain", "energy", 10)
+
+
+@query(sql("FROM pn GROUP BY ALL", *PANEL, xb="CAST(floor(temp / 10) AS INTEGER)", yb="CAST(floor(demand_mw / 20) AS INTEGER)", n="count(*)"))
+def histogram_2d(t):
+    return reports.histogram_2d(panel(t), "temp", "demand_mw", 10.0, 20.0)
+
+
+@query(
+    sql(
+        "FROM (SELECT label, k, max(x) AS x, avg(exp(-0.5 * pow((x - v) / h, 2)) / h / sqrt(2 * pi())) AS density FROM (SELECT label, k, lo + (hi - lo) * k / 15 AS x, v, h FROM (SELECT label, x AS v FROM d WHERE step = 0) JOIN (SELECT label, min(x) AS lo, max(x) AS hi, stddev_samp(x) * pow(count(*), -0.2) AS h FROM d WHERE step = 0 GROUP BY label) USING (label), range(16) r(k)) GROUP BY label, k)",
+        DRAWS, label="label", k="CAST(k AS INTEGER)", x="~x", density="~density", relative="~density / max(density) OVER (PARTITION BY label)",
+    )
+)
+def kernel_density(t):
+    return reports.kernel_density(draws(t).filter("step = 0").select("label", "x"), ["label"], "x", 16).select("label", "k", "x", "density", "relative")
+
+
+@query("SELECT label, vec_id, ntile(4) OVER (PARTITION BY label ORDER BY vec_id) AS \"group\" FROM embeddings WHERE vec_id % 3 = 0")
+def thinned_groups(t):
+    return reports.groups_of(reports.thinned(t("embeddings").select("label", "vec_id"), "vec_id", 3), ["label"], "vec_id", 4).withColumn("group", F.col("group").cast("long"))
+
+
+@query(sql("FROM f WHERE CAST(ts AS DATE) < DATE '2024-01-20' GROUP BY event_type", *FILLED, event_type="event_type", hist_max="~max(y)"))
+def history_max(t):
+    return reports.history_max(filled(t), KEYS, "y", F.to_date("ts") < F.lit("2024-01-20").cast("date"))
+
+
+@query(sql("FROM (SELECT event_type, step, avg(abs(y - mean)) AS s FROM sc GROUP BY ALL) GROUP BY event_type", *_SCORED, event_type="event_type", best="arg_min(step, s)", score="~min(s)"))
+def best_choice(t):
+    rows = forecasts(t).groupBy("event_type", "step").agg(F.avg(F.abs(F.col("y") - F.col("mean"))).alias("s"))
+    return reports.best_by(rows, KEYS, "step", "s")
+
+
+@query(sql("FROM (SELECT month, max(split) FILTER (d BETWEEN 8 AND 12) AS early, max(split) FILTER (d BETWEEN 19 AND 23) AS late FROM (SELECT date_trunc('month', day) AS month, day(day) AS d, split FROM lb WHERE split IN ('validation', 'test')) GROUP BY month)", *_DAYS, month="CAST(month AS DATE)", early="early", late="late"))
+def window_slots(t):
+    rows = labelled_days(t).filter(F.col("split").isin("validation", "test")).withColumn("slot", F.when(F.dayofmonth("day") <= 12, "early").otherwise("late"))
+    return rows.groupBy(F.trunc("day", "month").alias("month")).pivot("slot", ["early", "late"]).agg(F.max("split"))
+
+
+@query(
+    "SELECT 'union' AS op, count(*) AS n FROM (SELECT event_type, bin FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS bin FROM events WHERE event_id % 2 = 0) UNION SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) FROM events WHERE event_id % 2 = 1) "
+    "UNION ALL SELECT 'intersect', count(*) FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) FROM events WHERE event_id % 2 = 0 INTERSECT SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) FROM events WHERE event_id % 2 = 1) "
+    "UNION ALL SELECT 'except', count(*) FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) FROM events WHERE event_id % 2 = 0 EXCEPT SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) FROM events WHERE event_id % 2 = 1)"
+)
+def index_sets(t):
+    side = lambda k: t("events").filter(F.col("event_id") % 2 == k).select("event_type", timegrid.floor_to(F.col("ts"), 3600).alias("bin"))
+    a, b = side(0), side(1)
+    named = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b)}
+    out = [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("op"), "n") for k, d in named.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(
+    sql(
+        "FROM (SELECT event_type, variant, avg(" + scores.crps_gaussian("y", "m", "sd") + ") AS c FROM (SELECT event_type, y, sd, m.variant, mean + m.k * (y - mean) / 4 AS m FROM sc, (VALUES (0.0, 'none'), (0.5, 'half'), (1.0, 'full')) m(k, variant)) GROUP BY ALL)",
+        *_SCORED, event_type="event_type", variant="variant", crps="~c",
+    )
+)
+def sweep_crps(t):
+    variants = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("variant")) for k, n in ((0.0, "none"), (0.5, "half"), (1.0, "full"))])).alias("m")
+    rows = forecasts(t).select("event_type", "y", "mean", "sd", variants).withColumn("moved", F.col("mean") + F.col("m.k") * (F.col("y") - F.col("mean")) / 4)
+    return rows.withColumn("c", mathx.col(scores.crps_gaussian("y", "moved", "sd"))).groupBy("event_type", F.col("m.variant").alias("variant")).agg(F.avg("c").alias("crps"))
+
+
+@query(sql("FROM (SELECT label, avg(abs(a - y)) AS mm, avg(abs(b - y)) AS bm, sqrt(avg(pow(a - y, 2))) AS mr, sqrt(avg(pow(b - y, 2))) AS br, avg(abs(a - b)) AS gap FROM (SELECT label, step, avg(x) AS a, quantile_cont(x, 0.5) AS b, max(y) AS y FROM s GROUP BY ALL) GROUP BY label)", *DRAWN, label="label", mean_mae="~mm", median_mae="~bm", mean_rmse="~mr", median_rmse="~br", gap="~gap"))
+def mean_and_median(t):
+    rows = draws(t).groupBy("label", "step").agg(F.avg("x").alias("a"), F.percentile("x", 0.5).alias("b"), F.max("y").alias("y"))
+    mae = lambda c: F.avg(F.abs(F.col(c) - F.col("y")))
+    rmse = lambda c: F.sqrt(F.avg((F.col(c) - F.col("y")) * (F.col(c) - F.col("y"))))
+    return rows.groupBy("label").agg(mae("a").alias("mean_mae"), mae("b").alias("median_mae"), rmse("a").alias("mean_rmse"), rmse("b").alias("median_rmse"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("gap"))
+
+
+@query(sql("FROM hl JOIN (SELECT chain, count(*) AS n FROM c GROUP BY chain) USING (chain)", *_HEALTH, chain="chain", seconds="~CASE WHEN n > 5000 THEN 10 + n * 0.01 * 400 / (n - 5000) ELSE 'Infinity' END", healthy="e_bfmi > 0.3 AND divergences = 0"))
+def warm_start_price(t):
+    health = diagnostics.sampler_health(chains(t), ["chain"], "draw", "energy", "dv", "st").join(chains(t).groupBy("chain").agg(F.count("*").alias("n")), "chain")
+    price = diagnostics.time_to_target(F.lit(10.0), F.col("n") * 0.01, F.col("n") - 5000)
+    return health.select("chain", price.alias("seconds"), ((F.col("e_bfmi") > 0.3) & (F.col("divergences") == 0)).alias("healthy"))
+
+
+@query()
+def ols_ablation(t):
+    daily, _ = features.phases("ts", SYDNEY)
+    named = features.fourier(daily, 2, "day")
+    rows = panel(t).withColumns(named)
+    train = F.to_date("ts") < F.lit("2024-01-24").cast("date")
+    a = reports.ols(rows, "demand_mw", list(named), train).withColumn("design", F.lit("seasons"))
+    return a.unionByName(reports.ols(rows, "demand_mw", [*named, "temp"], train).withColumn("design", F.lit("seasons and weather")))
+
+
+def structural(t) -> tuple[DataFrame, DataFrame]:
+    """Standardised readings with a small design, and draws of the structural model."""
+    daily, _ = features.phases("ts", SYDNEY)
+    f = features.fourier(daily, 1, "day")
+    rows = reports.standardised(filled(t), KEYS, "y").withColumns({"one": F.lit(1.0), **f})
+    return rows, innovations.fit(rows.filter("ts < TIMESTAMP_NTZ'2024-01-10 00:00:00'"), KEYS, "y_z", ["one", *f], ["day_sin1"], draws=40, steps=200)
+
+
+@query()
+def innovations_fit(t):
+    _, found = structural(t)
+    return found.groupBy(*KEYS).agg(F.avg("phi1").alias("phi1"), F.avg("phi2").alias("phi2"), F.avg("gamma0").alias("gamma0"))
+
+
+@query()
+def innovations_moments(t):
+    """Moments and their variance split over a day from one origin, for each series."""
+    rows, found = structural(t)
+    w = timegrid.order(KEYS)
+    x = F.array("one", "day_sin1", "day_cos1")
+    at = rows.withColumns({"x": x, "z": F.array("day_sin1")})
+    for k in (1, 2):
+        at = at.withColumns({f"y{k}": F.lag("y_z", k).over(w), f"x{k}": F.lag("x", k).over(w)})
+    origin = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    ahead = rows.filter((F.col("ts") >= origin) & (F.col("ts") < origin + F.expr("INTERVAL 12 HOURS"))).withColumns({"x": x, "z": F.array("day_sin1")})
+    design = ahead.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ts", "x", "z"))).alias("d")).select(*KEYS, origin.alias("origin"), F.transform("d", lambda d: d["x"]).alias("xs"), F.transform("d", lambda d: d["z"]).alias("zs"))
+    residuals = innovations.origin_residuals(found, at.filter(F.col("ts") == origin).withColumnRenamed("ts", "origin").select(*KEYS, "origin", "y1", "x1", "y2", "x2"), KEYS)
+    moments = innovations.horizon_moments(found, residuals, design, KEYS, 24)
+    return scenarios.variance_split(moments, [*KEYS, "step"], "mean", "variance")
