@@ -1,8 +1,8 @@
 """Sharding by sampled splitters into shards of near-equal bytes. DataFrame operations only.
 
 A sample of text hashes, drawn with chances in proportion to size, gives quantile boundaries; records are range-partitioned by them.
-Exact counts of the ranges' bytes and rows then show the overfull ones, which are subdivided: by another hash of the text, or, where a
-single text fills the range (a large group of copies), by the hash of the row. So no range is much above its share, whatever
+Exact counts of the ranges' bytes and rows then show the overfull ones, which are subdivided: by another hash of the text, or, for a
+text with over half a range's share (a large group of copies), by the hash of the row. So no range is much above its share, whatever
 the groups. Prefix sums over the ranges (a bounded number) and inside each place every record on one line of bytes, which is cut
 into equal shards. Equal texts stand together; a group goes to one shard if it's below ``group_share`` of a shard, else the
 line cuts it.
@@ -70,14 +70,16 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     bounds = checkpoint(splitters(rows, ranges, total))
     ranged = rows.withColumn("splitters", bounds.scalar()).withColumn("range", range_of(F.col("text_key"), F.col("splitters"), ranges)).drop("splitters")
 
-    filled = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), (F.min("text_key") == F.max("text_key")).alias("single"))
+    filled = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     fill = F.greatest(*[F.col(c) * ranges / F.sum(c).over(Window.partitionBy(F.lit(0))) for c in ("bytes", "rows")])
-    parts = filled.select("range", F.when(fill > 2, F.ceil(fill)).otherwise(1).cast("int").alias("parts"), "single")
-    plan = checkpoint(parts.agg(F.map_from_entries(F.collect_list(F.struct("range", F.struct("parts", "single")))).alias("plan")))
-    here = F.element_at(plan.scalar(), F.col("range"))
-    cut = ranged.withColumn("here", here)
-    part = F.pmod(F.when(F.col("here.single"), F.xxhash64("row_key", F.lit("part"))).otherwise(F.xxhash64("text_key", F.lit("part"))), F.col("here.parts").cast("long")).cast("int")
-    cells = cut.withColumn("part", part).drop("here")
+    parts = filled.select("range", F.when(fill > 2, F.ceil(fill)).otherwise(1).cast("int").alias("parts"))
+    plan = checkpoint(parts.agg(F.array_agg(F.when(F.col("parts") > 1, F.struct("range", "parts"))).alias("p")).select(F.map_from_entries("p").alias("plan")))
+    # a text with over half a range's share: there are at most four for each range, hence the broadcast
+    over = (F.col("rows") * (2 * ranges) > count) | (F.col("bytes") * (2 * ranges) > total)
+    large = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).filter(over).select("text_key", F.lit(True).alias("large"))
+    cut = ranged.join(F.broadcast(large), "text_key", "left").withColumn("parts", F.coalesce(F.try_element_at(plan.scalar(), F.col("range")), F.lit(1)).cast("long"))
+    part = F.pmod(F.when(F.col("large"), F.xxhash64("row_key", F.lit("part"))).otherwise(F.xxhash64("text_key", F.lit("part"))), F.col("parts")).cast("int")
+    cells = cut.withColumn("part", part).drop("parts", "large")
 
     order = Window.partitionBy(F.lit(0)).orderBy("range", "part")
     total = Window.partitionBy(F.lit(0))
