@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -68,34 +67,5 @@ def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Recor
     return df.mapInArrow(run, schema)
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray, bool]]:
-    """From batches sorted by ``key`` yields tables of whole groups with their group starts.
-
-    A group is held back until its last row has come; the caller bounds group sizes before.
-    """
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        table = pa.Table.from_batches(held).combine_chunks()
-        keys = table.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1], "left"))
-        if cut:
-            yield _grouped(table.slice(0, cut), keys[:cut])
-        held = table.slice(cut).combine_chunks().to_batches()
-    if held:
-        table = pa.Table.from_batches(held).combine_chunks()
-        yield _grouped(table, table.column(key).to_numpy())
-
-
-def _grouped(table: pa.Table, keys: np.ndarray) -> tuple[pa.Table, np.ndarray]:
-    return table, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

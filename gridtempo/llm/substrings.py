@@ -66,12 +66,11 @@ class Windows:
         self.words = Words(texts)
         self.hashes = self.words.hashes()
         at, self.value = minimizers(self.hashes, window, gram)
-        first = np.zeros(len(self.words) + 1, dtype=np.int64)
         counts = np.maximum(self.words.counts - window + 1, 0)
         self.doc = np.repeat(np.arange(len(counts)), counts)
         self.start = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + self.words.bounds[:-1][self.doc]
-        self.anchor = at[self.start] if len(self.start) else first[:0]
-        self.key = self.value[self.anchor] if len(self.start) else self.value[:0]
+        self.anchor = at[self.start]
+        self.key = self.value[self.anchor]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, key, times) of the distinct minimizer grams of each document."""
