@@ -194,3 +194,11 @@ def to_unconstrained(x: Column, support: str, low: float = 0.0, high: float = 1.
     if support == "interval":
         return F.ln(x - low) - F.ln(high - x)
     raise ValueError(f"unknown support {support}")
+
+
+def plateau_gap(trace: DataFrame, by: list[str], step: str, value: str, window: int = 20) -> DataFrame:
+    """Each checkpoint's distance below the plateau, the mean of the last ``window`` checkpoints."""
+    back = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(step)))
+    rows = trace.withColumn("__k", back)
+    plateau = F.avg(F.when(F.col("__k") <= window, F.col(value))).over(Window.partitionBy(*by))
+    return rows.select(*by, step, (plateau - F.col(value)).alias("gap"))

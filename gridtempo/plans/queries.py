@@ -1046,3 +1046,15 @@ def innovations_moments(t):
     residuals = innovations.origin_residuals(found, at.filter(F.col("ts") == origin).withColumnRenamed("ts", "origin").select(*KEYS, "origin", "y1", "x1", "y2", "x2"), KEYS)
     moments = innovations.horizon_moments(found, residuals, design, KEYS, 24)
     return scenarios.variance_split(moments, [*KEYS, "step"], "mean", "variance")
+
+
+@query(sql("FROM (SELECT *, avg(CASE WHEN k <= 20 THEN energy END) OVER (PARTITION BY chain) AS p FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY draw DESC) AS k FROM c))", _CHAINS, chain="chain", draw="draw", gap="~p - energy"))
+def plateau_gap(t):
+    return diagnostics.plateau_gap(chains(t), ["chain"], "draw", "energy")
+
+
+@query()
+def joint_kl(t):
+    rows = t("embeddings").select("label", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("v"))
+    kl = diagnostics.joint_kl(rows.filter("label % 2 = 0"), rows.filter("label % 2 = 1"), "v")
+    return rows.sparkSession.range(1).select(F.lit(kl).alias("kl"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import timegrid
+from ..operators import gates, splits, timegrid
 
 MARKET = "Australia/Brisbane"
 PRICE = T.StructType([T.StructField("REGION", T.StringType()), T.StructField("SETTLEMENTDATE", T.StringType()), T.StructField("TOTALDEMAND", T.DoubleType())])
@@ -131,3 +131,18 @@ def write_artifact(tables: dict[str, DataFrame], meta: dict, path: str) -> None:
 def read_artifact(spark: SparkSession, path: str, names: list[str]) -> tuple[dict[str, DataFrame], dict]:
     meta = json.loads(spark.read.text(f"{path}/_meta").first()[0])
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}, meta
+
+
+def load_panel(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], positive: str | None = None) -> DataFrame:
+    """A panel that has passed the schema gate."""
+    panel = spark.read.parquet(path)
+    gates.check_schema(panel, schema, keys, positive=positive)
+    return panel
+
+
+def load_splits(spark: SparkSession, panel: DataFrame, labels_path: str, ts: str = "ts") -> dict[str, DataFrame]:
+    """The panel by split label; a row without a label is in none. Training must come before what is scored."""
+    labels = spark.read.parquet(labels_path).select(ts, "split")
+    labelled = panel.join(labels, ts, "left").withColumn("split", F.coalesce("split", F.lit("none")))
+    splits.check_order(labelled, ts)
+    return {name: labelled.filter(F.col("split") == name).drop("split") for name in ("train", "validation", "test")}

@@ -3,9 +3,11 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridtempo.operators import timegrid
+from gridtempo.operators import gates, timegrid
 from gridtempo.sources import readers
 from gridtempo.streaming import resample
 
@@ -69,3 +71,22 @@ def test_stream_keeps_the_latest_revision(spark, tmp_path):
     q = resample.keep_latest(stream, ["k"], "changed", str(tmp_path / "t"), str(tmp_path / "c"))
     q.awaitTermination(120)
     assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t/v0")).collect()} == {(1, "v1"), (2, "x"), (3, "x")}
+
+
+def test_panels_load_through_the_gate_and_split(spark, tmp_path):
+    day = dt.timedelta(days=1)
+    rows = [("a", dt.datetime(2025, 6, 1) + i * day, 5.0 + i) for i in range(6)]
+    panel = spark.createDataFrame(rows, "k string, ts timestamp_ntz, demand_mw double")
+    readers.write_panel(panel, str(tmp_path / "p"))
+    schema = T.StructType([T.StructField("demand_mw", T.DoubleType())])
+    loaded = readers.load_panel(spark, str(tmp_path / "p"), schema, ["k"], positive="demand_mw")
+    labels = spark.createDataFrame([(r[1], s) for r, s in zip(rows, ["train", "train", "validation", "test", "none"], strict=False)], "ts timestamp_ntz, split string")
+    labels.write.parquet(str(tmp_path / "l"))
+    parts = readers.load_splits(spark, loaded, str(tmp_path / "l"))
+    assert {n: d.count() for n, d in parts.items()} == {"train": 2, "validation": 1, "test": 1}
+    labels.withColumn("split", F.when(F.col("split") == "test", "train").otherwise(F.col("split"))).write.parquet(str(tmp_path / "bad"))
+    with pytest.raises(ValueError):
+        readers.load_splits(spark, loaded, str(tmp_path / "bad"))
+    readers.write_panel(panel.withColumn("demand_mw", -F.col("demand_mw")), str(tmp_path / "n"))
+    with pytest.raises(gates.GateError):
+        readers.load_panel(spark, str(tmp_path / "n"), schema, ["k"], positive="demand_mw")
