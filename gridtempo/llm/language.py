@@ -38,9 +38,9 @@ _letter: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
-    """Whether each code point is a letter, or a mark that belongs to one."""
+    """For each code point 2 if it is a letter, 1 if a mark, which may belong to one, else 0."""
     if not _letter:
-        _letter.append(np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)]))
+        _letter.append(np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], dtype=np.int8))
     return _letter[0]
 
 
@@ -52,10 +52,13 @@ class Characters:
         body = "\n" + "\n".join(lowered) + "\n"
         self.points = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         ends = np.cumsum([len(t) + 1 for t in lowered]) if lowered else np.zeros(0, np.int64)
-        inside = letters()[self.points]
+        kinds = letters()[self.points]
+        inside = kinds > 0
         step = np.diff(inside.astype(np.int8))
         self.starts, self.ends = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
         self.bounds = np.concatenate([[0], np.searchsorted(self.starts, ends)])
+        #: how many letters each text has
+        self.letters = np.diff(np.concatenate([[0], np.cumsum(kinds == 2)])[np.concatenate([[0], ends])])
         value = np.where(inside, mix(self.points.astype(np.uint64) + np.uint64(1)), np.uint64(7))
         power, self.inverse = _power(len(value))
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[: len(value)])])
@@ -119,7 +122,6 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         c = Characters(texts)
-        words = np.diff(c.bounds)
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         sums = np.concatenate([np.zeros((1, len(self.langs) + 1)), np.cumsum(self.word_scores(c), axis=0)])
@@ -128,7 +130,7 @@ class Model:
         mean = total[:, :-1] / seen
         best = mean.argmax(axis=1)
         share = np.exp((mean - mean.max(axis=1, keepdims=True)) * math.log(10) * np.minimum(seen, TEMPER)).sum(axis=1)
-        return [self.langs[b] if n else UNKNOWN for b, n in zip(best, words, strict=True)], np.where(words > 0, 1.0 / share, 0.0)
+        return [self.langs[b] if n else UNKNOWN for b, n in zip(best, c.letters, strict=True)], np.where(c.letters > 0, 1.0 / share, 0.0)
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, entries: int = ENTRIES) -> Model:
