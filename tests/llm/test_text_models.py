@@ -79,10 +79,10 @@ def test_language_is_right_on_held_out_rows(spark):
 
 def test_language_backs_off_from_words_to_shorter_grams(spark):
     rows = [(i, "the thing that was there", "en") for i in range(5)] + [(9 + i, "der die das ding war da", "de") for i in range(5)]
-    rows += [(30, "thingthat", None), (31, "dingda", None), (32, "12 !?", None), (33, None, None), (34, "漢", None)]
+    rows += [(30, "thingthat", None), (31, "dingda", None), (32, "12 !?", None), (33, None, None), (34, "漢", None), (35, "\u0301 ́", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.id: (r.lang_pred, r.score) for r in language.predict(df, F.lit(True)).collect()}
-    assert got[30][0] == "en" and got[31][0] == "de" and got[32] == ("und", 0.0) and got[33] == ("und", 0.0)
+    assert got[30][0] == "en" and got[31][0] == "de" and got[32] == ("und", 0.0) and got[33] == got[35] == ("und", 0.0)
     assert got[34][0] in ("de", "en")
 
 
