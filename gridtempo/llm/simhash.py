@@ -33,7 +33,7 @@ from ._words import Words
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-BUCKET_LIMIT = 4096
+BUCKET_LIMIT, SALTS = 4096, 32
 _LANES = np.array([sum((b >> k & 1) << (8 * k) for k in range(8)) for b in range(256)], dtype=np.uint64)
 
 
@@ -247,9 +247,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = checkpoint(fingerprints(docs, doc_id, text, width))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct.select("fp"), bits, bucket_limit))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(smallest, "root").select("fp", "component_id")
+    linked = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    members = linked.join(distinct, "fp")
+    # a component may hold a third of all fingerprints: its name is brought back under salted keys
+    smallest = members.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = members.withColumn("salt", F.pmod("fp", F.lit(SALTS)).cast("int")).join(smallest, ["root", "salt"]).select("fp", "component_id")
+    by_fp = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(by_fp, "fp").select("id", "row_key", "fp", "component_id")
 
 
