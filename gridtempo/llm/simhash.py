@@ -33,7 +33,7 @@ from ._words import Words
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-BUCKET_LIMIT, SALTS = 4096, 32
+BUCKET_LIMIT = 4096
 _LANES = np.array([sum((b >> k & 1) << (8 * k) for k in range(8)) for b in range(256)], dtype=np.uint64)
 
 
@@ -249,10 +249,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = components(links(distinct.select("fp"), bits, bucket_limit))
     linked = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     members = linked.join(distinct, "fp")
-    # a component may hold a third of all fingerprints: its name is brought back under salted keys
-    smallest = members.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    named = members.withColumn("salt", F.pmod("fp", F.lit(SALTS)).cast("int")).join(smallest, ["root", "salt"]).select("fp", "component_id")
-    by_fp = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # A component may hold a third of all fingerprints, a fingerprint a third of all rows. Checkpoints part each join from the aggregate on its
+    # key, so that both sides are plain exchanges, whose large partitions adaptive execution splits.
+    smallest = checkpoint(members.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = members.join(smallest, "root").select("fp", "component_id")
+    by_fp = checkpoint(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return prints.join(by_fp, "fp").select("id", "row_key", "fp", "component_id")
 
 
