@@ -243,7 +243,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, bits: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """One row for each row of ``docs``: id, row_key, fp and component_id, the smallest id reachable over links."""
+    """One row for each row of ``docs``: id, row_key, fp, component_id (the smallest id reachable over links) and root, a fingerprint that stands for the component."""
     prints = checkpoint(fingerprints(docs, doc_id, text, width))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct.select("fp"), bits, bucket_limit))
@@ -252,15 +252,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # A component may hold a third of all fingerprints, a fingerprint a third of all rows. Checkpoints part each join from the aggregate on its
     # key, so that both sides are plain exchanges, whose large partitions adaptive execution splits.
     smallest = checkpoint(members.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = members.join(smallest, "root").select("fp", "component_id")
-    by_fp = checkpoint(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return prints.join(by_fp, "fp").select("id", "row_key", "fp", "component_id")
+    named = members.join(smallest, "root").select("fp", "root", "component_id")
+    by_fp = checkpoint(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    return prints.join(by_fp, "fp").select("id", "row_key", "fp", "component_id", "root")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` with one row kept of each component: of the smallest id, and among rows of that id the smallest row key."""
-    found = near_duplicates(docs, doc_id, text, **how)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row_key"))).alias("w"))
+def keep_first(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with one row kept of each root in ``found`` (id, row_key, root): of the smallest id, and among those of the smallest row key."""
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row_key"))).alias("w"))
     stay = best.select(F.col("w.row_key").alias("__row_key"))
     kept = docs.withColumn("__row_key", row_key(doc_id, text)).join(stay, "__row_key", "left_semi")
     return kept.dropDuplicates(["__row_key"]).drop("__row_key")
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``docs`` with one row kept of each component: of the smallest id, and among rows of that id the smallest row key."""
+    return keep_first(docs, near_duplicates(docs, doc_id, text, **how), doc_id, text)
