@@ -817,7 +817,7 @@ def kl_noise_floor(t):
 
 @query()
 def rhat_ess(t):
-    draws_ = chains(t).withColumn("draw", F.row_number().over(Window.partitionBy("chain").orderBy("draw"))).filter("draw <= 400").withColumn("site", F.lit("energy"))
+    draws_ = chains(t).withColumn("draw", F.row_number().over(Window.partitionBy("chain").orderBy("draw"))).withColumn("site", F.lit("energy"))
     return diagnostics.mcmc_summary(draws_, ["site"], "chain", "draw", "energy")
 
 
