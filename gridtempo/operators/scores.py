@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 
 from ..functions import mathx
 
+#: Differences held at a time between a group's draws.
+PAIR_CELLS = 4_000_000
+
 
 def crps_gaussian(y: str, mean: str, sd: str) -> str:
     z = f"((({y}) - ({mean})) / ({sd}))"
@@ -42,7 +45,8 @@ def energy_score(paths: DataFrame, by: list[str], path: str, y: str, chunk: int
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf[path].to_numpy()).astype(float)
         target = np.asarray(pdf[y].iloc[0], dtype=float)
-        total = sum(np.sqrt(np.maximum(((x[a : a + chunk, None, :] - x[None, :, :]) ** 2).sum(-1), 0)).sum() for a in range(0, len(x), chunk))
+        at_once = max(1, min(chunk, PAIR_CELLS // max(1, x.size)))
+        total = sum(np.sqrt(np.maximum(((x[a : a + at_once, None, :] - x[None, :, :]) ** 2).sum(-1), 0)).sum() for a in range(0, len(x), at_once))
         score = np.sqrt(((x - target) ** 2).sum(1)).mean() - 0.5 * total / len(x) ** 2
         return pd.DataFrame([[*pdf[by].iloc[0], score]], columns=[*by, "energy_score"])
 
