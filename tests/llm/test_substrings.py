@@ -41,12 +41,33 @@ def test_overlaps_repeats_inside_a_text_and_odd_rows(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), min_size=4, max_size=9), min_size=1, max_size=6))
-def test_a_subtree_marks_exactly_the_repeated_windows(texts):
+@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), min_size=4, max_size=9), min_size=1, max_size=6, unique_by=tuple))
+def test_a_subtree_finds_exactly_the_repeated_windows(texts):
     w = 4
-    bodies, counts = [b" ".join(t) for t in texts], [len(t) - w + 1 for t in texts]
-    # single windows are passed whole, as the partitions do
+    bodies, counts = [b"".join(x + b" " for x in t) for t in texts], [len(t) - w + 1 for t in texts]
     seen = Counter(tuple(t[s : s + w]) for t in texts for s in range(len(t) - w + 1))
-    got = substrings.deep_leaves(bodies, counts, w)
-    for t, js, n in zip(texts, got, counts, strict=True):
-        assert sorted(js) == [s for s in range(n) if seen[tuple(t[s : s + w])] > 1]
+    for t, ranges, n in zip(texts, substrings.maximal_repeats(bodies, counts, w), counts, strict=True):
+        windows = {s for lo, hi in ranges for s in range(lo, hi - w + 1)}
+        assert windows == {s for s in range(n) if seen[tuple(t[s : s + w])] > 1}
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
+def test_repeats_are_maximal():
+    shared = b"".join(b"s%d " % i for i in range(10))
+    assert substrings.maximal_repeats([b"x y " + shared, shared + b"z "], [9, 8], 4) == [[(2, 12)], [(0, 10)]]
+
+
+def test_many_repeated_rows_are_one_text(spark):
+    words = " ".join(f"w{i}" for i in range(120))
+    got = run(spark, [(7, words)] * 5000)
+    assert got == [(7, 120, 120, hashlib.sha256(b"").hexdigest())] * 5000
+
+
+@pytest.mark.parametrize("copies", [300, 1200])
+def test_near_copies_give_rows_in_proportion(spark, copies):
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{i}", *passage, f"b{i}"])) for i in range(copies)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = df.selectExpr("unhex(md5(text)) AS row_key", "text")
+    assert substrings.repeats(texts, 4, 100).count() <= 26 * copies
+    assert run(spark, rows, group_rows=100) == brute(rows)
