@@ -7,7 +7,7 @@ A word goes if a window of ``WINDOW`` consecutive words that covers it starts an
 2.  Suffixes to compare are those at anchors: the anchor of a window is the leftmost of its 8-word grams with the smallest hash, so that equal
     windows have it at equal offsets. A suffix stands for the run of windows around its anchor, as far as they have the same one.
 3.  Suffixes are split by variable-length prefixes: 8 words at first, and where a prefix has more than ``group_rows`` places, its suffixes are
-    lengthened to 22, 29 and at last ``WINDOW`` words. A prefix longer by k words is shared by k windows fewer, so a run falls into as many
+    lengthened to 22 and at last ``WINDOW`` words. A prefix longer by k words is shared by k windows fewer, so a run falls into as many
     suffixes (those of the windows that begin earlier start earlier). Prefixes that occur once can't repeat and drop out at each length.
 4.  Each group that fits is one subtree: the suffixes of its windows in the order of leaves, with the length that neighbours have in common, which
     is the depth of the internal node above them. Nodes of ``WINDOW`` words or more are the repeats, each leaf's deepest one its longest.
@@ -35,8 +35,8 @@ from ._shared import checkpoint, map_text, partitions
 from ._words import Words, grams, long_grams, mix
 
 WINDOW, GRAM = 35, 8
-#: Windows that one suffix stands for, by length of prefix: 8, 22, 29 and 35 words.
-RUNS = (28, 14, 7, 1)
+#: Windows that one suffix stands for, by length of prefix: 8, 22 and 35 words.
+RUNS = (28, 14, 1)
 GROUP_ROWS = 1000
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -330,20 +330,30 @@ def deep_prefixes(windows: DataFrame, n: int) -> DataFrame:
     return deep.select("row_key", "start", (F.col("start") + WINDOW).alias("end"))
 
 
-def repeats(texts: DataFrame, n: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Rows (row_key, start, end): ranges of words under windows that occur twice in ``texts`` (row_key, text), which differ from one another."""
-    found, source, parent = None, texts, None
-    for run in RUNS[:-1]:
-        rows = prefix_rows(source, run, parent)
-        shared = rows.groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key", (F.col("times") > group_rows).alias("large"))
-        listed = checkpoint(rows.select("key", "row_key").join(shared, "key").groupBy("row_key", "large").agg(F.collect_set("key").alias("keys")))
-        part = subtrees(suffix_rows(texts.join(listed.filter("not large"), "row_key"), run), n)
-        found = part if found is None else found.unionByName(part)
-        large, parent = listed.filter("large"), run
-        if large.isEmpty():
-            return found
-        source = texts.join(large, "row_key")
-    return found.unionByName(deep_prefixes(whole_windows(source, parent), n))
+def _shared_prefixes(rows: DataFrame, group_rows: int) -> DataFrame:
+    """Rows (row_key, large, keys) of the prefixes that occur twice; large: over ``group_rows`` times."""
+    shared = rows.groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key", (F.col("times") > group_rows).alias("large"))
+    return rows.select("key", "row_key").join(shared, "key").groupBy("row_key", "large").agg(F.collect_set("key").alias("keys"))
+
+
+def repeats(rows: DataFrame, texts: DataFrame, n: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Rows (row_key, start, end): ranges of words under windows that occur twice in ``texts`` (row_key, text), the distinct ones of ``rows``.
+
+    The first prefixes are counted where the rows lie, before any shuffle of texts: copies count there, which only keeps more prefixes in play.
+    """
+
+    def below(listed: DataFrame) -> DataFrame:
+        return texts.join(listed, "row_key").select("row_key", "text", "keys")
+
+    whole, part, _ = RUNS
+    listed = checkpoint(_shared_prefixes(prefix_rows(rows, whole), group_rows))
+    found = subtrees(suffix_rows(below(listed.filter("not large")), whole), n)
+    large = listed.filter("large")
+    if large.isEmpty():
+        return found
+    longer = _shared_prefixes(prefix_rows(below(large), part, whole), group_rows)
+    found = found.unionByName(subtrees(suffix_rows(below(longer.filter("not large")), part), n))
+    return found.unionByName(deep_prefixes(whole_windows(below(longer.filter("large")), part), n))
 
 
 def _cleaned(texts: DataFrame, ranges: DataFrame, out: str) -> DataFrame:
@@ -378,5 +388,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.unhex(F.md5(body)).alias("row_key"), F.col(doc_id).alias("id"), body.alias("text"))
     texts = rows.groupBy("row_key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))  # copies meet combined; the joins below reuse that exchange
-    cleaned = _cleaned(texts, repeats(texts.select("row_key", "text"), n, group_rows), out)
+    cleaned = _cleaned(texts, repeats(rows, texts, n, group_rows), out)
     return rows.select("row_key", "id").join(cleaned, "row_key").select("id", "row_key", "n_words", "n_removed", out)

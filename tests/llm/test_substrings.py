@@ -69,5 +69,5 @@ def test_near_copies_give_rows_in_proportion(spark, copies):
     rows = [(i, " ".join([f"a{i}", *passage, f"b{i}"])) for i in range(copies)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     texts = df.selectExpr("unhex(md5(text)) AS row_key", "text")
-    assert substrings.repeats(texts, 4, 100).count() <= 26 * copies
+    assert substrings.repeats(texts, texts, 4, 100).count() <= 26 * copies
     assert run(spark, rows, group_rows=100) == brute(rows)
