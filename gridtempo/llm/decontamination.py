@@ -3,13 +3,14 @@
 Tokens are runs of letters and digits, A-Z folded. An overlap is a window of ``WINDOW`` tokens (the whole item, if shorter) on one diagonal of a
 document and an item, of which at least ``AGREE`` are equal. Of such a window's halves one has at most one substituted token in its first
 seven, so one of four fixed masks of seven positions, which between them ignore each position, hits: no overlap is missed. Shorter
-items (5 tokens at least) are found alike by masks of five positions; still shorter ones are too common to be evidence and aren't looked for.
+items (5 tokens at least) are found alike by masks of five positions. Of items of 1 to 4 tokens 80% means all, so that they are found by the hash of the whole
+item; as they are common words rather than evidence, :func:`overlaps` reports them and :func:`decontaminate` goes by items of ``least`` tokens or more.
 
-The masked hashes of all benchmark positions make a table; their bits make a filter of fixed size, which every training position
-passes before it leaves its task. Positions that pass are joined with the table, and the tokens around each (document, item,
-diagonal) hit are compared with the item's.
+The masked hashes of all benchmark positions make a table; their bits make a filter, which every training position passes before it leaves its
+task. It has 16 bits or more for each hash, up to ``MOST_BITS`` (128 MB, 67 million hashes); a table beyond that only lets more positions through to the join.
+Positions that pass are joined with the table, and the tokens around each (document, item, diagonal) hit are compared with the item's.
 
-Defined results: null and empty texts have no tokens and no hit; repeated items and rows are reported once for each id and
+Defined results: null and empty texts and items have no tokens and no hit; ids may be of any type that casts to long; repeated items and rows are reported once for each id and
 item id; null ids are reported as null; empty tables give an empty one.
 """
 
@@ -29,7 +30,7 @@ SHORT_MASKS = ("01111", "10111", "11011", "11101", "11110")
 WINDOW, AGREE, SHORT = 15, 0.8, 5
 SPAN = 7
 MARGIN = WINDOW
-FILTER_BITS = 24
+LEAST_BITS, MOST_BITS = 20, 30
 SEGMENT = 2048
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
@@ -45,8 +46,22 @@ def masked_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
-def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return h >> np.uint64(64 - FILTER_BITS), (h >> np.uint64(8)) & np.uint64((1 << FILTER_BITS) - 1)
+def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> np.uint64(64 - bits)).astype(np.int64), ((h >> np.uint64(4)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+class Filter:
+    """A bitmap with two bits for each hash; tells which hashes may be in the table."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.bytes, self.bits = words.view(np.uint8), bits
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that may be."""
+        a, b = _probes(hashes, self.bits)
+        at = np.flatnonzero(self.bytes[a >> 3] >> (a & 7).astype(np.uint8) & 1)
+        b = b[at]
+        return at[(self.bytes[b >> 3] >> (b & 7).astype(np.uint8) & 1) > 0]
 
 
 def _fits(words: Words, span: int) -> np.ndarray:
@@ -68,6 +83,10 @@ def items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return map_text(rows.dropDuplicates(["item_key"]), "text", run, "item_key long, item_id long, tokens binary")
 
 
+def _masks(tokens: int) -> tuple[str, ...]:
+    return MASKS if tokens >= WINDOW else SHORT_MASKS if tokens >= SHORT else ("1" * tokens,) if tokens else ()
+
+
 def seeds(table: DataFrame) -> DataFrame:
     """Rows (hash, item_key, at) of all masked hashes of all items."""
 
@@ -75,46 +94,71 @@ def seeds(table: DataFrame) -> DataFrame:
         for batch in batches:
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = np.frombuffer(raw, dtype=np.uint64)
-                for mask in MASKS if len(tokens) >= WINDOW else SHORT_MASKS:
+                for mask in _masks(len(tokens)):
                     h = masked_hashes(tokens, mask)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), key, dtype=np.int64)), pa.array(np.arange(len(h), dtype=np.int32))], ["hash", "item_key", "at"])
 
     return table.select("item_key", "tokens").mapInArrow(run, "hash long, item_key long, at int").distinct()
 
 
-def hash_filter(table: DataFrame) -> np.ndarray:
-    """A bitmap of 2 ** FILTER_BITS bits with two bits for each hash, however many."""
+def hash_filter(table: DataFrame) -> Filter:
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * table.count()).bit_length()))
 
     def run(batches):
-        bits = np.zeros(1 << FILTER_BITS, dtype=np.uint8)
         for batch in batches:
-            for p in _probes(batch.column(0).to_numpy().view(np.uint64)):
-                bits[p] = 1
-        packed = np.packbits(bits, bitorder="little").view(np.int64)
-        some = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(packed[some])], ["word", "bits"])
+            at = np.unique(np.concatenate(_probes(batch.column(0).to_numpy().view(np.uint64), bits)))
+            word, one = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
+            head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+            if len(head):
+                yield pa.RecordBatch.from_arrays([pa.array(word[head]), pa.array(np.bitwise_or.reduceat(one, head).view(np.int64))], ["word", "bits"])
+
+    words = table.select("hash").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    packed = np.zeros((1 << bits) // 64, dtype=np.int64)
+    packed[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return Filter(packed, bits)
+
+
+def short_hits(docs: DataFrame, doc_id: str, text: str, shared, lengths: list[int]) -> DataFrame:
+    """Rows (id, row_key, hash): the distinct runs of 1 to 4 tokens of each document that pass the filter, of the lengths that items have."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        words = Words(batch.column(2), NOT_ALNUM)
+        h, of = words.hashes(fold=True), words.documents()
+        docs, found = [], []
+        for k in lengths:
+            seed = masked_hashes(h, "1" * k)
+            at = shared.value(seed)
+            at = at[_fits(words, k)[at]]
+            docs.append(of[at])
+            found.append(seed[at])
+        doc, seed = np.concatenate(docs), np.concatenate(found)
+        if not len(doc):
+            return None
+        order = np.lexsort((seed, doc))
+        doc, seed = doc[order], seed[order]
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (seed[1:] != seed[:-1])])
+        doc = pa.array(doc[new])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(seed[new].view(np.int64))], ["id", "row_key", "hash"])
+
+    return map_text(_rows(docs, doc_id, text), "text", run, "id long, row_key long, hash long")
 
-    words = table.select("hash").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    packed = np.zeros((1 << FILTER_BITS) // 64, dtype=np.int64)
-    packed[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
-    return np.unpackbits(packed.view(np.uint8), bitorder="little").view(bool)
 
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("id"), row_key(doc_id, text).alias("row_key"), F.col(text).cast("string").alias("text"))
 
-def segments(docs: DataFrame, doc_id: str, text: str, bitmap: np.ndarray, short: bool) -> DataFrame:
+
+def segments(docs: DataFrame, doc_id: str, text: str, shared, short: bool) -> DataFrame:
     """Rows (id, row_key, start, tokens, hits): stretches of documents around positions that pass the filter, at most SEGMENT hits' width long."""
     masks = MASKS + (SHORT_MASKS if short else ())
-    packed = np.packbits(bitmap)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        bits = _unpacked(packed)
+        may_be = shared.value
         words = Words(batch.column(2), NOT_ALNUM)
         h = words.hashes(fold=True)
         places, found = [], []
         for mask in masks:
             seed = masked_hashes(h, mask)
-            a, b = _probes(seed)
-            at = np.flatnonzero(bits[a])
-            at = at[bits[b[at]]]
+            at = may_be(seed)
             at = at[_fits(words, len(mask))[at]]
             places.append(at)
             found.append(seed[at])
@@ -138,20 +182,7 @@ def segments(docs: DataFrame, doc_id: str, text: str, bitmap: np.ndarray, short:
             ["id", "row_key", "start", "tokens", "hits"],
         )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), row_key(doc_id, text).alias("row_key"), F.col(text).cast("string").alias("text"))
-    return map_text(rows, "text", run, "id long, row_key long, start int, tokens binary, hits array<struct<hash: long, at: int>>")
-
-
-_bitmaps: dict[int, np.ndarray] = {}
-
-
-def _unpacked(packed: np.ndarray) -> np.ndarray:
-    """The bitmap as booleans, unpacked once in each worker."""
-    key = hash(packed.tobytes())
-    if key not in _bitmaps:
-        _bitmaps.clear()
-        _bitmaps[key] = np.unpackbits(packed).view(bool)
-    return _bitmaps[key]
+    return map_text(_rows(docs, doc_id, text), "text", run, "id long, row_key long, start int, tokens binary, hits array<struct<hash: long, at: int>>")
 
 
 def best_window(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
@@ -168,8 +199,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     """Rows (id, row_key, item_id, matched, width) for every document and item that overlap."""
     table = checkpoint(items(benchmark, item_id, item_text))
     hashes = checkpoint(seeds(table))
-    short = not table.filter(F.octet_length("tokens").between(8 * SHORT, 8 * WINDOW - 1)).isEmpty()
-    parts = checkpoint(segments(docs, doc_id, text, hash_filter(hashes), short))
+    lengths = sorted(r[0] for r in table.select((F.octet_length("tokens") / 8).cast("int").alias("n")).filter(F.col("n").between(1, WINDOW - 1)).distinct().collect())
+    shared = docs.sparkSession.sparkContext.broadcast(hash_filter(hashes))
+    parts = checkpoint(segments(docs, doc_id, text, shared, any(n >= SHORT for n in lengths)))
     hits = parts.select("row_key", "start", F.explode("hits").alias("h")).select("row_key", "start", "h.hash", F.col("h.at").alias("place"))
     hits = hits.join(hashes, "hash").select("row_key", "start", "item_key", (F.col("place") - F.col("at") - F.col("start")).alias("shift")).distinct()
     pairs = hits.join(table.withColumnRenamed("tokens", "item_tokens"), "item_key").join(parts.select("id", "row_key", "start", "tokens").dropDuplicates(["row_key", "start"]), ["row_key", "start"])
@@ -181,10 +213,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 
     verified = pairs.select("id", "row_key", "item_id", "tokens", "item_tokens", "shift").mapInArrow(run, "id long, row_key long, item_id long, matched int, width int")
     verified = verified.filter(F.col("matched") >= AGREE * F.col("width"))
+    exact = [n for n in lengths if n < SHORT]
+    if exact:
+        brief = table.select("item_key", "item_id", (F.octet_length("tokens") / 8).cast("int").alias("matched")).filter(F.col("matched") < SHORT).join(hashes, "item_key").select("hash", "item_id", "matched")
+        verified = verified.unionByName(short_hits(docs, doc_id, text, shared, exact).join(brief, "hash").select("id", "row_key", "item_id", "matched", F.col("matched").alias("width")))
     return verified.groupBy("id", "row_key", "item_id").agg(F.max("matched").alias("matched"), F.max("width").alias("width"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the documents that overlap with an item."""
-    leaked = overlaps(docs, benchmark, doc_id, text, item_id, item_text).select(F.col("row_key").alias("__row_key")).distinct()
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = SHORT) -> DataFrame:
+    """``docs`` without the documents that overlap with an item of ``least`` tokens or more."""
+    found = overlaps(docs, benchmark, doc_id, text, item_id, item_text)
+    leaked = found.filter(F.col("width") >= least).select(F.col("row_key").alias("__row_key")).distinct()
     return docs.withColumn("__row_key", row_key(doc_id, text)).join(leaked, "__row_key", "left_anti").drop("__row_key")

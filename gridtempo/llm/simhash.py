@@ -190,7 +190,10 @@ def _verified(keyed: DataFrame, n: int, bits: int, limit: int) -> DataFrame:
 
 
 def _blanked(hot: DataFrame, bits: int) -> DataFrame:
-    """Links of members that share five bytes: for each choice of ``bits`` of the other 24, equal rest means a link to the smallest."""
+    """Links of members that share five bytes: for each choice of ``bits`` of the other 24, equal rest means a link to the smallest.
+
+    Exact at any size, at 2024 rows (for three bits) for each member and choice of bytes that is still crowded.
+    """
     fives = [sum(255 << 8 * p for p in five) for five in combinations(range(8), 5)]
 
     def run(batches):
@@ -221,7 +224,11 @@ def links(fps: DataFrame, bits: int = 3, bucket_limit: int = BUCKET_LIMIT) -> Da
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Rows (node, root) for all nodes of ``edges`` (a, b), by large-star and small-star rounds until nothing moves."""
+    """Rows (node, root) for all nodes of ``edges`` (a, b), by large-star and small-star rounds until nothing moves.
+
+    A node may have a third of all edges. Checkpoints part each join from the aggregate on its key, so that both its sides are plain exchanges, whose large
+    partitions adaptive execution splits. Rounds grow with the logarithm of the longest chain; beyond ``max_rounds`` an error is raised, nothing is left out.
+    """
 
     def state(df: DataFrame) -> tuple:
         h = F.xxhash64("u", "v")
@@ -231,9 +238,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = state(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = checkpoint(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        down = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u")
         step = checkpoint(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct())
         now, last, before = step, before, state(step)

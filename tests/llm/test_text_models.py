@@ -147,7 +147,7 @@ def overlap_by_brute_force(doc, item):
     words = lambda t: [bytes(w.data[a:b]).lower() for w in [Words(pa.array([t]), NOT_ALNUM)] for a, b in zip(w.starts, w.ends, strict=True)]
     d, i = words(doc), words(item)
     width = min(len(i), decontamination.WINDOW)
-    if width < decontamination.SHORT:
+    if not width:
         return False
     return any(sum(x == y for x, y in zip(d[p : p + width], i[q : q + width], strict=True)) >= decontamination.AGREE * width for p in range(len(d) - width + 1) for q in range(len(i) - width + 1))
 
@@ -155,17 +155,34 @@ def overlap_by_brute_force(doc, item):
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
-    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([40, 30, 20, 15, 12, 9, 5, 3])]
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([40, 30, 20, 15, 12, 9, 5, 3, 4, 1, 2, 0])]
     docs = [(i, " ".join(word() for _ in range(60))) for i in range(10)]
     for i, (_, text) in enumerate(items):
         words = text.split()
         for j, broken in enumerate((0, 1, 2, 3)):
             some = list(words)
-            for at in rng.sample(range(len(some)), min(broken, len(some) - 1)):
+            for at in rng.sample(range(len(some)), max(0, min(broken, len(some) - 1))):
                 some[at] = word()
             docs.append((100 + 10 * i + j, " ".join(word() for _ in range(9)) + " " + ", ".join(some).upper() + ". " + word()))
     docs.append((900, " ".join(items[0][1].split()[5:20])))
     got = {(r.id, r.item_id) for r in decontamination.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = {(d, i) for d, t in docs for i, x in items if overlap_by_brute_force(t, x)}
     assert got == want
-    assert (900, 0) in got
+    assert (900, 0) in got and {7, 8, 9, 10} <= {i for _, i in got}
+
+
+def test_short_items_are_reported_but_cost_no_document(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, "and others"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "words"), (2, "Some, WORDS"), (3, "words some")], "item_id long, text string")
+    assert {(r.id, r.item_id, r.matched, r.width) for r in decontamination.overlaps(docs, items).collect()} == {(1, 1, 1, 1), (1, 2, 2, 2)}
+    assert decontamination.decontaminate(docs, items).count() == 3 and decontamination.decontaminate(docs, items, least=1).count() == 2
+
+
+def test_the_filter_grows_with_the_table(spark):
+    hashes = spark.range(100_000).selectExpr("xxhash64(id) AS hash")
+    found = decontamination.hash_filter(hashes)
+    assert found.bits == 21
+    inside = hashes.toArrow().column(0).to_numpy().view(np.uint64)
+    assert len(found(inside)) == len(inside)
+    others = spark.range(100_000).selectExpr("xxhash64(id + 1000000) AS hash").toArrow().column(0).to_numpy().view(np.uint64)
+    assert len(found(others)) < 0.05 * len(others)
