@@ -3,12 +3,14 @@
 A tokenizer and a tree builder with implied tags (a ``p`` ends where a block begins, list items, table rows and cells and options end one
 another, head content moves the builder into the head) give a tree; unclosed inline formatting elements are reopened
 in the next block, as browsers do. The renderer walks it with visibility rules (no head matter, scripts, styles, templates, comments, hidden
-or ``display: none`` elements; closed details show their summary) and emits all visible text: blocks on lines of their own,
+or ``display: none`` elements, what stands in for objects, media and frames; closed details show their summary, closed lists the chosen option or the first)
+and emits all visible text, that of form fields, formulas and drawings too: blocks on lines of their own,
 paragraphs, headings, lists and tables set off by a blank line, list items with bullets or numbers and indented by depth, table cells aligned in
 columns, ``pre`` unchanged, runs of white space elsewhere as one blank.
 
 Defined results: a null or empty page has an empty text; a page cut anywhere, also within a tag or an entity, renders what is complete
-(an incomplete tag at the end is dropped, an incomplete entity is text); a column of a table is padded up to ``WIDEST`` characters;
+(an incomplete tag at the end is dropped, also one cut within a quoted value, an incomplete entity is text); of equal formatting elements three are
+reopened at most, as in browsers; a column of a table is padded up to ``WIDEST`` characters;
 repeated pages and null ids have rows like others; an empty table gives an empty one. Nothing is recursive, so depth is unbounded.
 """
 
@@ -28,7 +30,7 @@ from ._shared import map_text, row_key
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title template".split())
-UNSEEN = frozenset("head script style template noembed noframes noscript iframe title textarea select datalist object audio video canvas svg math map meter progress".split())
+UNSEEN = frozenset("head script style template noembed noframes noscript iframe title datalist object audio video canvas map meter progress desc metadata defs annotation annotation-xml".split())
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p plaintext pre section summary table ul tr caption thead tbody tfoot td th".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
@@ -51,8 +53,11 @@ IMPLIED_ENDS = {
 IMPLIED_ENDS = {k: (tuple(ended.split()), scope) for k, (ended, scope) in IMPLIED_ENDS.items()}
 SCOPE = frozenset("table td th caption html button object".split())
 WIDEST = 60
+#: Fixed value of HTML: so many equal formatting elements are reopened at most.
+EQUAL = 3
 
 _TOKEN = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*)(?:>|\Z)|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?P<end>>|\Z))", re.S)
+_CUT = re.compile(r"</?[a-zA-Z][^>]*\Z")
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?")
 _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -83,6 +88,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             yield "text", page[at:], {}
             return
         m = _TOKEN.match(page, less)
+        if m is None and _CUT.match(page, less):  # a tag that the page's end cuts within a quoted value
+            if less > at:
+                yield "text", page[at:less], {}
+            return
         if m is None:  # a lone "<" is text
             stop = page.find("<", less + 1)
             stop = n if stop < 0 else stop
@@ -114,6 +123,7 @@ class Builder:
         self.open = [self.root]
         self.count: Counter[str] = Counter()  # of the open elements' names, so that what isn't open isn't searched for
         self.body: Node | None = None
+        self.selects: list[Node] = []
         self.lost: list[Node] = []  # formatting elements cut short by a block's end, reopened before the next text
 
     def _in_body(self) -> None:
@@ -124,6 +134,8 @@ class Builder:
 
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
+        if node.name == "select":
+            self.selects.append(node)
         if node.name not in VOID:
             self.open.append(node)
             self.count[node.name] += 1
@@ -147,7 +159,14 @@ class Builder:
 
     def _reopen(self) -> None:
         lost, self.lost = self.lost, []
-        for node in lost[-32:]:
+        seen: Counter = Counter()
+        again = []
+        for node in reversed(lost):
+            kind = (node.name, frozenset(node.attrs.items()))
+            seen[kind] += 1
+            if seen[kind] <= EQUAL:
+                again.append(node)
+        for node in reversed(again):
             self._push(Node(node.name, node.attrs))
 
     def start(self, name: str, attrs: dict[str, str]) -> None:
@@ -267,9 +286,30 @@ def tree(page: str) -> Node:
             builder.end(value)
         else:
             builder.text(value, kind == "raw")
+    for select in builder.selects:
+        _choose(select)
     return builder.root
 
 
+def _choose(select: Node) -> None:
+    """Hides the options that a browser doesn't show: of a closed list all but the chosen or the first."""
+    options, stack = [], list(reversed(select.children))
+    while stack:
+        node = stack.pop()
+        if isinstance(node, Node):
+            if node.name == "option":
+                node.children.append(" ")
+                options.append(node)
+            else:
+                stack.extend(reversed(node.children))
+    if "multiple" in select.attrs or select.attrs.get("size", "1") not in ("", "0", "1"):
+        return
+    chosen = [x for x in options if "selected" in x.attrs][-1:] or options[:1]
+    for x in options:
+        if x not in chosen:
+            x.attrs["hidden"] = ""
+
+
 def visible(node: Node) -> bool:
     if node.name in UNSEEN or "hidden" in node.attrs or node.name == "dialog" and "open" not in node.attrs:
         return False

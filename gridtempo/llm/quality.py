@@ -2,7 +2,9 @@
 
 One pass over whole texts gives each document its rule statistics. Two plain rules reject outright (under 50 words; over half of all
 words in repeated three-word windows). The others are judged together: an isolation forest, grown over random splits of random
-statistics, measures how few splits set a document apart. The forest is fitted on a bounded sample of documents that the plain rules
+statistics, measures how few splits set a document apart. Which statistics take part the labelled rows say: those whose distributions over good and
+bad rows are ``APART`` or more apart (Kolmogorov's distance over a bounded sample of about ``FIT_ROWS`` labelled rows, by row hash; none, then all),
+since a statistic that bad rows share with good ones only sets good rows apart. The forest is fitted on a bounded sample of documents that the plain rules
 pass (about ``FIT_ROWS``, by row hash); the threshold on its score comes from all labelled rows: of those on a grid of
 1000 steps the one with the best accuracy over labelled bad and good rows, among thresholds that keep ``KEEP_GOOD`` of the good ones.
 Everything else covers all documents.
@@ -27,10 +29,9 @@ SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED, OF = 50, 50, 100
 
 FIT_ROWS, TREES, ROWS_A_TREE, SEED = 8192, 200, 256, 11
-KEEP_GOOD = 0.995
+KEEP_GOOD, APART = 0.995, 0.25
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Repetition is left to the plain rules; digits and very long words mark personal data or secrets rather than poor prose.
-STATISTICS = ("symbols", "capitals", "exclaimed", "bars", "word_length", "ends")
+STATISTICS = ("symbols", "capitals", "exclaimed", "bars", "word_length", "ends", "dup_lines", "repeated")
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -73,10 +74,10 @@ def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     words = Words(texts)
     data, at = words.data, words.offsets
     raw = data.tobytes()
-    dup = np.zeros(len(texts), dtype=np.int64)
+    dup, filled = np.zeros(len(texts), dtype=np.int64), np.ones(len(texts), dtype=np.int64)
     for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
         lines = [x for x in raw[a:b].split(b"\n") if x and not x.isspace()]
-        dup[i] = len(lines) - len(set(lines))
+        dup[i], filled[i] = len(lines) - len(set(lines)), max(1, len(lines))
     counts = {"n_words": words.counts.astype(np.int64), "word_chars": _sums(words.inside & _LEAD[data], at), "n_symbols": _sums(_SYMBOL[data], at), "n_dup_lines": dup, "n_repeat_words": repeated_words(words)}
     n, chars = np.maximum(counts["n_words"], 1), np.maximum(counts["word_chars"], 1)
     stops = np.zeros(len(words), dtype=bool) if not len(words) else _STOP[data[words.ends - 1]]
@@ -87,6 +88,8 @@ def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
         _sums(_BAR[data], at) / n,
         chars / n,
         _sums(stops, words.bounds) / n,
+        dup / filled,
+        counts["n_repeat_words"] / n,
     ]
     return counts, np.stack(columns, axis=1)
 
@@ -143,13 +146,28 @@ class IsolationForest:
 
 
 class Judge:
-    """The fitted forest and its threshold; without a forest nothing is judged bad."""
+    """The fitted forest, the statistics it sees and its threshold; without a forest nothing is judged bad."""
 
-    def __init__(self, forest: IsolationForest | None, threshold: float):
-        self.forest, self.threshold = forest, threshold
+    def __init__(self, forest: IsolationForest | None, columns: np.ndarray, threshold: float):
+        self.forest, self.columns, self.threshold = forest, columns, threshold
 
     def kept(self, rows: np.ndarray) -> np.ndarray:
-        return self.forest.score(rows) <= self.threshold if self.forest and len(rows) else np.ones(len(rows), dtype=bool)
+        return self.forest.score(rows[:, self.columns]) <= self.threshold if self.forest and len(rows) else np.ones(len(rows), dtype=bool)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> float:
+    """Kolmogorov's distance of two samples."""
+    at = np.concatenate([a, b])
+    return float(np.abs(np.searchsorted(np.sort(a), at, "right") / len(a) - np.searchsorted(np.sort(b), at, "right") / len(b)).max())
+
+
+def telling(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """The columns that good and bad rows differ in; all if none is, or if either kind is missing."""
+    every = np.arange(len(STATISTICS))
+    if not len(good) or not len(bad):
+        return every
+    found = np.array([k for k in every if distance(good[:, k], bad[:, k]) >= APART], dtype=np.int64)
+    return found if len(found) else every
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,22 +183,25 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return map_text(rows, "text", run, "id long, row_key long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, stats array<double>")
 
 
-def scored(rows: DataFrame, forest: IsolationForest) -> DataFrame:
+def scored(rows: DataFrame, forest: IsolationForest, columns: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in batches:
             stats = batch.column(batch.schema.get_field_index("stats"))
             matrix = np.asarray(stats.flatten()).reshape(len(stats), -1) if len(stats) else np.zeros((0, len(STATISTICS)))
             keep = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(forest.score(matrix))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(forest.score(matrix[:, columns]))], [*names, "score"])
 
     names = [c for c in rows.columns if c != "stats"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "stats")
     return rows.mapInArrow(run, f"{schema}, score double")
 
 
-def calibrated(judged: DataFrame, labels: DataFrame, doc_id: str, quality: str) -> float:
-    """The threshold of the best balanced accuracy over all labelled rows that the plain rules pass, keeping ``KEEP_GOOD`` of the good."""
-    known = labels.filter(F.col(quality).isin(0, 1)).select(F.col(doc_id).cast("long").alias("id"), (F.col(quality) == 1).alias("good"))
+def known(labels: DataFrame, doc_id: str, quality: str) -> DataFrame:
+    return labels.filter(F.col(quality).isin(0, 1)).select(F.col(doc_id).cast("long").alias("id"), (F.col(quality) == 1).alias("good"))
+
+
+def calibrated(judged: DataFrame, known: DataFrame) -> float:
+    """The threshold of the best balanced accuracy over all labelled rows that the plain rules pass, keeping ``KEEP_GOOD`` of the good; of equally good ones the smallest."""
     steps = judged.filter("not base_failed").join(known, "id").groupBy(F.ceil(F.col("score") * 1000).cast("int").alias("step")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     rows = sorted(tuple(r) for r in steps.collect())  # at most 1001 of them
     good, bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
@@ -195,16 +216,23 @@ def calibrated(judged: DataFrame, labels: DataFrame, doc_id: str, quality: str)
     return threshold
 
 
+def _sampled(rows: DataFrame, *columns: str) -> list:
+    """About FIT_ROWS rows, by row hash; at most twice as many."""
+    share = min(1.0, FIT_ROWS / max(1, rows.count()))
+    drawn = rows.filter(F.pmod(F.xxhash64("row_key", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return drawn.orderBy("row_key").select(*columns).limit(2 * FIT_ROWS).collect()
+
+
 def fit(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id", quality: str = "quality") -> tuple[Judge, DataFrame | None]:
-    passed = rows.filter("not base_failed")
-    share = min(1.0, FIT_ROWS / max(1, passed.count()))
-    drawn = passed.filter(F.pmod(F.xxhash64("row_key", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = drawn.orderBy("row_key").select("stats").limit(2 * FIT_ROWS).collect()
+    passed, told = rows.filter("not base_failed"), known(labels, label_id, quality)
+    sample = _sampled(passed, "stats")
     if not sample:
-        return Judge(None, 1.0), None
-    forest = IsolationForest(np.array([r[0] for r in sample]))
-    judged = scored(rows, forest)
-    return Judge(forest, calibrated(judged, labels, label_id, quality)), judged
+        return Judge(None, np.arange(len(STATISTICS)), 1.0), None
+    labelled = _sampled(passed.join(told, "id"), "stats", "good")
+    columns = telling(*(np.array([r[0] for r in labelled if r[1] == kind]) for kind in (True, False)))
+    forest = IsolationForest(np.array([r[0] for r in sample])[:, columns])
+    judged = scored(rows, forest, columns)
+    return Judge(forest, columns, calibrated(judged, told)), judged
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> DataFrame:

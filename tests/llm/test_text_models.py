@@ -64,10 +64,43 @@ def test_the_forest_sets_outliers_apart_and_the_threshold_spares_good_rows(spark
     assert kept[0][0] < 0.15 and kept[1][0] > 0.98 - kept[1][1]
 
 
+def test_verdicts_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.measured(docs)
+    found, judged = quality.fit(rows, labels)
+    score = {r.id: r.score for r in judged.collect()}
+    failed, stats = ({r.id: r[c] for r in rows.collect()} for c in ("base_failed", "stats"))
+    told = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and not failed[r.doc_id]}
+
+    def path(t, row):
+        node = 1
+        for _ in range(found.forest.depth):
+            node = 2 * node + (row[found.columns[found.forest.column[t, node]]] > found.forest.cut[t, node])
+        return found.forest.path[t, node]
+
+    for i in sorted(score)[:25]:
+        mean = sum(path(t, stats[i]) for t in range(quality.TREES)) / quality.TREES
+        assert score[i] == pytest.approx(2 ** (-mean / found.forest.expected(found.forest.sample)))
+    good, bad = ([score[i] for i, q in told.items() if q == k] for k in (1, 0))
+    best = max((sum(s <= t / 1000 for s in good) / len(good) + sum(s > t / 1000 for s in bad) / len(bad), -t) for t in range(1001) if sum(s <= t / 1000 for s in good) >= quality.KEEP_GOOD * len(good))
+    assert found.threshold == -best[1] / 1000
+    want = {i: not failed[i] and score[i] <= found.threshold for i in score}
+    assert {r.id: r.kept for r in quality.judge(docs, labels).collect()} == want
+    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == {i for i, k in want.items() if k}
+
+
+def test_labels_say_which_statistics_take_part():
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(size=(400, len(quality.STATISTICS))), rng.normal(size=(80, len(quality.STATISTICS)))
+    bad[:, [1, 6]] += 2
+    assert quality.telling(good, bad).tolist() == [1, 6]
+    assert len(quality.telling(good, bad[:0])) == len(quality.STATISTICS) and len(quality.telling(good, good)) == len(quality.STATISTICS)
+
+
 def test_a_forest_without_spread_or_rows():
     same = quality.IsolationForest(np.ones((50, 2)))
     assert len(set(same.score(np.ones((3, 2))).tolist())) == 1
-    assert quality.Judge(None, 1.0).kept(np.zeros((2, 1))).all()
+    assert quality.Judge(None, np.zeros(1, int), 1.0).kept(np.zeros((2, 1))).all()
 
 
 def test_language_is_right_on_held_out_rows(spark):
