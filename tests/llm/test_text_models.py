@@ -119,6 +119,47 @@ def test_language_backs_off_from_words_to_shorter_grams(spark):
     assert got[34][0] in ("de", "en")
 
 
+def test_predictions_equal_brute_force(spark):
+    rng = random.Random(8)
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "aegxy"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(1, 7)))
+    rows = [(i, " ".join(word(lang) for _ in range(rng.randrange(1, 9))) + rng.choice(["", "!", " 12"]), lang) for i in range(60) for lang in [rng.choice(sorted(letters))]]
+    asked = [(100 + i, " ".join(word(rng.choice(sorted(letters))) for _ in range(6)).upper(), None) for i in range(30)] + [(200, "zzz qq", None), (201, "3", None)]
+
+    words_of = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    parts = lambda w, k: [w] if not k else [x[j : j + k] for x in [f"^{w}^" if k > 1 else w] for j in range(len(x) - k + 1)]
+    n = {k: {lang: Counter(g for _, t, own in rows if own == lang for w in words_of(t) for g in parts(w, k)) for lang in letters} for k in range(language.LONGEST + 1)}
+
+    def scores(k, g):
+        if not any(n[k][lang][g] for lang in letters):
+            return None
+        return [max(math.log10(n[k][lang][g] / sum(n[k][lang].values())), -language.PENALTY) if n[k][lang][g] else -language.PENALTY for lang in sorted(letters)]
+
+    def of_word(w):
+        for k in (0, *range(language.LONGEST, 0, -1)):
+            known = [s for g in parts(w, k) for s in [scores(k, g)] if s]
+            if known:
+                return np.mean(known, axis=0)
+        return None
+
+    want = {}
+    for i, t, _ in rows + asked:
+        known = [s for w in words_of(t) for s in [of_word(w)] if s is not None]
+        mean = np.mean(known, axis=0) if known else np.zeros(3)
+        share = np.exp((mean - mean.max()) * math.log(10) * min(max(len(known), 1), language.TEMPER)).sum()
+        want[i] = (sorted(letters)[int(mean.argmax())], 1 / share) if words_of(t) else ("und", 0.0)
+    got = {r.id: (r.lang_pred, r.score) for r in language.predict(spark.createDataFrame(rows + asked, "doc_id long, text string, lang string"), F.lit(True)).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1], rel=1e-4) for i in want)
+
+
+def test_a_rare_language_keeps_its_rows(spark):
+    rows = [(i, f"common words of the large one {i}", "en") for i in range(400)] + [(1000 + i, f"seltene worte der kleinen {i}", "de") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.id: r.lang_pred for r in language.predict(df, F.lit(True), fit_rows=20).collect()}
+    assert all(got[1000 + i] == "de" for i in range(3)) and got[5] == "en"
+
+
 def test_base_scores_equal_brute_force_and_classes_beat_them(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     tokens = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in docs}
