@@ -174,16 +174,64 @@ def test_base_scores_equal_brute_force_and_classes_beat_them(spark):
     assert sum(r.score for r in found if r.held_out) > 0.9 * sum(r.base_score for r in found if r.held_out)
 
 
-def test_the_model_is_a_distribution(spark):
-    """Over the first token: all known words, the unseen ones together, and the end have probability one."""
-    text = "a b a c a b d e e a b"
-    vocabulary = sorted(set(text.split()))
-    rows = [(i, text) for i in range(3)]
-    probes = [(100 + k, w) for k, w in enumerate(vocabulary)] + [(200, "zzz")]
-    df = spark.createDataFrame(rows + probes, "doc_id long, text string")
-    score = {r.id: r.score for r in brown.scored(df, F.col("doc_id") < 100).collect()}
-    empty = brown.scored(spark.createDataFrame(rows + [(300, "")], "doc_id long, text string"), F.col("doc_id") < 100).filter("id = 300").first().score
-    assert score[200] < 0 and empty < 0 and all(s < 0 for s in score.values())
+@pytest.fixture
+def small_lists(monkeypatch):
+    """So few words in the core and the list that a small corpus has words of all kinds."""
+    monkeypatch.setattr(brown, "LISTED", 12)
+    monkeypatch.setattr(brown, "CORE", 6)
+    monkeypatch.setattr(brown, "CLASSES", 5)
+
+
+def class_corpus():
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(("the", "a")) + " " + rng.choice(("cat", "dog", "bird", "cow")) + " " + rng.choice(("runs", "sleeps", "sings")) + rng.choice(("", " " + rng.choice("uvwxyz"))) for _ in range(6))) for i in range(20)]
+    return rows + [(50, None), (51, "")]
+
+
+def test_scores_equal_brute_force(spark, small_lists):
+    rows = class_corpus()
+    asked = [(100, "the cat runs"), (101, "Zebra a unseen cat u"), (102, ""), (103, None)]
+    df = spark.createDataFrame(rows + asked, "doc_id long, text string")
+    got = {r.id: r.score for r in brown.scored(df, F.col("doc_id") < 100).collect()}
+    model = brown.fit(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id AS row_key", "text"))
+    hash_of = lambda w: int(Words(pa.array([w])).hashes(fold=True)[0])
+    classes = dict(zip(model.listed.tolist(), model.of.tolist(), strict=True))
+    class_of = lambda w: brown.END if w is None else classes.get(hash_of(w), brown.RARE)
+    tokens = lambda t: (t or "").lower().split() + [None]
+    count, table, size = Counter(), Counter(), Counter()
+    for _, t in rows:
+        before = None
+        for w in tokens(t):
+            count[w] += 1
+            table[class_of(before), class_of(w)] += 1
+            size[class_of(w)] += 1
+            before = w
+    n, d, k = sum(size.values()), brown.DISCOUNT, brown.CLASSES
+    rare = [w for w in count if class_of(w) == brown.RARE]
+
+    def step(a, b):
+        left, kinds = sum(table[a, x] for x in range(k)), sum(table[a, x] > 0 for x in range(k))
+        return (max(table[a, b] - d, 0) + (d * kinds + 1) * (size[b] + 1) / (n + k)) / (left + 1)
+
+    def emit(w):
+        if w is None:
+            return 1.0
+        c = class_of(w)
+        if c != brown.RARE:
+            return count[w] / size[c]
+        return ((count[w] - d) if count[w] else d * len(rare) + 1) / (size[c] + 1)
+
+    for i, t in rows + asked:
+        want, before = 0.0, None
+        for w in tokens(t):
+            want += math.log10(step(class_of(before), class_of(w)) * emit(w))
+            before = w
+        assert got[i] == pytest.approx(want, rel=1e-9)
+    for a in range(k):  # after any class the known words, the unseen ones together and the end have probability one
+        known = sum(step(a, class_of(w)) * emit(w) for w in count)
+        unused = sum(step(a, c) for c in range(k) if not size[c])
+        assert known + step(a, brown.RARE) * emit("never seen") + unused == pytest.approx(1, abs=1e-9) or not size[brown.RARE]
+    assert len({class_of(w) for w in ("cat", "dog", "bird")}) == 1 and class_of("cat") != class_of("the")
 
 
 def likelihood(pairs, of, classes):
