@@ -98,10 +98,10 @@ def run_variants(model: Forecaster, panel: DataFrame, origins: DataFrame, varian
 
 def perturbed(model: DataFrame, origins: DataFrame, panel: DataFrame, keys: list[str], column: str, multiplier: float, seed: int, steps: int = 48, nonnegative: bool = False) -> DataFrame:
     """Cells (keys, ts, column) of the horizons with simulated forecast errors added, a path for each origin."""
-    errors = models.perturbation_sample(model, keys, 1, seed).select(*keys, F.posexplode("error").alias("step", "e"))
-    sign = F.when(F.pmod(F.xxhash64("origin", F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    rows = splits.horizon(origins, keys, steps).join(errors, [*keys, "step"]).join(panel.select(*keys, "ts", column), [*keys, "ts"])
-    value = F.col(column) + multiplier * sign * F.col("e")
+    each = model.join(origins.select(*keys, "origin").distinct(), keys)
+    errors = models.perturbation_sample(each, [*keys, "origin"], 1, seed, f"{column}:{multiplier}").select(*keys, "origin", F.posexplode("error").alias("step", "e"))
+    rows = splits.horizon(origins, keys, steps).join(errors, [*keys, "origin", "step"]).join(panel.select(*keys, "ts", column), [*keys, "ts"])
+    value = F.col(column) + multiplier * F.col("e")
     return rows.groupBy(*keys, "ts").agg(F.max_by(F.greatest(value, F.lit(0.0)) if nonnegative else value, "origin").alias(column))
 
 

@@ -5,6 +5,7 @@ Fits are numerical code over one series each (``applyInPandas``), so that many s
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -59,13 +60,18 @@ def perturbation_fit(pairs: DataFrame, keys: list[str], actual: str, forecast: s
     return every.withColumn("__f", filled).withColumn("sigma", F.avg("__f").over(w.rowsBetween(-2, 2))).select(*keys, "step", "rho", "sigma")
 
 
-def perturbation_sample(model: DataFrame, keys: list[str], draws: int, seed: int) -> DataFrame:
-    """Rows (keys, draw, error array): e0 = s0 z0, e_i = rho e_{i-1} + s_i sqrt(1 - rho^2) z_i."""
+def content_rng(seed: int, *parts) -> np.random.Generator:
+    """A generator that depends on the seed and on what it is for, not on task or order."""
+    return np.random.default_rng(int.from_bytes(hashlib.blake2b("\x1f".join(str(x) for x in (seed, *parts)).encode(), digest_size=16).digest()))
+
+
+def perturbation_sample(model: DataFrame, keys: list[str], draws: int, seed: int, name: str = "") -> DataFrame:
+    """Rows (keys, draw, error array): e0 = s0 z0, e_i = rho e_{i-1} + s_i sqrt(1 - rho^2) z_i; each key and ``name`` has draws of its own."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
         rho, sigma = float(pdf["rho"].iloc[0]), pdf["sigma"].to_numpy(dtype=float)
-        z = np.random.default_rng([seed, len(sigma)]).standard_normal((draws, len(sigma)))
+        z = content_rng(seed, name, *pdf[keys].iloc[0]).standard_normal((draws, len(sigma)))
         e = np.empty_like(z)
         e[:, 0] = sigma[0] * z[:, 0]
         for i in range(1, len(sigma)):
@@ -128,13 +134,13 @@ def ar_regression(rows: DataFrame, keys: list[str], y: str, features: list[str],
 
 
 def ar_paths(model: DataFrame, keys: list[str], horizon: int, draws: int, seed: int, mean: Column | None = None) -> DataFrame:
-    """Rows (keys, draw, path): simulated errors ahead, of innovations phi and sigma."""
+    """Rows (keys, draw, path): simulated errors ahead, of innovations phi and sigma; each series has draws of its own."""
 
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 psi = impulse_response(np.asarray(row.phi), horizon)
-                eps = np.random.default_rng([seed, horizon]).standard_normal((draws, horizon)) * row.sigma
+                eps = content_rng(seed, *(getattr(row, k) for k in keys)).standard_normal((draws, horizon)) * row.sigma
                 weights = np.array([[psi[h - j] if h >= j else 0.0 for j in range(horizon)] for h in range(horizon)])
                 out = pd.DataFrame({"draw": range(draws), "path": list(eps @ weights.T)})
                 for k in reversed(keys):
@@ -145,7 +151,10 @@ def ar_paths(model: DataFrame, keys: list[str], horizon: int, draws: int, seed:
     return model.select(*keys, "phi", "sigma").mapInPandas(run, f"{schema}, draw int, path array<double>")
 
 
-def boosted_quantiles(x: np.ndarray, y: np.ndarray, level: float | None, trees: int = 60, rate: float = 0.1, depth: int = 3, bins: int = 32, least: int = 20) -> tuple[float, list]:
+RATE = 0.1
+
+
+def boosted_quantiles(x: np.ndarray, y: np.ndarray, level: float | None, trees: int = 60, rate: float = RATE, depth: int = 3, bins: int = 32, least: int = 20) -> tuple[float, list]:
     """Histogram gradient boosting for the pinball loss (squared loss if ``level`` is None): base value and trees of (feature, cut, ...)."""
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     coded = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1)
@@ -199,7 +208,7 @@ def quantile_boost(rows: DataFrame, keys: list[str], y: str, features: list[str]
         fit, rest = pdf[pdf[train]], pdf[~pdf[train]].copy()
         base, forest = boosted_quantiles(fit[features].to_numpy(dtype=float), fit[y].to_numpy(dtype=float), float(pdf["level"].iloc[0]), **how)
         x = rest[features].to_numpy(dtype=float)
-        rest["value"] = base + 0.1 * sum((tree_values(t, x) for t in forest), np.zeros(len(x)))
+        rest["value"] = base + how.get("rate", RATE) * sum((tree_values(t, x) for t in forest), np.zeros(len(x)))
         return rest[[*keys, "row", y, "level", "value"]]
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in [*keys])
