@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .features import holiday_flag
 from .timegrid import order
 
 # Physical limits of the weather and demand columns.
@@ -18,7 +19,7 @@ def seconds(ts: str) -> Column:
 
 
 def _neighbours(keys: list[str], ts: str, value: str) -> tuple[Column, Column]:
-    """The nearest reading at or before, and at or after, each row, with its time and row number.
+    """The nearest reading at or before, and at or after, each row, with its time and row number in ``__row``.
 
     The one after is the last in descending order: a frame up to unbounded following would be evaluated anew for every row.
     """
@@ -49,6 +50,20 @@ def interpolate(series: DataFrame, keys: list[str], value: str, out: str, edge:
     return rows.withColumn(out, filled).drop("__row", "__a", "__b")
 
 
+def interpolate_all(frame: DataFrame, keys: list[str], edges: dict[str, str], limit: int | None = None, ts: str = "ts") -> DataFrame:
+    """:func:`interpolate` of many columns in place, by name and edge: one sort forward and one back for all of them."""
+    rows = frame.withColumn("__row", F.row_number().over(order(keys, ts)))
+    found = {c: _neighbours(keys, ts, c) for c in edges}
+    rows = rows.withColumns({f"__a_{c}": a for c, (a, _) in found.items()}).withColumns({f"__b_{c}": b for c, (_, b) in found.items()})
+    out = {}
+    for c, edge in edges.items():
+        a, b, x = F.col(f"__a_{c}"), F.col(f"__b_{c}"), F.col(c).cast("double")
+        between = a["v"] + (b["v"] - a["v"]) * (seconds(ts) - a["t"]) / (b["t"] - a["t"])
+        y = F.coalesce(x, F.when(b.isNotNull(), between), a["v"], *([b["v"]] if edge == "both" else []))
+        out[c] = y if limit is None else F.when(x.isNotNull() | (F.col("__row") - a["__row"] <= limit), y)
+    return rows.withColumns(out).drop("__row", *[f"__{s}_{c}" for s in "ab" for c in edges])
+
+
 def seasonal_fill(series: DataFrame, keys: list[str], value: str, out: str, lags: tuple[int, ...] = (336, 672), limit: int = 2, ts: str = "ts") -> DataFrame:
     """Short interpolation, then the value one and two seasons back, then interpolation both ways; ``{out}_imputed`` marks what was missing."""
     rows = interpolate(series, keys, value, "__f", limit=limit, ts=ts)
@@ -81,10 +96,10 @@ def bounds_for(column: str) -> tuple[float, float] | None:
     return PHYSICAL_BOUNDS.get(column.replace("_fc", "").split("_", 1)[0])
 
 
-def make_physical(frame: DataFrame, elevation: Column | None = None) -> DataFrame:
-    """Clips every bounded column; with a solar elevation, irradiance is zero at night."""
+def make_physical(frame: DataFrame, elevation: Column | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Clips every bounded column, or those named; with a solar elevation, irradiance is zero at night."""
     out = {}
-    for c in frame.columns:
+    for c in frame.columns if columns is None else columns:
         if (limits := bounds_for(c)) is not None:
             x = clip(F.col(c), *limits)
             if elevation is not None and c.split("_")[0] in ("dni", "dhi", "ghi"):
@@ -94,7 +109,7 @@ def make_physical(frame: DataFrame, elevation: Column | None = None) -> DataFram
 
 
 def solar_elevation(ts: str, latitude: float, longitude: float) -> Column:
-    """Degrees above the horizon by NOAA's general solar position equations, for a UTC timestamp."""
+    """Degrees above the horizon by NOAA's general solar position equations, for a UTC timestamp. Its numbers are fixed values."""
     clock = F.hour(ts) + F.minute(ts) / 60.0 + F.second(ts) / 3600.0
     gamma = 2 * F.pi() / 365 * (F.dayofyear(ts) - 1 + (clock - 12) / 24)
     declination = 0.006918 - 0.399912 * F.cos(gamma) + 0.070257 * F.sin(gamma) - 0.006758 * F.cos(2 * gamma) + 0.000907 * F.sin(2 * gamma) - 0.002697 * F.cos(3 * gamma) + 0.00148 * F.sin(3 * gamma)
@@ -105,24 +120,44 @@ def solar_elevation(ts: str, latitude: float, longitude: float) -> Column:
     return F.degrees(F.asin(F.least(F.greatest(height, F.lit(-1.0)), F.lit(1.0))))
 
 
-def build_panel(demand: DataFrame, actual: DataFrame, forecast: DataFrame, keys: list[str], variables: list[str], ts: str = "ts") -> DataFrame:
-    """The processed panel: demand repaired and screened, weather interpolated to the grid, forecasts falling back to actuals.
+def build_panel(demand: DataFrame, actual: DataFrame, forecast: DataFrame, keys: list[str], variables: list[str], latitude: float, longitude: float, zone: str, years: tuple[int, int], ts: str = "ts") -> DataFrame:
+    """The processed panel, with a flag for every repair, which :func:`panel_report` counts.
 
-    ``demand`` (keys, ts, demand_mw) on its strict grid; ``actual`` and ``forecast`` (keys, ts, variables) hourly.
+    ``demand`` (keys, ts, demand_mw) lies on its strict grid and decides the rows. ``actual`` and ``forecast`` (keys, ts, variables) are hourly.
+    Demand is filled, screened and filled again. Actual weather is interpolated, with its nearest value at the ends. Forecasts bridge eight hours
+    and are interpolated, but not before their first value; what stays missing falls back to the actuals. Both are clipped to physical
+    bounds, and irradiance is zero at night. ``is_holiday`` follows the local day, for the years given (both included).
     """
-    rows = hampel_flags(seasonal_fill(demand, keys, "demand_mw", "filled"), keys, "filled")
-    rows = rows.withColumn("screened", F.when(~F.col("is_outlier"), F.col("filled")))
-    rows = interpolate(rows, keys, "screened", "clean").withColumn("demand_imputed", F.col("filled_imputed") | F.col("is_outlier"))
-    panel = rows.select(*keys, ts, F.col("clean").alias("demand_mw"), "demand_imputed")
-    for frame, suffix, limit, edge in ((actual, "", None, "both"), (forecast, "_fc", 8, "forward")):
-        named = frame.select(*keys, ts, *[F.col(v).alias(f"{v}{suffix}") for v in variables])
-        panel = panel.join(named, [*keys, ts], "left")
-        for v in variables:
-            name = f"{v}{suffix}"
-            if limit is not None:
-                panel = interpolate(panel, keys, name, name, edge="forward", limit=2 * limit)
-            panel = interpolate(panel, keys, name, name, edge=edge)
-    return panel.withColumns({f"{v}_fc": F.coalesce(f"{v}_fc", v) for v in variables})
+    filled = seasonal_fill(demand, keys, "demand_mw", "__filled", ts=ts)
+    screened = hampel_flags(filled, keys, "__filled", ts=ts).withColumn("__screened", F.when(~F.col("is_outlier"), F.col("__filled")))
+    rows = interpolate(screened, keys, "__screened", "__clean", ts=ts)
+    rows = rows.select(*keys, ts, F.col("__clean").alias("demand_mw"), F.col("demand_mw").isNull().alias("demand_missing"), F.col("is_outlier").alias("demand_outlier"), (F.col("__filled_imputed") | F.col("is_outlier")).alias("demand_imputed"), F.lit(True).alias("__grid"))
+    issued = [f"{v}_fc" for v in variables]
+    held = forecast.select(*keys, ts, *[F.col(v).alias(f"{v}_fc") for v in variables], *[F.col(v).isNull().alias(f"{v}_fc_gap") for v in variables])
+    held = interpolate_all(held, keys, dict.fromkeys(issued, "forward"), limit=8, ts=ts)
+    both = rows.join(actual.select(*keys, ts, *variables), [*keys, ts], "full").join(held, [*keys, ts], "full")
+    both = interpolate_all(both, keys, dict.fromkeys(variables, "both") | dict.fromkeys(issued, "forward"), ts=ts)
+    gaps = {f"{v}_fc_gaps": F.count_if(f"{v}_fc_gap").over(Window.partitionBy(*keys)) for v in variables}
+    panel = both.withColumns(gaps).filter("__grid").drop("__grid", *[f"{v}_fc_gap" for v in variables])
+    panel = panel.withColumns({f"{v}_fallback": F.col(f"{v}_fc").isNull() for v in variables}).withColumns({f"{v}_fc": F.coalesce(f"{v}_fc", v) for v in variables})
+    panel = make_physical(panel, solar_elevation(ts, latitude, longitude), [*variables, *issued])
+    return holiday_flag(panel, zone, *years, ts=ts)
+
+
+def panel_report(panel: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
+    """Repairs of :func:`build_panel` as rows (keys, column, repair, n); ``unfilled`` demand means gaps too long to fill."""
+    counts = [("demand_mw", "missing", F.count_if("demand_missing")), ("demand_mw", "outliers", F.count_if("demand_outlier")), ("demand_mw", "imputed", F.count_if("demand_imputed")), ("demand_mw", "unfilled", F.count_if(F.col("demand_mw").isNull()))]
+    for v in variables:
+        counts += [(f"{v}_fc", "gaps", F.max(f"{v}_fc_gaps")), (f"{v}_fc", "from actuals", F.count_if(f"{v}_fallback"))]
+    row = panel.groupBy(*keys).agg(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(r).alias("repair"), n.cast("long").alias("n")) for c, r, n in counts]).alias("r"))
+    return row.select(*keys, F.explode("r").alias("r")).select(*keys, "r.*")
+
+
+def require_filled(panel: DataFrame, ts: str = "ts") -> None:
+    """An error if demand has gaps that no rule could fill."""
+    r = panel.filter(F.col("demand_mw").isNull()).agg(F.count("*").alias("n"), F.min(ts).alias("at")).first()
+    if r["n"]:
+        raise ValueError(f"demand has gaps too long to fill: {r['n']} rows from {r['at']}")
 
 
 def cleansing_report(demand: DataFrame, keys: list[str], raw: str, flagged: str, imputed: str) -> DataFrame:

@@ -131,13 +131,26 @@ def gaussian_kl(m0: np.ndarray, c0: np.ndarray, m1: np.ndarray, c1: np.ndarray,
 
 
 def moments(draws: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and sample covariance of an array column: one pass, one row for each pair of dimensions."""
-    rows = draws.select(F.posexplode(vector).alias("i", "x"), F.col(vector).alias("v")).select("i", "x", F.posexplode("v").alias("j", "y"))
-    table = rows.groupBy("i", "j").agg(F.covar_samp(F.col("x").cast("double"), F.col("y").cast("double")).alias("c"), F.avg(F.col("x").cast("double")).alias("m")).collect()
-    n = 1 + max(r["i"] for r in table)
-    mean, cov = np.zeros(n), np.zeros((n, n))
-    for r in table:
-        mean[r["i"]], cov[r["i"], r["j"]] = r["m"], r["c"]
+    """Mean and sample covariance of an array column, in two passes: a mean for each dimension, then products of centred vectors.
+
+    Each task adds up its own products, so a row for each task and pair of dimensions is shuffled, whatever the number of draws.
+    """
+    rows = draws.select(F.col(vector).cast("array<double>").alias("v"))
+    means = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.count("*").alias("n")).orderBy("i").collect()
+    mean, count = np.array([r["m"] for r in means]), means[0]["n"]
+
+    def run(batches):
+        total = np.zeros((len(mean), len(mean)))
+        for pdf in batches:
+            if len(pdf):
+                d = np.stack(pdf["v"].to_numpy()).astype(float) - mean
+                total += d.T @ d
+        i, j = np.indices(total.shape)
+        yield pd.DataFrame({"i": i.ravel().astype("int32"), "j": j.ravel().astype("int32"), "s": total.ravel()})
+
+    cov = np.zeros((len(mean), len(mean)))
+    for r in rows.mapInPandas(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+        cov[r["i"], r["j"]] = r["s"] / (count - 1)
     return mean, cov
 
 
@@ -146,7 +159,7 @@ def joint_kl(p: DataFrame, q: DataFrame, vector: str) -> float:
 
 
 def knn_kl(p: np.ndarray, q: np.ndarray, k: int = 5, chunk: int = 512) -> float:
-    """The k-nearest-neighbour estimate of Wang, Kulkarni and Verdu."""
+    """The k-nearest-neighbour estimate of Wang, Kulkarni and Verdu. Repeated draws have distance zero, which counts as the smallest double."""
     if len(p) <= k or len(q) < k:
         raise ValueError("too few draws")
 
@@ -155,6 +168,7 @@ def knn_kl(p: np.ndarray, q: np.ndarray, k: int = 5, chunk: int = 512) -> float:
         return np.concatenate(out)
 
     own, other = distance(p, p, k), distance(p, q, k - 1)
+    own, other = np.maximum(own, np.finfo(float).tiny), np.maximum(other, np.finfo(float).tiny)
     return float(p.shape[1] * np.mean(np.log(other / own)) + math.log(len(q) / (len(p) - 1)))
 
 

@@ -73,10 +73,12 @@ class ArRegression(Forecaster):
         x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in self.features])
         fitted = both.withColumn("__m", innovations.dot(x, F.col("beta"))).withColumn("__e", F.col(self.value) - F.col("__m"))
         w = order(self.keys)
-        fitted = fitted.withColumns({f"__l{k}": F.lag("__e", k).over(w) for k in (1, 2)})
-        ends = fitted.select(*self.keys, F.col("ts").alias("origin"), "__l1", "__l2", "phi", "sigma").join(origins, [*self.keys, "origin"])
-        r1, r2 = F.get("phi", F.lit(0)), F.coalesce(F.get("phi", F.lit(1)), F.lit(0.0))
-        ends = ends.withColumns({"carry": innovations.carried(r1, r2, F.col("__l1"), F.col("__l2"), self.horizon), "psi": innovations.weights(r1, r2, self.horizon)})
+        fitted = fitted.withColumns({f"__l{k}": F.lag("__e", k).over(w) for k in range(1, self.p + 1)})
+        last = F.array(*[F.col(f"__l{k}") for k in range(self.p, 0, -1)])
+        ends = fitted.select(*self.keys, F.col("ts").alias("origin"), last.alias("last"), "phi", "sigma").join(origins, [*self.keys, "origin"])
+        impulse = F.array(*[F.lit(float(k == 1)) for k in range(self.p, 0, -1)])
+        response = innovations.carried_by(F.col("phi"), impulse, self.p, self.horizon)
+        ends = ends.withColumns({"carry": innovations.carried_by(F.col("phi"), F.col("last"), self.p, self.horizon), "psi": F.concat(F.array(F.lit(1.0)), response)})
         rows = steps.join(fitted.select(*self.keys, "ts", "__m"), [*self.keys, "ts"]).join(ends, [*self.keys, "origin"])
         spread = F.sqrt(F.aggregate(F.slice("psi", F.lit(1), F.col("step") + 1), F.lit(0.0), lambda a, v: a + v * v))
         return rows.select(*self.keys, "origin", "step", "ts", (F.col("__m") + F.get("carry", F.col("step"))).alias("mean"), (F.col("sigma") * spread).alias("sd"))

@@ -39,6 +39,12 @@ def carried(rho1: Column, rho2: Column, last: Column, before: Column, horizon: i
     return F.slice(grown, 3, horizon)
 
 
+def carried_by(phi: Column, last: Column, order: int, horizon: int) -> Column:
+    """Values ahead of an autoregression of any order as an array; ``last``: the most recent ``order`` values, oldest first."""
+    grown = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), last, lambda a, _: F.concat(a, F.array(dot(phi, F.reverse(F.slice(a, -order, order))))))
+    return F.slice(grown, order + 1, horizon)
+
+
 def origin_residuals(draws: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, origin, draw, e1, e2): residuals one and two steps before each origin.
 
@@ -95,10 +101,15 @@ def horizon_paths(draws: DataFrame, residuals: DataFrame, design: DataFrame, key
 
 
 class Target:
-    """Log density and gradient over (logit phi1, logit of (phi2+1)/2, beta, gamma0, gamma): phi1 ~ Beta(8, 2), phi2 ~ U(-1, 1), normal rest."""
+    """Log density and gradient over (logit phi1, logit of (phi2+1)/2, beta, gamma0, gamma): phi1 ~ Beta(8, 2), phi2 ~ U(-1, 1), normal rest.
+
+    Rows are on a strict grid. A row with a missing value takes no part, nor do the innovations of the two rows after it, so that no lag spans a gap.
+    """
 
     def __init__(self, y: np.ndarray, x: np.ndarray, z: np.ndarray, prior: float = 2.0):
-        self.y, self.x, self.z, self.prior = y, x, z, prior
+        seen = np.isfinite(y) & np.isfinite(x).all(axis=1) & np.isfinite(z).all(axis=1)
+        self.y, self.x, self.z, self.prior = np.where(seen, y, 0.0), np.where(seen[:, None], x, 0.0), np.where(seen[:, None], z, 0.0), prior
+        self.whole, self.start = (seen[2:] & seen[1:-1] & seen[:-2]).astype(float), seen[:2].astype(float)
         self.size = 3 + x.shape[1] + z.shape[1]
 
     def split(self, t: np.ndarray):
@@ -113,16 +124,16 @@ class Target:
         u = e[2:] - r1 * e[1:-1] - r2 * e[:-2]
         raw = g0 + self.z[2:] @ gamma
         ls = np.clip(raw, *LOG_SIGMA)
-        inv = np.exp(-2 * ls)
+        inv = np.exp(-2 * ls) * self.whole
         w = u * inv
         free = (raw > LOG_SIGMA[0]) & (raw < LOG_SIGMA[1])
-        value = -0.5 * (u * w).sum() - ls.sum() - 0.5 * (e[:2] ** 2).sum()
-        dls = (u * w - 1) * free
+        value = -0.5 * (u * w).sum() - (ls * self.whole).sum() - 0.5 * (self.start * e[:2] ** 2).sum()
+        dls = (u * w - self.whole) * free
         de = np.zeros(len(e))
         de[2:] -= w
         de[1:-1] += r1 * w
         de[:-2] += r2 * w
-        de[:2] -= e[:2]
+        de[:2] -= self.start * e[:2]
         d1, d2 = (w * e[1:-1]).sum(), (w * e[:-2]).sum()
         dphi1, dphi2 = d1 * (1 - phi2), d2 - d1 * phi1
         # priors and the Jacobians of both transforms
@@ -138,7 +149,7 @@ def fit(rows: DataFrame, keys: list[str], y: str, x: list[str], z: list[str], dr
     """Rows (keys, chain, draw, phi1, phi2, gamma0, beta, gamma): of a full-rank normal approximation, or of NUTS chains started and scaled by it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts).dropna()
+        pdf = pdf.sort_values(ts)
         target = Target(pdf[y].to_numpy(float), pdf[x].to_numpy(float), pdf[z].to_numpy(float))
         m, low, _ = advi(target, target.size, steps=steps, seed=seed)
         rng = np.random.default_rng(seed)
@@ -156,7 +167,7 @@ def fit(rows: DataFrame, keys: list[str], y: str, x: list[str], z: list[str], dr
         return pd.DataFrame(out, columns=[*keys, "chain", "draw", "phi1", "phi2", "gamma0", "beta", "gamma"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    return rows.select(*keys, ts, y, *x, *z).groupBy(*keys).applyInPandas(run, f"{schema}, chain int, draw int, phi1 double, phi2 double, gamma0 double, beta array<double>, gamma array<double>")
+    return rows.select(*dict.fromkeys([*keys, ts, y, *x, *z])).groupBy(*keys).applyInPandas(run, f"{schema}, chain int, draw int, phi1 double, phi2 double, gamma0 double, beta array<double>, gamma array<double>")
 
 
 def long_draws(draws: DataFrame, keys: list[str]) -> DataFrame:
