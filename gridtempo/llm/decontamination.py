@@ -7,7 +7,8 @@ items (5 tokens at least) are found alike by masks of five positions. Of items o
 item; as they are common words rather than evidence, :func:`overlaps` reports them and :func:`decontaminate` goes by items of ``least`` tokens or more.
 
 The masked hashes of all benchmark positions make a table; their bits make a filter, which every training position passes before it leaves its
-task. It has 16 bits or more for each hash, up to ``MOST_BITS`` (128 MB, 67 million hashes); a table beyond that only lets more positions through to the join.
+task. It has 16 bits or more for each hash, eight of them set, so that at most some 6 of 10,000 other positions pass, up to ``MOST_BITS`` (128 MB, 67 million hashes);
+a table beyond that only lets more positions through to the join.
 Positions that pass are joined with the table, and the tokens around each (document, item, diagonal) hit are compared with the item's.
 
 Defined results: null and empty texts and items have no tokens and no hit; ids may be of any type that casts to long; repeated items and rows are reported once for each id and
@@ -30,7 +31,7 @@ SHORT_MASKS = ("01111", "10111", "11011", "11101", "11110")
 WINDOW, AGREE, SHORT = 15, 0.8, 5
 SPAN = 7
 MARGIN = WINDOW
-LEAST_BITS, MOST_BITS = 20, 30
+LEAST_BITS, MOST_BITS, BITS_EACH, PROBES = 20, 30, 16, 8
 SEGMENT = 2048
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
@@ -46,22 +47,26 @@ def masked_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
-def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(64 - bits)).astype(np.int64), ((h >> np.uint64(4)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+def _probe(h: np.ndarray, bits: int, i: int) -> np.ndarray:
+    """The i-th bit of each hash: steps of an odd width from its first bits, both read off the hash."""
+    step = (h >> np.uint64(4)) | np.uint64(1)
+    return (((h >> np.uint64(64 - bits)) + np.uint64(i) * step) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 class Filter:
-    """A bitmap with two bits for each hash; tells which hashes may be in the table."""
+    """A bitmap with ``PROBES`` bits for each hash; tells which hashes may be in the table."""
 
     def __init__(self, words: np.ndarray, bits: int):
         self.bytes, self.bits = words.view(np.uint8), bits
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         """Positions of the hashes that may be."""
-        a, b = _probes(hashes, self.bits)
-        at = np.flatnonzero(self.bytes[a >> 3] >> (a & 7).astype(np.uint8) & 1)
-        b = b[at]
-        return at[(self.bytes[b >> 3] >> (b & 7).astype(np.uint8) & 1) > 0]
+        at = slice(None)
+        for i in range(PROBES):
+            p = _probe(hashes[at], self.bits, i)
+            found = np.flatnonzero(self.bytes[p >> 3] >> (p & 7).astype(np.uint8) & 1)
+            at = found if i == 0 else at[found]
+        return at
 
 
 def _fits(words: Words, span: int) -> np.ndarray:
@@ -102,11 +107,11 @@ def seeds(table: DataFrame) -> DataFrame:
 
 
 def hash_filter(table: DataFrame) -> Filter:
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * table.count()).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * table.count()).bit_length()))
 
     def run(batches):
         for batch in batches:
-            at = np.unique(np.concatenate(_probes(batch.column(0).to_numpy().view(np.uint64), bits)))
+            at = np.unique(np.concatenate([_probe(batch.column(0).to_numpy().view(np.uint64), bits, i) for i in range(PROBES)]))
             word, one = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
             head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
             if len(head):
