@@ -6,6 +6,7 @@ Fits are numerical code over one series each (``applyInPandas``), so that many s
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 
 import numpy as np
@@ -157,43 +158,88 @@ def ar_paths(model: DataFrame, keys: list[str], horizon: int, draws: int, seed:
     return model.select(*keys, "phi", "sigma").mapInPandas(run, f"{schema}, draw int, path array<double>")
 
 
-RATE = 0.1
+# Settings of the boosted heads, and the levels of the quantile ones.
+TREES, RATE, LEAVES, LEAST, SHARE, PATIENCE = 2000, 0.04, 63, 40, 0.9, 50
+LEVELS = (0.025, 0.05, 0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 0.95, 0.975)
 
 
-def boosted_quantiles(x: np.ndarray, y: np.ndarray, level: float | None, trees: int = 60, rate: float = RATE, depth: int = 3, bins: int = 32, least: int = 20) -> tuple[float, list]:
-    """Histogram gradient boosting for the pinball loss (squared loss if ``level`` is None): base value and trees of (feature, cut, ...)."""
+def head_loss(y: np.ndarray, f: np.ndarray, level: float | None) -> float:
+    """Mean pinball loss, or squared loss without a level."""
+    r = y - f
+    return float(np.mean(r * r) if level is None else np.mean(np.maximum(level * r, (level - 1) * r)))
+
+
+def _best_split(coded: np.ndarray, sizes: list[int], at: np.ndarray, g: np.ndarray, columns: np.ndarray, least: int) -> tuple[float, tuple[int, int] | None]:
+    """The (column, bin) that gains most in squared gradients, with at least ``least`` rows on either side."""
+    best, split = 1e-12, None
+    total, size = g[at].sum(), len(at)
+    for j in columns if size >= 2 * least else ():
+        n = np.bincount(coded[at, j], minlength=sizes[j] + 1).cumsum()[:-1]
+        s = np.bincount(coded[at, j], weights=g[at], minlength=sizes[j] + 1).cumsum()[:-1]
+        ok = (n >= least) & (size - n >= least)
+        gain = np.where(ok, s**2 / np.maximum(n, 1) + (total - s) ** 2 / np.maximum(size - n, 1) - total**2 / size, -np.inf)
+        if len(gain) and gain.max() > best:
+            best, split = float(gain.max()), (int(j), int(gain.argmax()))
+    return best, split
+
+
+def boosted_quantiles(x: np.ndarray, y: np.ndarray, level: float | None, trees: int = TREES, rate: float = RATE, leaves: int = LEAVES, bins: int = 32, least: int = LEAST, share: float = SHARE, patience: int = PATIENCE, held: tuple[np.ndarray, np.ndarray] | None = None, seed: int = 0) -> tuple[float, list]:
+    """Histogram gradient boosting for the pinball loss (squared loss if ``level`` is None): base value and trees of (feature, cut, ...).
+
+    Trees grow best leaf first, each on a ``share`` of rows and of columns drawn anew. With ``held`` rows, boosting ends once their loss hasn't
+    improved for ``patience`` trees, and the trees after the best are left out; without, all ``trees`` are grown.
+    """
+    rng = np.random.default_rng(seed)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
-    coded = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1)
+    coded, sizes = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1), [len(c) for c in cuts]
     base = float(np.mean(y) if level is None else np.quantile(y, level))
     f, forest = np.full(len(y), base), []
-
-    def leaf(at: np.ndarray) -> float:
-        r = y[at] - f[at]
-        return float(np.mean(r) if level is None else np.quantile(r, level))
-
-    def grow(at: np.ndarray, g: np.ndarray, left: int):
-        best, split = 1e-12, None
-        if left and len(at) >= 2 * least:
-            for j in range(x.shape[1]):
-                n = np.bincount(coded[at, j], minlength=len(cuts[j]) + 1).cumsum()[:-1]
-                s = np.bincount(coded[at, j], weights=g[at], minlength=len(cuts[j]) + 1).cumsum()[:-1]
-                total, size = g[at].sum(), len(at)
-                ok = (n >= least) & (size - n >= least)
-                gain = np.where(ok, s**2 / np.maximum(n, 1) + (total - s) ** 2 / np.maximum(size - n, 1) - total**2 / size, -np.inf)
-                if len(gain) and gain.max() > best:
-                    best, split = gain.max(), (j, int(gain.argmax()))
-        if split is None:
-            return leaf(at)
-        j, c = split
-        go = coded[at, j] <= c
-        return (j, float(cuts[j][c]), grow(at[go], g, left - 1), grow(at[~go], g, left - 1))
+    ahead, best, kept = None if held is None else np.full(len(held[1]), base), math.inf, 0
+
+    def grown(rows: np.ndarray, g: np.ndarray, columns: np.ndarray):
+        nodes: list[list] = [[rows, None]]
+        queue: list[tuple] = []
+
+        def offer(k: int) -> None:
+            gain, split = _best_split(coded, sizes, nodes[k][0], g, columns, least)
+            if split is not None:
+                heapq.heappush(queue, (-gain, k, split))
+
+        offer(0)
+        for _ in range(leaves - 1):
+            if not queue:
+                break
+            _, k, (j, c) = heapq.heappop(queue)
+            at = nodes[k][0]
+            go = coded[at, j] <= c
+            nodes[k][1] = (j, float(cuts[j][c]), len(nodes), len(nodes) + 1)
+            nodes.extend([[at[go], None], [at[~go], None]])
+            offer(len(nodes) - 2)
+            offer(len(nodes) - 1)
+
+        def tree(k: int):
+            at, split = nodes[k]
+            if split is None:
+                r = y[at] - f[at]
+                return float(np.mean(r) if level is None else np.quantile(r, level))
+            return split[0], split[1], tree(split[2]), tree(split[3])
+
+        return tree(0)
 
     for _ in range(trees):
         g = (y - f) if level is None else np.where(y > f, level, level - 1.0)
-        tree = grow(np.arange(len(y)), g, depth)
-        forest.append(tree)
-        f = f + rate * tree_values(tree, x)
-    return base, forest
+        rows = np.sort(rng.choice(len(y), max(1, round(share * len(y))), replace=False))
+        columns = np.sort(rng.choice(x.shape[1], max(1, round(share * x.shape[1])), replace=False))
+        forest.append(grown(rows, g, columns))
+        f = f + rate * tree_values(forest[-1], x)
+        if held is not None:
+            ahead = ahead + rate * tree_values(forest[-1], held[0])
+            loss = head_loss(held[1], ahead, level)
+            if loss < best:
+                best, kept = loss, len(forest)
+            elif len(forest) - kept >= patience:
+                break
+    return base, forest if held is None else forest[:kept]
 
 
 def tree_values(tree, x: np.ndarray) -> np.ndarray:
@@ -206,13 +252,20 @@ def tree_values(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def quantile_boost(rows: DataFrame, keys: list[str], y: str, features: list[str], levels: list[float], train: str, **how) -> DataFrame:
-    """Rows (keys, features..., y, level, value) for the rows not trained on; each (series, level) head is a task. Heads that cross are sorted."""
-    heads = rows.withColumn("level", F.explode(F.array(*[F.lit(q) for q in levels])))
+def quantile_boost(rows: DataFrame, keys: list[str], y: str, features: list[str], levels: list[float], train: str, held: str | None = None, mean: bool = False, **how) -> DataFrame:
+    """Rows (keys, row, y, level, value) for the rows neither trained on nor held for early stopping; with ``mean`` also a squared-loss head's ``mean``.
+
+    Each (series, head) is a task. Heads that cross are sorted.
+    """
+    levels_ = [F.lit(q).cast("double") for q in levels] + ([F.lit(None).cast("double")] if mean else [])
+    heads = rows.withColumn("level", F.explode(F.array(*levels_)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit, rest = pdf[pdf[train]], pdf[~pdf[train]].copy()
-        base, forest = boosted_quantiles(fit[features].to_numpy(dtype=float), fit[y].to_numpy(dtype=float), float(pdf["level"].iloc[0]), **how)
+        level = pdf["level"].iloc[0]
+        kept = pdf[held].astype(bool) if held else pd.Series(False, index=pdf.index)
+        fit, stop, rest = pdf[pdf[train] & ~kept], pdf[kept], pdf[~pdf[train] & ~kept].copy()
+        numbers = lambda d: (d[features].to_numpy(dtype=float), d[y].to_numpy(dtype=float))
+        base, forest = boosted_quantiles(*numbers(fit), None if pd.isna(level) else float(level), held=numbers(stop) if len(stop) else None, **how)
         x = rest[features].to_numpy(dtype=float)
         rest["value"] = base + how.get("rate", RATE) * sum((tree_values(t, x) for t in forest), np.zeros(len(x)))
         return rest[[*keys, "row", y, "level", "value"]]
@@ -220,8 +273,32 @@ def quantile_boost(rows: DataFrame, keys: list[str], y: str, features: list[str]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in [*keys])
     kind = rows.schema[y].dataType.simpleString()
     out = heads.groupBy(*keys, "level").applyInPandas(run, f"{schema}, row long, {y} {kind}, level double, value double")
-    sets = out.groupBy(*keys, "row", y).agg(F.array_sort(F.collect_list("level")).alias("ls"), F.array_sort(F.collect_list("value")).alias("vs"))
-    return sets.select(*keys, "row", y, F.explode(F.arrays_zip("ls", "vs")).alias("q")).select(*keys, "row", y, F.col("q.ls").alias("level"), F.col("q.vs").alias("value"))
+    known = F.col("level").isNotNull()
+    sets = out.groupBy(*keys, "row", y).agg(F.array_sort(F.collect_list("level")).alias("ls"), F.array_sort(F.collect_list(F.when(known, F.col("value")))).alias("vs"), F.max(F.when(~known, F.col("value"))).alias("mean"))
+    return sets.select(*keys, "row", y, F.explode(F.arrays_zip("ls", "vs")).alias("q"), "mean").select(*keys, "row", y, F.col("q.ls").alias("level"), F.col("q.vs").alias("value"), *(["mean"] if mean else []))
+
+
+def log_density_at_means(found: DataFrame, rows: DataFrame, keys: list[str], y: str, features: list[str]) -> DataFrame:
+    """Rows (keys, chain, log_density): a regression's joint log density at the means of each chain's draws (keys, chain, draw, site, value).
+
+    Chains that agree on a mode have like values. ``rows`` are those that were fitted on.
+    """
+    sites = [*[f"beta_{k}" for k in range(len(features) + 1)], "log_sigma"]
+    means = found.groupBy(*keys, "chain", "site").agg(F.avg("value").alias("m"))
+    means = means.groupBy(*keys, "chain").agg(F.map_from_entries(F.collect_list(F.struct("site", "m"))).alias("at"))
+    points = means.groupBy(*keys).agg(F.collect_list(F.struct("chain", F.array(*[F.col("at")[s] for s in sites]).alias("t"))).alias("points"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=[*keys, "chain", "log_density"])
+        target = regression_target(left, y, features)
+        out = pd.DataFrame([(p["chain"], target(np.asarray(p["t"], dtype=float))[0]) for p in right["points"].iloc[0]], columns=["chain", "log_density"])
+        for k in reversed(keys):
+            out.insert(0, k, left[k].iloc[0])
+        return out
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    return rows.select(*keys, y, *features).groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(run, f"{schema}, chain int, log_density double")
 
 
 class LinearGaussian:
@@ -343,14 +420,18 @@ def _straight(a, b) -> bool:
     return d @ a[1] >= 0 and d @ b[1] >= 0
 
 
+def regression_target(pdf: pd.DataFrame, y: str, features: list[str]) -> LinearGaussian:
+    """Of the standardised values, with a constant first."""
+    v = pdf[y].to_numpy(dtype=float)
+    return LinearGaussian(np.column_stack([np.ones(len(pdf)), pdf[features].to_numpy(dtype=float)]), (v - v.mean()) / (v.std() or 1.0))
+
+
 def bayes_regression(rows: DataFrame, keys: list[str], y: str, features: list[str], chains: int = 4, draws: int = 200, warmup: int = 200, seed: int = 1) -> DataFrame:
     """Rows (keys, chain, draw, site, value): a VI fit of each series starts and scales its NUTS chains, one task for each chain."""
     each = rows.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(pdf)), pdf[features].to_numpy(dtype=float)])
-        v = pdf[y].to_numpy(dtype=float)
-        target = LinearGaussian(x, (v - v.mean()) / (v.std() or 1.0))
+        target = regression_target(pdf, y, features)
         m, low, _ = advi(target, target.size, seed=seed)
         chain = int(pdf["chain"].iloc[0])
         start = m + low @ np.random.default_rng([seed, chain]).standard_normal(target.size)

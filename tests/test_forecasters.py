@@ -73,7 +73,7 @@ def test_variants_replace_cells_only_where_given(panel, origins):
 def test_perturbed_cells_and_rolls(spark, panel, origins):
     error = spark.createDataFrame([("a", s, 0.5, 1.0) for s in range(48)], "k string, step int, rho double, sigma double")
     none = forecasters.perturbed(error, origins, panel, ["k"], "x", 0.0, 1)
-    assert none.join(panel.withColumnRenamed("x", "was"), ["k", "ts"]).filter("x <> was").count() == 0
+    assert none.join(panel.withColumnRenamed("x", "was").drop("y"), ["k", "ts"]).filter("x <> was").count() == 0
     some = forecasters.perturbed(error, origins, panel, ["k"], "x", 1.0, 1, nonnegative=True)
     assert some.count() == 18 * 48 and some.filter("x < 0").count() == 0
     naive = forecasters.SeasonalNaive(["k"], "y").fit(panel)
@@ -81,6 +81,57 @@ def test_perturbed_cells_and_rolls(spark, panel, origins):
     assert out.count() == 96 and out.select("ts").distinct().count() == 96
 
 
+def by_hand(origin, seed, variable, multiplier, rho, schedule, series=()):
+    """One path of errors by the recursion, from an origin in market time ten hours ahead of UTC."""
+    ns = int(pd.Timestamp(origin).value)
+    z = np.random.default_rng([seed, ns % 2**31, variable, round(multiplier * 10), *series]).standard_normal(48)
+    local = pd.date_range(origin, periods=48, freq="30min") + pd.Timedelta(hours=10)
+    s = np.asarray(schedule)[local.hour * 2 + local.minute // 30] * multiplier
+    e = [s[0] * z[0]]
+    for i in range(1, 48):
+        e.append(rho * e[-1] + s[i] * math.sqrt(1 - rho**2) * z[i])
+    return np.array(e)
+
+
+def test_errors_follow_their_seed_and_the_market_day(spark):
+    schedule = [1 + s / 10 for s in range(48)]
+    model = spark.createDataFrame([("a", s, 0.7, v) for s, v in enumerate(schedule)], "k string, step int, rho double, sigma double")
+    at = [START + dt.timedelta(hours=h) for h in (0, 12, 29)]
+    cases = spark.createDataFrame([("a", o, 7, m) for o in at for m in (0.5, 2.0)], "k string, origin timestamp_ntz, seed long, multiplier double")
+    got = forecasters.simulated_errors(model, cases, ["k"], 3, "Australia/Brisbane", shared=True).collect()
+    assert len(got) == 6
+    for r in got:
+        assert r.errors == pytest.approx(by_hand(r.origin, 7, 3, r.multiplier, 0.7, schedule))
+    own = forecasters.simulated_errors(model, cases, ["k"], 3, "Australia/Brisbane").collect()
+    assert own[0].errors != got[0].errors
+
+
+def test_overlapping_horizons_keep_their_own_weather(spark, panel):
+    ar = forecasters.ArRegression(["k"], "y", ["x"]).fit(panel)
+    at = spark.createDataFrame([("a", START + dt.timedelta(days=20, hours=h)) for h in (0, 12)], "k string, origin timestamp_ntz")
+    error = spark.createDataFrame([("a", s, 0.5, 1.0) for s in range(48)], "k string, step int, rho double, sigma double")
+    cells = forecasters.perturbed(error, at, panel, ["k"], "x", 1.0, 1)
+    out = forecasters.run_variants(ar, panel, at, {"actual": None, "perturb_1": cells}, ["x"])
+    wide = out.groupBy("k", "origin", "ts").pivot("variant", ["actual", "perturb_1"]).agg(F.first("mean"))
+    both = wide.join(cells.withColumnRenamed("x", "moved"), ["k", "origin", "ts"]).join(panel, ["k", "ts"])
+    beta = ar.fitted.first().beta[1]
+    r = both.agg(F.count("*"), F.max(F.abs(F.col("perturb_1") - F.col("actual") - beta * (F.col("moved") - F.col("x"))))).first()
+    assert r[0] == 96 and r[1] < 1e-9
+    derived = forecasters.ArRegression(["k"], "y", ["x2"], derive=lambda rows: rows.withColumn("x2", F.col("x") * 2)).fit(panel.withColumn("x2", F.col("x") * 2))
+    same = derived.forecast(panel.withColumn("x2", F.col("x") * 2), at, cells).join(out.filter("variant = 'perturb_1'").withColumnRenamed("mean", "m"), ["k", "origin", "ts"])
+    assert same.agg(F.max(F.abs(F.col("mean") - F.col("m")))).first()[0] < 1e-6
+
+
+def test_vintages_narrow_towards_the_target(spark, panel):
+    ar = forecasters.ArRegression(["k"], "y", ["x"]).fit(panel)
+    error = spark.createDataFrame([("a", s, 0.9, 2.0) for s in range(48)], "k string, step int, rho double, sigma double")
+    target = spark.createDataFrame([("a", START + dt.timedelta(days=25, hours=8))], "k string, target timestamp_ntz")
+    rows = forecasters.issue_vintages(ar, error, panel, target, "x", draws=205)
+    at = rows.groupBy("lead").agg(F.count("*").alias("n"), F.countDistinct("draw").alias("d"), F.stddev(F.get("path", F.col("lead") * 2 - 1)).alias("sd")).orderBy("lead").collect()
+    assert [r.lead for r in at] == [3, 6, 12, 18, 24] and all(r.n == r.d == 205 for r in at)
+    assert at[0].sd < 0.5 * at[-1].sd
+
+
 def test_prior_draws_have_their_spread(panel):
     r = forecasters.prior_predictive(panel.limit(48), ["k"], ["x"], 200, 3).agg(F.avg("y"), F.stddev("y"), F.count("*")).first()
     assert abs(r[0]) < 0.15 and 1.0 < r[1] < 1.5 and r[2] == 9600

@@ -40,5 +40,35 @@ def test_predictions_use_the_fitted_rate(spark):
     rows = [("a", i, i / 100, 2.0 * (i / 100), i % 2 == 0) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, row long, x double, y double, train boolean")
     for rate in (0.1, 0.5):
-        found = models.quantile_boost(df, ["k"], "y", ["x"], [0.5], "train", rate=rate, trees=60).collect()
+        found = models.quantile_boost(df, ["k"], "y", ["x"], [0.5], "train", rate=rate, trees=60, least=20).collect()
         assert len(found) == 200 and np.mean([abs(r.value - r.y) for r in found]) < 0.3
+
+
+def test_held_rows_stop_boosting_and_the_mean_has_a_head(spark):
+    rng = np.random.default_rng(0)
+    rows = [("a", i, float(x), float(3 * x + rng.exponential()), i % 3 == 0, i % 3 == 1) for i, x in enumerate(rng.uniform(0, 1, 900))]
+    df = spark.createDataFrame(rows, "k string, row long, x double, y double, train boolean, held boolean")
+    found = models.quantile_boost(df, ["k"], "y", ["x"], [0.1, 0.5], "train", "held", mean=True).collect()
+    assert {r.row % 3 for r in found} == {2} and len(found) == 600
+    low, middle = ([r for r in found if r.level == q] for q in (0.1, 0.5))
+    assert 0.03 < np.mean([r.y < r.value for r in low]) < 0.2 and 0.4 < np.mean([r.y < r.value for r in middle]) < 0.6
+    assert np.mean([r["mean"] for r in middle]) > np.mean([r.value for r in middle]) + 0.15
+
+
+def test_heads_without_held_rows_grow_all_their_trees():
+    x = np.arange(200.0)[:, None]
+    base, forest = models.boosted_quantiles(x, x[:, 0], 0.5, trees=7)
+    assert len(forest) == 7 and base == 99.5
+
+
+def test_log_density_at_the_means_is_highest_near_the_mode(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=200)
+    rows = spark.createDataFrame([("a", float(v), float(2 * v + rng.normal())) for v in x], "k string, x double, y double")
+    target = models.regression_target(rows.toPandas(), "y", ["x"])
+    points = {0: [0.0, 0.9, -0.8], 1: [0.5, -0.9, 0.5]}
+    sites = ["beta_0", "beta_1", "log_sigma"]
+    draws = [("a", c, d, s, v + (0.1 if d else -0.1)) for c, t in points.items() for d in range(2) for s, v in zip(sites, t, strict=True)]
+    found = spark.createDataFrame(draws, "k string, chain int, draw int, site string, value double")
+    got = {r.chain: r.log_density for r in models.log_density_at_means(found, rows, ["k"], "y", ["x"]).collect()}
+    assert all(abs(got[c] - target(np.array(t))[0]) < 1e-9 for c, t in points.items()) and got[0] > got[1]

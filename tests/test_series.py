@@ -221,8 +221,9 @@ def test_boosted_quantiles_beat_a_constant():
     x = rng.uniform(-2, 2, (3000, 2))
     y = np.sin(x[:, 0]) * 3 + rng.normal(size=3000)
     for level in (0.1, 0.9, None):
-        base, forest = models.boosted_quantiles(x[:2000], y[:2000], level)
-        f = base + 0.1 * sum(models.tree_values(t, x[2000:]) for t in forest)
+        base, forest = models.boosted_quantiles(x[:1500], y[:1500], level, held=(x[1500:2000], y[1500:2000]))
+        assert 10 < len(forest) < models.TREES
+        f = base + models.RATE * sum(models.tree_values(t, x[2000:]) for t in forest)
         loss = lambda p, q=level: np.mean((y[2000:] - p) ** 2) if q is None else np.mean(np.maximum(q * (y[2000:] - p), (q - 1) * (y[2000:] - p)))  # noqa: B023, E731
         assert loss(f) < 0.75 * loss(np.full(1000, base))
 
