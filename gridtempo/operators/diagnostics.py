@@ -43,6 +43,17 @@ def time_to_target(warmup: Column, sampling: Column, achieved: Column, target: f
     return F.when(achieved > 0, warmup + sampling * target / achieved).otherwise(F.lit(math.inf))
 
 
+def quality_met(r_hat: Column, divergences: Column, threshold: float = 1.01) -> Column:
+    """Whether chains agree and none diverged; unknown where R-hat is."""
+    return (r_hat < threshold) & (divergences == 0)
+
+
+def warm_start_table(runs: DataFrame, target: float = 400.0) -> DataFrame:
+    """Rows (run, advi, warmup, sampling, ess, r_hat, divergences) with the seconds to the target size, those of the fit included, and the flag."""
+    total = F.coalesce("advi", F.lit(0.0)) + time_to_target(F.col("warmup"), F.col("sampling"), F.col("ess"), target)
+    return runs.withColumns({"total": total, "quality_met": quality_met(F.col("r_hat"), F.col("divergences"))})
+
+
 def elbo_drift(trace: DataFrame, by: list[str], step: str, value: str, window: int = 20) -> DataFrame:
     """Relative change between the means of the last two windows; converged below one per cent."""
     back = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(step)))

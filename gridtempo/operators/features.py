@@ -16,6 +16,9 @@ KNOTS = (10.5, 18.5, 25.65)
 THERMAL = (48, 96)
 LAGS = (48, 336)
 DAILY, WEEKLY, INTERACTIONS, VARIANCE_DAILY = 10, 6, 2, 3
+DAILY_RBF, WEEKLY_RBF = 20, 12
+# One-off public holidays (the day of mourning of 2022).
+ONE_OFF = (dt.date(2022, 9, 22),)
 
 
 def phases(ts: str, zone: str) -> tuple[Column, Column]:
@@ -42,6 +45,16 @@ def periodic_rbf(phase: Column, centres: int, prefix: str) -> dict[str, Column]:
     return out
 
 
+def seasonal(ts: str, zone: str, basis: str = "fourier", daily: int | None = None, weekly: int | None = None) -> dict[str, Column]:
+    """The seasons of day and week in the named basis: so many harmonics (``fourier``) or centres (``rbf``) of each."""
+    day, week = phases(ts, zone)
+    if basis == "fourier":
+        return fourier(day, daily or DAILY, "day") | fourier(week, weekly or WEEKLY, "week")
+    if basis == "rbf":
+        return periodic_rbf(day, daily or DAILY_RBF, "day") | periodic_rbf(week, weekly or WEEKLY_RBF, "week")
+    raise ValueError(f"no such seasonal basis: {basis!r}")
+
+
 def above(x: Column, base: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(x - base, F.lit(0.0)))
 
@@ -73,7 +86,7 @@ def easter_sunday(year: int) -> dt.date:
 
 
 def nsw_holidays(year: int) -> set[dt.date]:
-    """Public holidays of New South Wales by the general rules, with weekend substitutes; one-off days are not included."""
+    """Public holidays of New South Wales by the general rules, with weekend substitutes, and the one-off days."""
     easter, day = easter_sunday(year), dt.timedelta(days=1)
 
     def nth_monday(month: int, n: int) -> dt.date:
@@ -88,7 +101,7 @@ def nsw_holidays(year: int) -> set[dt.date]:
             while substitute in found:
                 substitute += day
             found.add(substitute)
-    return found
+    return found | {d for d in ONE_OFF if d.year == year}
 
 
 def holiday_table(spark: SparkSession, first: int, last: int) -> DataFrame:
@@ -103,6 +116,18 @@ def holiday_flag(frame: DataFrame, zone: str, first: int, last: int, ts: str = "
     return rows.withColumn(out, F.coalesce(out, F.lit(False))).drop("day")
 
 
+def day_type(ts: str, zone: str, holiday: str = "is_holiday") -> Column:
+    """Holiday first, then weekend, else weekday, of the local day."""
+    weekend = F.weekday(to_zone(F.col(ts), "UTC", zone)) >= 5
+    return F.when(F.col(holiday), "holiday").when(weekend, "weekend").otherwise("weekday")
+
+
+def patched(design: DataFrame, overrides: DataFrame, on: list[str], columns: list[str], temp: str = "temp") -> DataFrame:
+    """A built design with other weather: the raw columns and the plain degree days follow it, all that else depends on them stays."""
+    rows = override(design, overrides, on, columns)
+    return rows.withColumns({n: c for n, c in degree_days(F.col(temp)).items() if n in design.columns})
+
+
 def weather_columns(panel: DataFrame, variables: list[str], source: str) -> DataFrame:
     """The actual or the forecast twins under the actual names."""
     suffix = "_fc" if source == "forecast" else ""
@@ -116,15 +141,14 @@ def override(frame: DataFrame, overrides: DataFrame, on: list[str], columns: lis
     return frame.join(new, on, "left").withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
-def build_design(panel: DataFrame, keys: list[str], zone: str, ts: str = "ts") -> DataFrame:
-    """The mean design of 65 columns, in order: seasons, weather, degree days, thermal memory, lags, calendar, interactions.
+def build_design(panel: DataFrame, keys: list[str], zone: str, ts: str = "ts", basis: str = "fourier") -> DataFrame:
+    """The mean design (65 columns in the Fourier basis), in order: seasons, weather, degree days, thermal memory, lags, calendar, interactions.
 
     ``panel`` has temp, dew, dni, dhi, wind, apptemp, demand_mw, is_holiday. Lags need a strict grid.
     """
-    daily, weekly = phases(ts, zone)
-    seasonal = fourier(daily, DAILY, "day") | fourier(weekly, WEEKLY, "week")
     degrees = degree_days(F.col("temp"))
-    columns: dict[str, Column] = dict(seasonal)
+    columns: dict[str, Column] = seasonal(ts, zone, basis)
+    waves = fourier(phases(ts, zone)[0], INTERACTIONS, "day")
     columns |= {v: F.col(v) for v in ("temp", "dew", "dni", "dhi", "wind")}
     columns |= degrees | degree_days(F.col("apptemp"), "_app")
     columns["wind_heating"] = F.col("wind") * degrees["heating"]
@@ -139,7 +163,7 @@ def build_design(panel: DataFrame, keys: list[str], zone: str, ts: str = "ts") -
     columns["is_weekend"] = weekend
     for name, x in (("cooling", degrees["cooling"]), ("heating", degrees["heating"]), ("weekend", weekend)):
         for k in range(1, INTERACTIONS + 1):
-            columns[f"{name}_sin{k}"], columns[f"{name}_cos{k}"] = x * seasonal[f"day_sin{k}"], x * seasonal[f"day_cos{k}"]
+            columns[f"{name}_sin{k}"], columns[f"{name}_cos{k}"] = x * waves[f"day_sin{k}"], x * waves[f"day_cos{k}"]
     return panel.select(*keys, ts, *[c.alias(n) for n, c in columns.items()])
 
 

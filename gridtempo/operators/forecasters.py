@@ -199,6 +199,15 @@ def select_model(candidates: dict[str, Forecaster], panel: DataFrame, origins: D
     return best, found
 
 
+def chosen(candidates: DataFrame, name: str, family: str, home: str, score: str = "crps", margin: float = 0.99) -> DataFrame:
+    """The candidates with a flag on the one chosen: the best, but one of another family than ``home`` must beat the best of that by the margin."""
+    w, at_home = Window.partitionBy(F.lit(0)), F.col(family) == home
+    best, at = F.min(score).over(w), F.min(F.when(at_home, F.col(score))).over(w)
+    name_of = lambda among: F.min_by(F.when(among, F.col(name)), F.when(among, F.struct(score, name))).over(w)
+    pick = F.when(at.isNotNull() & (best >= margin * at), name_of(at_home)).otherwise(name_of(F.lit(True)))
+    return candidates.withColumn("chosen", F.col(name) == pick)
+
+
 def rolled(model: Forecaster, panel: DataFrame, origins: DataFrame, days: int, rebuild, checkpoint=lambda df: df) -> DataFrame:
     """Days ahead beyond the horizon: each day's mean path fills the series for the next day's lags."""
     out, frame, now = None, panel, origins

@@ -24,6 +24,56 @@ def standardised(rows: DataFrame, keys: list[str], column: str, population: bool
     return rows.withColumn(f"{column}_z", (F.col(column) - F.avg(column).over(w)) / F.when(F.coalesce(spread, F.lit(0.0)) == 0, 1.0).otherwise(spread))
 
 
+def restored(z: Column, loc: Column, scale: Column) -> Column:
+    """A standardised value on its own scale again."""
+    return z * scale + loc
+
+
+def to_float32(frame: DataFrame) -> DataFrame:
+    """All doubles, also in arrays, in single precision."""
+    single = {"double": "float", "array<double>": "array<float>"}
+    return frame.select(*[F.col(f"`{f.name}`").cast(single.get(f.dataType.simpleString(), f.dataType)).alias(f.name) for f in frame.schema])
+
+
+def described(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Count, mean, spread, least, quartiles and greatest, exactly."""
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("lo"), q.alias("q"), F.max(value).alias("hi"))
+    return out.select(*by, "n", "mean", "sd", "lo", *[F.get("q", F.lit(k)).alias(f"q{k + 1}") for k in range(3)], "hi")
+
+
+def pivot_moments(rows: DataFrame, by: list[str], column: str, values: list[str], value: str) -> DataFrame:
+    """Mean and spread of a value, a column pair for each of the named values of another."""
+    return rows.groupBy(*by).pivot(column, values).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+
+
+def pivot_single(rows: DataFrame, by: list[Column], column: str, values: list[str], value: str) -> DataFrame:
+    """The value of each cell, which is to have one; of several, the last in order."""
+    return rows.groupBy(*by).pivot(column, values).agg(F.max(value))
+
+
+def top_days(rows: DataFrame, ts: str, value: str, hours: tuple[int, int], n: int) -> DataFrame:
+    """The n days of the highest mean within the hours, both included; ties go to the earlier day."""
+    daily = rows.filter(F.hour(ts).between(*hours)).groupBy(F.to_date(ts).alias("day")).agg(F.avg(value).alias("mean"))
+    return daily.orderBy(F.desc("mean"), "day").limit(n)
+
+
+def mean_and_median(draws: DataFrame, by: list[str], step: str, x: str, y: str) -> DataFrame:
+    """Errors of the draws' mean and of their median as point forecasts, and the gap between both."""
+    rows = draws.groupBy(*by, step).agg(F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.max(y).alias("__y"))
+    errors = {n: F.col(n) - F.col("__y") for n in ("mean", "median")}
+    return rows.groupBy(*by).agg(*[F.avg(F.abs(e)).alias(f"{n}_mae") for n, e in errors.items()], *[F.sqrt(F.avg(e * e)).alias(f"{n}_rmse") for n, e in errors.items()], F.avg(F.abs(F.col("mean") - F.col("median"))).alias("gap"))
+
+
+def covariance_ellipse(rows: DataFrame, by: list[str], x: str, y: str, spreads: float = 2.0) -> DataFrame:
+    """Centre, axes (full lengths) and angle of the first axis in degrees (above -90, at most 90) of the ellipse of so many standard deviations."""
+    m = rows.groupBy(*by).agg(F.avg(x).alias("x"), F.avg(y).alias("y"), F.var_samp(x).alias("__a"), F.var_samp(y).alias("__c"), F.covar_samp(x, y).alias("__b"))
+    a, b, c = F.col("__a"), F.col("__b"), F.col("__c")
+    half = F.sqrt((a - c) * (a - c) / 4 + b * b)
+    axes = {"width": (a + c) / 2 + half, "height": F.greatest((a + c) / 2 - half, F.lit(0.0))}
+    return m.select(*by, "x", "y", *[(2 * spreads * F.sqrt(v)).alias(n) for n, v in axes.items()], F.degrees(F.atan2(2 * b, a - c) / 2).alias("angle"))
+
+
 def cut(x: Column, edges: list[float], labels: list[str], right: bool = True) -> Column:
     """Bins closed on the right (or left); null outside."""
     out = F.lit(None).cast("string")

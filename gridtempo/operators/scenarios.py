@@ -34,6 +34,12 @@ def exceedance(paths: DataFrame, by: list[str], path: str, threshold: Column) ->
     return rows.groupBy(*by).agg(F.avg((F.col("__p") > threshold).cast("double")).alias("probability"))
 
 
+def spikes(paths: DataFrame, by: list[str], path: str, thresholds: dict[str, float]) -> DataFrame:
+    """The probability that the peak exceeds each of the named thresholds."""
+    rows = paths.withColumn("__p", peak(F.col(path)))
+    return rows.groupBy(*by).agg(*[F.avg((F.col("__p") > v).cast("double")).alias(n) for n, v in thresholds.items()])
+
+
 def spread_of_total(paths: DataFrame, by: list[str], path: str) -> DataFrame:
     """The spread of day totals, and what it would be were the steps independent."""
     totals = paths.groupBy(*by).agg(F.stddev_pop(total(F.col(path))).alias("total_sd"))

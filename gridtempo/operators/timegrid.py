@@ -45,6 +45,14 @@ def align(series: DataFrame, keys: list[str], ts: str = "ts", seconds: int = HAL
     return grid(series, keys, ts, seconds).join(series, [*keys, ts], "left")
 
 
+def index_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """How many rows the union, the intersection and the difference of two indexes have, in one pass over both."""
+    sides = a.withColumn("__a", F.lit(1)).withColumn("__b", F.lit(0)).unionByName(b.withColumn("__a", F.lit(0)).withColumn("__b", F.lit(1)))
+    rows = sides.groupBy(*a.columns).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
+    n = rows.agg(F.count("*").alias("union"), F.count_if(F.col("__a") + F.col("__b") == 2).alias("intersect"), F.count_if(F.col("__a") > F.col("__b")).alias("except"))
+    return n.select(F.explode(F.array(*[F.struct(F.lit(k).alias("op"), F.col(k).alias("n")) for k in ("union", "intersect", "except")])).alias("s")).select("s.*")
+
+
 def grid_audit(series: DataFrame, keys: list[str], ts: str = "ts", seconds: int = HALF_HOUR) -> DataFrame:
     per = series.groupBy(*keys).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("present"), F.countDistinct(ts).alias("distinct_stamps"))
     span = (F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / 1_000_000

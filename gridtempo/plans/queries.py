@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import mathx
-from ..operators import calibration, cleanse, diagnostics, features, gates, innovations, models, reports, scenarios, scores, splits, timegrid
+from ..operators import calibration, cleanse, diagnostics, features, forecasters, gates, innovations, models, reports, scenarios, scores, splits, timegrid
 
 KEYS = ["event_type"]
 SYDNEY, BRISBANE = "Australia/Sydney", "Australia/Brisbane"
@@ -389,6 +389,14 @@ def rbf_design(t):
     return half_hours(t).select("event_type", "ts", *[c.alias(n) for n, c in features.periodic_rbf(daily, 6, "day").items()])
 
 
+_BUMPS = {f"{n}_rbf{k}": f"~exp(-0.5 * pow(least(abs({p} - {k} / {m}.0), 1 - abs({p} - {k} / {m}.0)) * {m}, 2))" for n, p, m in (("day", "dp", 20), ("week", "(isodow(" + LOCAL + ") - 1 + dp) / 7", 12)) for k in range(m - 1)}
+
+
+@query(sql("FROM p", *PHASE, event_type="event_type", ts="ts", **_BUMPS))
+def seasonal_basis(t):
+    return half_hours(t).select("event_type", "ts", *[c.alias(n) for n, c in features.seasonal("ts", SYDNEY, "rbf").items()])
+
+
 @query(sql("FROM a", *SERIES, event_type="event_type", ts="ts", cooling="~CASE WHEN v IS NOT NULL THEN greatest(v - 20.5, 0) END", heating="~CASE WHEN v IS NOT NULL THEN greatest(16.5 - v, 0) END", **{f"hinge_{i}": f"~CASE WHEN v IS NOT NULL THEN greatest(v - {k}, 0) END" for i, k in enumerate(features.KNOTS)}))
 def degree_days(t):
     columns = features.degree_days(F.col("v")) | features.hinges(F.col("v"))
@@ -430,8 +438,7 @@ def holiday_flag(t):
 )
 def day_type(t):
     flagged = features.holiday_flag(t("orders").select("o_orderkey", F.col("o_orderdate").alias("ts")), SYDNEY, 1995, 2001)
-    weekend = F.weekday(timegrid.to_zone(F.col("ts"), "UTC", SYDNEY)) >= 5
-    return flagged.select("o_orderkey", F.when(F.col("is_holiday"), "holiday").when(weekend, "weekend").otherwise("weekday").alias("day_type"))
+    return flagged.select("o_orderkey", features.day_type("ts", SYDNEY).alias("day_type"))
 
 
 def panel(t) -> DataFrame:
@@ -457,7 +464,18 @@ def interactions(t):
     return design.select("ts", "is_weekend", *[f"{n}_{fn}{k}" for n in ("cooling", "heating", "weekend") for k in (1, 2) for fn in ("sin", "cos")])
 
 
-@query()
+_WAVES = {f"{n}_{fn}{k}": f"~{fn}(2 * pi() * {k} * {p})" for n, p, m in (("day", "dp", 10), ("week", "wp", 6)) for k in range(1, m + 1) for fn in ("sin", "cos")}
+_PANEL_ALL = f"pq AS (SELECT 'all' AS event_type, *, (isodow({LOCAL}) - 1 + dp) / 7 AS wp, greatest(temp - 21.5, 0) AS ca, greatest(17.5 - temp, 0) AS ha FROM pp)"
+_DESIGN = _WAVES | {
+    "temp": "~temp", "dew": "~temp - 5", "dni": "~0", "dhi": "~0", "wind": "~temp / 2", "cooling": "~cd", "heating": "~hd", "cooling_app": "~ca", "heating_app": "~ha", "wind_heating": "~temp / 2 * hd",
+    "hinge_0": "~greatest(temp - 10.5, 0)", "hinge_1": "~greatest(temp - 18.5, 0)", "hinge_2": "~greatest(temp - 25.65, 0)",
+    **{f"{n}_mean{w}": f"~avg({x}) OVER (ORDER BY ts ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in (48, 96) for n, x in (("cooling", "cd"), ("heating", "hd"))},
+    "demand_lag48": "~lag(demand_mw, 48) OVER (ORDER BY ts)", "demand_lag336": "~lag(demand_mw, 336) OVER (ORDER BY ts)", "is_holiday": "~0", "is_weekend": "~we",
+    **{f"{n}_{fn}{k}": f"~{x} * {fn}(2 * pi() * {k} * dp)" for n, x in (("cooling", "cd"), ("heating", "hd"), ("weekend", "we")) for k in (1, 2) for fn in ("sin", "cos")},
+}
+
+
+@query(sql("FROM pq", *PANEL, _PPH, _PANEL_ALL, event_type="event_type", ts="ts", **_DESIGN))
 def mean_design(t):
     return features.build_design(panel(t), KEYS, SYDNEY)
 
@@ -484,6 +502,16 @@ def weather_override(t):
     return features.override(rows, morning, ["ts"], ["temp"]).select("ts", "temp")
 
 
+_MORNING = "CASE WHEN hour(ts) < 12 THEN temp_fc ELSE temp END"
+
+
+@query(sql("FROM pp", *PANEL, _PPH, ts="ts", temp="~" + _MORNING, cooling="~greatest(" + _MORNING + " - 20.5, 0)", heating="~greatest(16.5 - " + _MORNING + ", 0)", cooling_app="~greatest(temp - 21.5, 0)", hinge_0="~greatest(temp - 10.5, 0)"))
+def weather_patch(t):
+    rows = panel(t)
+    morning = rows.filter(F.hour("ts") < 12).select("ts", F.col("temp_fc").alias("temp"))
+    return features.patched(features.build_design(rows, KEYS, SYDNEY), morning, ["ts"], ["temp"]).select("ts", "temp", "cooling", "heating", "cooling_app", "hinge_0")
+
+
 _ORIGINS = (
     f"og AS (SELECT event_type, ts FROM (SELECT *, min(ts) OVER (PARTITION BY event_type) AS f0, max(ts) OVER (PARTITION BY event_type) AS l0 FROM f) WHERE hour(ts) IN (0, 12) AND minute(ts) = 0 AND ts - INTERVAL 168 HOURS >= f0 AND ts + INTERVAL 1410 MINUTES <= l0 AND CAST(ts + INTERVAL 1410 MINUTES AS DATE) >= DATE '2024-01-20')",
 )
@@ -568,30 +596,23 @@ def cross_correlation(t):
     return models.cross_correlation(panel(t), KEYS, "demand_mw", "temp", list(range(-12, 13))).drop("event_type")
 
 
-def _band(x: Column) -> Column:
-    return F.when((x > -5) & (x <= 10), "b1").when((x > 10) & (x <= 15), "b2").when((x > 15) & (x <= 20), "b3").when((x > 20) & (x <= 25), "b4").when((x > 25) & (x <= 45), "b5")
-
-
 _BANDS = "CASE WHEN temp > -5 AND temp <= 10 THEN 'b1' WHEN temp > 10 AND temp <= 15 THEN 'b2' WHEN temp > 15 AND temp <= 20 THEN 'b3' WHEN temp > 20 AND temp <= 25 THEN 'b4' WHEN temp > 25 AND temp <= 45 THEN 'b5' END"
 
 
 @query(sql("FROM (SELECT hour(ts) // 6 AS block, demand_mw, " + _BANDS + " AS band FROM pn) GROUP BY block", *PANEL, block="CAST(block AS INTEGER)", **{f"{b}_{n}": f"~{fn}(demand_mw) FILTER (band = '{b}')" for b in ("b1", "b2", "b3", "b4", "b5") for n, fn in (("mean", "avg"), ("sd", "stddev_samp"))}))
 def pivot_bands(t):
-    rows = panel(t).select(F.floor(F.hour("ts") / 6).cast("int").alias("block"), "demand_mw", _band(F.col("temp")).alias("band"))
-    return rows.groupBy("block").pivot("band", ["b1", "b2", "b3", "b4", "b5"]).agg(F.avg("demand_mw").alias("mean"), F.stddev_samp("demand_mw").alias("sd"))
+    rows = panel(t).select(F.floor(F.hour("ts") / 6).cast("int").alias("block"), "demand_mw", reports.cut(F.col("temp"), [-5, 10, 15, 20, 25, 45], ["b1", "b2", "b3", "b4", "b5"]).alias("band"))
+    return reports.pivot_moments(rows, ["block"], "band", ["b1", "b2", "b3", "b4", "b5"], "demand_mw")
 
 
 @query("SELECT day, round(mean + 1.7e-9, 6) + 0.0 AS mean FROM (SELECT CAST(ts AS DATE) AS day, avg(value) AS mean FROM events WHERE hour(ts) BETWEEN 10 AND 14 GROUP BY 1) ORDER BY mean DESC, day LIMIT 5")
 def topk_days(t):
-    daily = t("events").filter(F.hour("ts").between(10, 14)).groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("mean"))
-    return daily.orderBy(F.desc("mean"), "day").limit(5)
+    return reports.top_days(t("events"), "ts", "value", (10, 14), 5)
 
 
 @query(sql("FROM events GROUP BY event_type", event_type="event_type", n="count(value)", mean="~avg(value)", sd="~stddev_samp(value)", lo="~min(value)", q1="~quantile_cont(value, 0.25)", q2="~quantile_cont(value, 0.5)", q3="~quantile_cont(value, 0.75)", hi="~max(value)"))
 def describe(t):
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = t("events").groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("lo"), q.alias("q"), F.max("value").alias("hi"))
-    return rows.select("event_type", "n", "mean", "sd", "lo", *[F.get("q", F.lit(k)).alias(f"q{k + 1}") for k in range(3)], "hi")
+    return reports.described(t("events"), KEYS, "value")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -622,6 +643,12 @@ def skill_by_step(t):
     return forecasts(t).withColumn("c", mathx.col(scores.crps_gaussian("y", "mean", "sd"))).groupBy("event_type", "step").agg(F.avg("c").alias("crps"))
 
 
+@query(sql("FROM (SELECT event_type, step // 12 + 1 AS band, avg(" + _crps("y", "mean", "sd") + ") AS c FROM sc GROUP BY ALL)", *_SCORED, event_type="event_type", band="CAST(band AS INTEGER)", crps="~c", share="~c / sum(c) OVER (PARTITION BY event_type)"))
+def lead_bands(t):
+    rows = forecasts(t).withColumn("crps", mathx.col(scores.crps_gaussian("y", "mean", "sd")))
+    return forecasters.lead_bands(rows, KEYS)
+
+
 @query(sql("FROM sc", *_SCORED, event_type="event_type", ts="ts", crps="~" + _crps("y", "mean", "sd"), log_score="~" + _minus_log("y", "mean", "sd"), pit="~" + _below(_standard("y", "mean", "sd"))))
 def gaussian_scores(t):
     x = {"crps": scores.crps_gaussian, "log_score": scores.log_score_gaussian, "pit": calibration.pit_gaussian}
@@ -848,6 +875,11 @@ def vintages(t):
     return scenarios.vintages(paths(t).withColumn("lead", F.col("vec_id") % 5), ["label"], "lead", "path")
 
 
+@query(sql("FROM (SELECT label, vec_id % 5 AS lead, list_max(p) AS pk FROM e) GROUP BY label, lead", _PATH, label="label", lead="lead", p_28="~avg(CASE WHEN pk > 0.28 THEN 1.0 ELSE 0.0 END)", p_35="~avg(CASE WHEN pk > 0.35 THEN 1.0 ELSE 0.0 END)"))
+def spikes_by_lead(t):
+    return scenarios.spikes(paths(t).withColumn("lead", F.col("vec_id") % 5), ["label", "lead"], "path", {"p_28": 0.28, "p_35": 0.35})
+
+
 @query(sql("FROM (SELECT label, step, avg(x) AS mean, var_pop(x) AS v FROM d GROUP BY ALL) GROUP BY label", DRAWS, label="label", parameter="~var_pop(mean)", innovation="~avg(v)", parameter_share="~var_pop(mean) / (var_pop(mean) + avg(v))"))
 def variance_split(t):
     rows = draws(t).groupBy("label", "step").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("v"))
@@ -951,8 +983,11 @@ def ar2_paths(t):
 
 @query()
 def quantile_boost(t):
-    rows = panel(t).withColumns({"row": F.unix_micros(F.col("ts").cast("timestamp")), "train": F.to_date("ts") < F.lit("2024-01-24").cast("date"), "h": features.half_hour_of_day(F.col("ts")).cast("double")})
-    return models.quantile_boost(rows, KEYS, "demand_mw", ["temp", "h"], [0.1, 0.5, 0.9], "train")
+    """All heads at their production settings; three days stop the boosting, those after are predicted."""
+    day = F.to_date("ts")
+    split = {"train": day < F.lit("2024-01-24").cast("date"), "held": day.between(F.lit("2024-01-24").cast("date"), F.lit("2024-01-26").cast("date"))}
+    rows = panel(t).withColumns({"row": F.unix_micros(F.col("ts").cast("timestamp")), "h": features.half_hour_of_day(F.col("ts")).cast("double"), **split})
+    return models.quantile_boost(rows, KEYS, "demand_mw", ["temp", "h"], list(models.LEVELS), "train", "held", mean=True)
 
 
 @query()
@@ -975,6 +1010,25 @@ def standardised(t):
     return reports.standardised(t("events"), KEYS, "value", population=True).select("event_id", "value_z")
 
 
+@query("SELECT event_id, round(value + 1.7e-9, 6) + 0.0 AS value, round(CAST(CAST(value AS FLOAT) AS DOUBLE) + 1.7e-9, 6) + 0.0 AS single FROM events")
+def restored(t):
+    """Standardised and back; and in single precision."""
+    rows = reports.standardised(t("events"), KEYS, "value").join(reports.scalers(t("events"), KEYS, ["value"]), KEYS)
+    back = rows.select("event_id", reports.restored(F.col("value_z"), F.col("loc"), F.col("scale")).alias("back"), "value")
+    single = reports.to_float32(back.select("event_id", F.col("value").alias("single")))
+    return back.select("event_id", F.col("back").alias("value")).join(single.withColumn("single", F.col("single").cast("double")), "event_id")
+
+
+@query(
+    sql(
+        "FROM (SELECT *, (a + c) / 2 + sqrt(pow((a + c) / 2, 2) - (a * c - b * b)) AS l1, (a + c) / 2 - sqrt(pow((a + c) / 2, 2) - (a * c - b * b)) AS l2 FROM (SELECT event_type, avg(value) AS x, avg(m) AS y, var_samp(value) AS a, var_samp(m) AS c, covar_samp(value, m) AS b FROM (SELECT event_type, value, hour(ts) * 60.0 + minute(ts) AS m FROM events) GROUP BY event_type))",
+        event_type="event_type", x="~x", y="~y", width="~4 * sqrt(l1)", height="~4 * sqrt(l2)", angle="~degrees(atan((l1 - a) / b))",
+    )
+)
+def covariance_ellipse(t):
+    return reports.covariance_ellipse(t("events").withColumn("m", F.hour("ts") * 60.0 + F.minute("ts")), KEYS, "value", "m")
+
+
 @query("SELECT event_id, CASE WHEN hour(ts) < 6 THEN 'night' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 18 THEN 'afternoon' ELSE 'evening' END AS block, CASE WHEN value > 0 AND value <= 20 THEN 'low' WHEN value > 20 AND value <= 80 THEN 'middle' WHEN value > 80 AND value <= 200 THEN 'high' END AS band FROM events")
 def bands(t):
     hour = F.hour("ts").cast("double")
@@ -1075,7 +1129,7 @@ def best_choice(t):
 @query(sql("FROM (SELECT month, max(split) FILTER (d BETWEEN 8 AND 12) AS early, max(split) FILTER (d BETWEEN 19 AND 23) AS late FROM (SELECT date_trunc('month', day) AS month, day(day) AS d, split FROM lb WHERE split IN ('validation', 'test')) GROUP BY month)", *_DAYS, month="CAST(month AS DATE)", early="early", late="late"))
 def window_slots(t):
     rows = labelled_days(t).filter(F.col("split").isin("validation", "test")).withColumn("slot", F.when(F.dayofmonth("day") <= 12, "early").otherwise("late"))
-    return rows.groupBy(F.trunc("day", "month").alias("month")).pivot("slot", ["early", "late"]).agg(F.max("split"))
+    return reports.pivot_single(rows, [F.trunc("day", "month").alias("month")], "slot", ["early", "late"], "split")
 
 
 @query(
@@ -1085,10 +1139,7 @@ def window_slots(t):
 )
 def index_sets(t):
     side = lambda k: t("events").filter(F.col("event_id") % 2 == k).select("event_type", timegrid.floor_to(F.col("ts"), 3600).alias("bin"))
-    a, b = side(0), side(1)
-    named = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b)}
-    out = [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("op"), "n") for k, d in named.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return timegrid.index_counts(side(0), side(1))
 
 
 @query(
@@ -1105,10 +1156,7 @@ def sweep_crps(t):
 
 @query(sql("FROM (SELECT label, avg(abs(a - y)) AS mm, avg(abs(b - y)) AS bm, sqrt(avg(pow(a - y, 2))) AS mr, sqrt(avg(pow(b - y, 2))) AS br, avg(abs(a - b)) AS gap FROM (SELECT label, step, avg(x) AS a, quantile_cont(x, 0.5) AS b, max(y) AS y FROM s GROUP BY ALL) GROUP BY label)", *DRAWN, label="label", mean_mae="~mm", median_mae="~bm", mean_rmse="~mr", median_rmse="~br", gap="~gap"))
 def mean_and_median(t):
-    rows = draws(t).groupBy("label", "step").agg(F.avg("x").alias("a"), F.percentile("x", 0.5).alias("b"), F.max("y").alias("y"))
-    mae = lambda c: F.avg(F.abs(F.col(c) - F.col("y")))
-    rmse = lambda c: F.sqrt(F.avg((F.col(c) - F.col("y")) * (F.col(c) - F.col("y"))))
-    return rows.groupBy("label").agg(mae("a").alias("mean_mae"), mae("b").alias("median_mae"), rmse("a").alias("mean_rmse"), rmse("b").alias("median_rmse"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("gap"))
+    return reports.mean_and_median(draws(t), ["label"], "step", "x", "y")
 
 
 @query(sql("FROM hl JOIN (SELECT chain, count(*) AS n FROM c GROUP BY chain) USING (chain)", *_HEALTH, chain="chain", seconds="~CASE WHEN n > 5000 THEN 10 + n * 0.01 * 400 / (n - 5000) ELSE 'Infinity' END", healthy="e_bfmi > 0.3 AND divergences = 0"))
@@ -1170,3 +1218,94 @@ def joint_kl(t):
     rows = t("embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
     kl = diagnostics.joint_kl(rows.filter("label % 2 = 0"), rows.filter("label % 2 = 1"), "v")
     return rows.sparkSession.range(1).select(F.lit(kl).alias("kl"))
+
+
+# ---------------------------------------------------------------- forecasters over origins and weather variants
+
+
+def regression(rows: DataFrame, basis: str = "fourier", size: int = 2) -> tuple[forecasters.ArRegression, DataFrame]:
+    """Regression on seasons and degree days with AR(2) errors, and the panel with its features."""
+    seasons = features.seasonal("ts", SYDNEY, basis, size, 1 if basis == "fourier" else 3)
+    degrees = lambda d: d.withColumns(features.degree_days(F.col("temp")))
+    return forecasters.ArRegression(KEYS, "demand_mw", [*seasons, "cooling", "heating"], derive=degrees), degrees(rows.withColumns(seasons))
+
+
+def regression_origins(t) -> DataFrame:
+    return splits.rolling_origins(panel(t), KEYS, (0, 12), F.to_date("ts") >= F.lit("2024-01-24").cast("date"))
+
+
+def before_scoring(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.to_date("ts") < F.lit("2024-01-24").cast("date"))
+
+
+@query()
+def ar_forecast(t):
+    model, rows = regression(panel(t))
+    return model.fit(before_scoring(rows)).forecast(rows, regression_origins(t)).select("origin", "step", "ts", "mean", "sd")
+
+
+@query()
+def weather_sweep(t):
+    """Mean CRPS of every weather variant: as it was, as forecast, and as it was with simulated errors of so many times the measured size."""
+    model, rows = regression(panel(t))
+    model.fit(before_scoring(rows))
+    at, error = regression_origins(t), models.perturbation_fit(rows, KEYS, "temp", "temp_fc")
+    forecast = splits.horizon(at, KEYS).join(rows.select(*KEYS, "ts", F.col("temp_fc").alias("temp")), [*KEYS, "ts"]).drop("step")
+    variants = {"actual": None, "forecast": forecast} | {f"perturb_{m:g}": forecasters.perturbed(error, at, rows, KEYS, "temp", m, 20260613) for m in (0.5, 1.0, 2.0)}
+    found = forecasters.scored(forecasters.run_variants(model, rows, at, variants, ["temp"]), rows, KEYS, "demand_mw")
+    return found.groupBy("variant").agg(F.count("*").alias("n"), F.avg("crps").alias("crps"))
+
+
+@query()
+def basis_choice(t):
+    """Validation CRPS of candidate bases and sizes; bumps are taken only if they beat the best harmonics by the margin."""
+    at, rows = regression_origins(t), panel(t)
+    candidates = {}
+    for name, basis, size in (("fourier_1", "fourier", 1), ("fourier_2", "fourier", 2), ("rbf_6", "rbf", 6)):
+        model, frame = regression(rows, basis, size)
+        found = forecasters.scored(model.fit(before_scoring(frame)).forecast(frame, at), frame, KEYS, "demand_mw")
+        candidates[name] = found.agg(F.avg("crps").alias("crps")).select(F.lit(name).alias("candidate"), F.lit(basis).alias("basis"), "crps")
+    every = candidates["fourier_1"].unionByName(candidates["fourier_2"]).unionByName(candidates["rbf_6"])
+    return forecasters.chosen(every, "candidate", "basis", "fourier")
+
+
+@query()
+def issue_vintages(t):
+    """What is forecast for one evening, issued at 24 to 3 hours: quantiles of the peak and the probability of a spike by lead."""
+    model, rows = regression(panel(t))
+    model.fit(before_scoring(rows))
+    error = models.perturbation_fit(rows, KEYS, "temp", "temp_fc")
+    targets = rows.groupBy(*KEYS).agg(F.lit("2024-01-28 08:00:00").cast("timestamp_ntz").alias("target"))
+    found = forecasters.issue_vintages(model, error, rows, targets, "temp", draws=1000)
+    return scenarios.vintages(found, KEYS, "lead", "path").join(scenarios.spikes(found, [*KEYS, "lead"], "path", {"p_spike": 130.0}), [*KEYS, "lead"])
+
+
+@query()
+def rolled_days(t):
+    """Three days ahead from one origin, each day's means standing for the readings of the next."""
+    rows = panel(t)
+    naive = forecasters.SeasonalNaive(KEYS, "demand_mw").fit(rows)
+    first = regression_origins(t).groupBy(*KEYS).agg(F.min("origin").alias("origin"))
+    return forecasters.rolled(naive, rows, first, 3, lambda p: p).select("day", "step", "ts", "mean")
+
+
+@query()
+def prior_days(t):
+    daily, _ = features.phases("ts", SYDNEY)
+    named = features.fourier(daily, 2, "day")
+    days = splits.horizon(regression_origins(t).groupBy(*KEYS).agg(F.min("origin").alias("origin")), KEYS).withColumns(named)
+    return forecasters.prior_predictive(days, KEYS, list(named), 100, 3).select("ts", "draw", "y")
+
+
+@query()
+def chain_log_density(t):
+    rows = panel(t).withColumn("h", features.half_hour_of_day(F.col("ts")).cast("double") / 48)
+    found = models.bayes_regression(rows, KEYS, "demand_mw", ["h"], chains=4)
+    return models.log_density_at_means(found, rows, KEYS, "demand_mw", ["h"])
+
+
+@query(sql("FROM (SELECT *, CASE WHEN ess > 0 THEN coalesce(advi, 0) + warmup + sampling * 400 / ess ELSE 'Infinity' END AS total FROM (SELECT chain AS run, CASE WHEN chain % 2 = 1 THEN 3.0 END AS advi, 10.0 AS warmup, count(*) * 0.01 AS sampling, count(*) / 20.0 AS ess, 1 + count(*) FILTER (dv) / 1000000.0 AS r_hat, count(*) FILTER (dv AND energy > 100) AS dvs FROM c GROUP BY chain))", _CHAINS, run="run", total="~total", quality_met="r_hat < 1.01 AND dvs = 0"))
+def warm_start_table(t):
+    each = chains(t).groupBy(F.col("chain").alias("run")).agg(F.count("*").alias("n"), F.count_if("dv").alias("d"), F.count_if(F.col("dv") & (F.col("energy") > 100)).alias("divergences"))
+    runs = each.select("run", F.when(F.col("run") % 2 == 1, 3.0).alias("advi"), F.lit(10.0).alias("warmup"), (F.col("n") * 0.01).alias("sampling"), (F.col("n") / 20).alias("ess"), (1 + F.col("d") / 1e6).alias("r_hat"), "divergences")
+    return diagnostics.warm_start_table(runs).select("run", "total", "quality_met")

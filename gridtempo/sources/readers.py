@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from ..operators import gates, splits, timegrid
 
 MARKET = "Australia/Brisbane"
-PRICE = T.StructType([T.StructField("REGION", T.StringType()), T.StructField("SETTLEMENTDATE", T.StringType()), T.StructField("TOTALDEMAND", T.DoubleType())])
-# The record prefix and columns of operational demand files.
+# The columns of price and demand files; the record prefix and columns of operational demand files.
+PRICE = "REGION string, SETTLEMENTDATE string, TOTALDEMAND double, RRP double, PERIODTYPE string"
 RECORD = "D,OPERATIONAL_DEMAND,ACTUAL"
 OPERATIONAL = "row_type string, table string, subtable string, version string, regionid string, interval_datetime string, operational_demand double, operational_demand_adjustment double, wdr_estimate double, lastchanged string"
 STAMP = "yyyy/MM/dd HH:mm:ss"
@@ -59,8 +59,8 @@ def required_weeks(first: dt.date, last: dt.date) -> list[dt.date]:
 
 
 def price_and_demand(spark: SparkSession, paths: list[str], region: str, first: str, last: str) -> DataFrame:
-    """Half-hour demand in UTC from five-minute CSV files with a header; other columns aren't read."""
-    raw = spark.read.option("header", True).csv(paths).select(*[F.col(f.name).cast(f.dataType) for f in PRICE])
+    """Half-hour demand in UTC from five-minute CSV files; a file whose header has other names or another order is an error."""
+    raw = spark.read.schema(PRICE).option("header", True).option("enforceSchema", False).csv(paths)
     rows = raw.filter(F.col("REGION") == region).select(F.lit(region).alias("series_id"), F.to_timestamp_ntz("SETTLEMENTDATE", F.lit(STAMP)).alias("t"), "TOTALDEMAND")
     half = timegrid.period_end_resample(rows, ["series_id"], "t", "TOTALDEMAND")
     return within(half, first, last)

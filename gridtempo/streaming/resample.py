@@ -19,17 +19,26 @@ def first_revisions(records: DataFrame, keys: list[str], ts: str, late: str = "2
     return records.withColumn("__t", F.col(ts).cast("timestamp")).withWatermark("__t", late).dropDuplicatesWithinWatermark(keys).drop("__t")
 
 
-def keep_latest(records: DataFrame, keys: list[str], changed: str, path: str, checkpoint: str) -> StreamingQuery:
-    """A table of the latest revisions, merged batch by batch; each batch writes a new version beside the last one."""
+def keep_latest(records: DataFrame, keys: list[str], changed: str, path: str, checkpoint: str, kept: int = 2, tie: str | None = None) -> StreamingQuery:
+    """A table of the latest revisions, merged batch by batch; each batch writes a new version beside the last one.
+
+    Of equal times the record with the greatest ``tie`` (all other columns in order, if none is named) stays, as in batch. The newest ``kept``
+    versions (two or more, so that a batch that is run again finds the one before it) stay; older ones are removed once a newer one is whole.
+    """
+    if kept < 2:
+        raise ValueError("a batch that is run again needs the version before it")
     spark = records.sparkSession
     rest = [c for c in records.columns if c not in keys]
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        before = f"{path}/v{epoch - 1}"
         rows = batch
         if epoch:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(before))
-        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), changed).alias("r"))
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v{epoch - 1}"))
+        order = F.struct(changed, *([tie] if tie else rest))
+        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r"))
         best.select(*keys, "r.*").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        if epoch >= kept:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{epoch - kept}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -13,11 +13,17 @@ from gridtempo.streaming import resample
 
 
 def test_price_files_become_utc_half_hours(spark, tmp_path):
-    (tmp_path / "p.csv").write_text("REGION,SETTLEMENTDATE,TOTALDEMAND,RRP\nNSW1,2025/06/02 00:05:00,100,1\nNSW1,2025/06/02 00:30:00,300,1\nVIC1,2025/06/02 00:05:00,5,1\nNSW1,2025/06/02 00:00:00,7,1\n")
+    (tmp_path / "p.csv").write_text("REGION,SETTLEMENTDATE,TOTALDEMAND,RRP,PERIODTYPE\nNSW1,2025/06/02 00:05:00,100,1,TRADE\nNSW1,2025/06/02 00:30:00,300,1,TRADE\nVIC1,2025/06/02 00:05:00,5,1,TRADE\nNSW1,2025/06/02 00:00:00,7,1,TRADE\n")
     got = readers.price_and_demand(spark, [str(tmp_path / "p.csv")], "NSW1", "2025-06-02", "2025-06-02").collect()
     assert [(r.ts, r.demand_mw) for r in got] == [(dt.datetime(2025, 6, 1, 14, 0), 200.0)]
 
 
+def test_price_files_of_another_order_are_refused(spark, tmp_path):
+    (tmp_path / "q.csv").write_text("SETTLEMENTDATE,REGION,TOTALDEMAND,RRP,PERIODTYPE\n2025/06/02 00:05:00,NSW1,100,1,TRADE\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.price_and_demand(spark, [str(tmp_path / "q.csv")], "NSW1", "2025-06-02", "2025-06-02").collect()
+
+
 def test_nested_archives_keep_the_latest_revision(spark, tmp_path):
     row = lambda end, mw, changed, region="NSW1": f'D,OPERATIONAL_DEMAND,ACTUAL,3,{region},"{end}",{mw},0,0,"{changed}"'
     inner, outer = io.BytesIO(), io.BytesIO()
@@ -73,6 +79,28 @@ def test_stream_keeps_the_latest_revision(spark, tmp_path):
     assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t/v0")).collect()} == {(1, "v1"), (2, "x"), (3, "x")}
 
 
+def test_stream_versions_expire_and_ties_are_settled(spark, tmp_path):
+    def feed(k, *rows):
+        spark.createDataFrame(list(rows), "k int, changed int, v string").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        stream = spark.readStream.schema("k int, changed int, v string").option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        resample.keep_latest(stream, ["k"], "changed", str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(120)
+
+    feed(0, (1, 5, "b"), (1, 5, "a"), (2, 1, "old"))
+    feed(1, (1, 5, "aa"), (2, 2, "new"))
+    feed(2, (3, 0, "x"), (2, 1, "late"))
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v1", "v2"]
+    assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t/v2")).collect()} == {(1, "b"), (2, "new"), (3, "x")}
+
+
+def test_stream_keeps_one_record_a_key(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, at, "a"), (1, at, "a"), (2, at, "b")], "k int, ts timestamp, v string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, ts timestamp, v string").parquet(str(tmp_path / "in"))
+    q = resample.first_revisions(stream, ["k"], "ts").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "a"), (2, "b")]
+
+
 def test_panels_load_through_the_gate_and_split(spark, tmp_path):
     day = dt.timedelta(days=1)
     rows = [("a", dt.datetime(2025, 6, 1) + i * day, 5.0 + i) for i in range(6)]
