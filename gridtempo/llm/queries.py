@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, decontamination, html_text, language, mixing, quality, sharding, simhash, substrings
+from . import brown, centroids, chat, decontamination, html_text, language, mixing, quality, sharding, simhash, substrings
 from ._shared import crc_mod, read
 
 
@@ -64,6 +64,11 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", "matched", "width")
 
 
+def op13_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.report(*centroids.cluster(read(spark, sf_dir, "embeddings")))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_brown_classes": op8_brown_classes,
     "op9_isolation_forest": op9_isolation_forest,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op13_partial_distance": op13_partial_distance,
 }
 
 _ESCAPED = r"replace(replace(replace({}, '\', '\\'), '</turn>', '\e'), '### ', '\h')"
@@ -147,4 +153,27 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
     - ((b0 + off) * rest // n - off * rest // n) * {mixing.BLOCK_WORDS} - ((b0 + 1 + off) * rest // n - (b0 + off) * rest // n) * (fin - size - b0 * {mixing.BLOCK_WORDS}) AS BIGINT) AS taken
 FROM ends
 """
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": _OP1, "op6_chat_round_trip": _OP6}
+
+
+def _op13() -> str:
+    """Vectors as rows of (n, d, x); each round assigns by sums over d and moves centroids to floored means."""
+    head = """
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), embedding) AS n, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+), x AS (
+  SELECT n, unnest(range(64)) AS d, unnest(list_transform(embedding, lambda e: CAST(greatest(-134217728, least(134217728, floor(64 * CAST(e AS DOUBLE)))) AS BIGINT))) AS x FROM v
+), c0 AS (SELECT CAST(n - 1 AS INT) AS j, d, x AS c FROM x WHERE n <= 16)"""
+    near = """, a{r} AS (
+  SELECT n, arg_min(j, (dist, j)) AS j, min(dist) AS dist FROM (SELECT n, j, CAST(sum((x - c) * (x - c)) AS BIGINT) AS dist FROM x JOIN c{r} USING (d) GROUP BY n, j) GROUP BY n
+)"""
+    move = """, m{r} AS (SELECT j, d, CAST(sum(x) AS BIGINT) AS s, count(*) AS k FROM x JOIN a{r} USING (n) GROUP BY j, d
+), c{s} AS (SELECT j, d, CASE WHEN k IS NULL THEN c ELSE (s - ((s % k) + k) % k) // k END AS c FROM c{r} LEFT JOIN m{r} USING (j, d))"""
+    steps = "".join(near.format(r=r) + move.format(r=r, s=r + 1) for r in range(3)) + near.format(r=3)
+    return head + steps + """
+SELECT vec_id, j AS cluster, dist AS distance, CAST(sum(dist) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(dist) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a3 JOIN v USING (n) JOIN (SELECT j, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c3 GROUP BY j) USING (j)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op13_partial_distance": _op13(), "op1_mix_sources": _OP1, "op6_chat_round_trip": _OP6}
