@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, centroids, chat, decontamination, html_text, language, mixing, quality, sharding, simhash, substrings
+from . import brown, centroids, chat, decontamination, html_text, language, mixing, pareto, quality, sharding, simhash, substrings
 from ._shared import crc_mod, read
 
 
@@ -64,6 +64,11 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", "matched", "width")
 
 
+def op11_pareto_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pareto.layered(pareto.offers(*[read(spark, sf_dir, t) for t in ("sale_lines", "sales", "items")]))
+    return found.select("item_id", "vendor_id", "part_type", "price", "discount", "delay", "quantity", "type_layer", "global_layer", "n_equal")
+
+
 def op13_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids.report(*centroids.cluster(read(spark, sf_dir, "embeddings")))
     return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_brown_classes": op8_brown_classes,
     "op9_isolation_forest": op9_isolation_forest,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op11_pareto_layers": op11_pareto_layers,
     "op13_partial_distance": op13_partial_distance,
 }
 
@@ -176,4 +182,31 @@ FROM a3 JOIN v USING (n) JOIN (SELECT j, sha256(string_agg(CAST(c AS VARCHAR), '
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op13_partial_distance": _op13(), "op1_mix_sources": _OP1, "op6_chat_round_trip": _OP6}
+#: A chain grows by one offer a round; a vector's layer is the longest chain that ends with it.
+_OP11 = """
+WITH RECURSIVE l AS (
+  SELECT *, CAST(floor(100 * amount + 0.5) AS BIGINT) AS c, CAST(floor(100 * discount + 0.5) AS BIGINT) AS d FROM sale_lines LEFT JOIN (SELECT sale_id, min(sold_at) AS sold FROM sales GROUP BY 1) USING (sale_id)
+  WHERE item_id IS NOT NULL AND vendor_id IS NOT NULL
+), s AS (
+  SELECT item_id, vendor_id, CAST(sum(c * (100 - d)) FILTER (quantity IS NOT NULL) AS BIGINT) AS worth, CAST(sum(quantity) FILTER (c IS NOT NULL AND d IS NOT NULL) AS BIGINT) AS bought,
+    CAST(sum(d) AS BIGINT) AS d, count(d) AS nd, CAST(sum(date_diff('day', CAST(sold AS DATE), CAST(shipped_at AS DATE))) AS BIGINT) AS days,
+    count(date_diff('day', CAST(sold AS DATE), CAST(shipped_at AS DATE))) AS ndays, max(quantity) AS quantity
+  FROM l GROUP BY 1, 2
+), i AS (SELECT item_id, CAST(floor(100 * price + 0.5) AS BIGINT) AS p, kind FROM items
+), o AS (
+  SELECT item_id, vendor_id, kind AS part_type, CASE WHEN p >= 1 THEN (worth - ((worth % nullif(p * bought, 0)) + p * bought) % (p * bought)) // (p * bought) END AS price,
+    (d - ((d % nullif(nd, 0)) + nd) % nd) // nd AS discount, (days - ((days % nullif(ndays, 0)) + ndays) % ndays) // ndays AS delay, CAST(quantity AS BIGINT) AS quantity
+  FROM s LEFT JOIN i USING (item_id)
+), k AS (
+  SELECT *, coalesce(price, 9e15) AS x1, coalesce(-discount, 9e15) AS x2, coalesce(delay, 9e15) AS x3, coalesce(-quantity, 9e15) AS x4, coalesce('t' || part_type, 'n') AS scope FROM o
+), v AS (
+  SELECT DISTINCT scope, x1, x2, x3, x4 FROM k UNION ALL SELECT DISTINCT 'g', x1, x2, x3, x4 FROM k
+), chain AS (
+  SELECT *, 1 AS layer FROM v
+  UNION
+  SELECT v.*, layer + 1 FROM chain u JOIN v ON u.scope = v.scope AND u.x1 <= v.x1 AND u.x2 <= v.x2 AND u.x3 <= v.x3 AND u.x4 <= v.x4 AND (u.x1 < v.x1 OR u.x2 < v.x2 OR u.x3 < v.x3 OR u.x4 < v.x4) WHERE layer <= 24
+), layers AS (SELECT scope, x1, x2, x3, x4, CASE WHEN max(layer) > 24 THEN 0 ELSE max(layer) END AS layer FROM chain GROUP BY ALL)
+SELECT item_id, vendor_id, part_type, price, discount, delay, quantity, CAST(t.layer AS BIGINT) AS type_layer, CAST(g.layer AS BIGINT) AS global_layer, count(*) OVER (PARTITION BY x1, x2, x3, x4) AS n_equal
+FROM k JOIN layers t USING (scope, x1, x2, x3, x4) JOIN (SELECT * EXCLUDE (scope) FROM layers WHERE scope = 'g') g USING (x1, x2, x3, x4)
+"""
+ORACLE_SQL: dict[str, str] = {"op11_pareto_layers": _OP11, "op13_partial_distance": _op13(), "op1_mix_sources": _OP1, "op6_chat_round_trip": _OP6}
