@@ -183,7 +183,7 @@ def _across(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     return rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "a long, b long")
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def sets_with(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Rows (fp, shingles) of the wanted sets, and of a few others that share their bits in a filter of 8 MB."""
     word, bit = F.shiftrightunsigned("fp", 44), F.shiftrightunsigned("fp", 38).bitwiseAND(F.lit(63)).cast("int")
     told = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).toArrow()
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = checkpoint(map_text(rows, "text", run, "id long, row_key long, fp long, sim long"))
     met = checkpoint(_met(_keyed(rows, width, similarity), n, similarity))
     stars = checkpoint(_stars(met, n, similarity).union(_close(prints)).distinct())
-    sets = checkpoint(_sets(rows, met.select("fp").union(stars.select("a")).union(stars.select("b")), width))
+    sets = checkpoint(sets_with(rows, met.select("fp").union(stars.select("a")).union(stars.select("b")), width))
     edges = _linked(stars, sets, similarity)
     roots = _roots(edges)
     rest = met.filter("many > 2").select("k", "fp", "n", "pos").join(roots, "fp", "left").select("k", "fp", "n", "pos", F.coalesce("root", "fp").alias("label"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, centroids, chat, decontamination, html_text, language, mixing, pareto, quality, sharding, simhash, substrings
+from . import brown, centroids, chat, decontamination, html_text, language, minhash, mixing, pareto, quality, sharding, simhash, substrings
 from ._shared import crc_mod, read
 
 
@@ -69,6 +69,12 @@ def op11_pareto_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "vendor_id", "part_type", "price", "discount", "delay", "quantity", "type_layer", "global_layer", "n_equal")
 
 
+def op12_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    # Without a null on either side; a row whose id and component are both null is its own.
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op13_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids.report(*centroids.cluster(read(spark, sf_dir, "embeddings")))
     return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_isolation_forest": op9_isolation_forest,
     "op10_spaced_seeds": op10_spaced_seeds,
     "op11_pareto_layers": op11_pareto_layers,
+    "op12_circulant_minhash": op12_circulant_minhash,
     "op13_partial_distance": op13_partial_distance,
 }
 
@@ -209,4 +216,23 @@ WITH RECURSIVE l AS (
 SELECT item_id, vendor_id, part_type, price, discount, delay, quantity, CAST(t.layer AS BIGINT) AS type_layer, CAST(g.layer AS BIGINT) AS global_layer, count(*) OVER (PARTITION BY x1, x2, x3, x4) AS n_equal
 FROM k JOIN layers t USING (scope, x1, x2, x3, x4) JOIN (SELECT * EXCLUDE (scope) FROM layers WHERE scope = 'g') g USING (x1, x2, x3, x4)
 """
-ORACLE_SQL: dict[str, str] = {"op11_pareto_layers": _OP11, "op13_partial_distance": _op13(), "op1_mix_sources": _OP1, "op6_chat_round_trip": _OP6}
+#: All pairs of distinct sets that share a shingle, by an inverted list; components by the smallest id that reaches a set.
+_OP12 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) > 1 THEN list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) ELSE w END AS sh FROM d
+), f AS (SELECT doc_id, len(sh) AS n, CASE WHEN len(sh) > 0 THEN md5(array_to_string(sh, chr(10))) ELSE 'empty ' || CAST(doc_id AS VARCHAR) END AS fp, sh FROM s
+), sets AS (SELECT fp, min(doc_id) AS least, any_value(n) AS n, any_value(sh) AS sh FROM f GROUP BY fp
+), inv AS (SELECT fp, n, unnest(sh) AS g FROM sets
+), links AS (
+  SELECT a.fp AS a, b.fp AS b FROM inv a JOIN inv b ON a.g = b.g AND a.fp < b.fp AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.fp, b.fp, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT fp, least AS root FROM sets
+  UNION
+  SELECT b, root FROM reach JOIN both_ways ON fp = a
+), named AS (SELECT fp, min(root) AS component_id FROM reach GROUP BY fp)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, coalesce(doc_id = component_id, doc_id IS NULL AND component_id IS NULL) AS kept FROM f JOIN named USING (fp)
+"""
+ORACLE_SQL: dict[str, str] = {"op12_circulant_minhash": _OP12, "op11_pareto_layers": _OP11, "op13_partial_distance": _op13(), "op1_mix_sources": _OP1, "op6_chat_round_trip": _OP6}
