@@ -63,68 +63,6 @@ def elbo_drift(trace: DataFrame, by: list[str], step: str, value: str, window: i
     return out.withColumn("drift", drift).withColumn("converged", F.coalesce((F.col("n") >= 2 * window) & (drift < 1e-2), F.lit(False)))
 
 
-def _ranks_to_normal(x: np.ndarray) -> np.ndarray:
-    flat = pd.Series(x.reshape(-1)).rank(method="average").to_numpy()
-    p = (flat - 0.375) / (len(flat) + 0.25)
-    from statistics import NormalDist
-
-    inverse = NormalDist().inv_cdf
-    return np.array([inverse(v) for v in p]).reshape(x.shape)
-
-
-def _split(x: np.ndarray) -> np.ndarray:
-    half = x.shape[1] // 2
-    return np.concatenate([x[:, :half], x[:, x.shape[1] - half :]])
-
-
-def _r_hat(x: np.ndarray) -> float:
-    n = x.shape[1]
-    within = x.var(axis=1, ddof=1).mean()
-    between = n * x.mean(axis=1).var(ddof=1)
-    return float(np.sqrt(((n - 1) / n * within + between / n) / within)) if within > 0 else math.nan
-
-
-def rank_r_hat(x: np.ndarray) -> float:
-    """The larger of rank-normalised split R-hat and that of folded draws (Vehtari et al. 2021)."""
-    s = _split(x)
-    return max(_r_hat(_ranks_to_normal(s)), _r_hat(_ranks_to_normal(np.abs(s - np.median(s)))))
-
-
-def effective_size(x: np.ndarray) -> float:
-    """By Geyer's initial monotone sequence over split chains."""
-    m, n = x.shape
-    centred = x - x.mean(axis=1, keepdims=True)
-    size = 1 << (2 * n - 1).bit_length()
-    f = np.fft.rfft(centred, size, axis=1)
-    acov = np.fft.irfft(f * np.conj(f), size, axis=1)[:, :n] / n
-    within = acov[:, 0].mean() * n / (n - 1)
-    plus = within * (n - 1) / n + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
-    if plus <= 0:
-        return math.nan
-    rho = 1 - (within - acov.mean(axis=0)) / plus
-    rho[0] = 1.0
-    pairs = rho[: n - n % 2].reshape(-1, 2).sum(axis=1)
-    negative = np.flatnonzero(pairs < 0)
-    pairs = np.minimum.accumulate(pairs[: negative[0]] if len(negative) else pairs)
-    tau = max(-1 + 2 * pairs.sum(), 1 / math.log10(m * n))
-    return float(m * n / tau)
-
-
-def mcmc_summary(draws: DataFrame, site: list[str], chain: str, draw: str, value: str) -> DataFrame:
-    """Rows (site, r_hat, ess_bulk, ess_tail): a task holds one site's draws."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot(index=chain, columns=draw, values=value).dropna(axis=1).to_numpy(dtype=float)
-        if x.shape[1] < 4:
-            return pd.DataFrame([[*pdf[site].iloc[0], math.nan, math.nan, math.nan]], columns=[*site, "r_hat", "ess_bulk", "ess_tail"])
-        low, high = np.quantile(x, [0.05, 0.95])
-        tail = min(effective_size(_split((x <= low).astype(float))), effective_size(_split((x <= high).astype(float))))
-        return pd.DataFrame([[*pdf[site].iloc[0], rank_r_hat(x), effective_size(_ranks_to_normal(_split(x))), tail]], columns=[*site, "r_hat", "ess_bulk", "ess_tail"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in draws.schema if f.name in site)
-    return draws.select(*site, chain, draw, value).groupBy(*site).applyInPandas(run, f"{schema}, r_hat double, ess_bulk double, ess_tail double")
-
-
 def kl_1d(m0: str, s0: str, m1: str, s1: str) -> str:
     return f"(ln(({s1}) / ({s0})) + (({s0}) * ({s0}) + (({m0}) - ({m1})) * (({m0}) - ({m1}))) / (2 * ({s1}) * ({s1})) - 0.5)"
 

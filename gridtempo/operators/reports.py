@@ -126,20 +126,6 @@ def picked_days(scores: DataFrame, by: list[str], day: str, score: str) -> DataF
     return rows.withColumn("kind", kind).filter("kind IS NOT NULL").select(*by, "kind", day, score)
 
 
-def average_ranks(rows: DataFrame, by: list[str], value: str, out: str = "rank") -> DataFrame:
-    """Ranks from 1 with ties sharing their mean."""
-    w = Window.partitionBy(*by)
-    return rows.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
-
-
-def rank_counts(rows: DataFrame, chain: str, value: str, bins: int) -> DataFrame:
-    """Per chain, how many of its draws fall in each bin of the ranks over all chains."""
-    total = F.count("*").over(Window.partitionBy(F.lit(0)))
-    ranked = average_ranks(rows.withColumn("__n", total).withColumn("__g", F.lit(0)), ["__g"], value, "__r")
-    at = F.least(F.floor((F.col("__r") - 0.5) / F.col("__n") * bins) + 1, F.lit(bins)).cast("int")
-    return ranked.groupBy(chain, at.alias("bin")).agg(F.count("*").alias("n"))
-
-
 def histogram_2d(rows: DataFrame, x: str, y: str, x_step: float, y_step: float) -> DataFrame:
     return rows.groupBy(F.floor(F.col(x) / x_step).cast("int").alias("xb"), F.floor(F.col(y) / y_step).cast("int").alias("yb")).agg(F.count("*").alias("n"))
 

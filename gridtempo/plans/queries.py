@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import mathx
-from ..operators import calibration, cleanse, diagnostics, features, forecasters, gates, innovations, models, reports, scenarios, scores, splits, timegrid
+from ..operators import calibration, cleanse, convergence, diagnostics, features, forecasters, gates, innovations, models, ranking, reports, scenarios, scores, splits, timegrid
 
 KEYS = ["event_type"]
 SYDNEY, BRISBANE = "Australia/Sydney", "Australia/Brisbane"
@@ -960,8 +960,9 @@ def kl_noise_floor(t):
 
 @query()
 def rhat_ess(t):
-    draws_ = chains(t).withColumn("draw", F.row_number().over(Window.partitionBy("chain").orderBy("draw"))).withColumn("site", F.lit("energy"))
-    return diagnostics.mcmc_summary(draws_, ["site"], "chain", "draw", "energy")
+    places = ranking.positions(chains(t), ["chain"], "draw", "place")
+    draws_ = chains(t).join(places, ["chain", "draw"]).withColumn("site", F.lit("energy"))
+    return convergence.mcmc_summary(draws_, ["site"], "chain", "place", "energy")
 
 
 @query()
@@ -994,7 +995,7 @@ def quantile_boost(t):
 def bayes_regression(t):
     rows = panel(t).withColumn("h", features.half_hour_of_day(F.col("ts")).cast("double") / 48)
     found = models.bayes_regression(rows, KEYS, "demand_mw", ["h"], chains=4)
-    return diagnostics.status(diagnostics.mcmc_summary(found, ["site"], "chain", "draw", "value").withColumnRenamed("ess_bulk", "ess"))
+    return diagnostics.status(convergence.mcmc_summary(found, ["site"], "chain", "draw", "value").withColumnRenamed("ess_bulk", "ess"))
 
 
 # ---------------------------------------------------------------- reports
@@ -1082,7 +1083,7 @@ def picked_days(t):
 @query("SELECT o_orderkey, round(rank() OVER (PARTITION BY o_orderpriority ORDER BY day) + (count(*) OVER (PARTITION BY o_orderpriority, day) - 1) / 2, 6) + 0.0 AS rank FROM (SELECT *, CAST(o_orderdate AS DATE) AS day FROM orders)")
 def average_ranks(t):
     rows = t("orders").select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
-    return reports.average_ranks(rows, ["o_orderpriority"], "day").select("o_orderkey", F.col("rank").cast("double").alias("rank"))
+    return ranking.average_ranks(rows, ["o_orderpriority"], "day").select("o_orderkey", F.col("rank").cast("double").alias("rank"))
 
 
 @query(
@@ -1092,7 +1093,7 @@ def average_ranks(t):
     )
 )
 def rank_counts(t):
-    return reports.rank_counts(chains(t), "chain", "energy", 10)
+    return ranking.rank_counts(chains(t), "chain", "energy", 10)
 
 
 @query(sql("FROM pn GROUP BY ALL", *PANEL, xb="CAST(floor(temp / 10) AS INTEGER)", yb="CAST(floor(demand_mw / 20) AS INTEGER)", n="count(*)"))
