@@ -92,7 +92,7 @@ def _products(rows: DataFrame, first: int, last: int, block: int) -> DataFrame:
             out["kind"] += [kind] * lags
             out["lag"].append(np.arange(lags, dtype=np.int64) + d * block)
             out["v"].append(both)
-        site = pa.array([table.column("s")[0].as_py()] * (3 * lags), table.schema.field("s").type)
+        site = pa.array([table.column("s")[0].as_py()] * (3 * lags), pa.struct([f.with_nullable(True) for f in table.schema.field("s").type]))
         return pa.table([site, pa.array(out["kind"]), pa.array(np.concatenate(out["lag"])), pa.array(np.concatenate(out["v"]))], names=["s", "kind", "lag", "v"])
 
     s = rows.schema["s"].dataType.simpleString()
