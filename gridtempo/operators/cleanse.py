@@ -6,75 +6,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .buckets import in_buckets, seconds, with_neighbours
 from .features import holiday_flag
-from .timegrid import order
+from .timegrid import HALF_HOUR, order
 
 # Physical limits of the weather and demand columns.
 PHYSICAL_BOUNDS = {"demand_mw": (0.0, 20000.0), "temp": (-15.0, 55.0), "dew": (-30.0, 40.0), "dni": (0.0, 1500.0), "dhi": (0.0, 1500.0), "ghi": (0.0, 1500.0), "apptemp": (-25.0, 65.0), "wind": (0.0, 250.0)}
 NORMAL_MAD = 1.4826
 
 
-def seconds(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000.0
+def interpolate(series: DataFrame, keys: list[str], value: str, out: str, edge: str = "both", limit: int | None = None, ts: str = "ts", bucket: int | None = None) -> DataFrame:
+    """Linear in time between readings.
 
+    After the last reading its value stays; before the first, ``both`` takes the first value and ``forward`` leaves null. With a ``limit`` only
+    the first so many rows of each gap are filled, of long gaps too. With a ``bucket`` (seconds) a task has one bucket of a series.
+    """
+    rows = with_neighbours(series, keys, [value], ts, bucket)
+    return rows.withColumn(out, _between(value, edge, limit, ts)).drop("__row", f"__a_{value}", f"__b_{value}")
 
-def _neighbours(keys: list[str], ts: str, value: str) -> tuple[Column, Column]:
-    """The nearest reading at or before, and at or after, each row, with its time and row number in ``__row``.
 
-    The one after is the last in descending order: a frame up to unbounded following would be evaluated anew for every row.
-    """
-    w, back = order(keys, ts), Window.partitionBy(*keys).orderBy(F.desc(ts))
-    reading = F.when(F.col(value).isNotNull(), F.struct(seconds(ts).alias("t"), F.col(value).cast("double").alias("v"), F.col("__row")))
-    return (
-        F.last(reading, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        F.last(reading, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
-    )
+def interpolate_all(frame: DataFrame, keys: list[str], edges: dict[str, str], limit: int | None = None, ts: str = "ts", bucket: int | None = None) -> DataFrame:
+    """:func:`interpolate` of many columns in place, by name and edge: one sort forward and one back for all of them."""
+    rows = with_neighbours(frame, keys, list(edges), ts, bucket)
+    return rows.withColumns({c: _between(c, edge, limit, ts) for c, edge in edges.items()}).drop("__row", *[f"__{s}_{c}" for s in "ab" for c in edges])
 
 
-def interpolate(series: DataFrame, keys: list[str], value: str, out: str, edge: str = "both", limit: int | None = None, ts: str = "ts") -> DataFrame:
-    """Linear in time between readings.
+def _between(value: str, edge: str, limit: int | None, ts: str) -> Column:
+    a, b, x = F.col(f"__a_{value}"), F.col(f"__b_{value}"), F.col(value).cast("double")
+    inside = a["v"] + (b["v"] - a["v"]) * (seconds(ts) - a["t"]) / (b["t"] - a["t"])
+    filled = F.coalesce(x, F.when(b.isNotNull(), inside), a["v"], *([b["v"]] if edge == "both" else []))
+    return filled if limit is None else F.when(x.isNotNull() | (F.col("__row") - a["__row"] <= limit), filled)
 
-    After the last reading its value stays; before the first, ``both`` takes the first value and ``forward`` leaves null. With a ``limit`` only
-    the first so many rows of each gap are filled, of long gaps too.
+
+def seasonal_fill(series: DataFrame, keys: list[str], value: str, out: str, lags: tuple[int, ...] = (336, 672), limit: int = 2, ts: str = "ts", bucket: int | None = None, step: int = HALF_HOUR) -> DataFrame:
+    """Short interpolation, then the value one and two seasons back, then interpolation both ways; ``{out}_imputed`` marks what was missing.
+
+    With a ``bucket`` (seconds) a task has one bucket of a series, which then lies on its strict grid of ``step`` seconds.
     """
-    rows = series.withColumn("__row", F.row_number().over(order(keys, ts)))
-    before, after = _neighbours(keys, ts, value)
-    rows = rows.withColumns({"__a": before, "__b": after})
-    a, b = F.col("__a"), F.col("__b")
-    inside = a["v"] + (b["v"] - a["v"]) * (seconds(ts) - a["t"]) / (b["t"] - a["t"])
-    filled = F.when(F.col(value).isNotNull(), F.col(value).cast("double")).when(a.isNotNull() & b.isNotNull(), inside).when(a.isNotNull(), a["v"])
-    if edge == "both":
-        filled = filled.otherwise(b["v"])
-    if limit is not None:
-        filled = F.when(F.col(value).isNotNull() | (F.col("__row") - a["__row"] <= limit), filled)
-    return rows.withColumn(out, filled).drop("__row", "__a", "__b")
 
+    def lagged(rows: DataFrame, by: list[str]) -> DataFrame:
+        for lag in lags:
+            rows = rows.withColumn("__f", F.coalesce("__f", F.lag("__f", lag).over(order(by, ts))))
+        return rows
 
-def interpolate_all(frame: DataFrame, keys: list[str], edges: dict[str, str], limit: int | None = None, ts: str = "ts") -> DataFrame:
-    """:func:`interpolate` of many columns in place, by name and edge: one sort forward and one back for all of them."""
-    rows = frame.withColumn("__row", F.row_number().over(order(keys, ts)))
-    found = {c: _neighbours(keys, ts, c) for c in edges}
-    rows = rows.withColumns({f"__a_{c}": a for c, (a, _) in found.items()}).withColumns({f"__b_{c}": b for c, (_, b) in found.items()})
-    out = {}
-    for c, edge in edges.items():
-        a, b, x = F.col(f"__a_{c}"), F.col(f"__b_{c}"), F.col(c).cast("double")
-        between = a["v"] + (b["v"] - a["v"]) * (seconds(ts) - a["t"]) / (b["t"] - a["t"])
-        y = F.coalesce(x, F.when(b.isNotNull(), between), a["v"], *([b["v"]] if edge == "both" else []))
-        out[c] = y if limit is None else F.when(x.isNotNull() | (F.col("__row") - a["__row"] <= limit), y)
-    return rows.withColumns(out).drop("__row", *[f"__{s}_{c}" for s in "ab" for c in edges])
-
-
-def seasonal_fill(series: DataFrame, keys: list[str], value: str, out: str, lags: tuple[int, ...] = (336, 672), limit: int = 2, ts: str = "ts") -> DataFrame:
-    """Short interpolation, then the value one and two seasons back, then interpolation both ways; ``{out}_imputed`` marks what was missing."""
-    rows = interpolate(series, keys, value, "__f", limit=limit, ts=ts)
-    for lag in lags:
-        rows = rows.withColumn("__f", F.coalesce("__f", F.lag("__f", lag).over(order(keys, ts))))
-    rows = interpolate(rows, keys, "__f", out, ts=ts)
+    rows = interpolate(series, keys, value, "__f", limit=limit, ts=ts, bucket=bucket)
+    rows = lagged(rows, keys) if bucket is None else in_buckets(rows, keys, sum(lags), 0, max(1, bucket // step), lagged, ts, step)
+    rows = interpolate(rows, keys, "__f", out, ts=ts, bucket=bucket)
     return rows.withColumn(f"{out}_imputed", F.col(value).isNull()).drop("__f")
 
 
-def hampel_flags(series: DataFrame, keys: list[str], value: str, window: int = 336, k: float = 8.0, ts: str = "ts") -> DataFrame:
-    """Adds rolling_median, rolling_mad and is_outlier: each row's deviation from its own centred median against the median of those deviations."""
+def hampel_flags(series: DataFrame, keys: list[str], value: str, window: int = 336, k: float = 8.0, ts: str = "ts", bucket: int | None = None, step: int = HALF_HOUR) -> DataFrame:
+    """Adds rolling_median, rolling_mad and is_outlier: each row's deviation from its own centred median against the median of those deviations.
+
+    With a ``bucket`` (seconds) a task has one bucket of a series and a window's rows on both sides; the series then lies on its strict grid of ``step`` seconds.
+    """
+    if bucket is not None:  # a deviation reaches half a window, the median of deviations another half
+        return in_buckets(series, keys, window, window, max(1, bucket // step), lambda rows, by: hampel_flags(rows, by, value, window, k, ts), ts, step)
     half, least = window // 2, window // 4
     w = order(keys, ts).rowsBetween(-half, window - half - 1)
 
@@ -120,23 +107,24 @@ def solar_elevation(ts: str, latitude: float, longitude: float) -> Column:
     return F.degrees(F.asin(F.least(F.greatest(height, F.lit(-1.0)), F.lit(1.0))))
 
 
-def build_panel(demand: DataFrame, actual: DataFrame, forecast: DataFrame, keys: list[str], variables: list[str], latitude: float, longitude: float, zone: str, years: tuple[int, int], ts: str = "ts") -> DataFrame:
+def build_panel(demand: DataFrame, actual: DataFrame, forecast: DataFrame, keys: list[str], variables: list[str], latitude: float, longitude: float, zone: str, years: tuple[int, int], ts: str = "ts", bucket: int | None = None) -> DataFrame:
     """The processed panel, with a flag for every repair, which :func:`panel_report` counts.
 
     ``demand`` (keys, ts, demand_mw) lies on its strict grid and decides the rows. ``actual`` and ``forecast`` (keys, ts, variables) are hourly.
     Demand is filled, screened and filled again. Actual weather is interpolated, with its nearest value at the ends. Forecasts bridge eight hours
     and are interpolated, but not before their first value; what stays missing falls back to the actuals. Both are clipped to physical
-    bounds, and irradiance is zero at night. ``is_holiday`` follows the local day, for the years given (both included).
+    bounds, and irradiance is zero at night. ``is_holiday`` follows the local day, for the years given (both included). With a ``bucket`` (seconds) a
+    long series is many tasks' work.
     """
-    filled = seasonal_fill(demand, keys, "demand_mw", "__filled", ts=ts)
-    screened = hampel_flags(filled, keys, "__filled", ts=ts).withColumn("__screened", F.when(~F.col("is_outlier"), F.col("__filled")))
-    rows = interpolate(screened, keys, "__screened", "__clean", ts=ts)
+    filled = seasonal_fill(demand, keys, "demand_mw", "__filled", ts=ts, bucket=bucket)
+    screened = hampel_flags(filled, keys, "__filled", ts=ts, bucket=bucket).withColumn("__screened", F.when(~F.col("is_outlier"), F.col("__filled")))
+    rows = interpolate(screened, keys, "__screened", "__clean", ts=ts, bucket=bucket)
     rows = rows.select(*keys, ts, F.col("__clean").alias("demand_mw"), F.col("demand_mw").isNull().alias("demand_missing"), F.col("is_outlier").alias("demand_outlier"), (F.col("__filled_imputed") | F.col("is_outlier")).alias("demand_imputed"), F.lit(True).alias("__grid"))
     issued = [f"{v}_fc" for v in variables]
     held = forecast.select(*keys, ts, *[F.col(v).alias(f"{v}_fc") for v in variables], *[F.col(v).isNull().alias(f"{v}_fc_gap") for v in variables])
-    held = interpolate_all(held, keys, dict.fromkeys(issued, "forward"), limit=8, ts=ts)
+    held = interpolate_all(held, keys, dict.fromkeys(issued, "forward"), limit=8, ts=ts, bucket=bucket)
     both = rows.join(actual.select(*keys, ts, *variables), [*keys, ts], "full").join(held, [*keys, ts], "full")
-    both = interpolate_all(both, keys, dict.fromkeys(variables, "both") | dict.fromkeys(issued, "forward"), ts=ts)
+    both = interpolate_all(both, keys, dict.fromkeys(variables, "both") | dict.fromkeys(issued, "forward"), ts=ts, bucket=bucket)
     gaps = {f"{v}_fc_gaps": F.count_if(f"{v}_fc_gap").over(Window.partitionBy(*keys)) for v in variables}
     panel = both.withColumns(gaps).filter("__grid").drop("__grid", *[f"{v}_fc_gap" for v in variables])
     panel = panel.withColumns({f"{v}_fallback": F.col(f"{v}_fc").isNull() for v in variables}).withColumns({f"{v}_fc": F.coalesce(f"{v}_fc", v) for v in variables})

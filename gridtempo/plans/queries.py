@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import mathx
-from ..operators import calibration, cleanse, convergence, diagnostics, features, forecasters, gates, innovations, models, ranking, reports, scenarios, scores, splits, timegrid
+from ..operators import buckets, calibration, cleanse, convergence, diagnostics, features, forecasters, gates, innovations, models, ranking, reports, scenarios, scores, splits, timegrid
 
 KEYS = ["event_type"]
 SYDNEY, BRISBANE = "Australia/Sydney", "Australia/Brisbane"
@@ -112,6 +112,10 @@ def filled(t) -> DataFrame:
     return cleanse.interpolate(aligned(t), KEYS, "v", "y")
 
 
+#: Long series are cut into buckets of two days, in seconds and in half hours.
+BUCKET, BUCKET_STEPS = 2 * 86_400, 96
+
+
 @query(sql("FROM hh", HH, event_type="event_type", ts="ts", demand_mw="~v"))
 def period_end_resample(t):
     return half_hours(t).withColumnRenamed("v", "demand_mw")
@@ -181,18 +185,18 @@ def label_slice(t):
 
 @query(sql("FROM f", *FILLED, event_type="event_type", ts="ts", y="~y"))
 def interp_both(t):
-    return filled(t).select("event_type", "ts", "y")
+    return cleanse.interpolate(aligned(t), KEYS, "v", "y", bucket=BUCKET).select("event_type", "ts", "y")
 
 
 @query(sql("FROM f", *SERIES, "h AS (SELECT *, CASE WHEN minute(ts) = 0 AND hour(ts) % 6 = 5 THEN v END AS x FROM a)", interpolation("h", "x", "y", "f", "forward"), event_type="event_type", ts="ts", y="~y"))
 def interp_forward(t):
     sparse = aligned(t).withColumn("x", F.when((F.minute("ts") == 0) & (F.hour("ts") % 6 == 5), F.col("v")))
-    return cleanse.interpolate(sparse, KEYS, "x", "y", edge="forward").select("event_type", "ts", "y")
+    return cleanse.interpolate(sparse, KEYS, "x", "y", edge="forward", bucket=BUCKET).select("event_type", "ts", "y")
 
 
 @query(sql("FROM f", *SERIES, interpolation("a", "v", "y", "f", "both", 2), event_type="event_type", ts="ts", y="~y"))
 def interp_limit(t):
-    return cleanse.interpolate(aligned(t), KEYS, "v", "y", limit=2).select("event_type", "ts", "y")
+    return cleanse.interpolate(aligned(t), KEYS, "v", "y", limit=2, bucket=BUCKET).select("event_type", "ts", "y")
 
 
 @query(
@@ -204,7 +208,7 @@ def interp_limit(t):
     )
 )
 def seasonal_fill(t):
-    return cleanse.seasonal_fill(aligned(t), KEYS, "v", "y").select("event_type", "ts", "y", "y_imputed")
+    return cleanse.seasonal_fill(aligned(t), KEYS, "v", "y", bucket=BUCKET).select("event_type", "ts", "y", "y_imputed")
 
 
 _HAMPEL = (
@@ -216,7 +220,7 @@ _HAMPEL = (
 
 @query(sql("FROM h3", *FILLED, *_HAMPEL, event_type="event_type", ts="ts", rolling_median="~med", rolling_mad="~mad", is_outlier="coalesce(dev > 3.0 * 1.4826 * mad, false)"))
 def hampel_flags(t):
-    return cleanse.hampel_flags(filled(t), KEYS, "y", k=3.0).select("event_type", "ts", "rolling_median", "rolling_mad", "is_outlier")
+    return cleanse.hampel_flags(filled(t), KEYS, "y", k=3.0, bucket=BUCKET).select("event_type", "ts", "rolling_median", "rolling_mad", "is_outlier")
 
 
 @query(
@@ -227,7 +231,7 @@ def hampel_flags(t):
     )
 )
 def cleansing_report(t):
-    rows = cleanse.hampel_flags(filled(t), KEYS, "y", k=3.0).withColumn("imputed", F.col("v").isNull() | F.col("is_outlier"))
+    rows = cleanse.hampel_flags(filled(t), KEYS, "y", k=3.0, bucket=BUCKET).withColumn("imputed", F.col("v").isNull() | F.col("is_outlier"))
     return cleanse.cleansing_report(rows, KEYS, "v", "is_outlier", "imputed")
 
 
@@ -406,13 +410,14 @@ def degree_days(t):
 @query(sql("FROM a", *SERIES, event_type="event_type", ts="ts", **{f"{k}_mean{w}": f"~avg({x}) OVER {W} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in (48, 96) for k, x in (("cooling", "CASE WHEN v IS NOT NULL THEN greatest(v - 20.5, 0) END"), ("heating", "CASE WHEN v IS NOT NULL THEN greatest(16.5 - v, 0) END"))}))
 def thermal_roll(t):
     degrees = features.degree_days(F.col("v"))
-    return aligned(t).select("event_type", "ts", *[features.trailing_mean(degrees[k], KEYS, w).alias(f"{k}_mean{w}") for w in features.THERMAL for k in ("cooling", "heating")])
+    means = lambda rows, by: rows.withColumns({f"{k}_mean{w}": features.trailing_mean(degrees[k], by, w) for w in features.THERMAL for k in ("cooling", "heating")})
+    return buckets.in_buckets(aligned(t), KEYS, max(features.THERMAL) - 1, 0, BUCKET_STEPS, means).drop("v")
 
 
 @query(sql("FROM a", *SERIES, event_type="event_type", ts="ts", lag48=f"~lag(v, 48) OVER {W})", lag336=f"~lag(v, 336) OVER {W})"))
 def demand_lags(t):
-    w = timegrid.order(KEYS)
-    return aligned(t).select("event_type", "ts", F.lag("v", 48).over(w).alias("lag48"), F.lag("v", 336).over(w).alias("lag336"))
+    lags = lambda rows, by: rows.withColumns({f"lag{k}": F.lag("v", k).over(timegrid.order(by)) for k in (48, 336)})
+    return buckets.in_buckets(aligned(t), KEYS, 336, 0, BUCKET_STEPS, lags).drop("v")
 
 
 # Public holidays of New South Wales, 1995 to 2001, with weekend substitutes.
