@@ -4,9 +4,10 @@ Input: rows (k, fp) that put distinct sets into buckets, and rows (fp, shingles)
 
 1. Each bucket's members are compared with its centre, the member that shares most buckets with others (edits give a set buckets of its own, so it is
    the least edited one). What that links is contracted; a large group of near copies is one component after this.
-2. Buckets that still hold several components get their members' sets, each once a bucket, and are searched there: pairs of different components
-   are compared and a link is written only where it joins two, so that a bucket of m members writes less than m rows, however many pairs it compares.
-   A bucket of more than ``TILE`` shingles is cut into blocks by hash, and each pair of blocks is a task's work of its own, at most two blocks in memory.
+2. Members of buckets that still hold several components are searched where their sets meet: pairs of different components are compared and a link is
+   written only where it joins two, so that m members write less than m rows, however many pairs are compared. Buckets that share members form
+   clusters. A cluster is cut by hash into blocks of at most ``TILE`` shingles and ``MEMBERS`` members, and each pair of blocks is a task's work of its own, so that a set is
+   sent once for each block and not once for each bucket. A cluster of more than ``MOST_BLOCKS`` blocks is taken apart again into its buckets, cut in the same way.
 
 No bucket is held whole, no candidate pair is written in the second round, and no pair that shares a bucket is left out unless a link found
 before already joins it. Joins on hot keys have plain exchanges on both sides (aggregates are parted by checkpoints), which adaptive execution splits.
@@ -18,14 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import checkpoint, partitions
 from .simhash import components
 
-#: Shingles of a block of a bucket's members; a task holds two such blocks.
-TILE = 2_000_000
+#: Shingles and members of a block; a task holds two such blocks. Blocks of a cluster that is searched as a whole.
+TILE, MEMBERS = 2_000_000, 1024
+MOST_BLOCKS = 12
 
 
 def similar(shared, total, per_cent: int):
@@ -118,17 +120,34 @@ def joining_links(fp: np.ndarray, root: np.ndarray, side: np.ndarray, values: np
     return a, b
 
 
-def within(rest: DataFrame, sets: DataFrame, per_cent: int, tile: int = TILE) -> DataFrame:
+def _blocks(tile: int, members: int) -> Column:
+    """How many blocks the rows of a group with a column ``size`` need."""
+    return F.greatest(F.ceil(F.sum("size") / F.lit(tile)), F.ceil(F.count(F.lit(1)) / F.lit(members)), F.lit(1).cast("long")).alias("blocks")
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Rows (tile, fp, root, side) from rows (k, fp, root, blocks): each member in a tile for each block of its group."""
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    dealt = rows.withColumn("own", own).select("k", "fp", "root", "own", F.explode(pair).alias("t"))
+    # Equal hashes of two tiles would only add comparisons.
+    return dealt.select(F.xxhash64("k", "t.i", "t.j").alias("tile"), "fp", "root", F.when(F.col("t.i") == F.col("t.j"), 0).when(F.col("own") == F.col("t.i"), 1).otherwise(2).alias("side"))
+
+
+def within(rest: DataFrame, sets: DataFrame, per_cent: int, tile: int = TILE, members: int = MEMBERS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """Rows (a, b): links between members of a bucket that join different components; ``rest``: rows (k, fp, root)."""
     n = partitions(rest)
     size = checkpoint(sets.select("fp", F.size("shingles").alias("size")))
-    sized = checkpoint(rest.join(size, "fp"))
-    blocks = checkpoint(sized.groupBy("k").agg(F.ceil(F.sum("size") / F.lit(tile)).alias("blocks")))
-    placed = sized.join(blocks, "k").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    dealt = placed.select("k", "fp", "root", "own", F.explode(pair).alias("t"))
-    # Equal hashes of two tiles would only add comparisons.
-    tiles = dealt.select(F.xxhash64("k", "t.i", "t.j").alias("tile"), "fp", "root", F.when(F.col("t.i") == F.col("t.j"), 0).when(F.col("own") == F.col("t.i"), 1).otherwise(2).alias("side"))
+    hubs = checkpoint(rest.groupBy("k").agg(F.min("fp").alias("b")))
+    clusters = roots_of(rest.join(hubs, "k").select(F.col("fp").alias("a"), "b").filter("a != b")).withColumnRenamed("root", "cluster")
+    named = checkpoint(checkpoint(rest.select("fp", "root").distinct()).join(size, "fp").join(clusters, "fp"))
+    sized = checkpoint(named.groupBy("cluster").agg(_blocks(tile, members)))
+    placed = named.join(sized, "cluster")
+    tiles = checkpoint(_tiles(placed.filter(F.col("blocks") <= most_blocks).withColumnRenamed("cluster", "k")))
+    large = checkpoint(placed.filter(F.col("blocks") > most_blocks).select("fp", "size"))
+    if not large.isEmpty():
+        rows = checkpoint(rest.join(large, "fp"))
+        tiles = checkpoint(tiles.unionByName(_tiles(rows.join(checkpoint(rows.groupBy("k").agg(_blocks(tile, members))), "k"))))
 
     def run(batches):
         for _, fp, root, side, values, counts in runs(batches, 5):
@@ -136,12 +155,12 @@ def within(rest: DataFrame, sets: DataFrame, per_cent: int, tile: int = TILE) ->
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    carried = checkpoint(tiles).join(sets, "fp").select("tile", "fp", "root", "side", "shingles")
+    carried = tiles.join(sets, "fp").select("tile", "fp", "root", "side", "shingles")
     return checkpoint(carried.repartition(n, "tile").sortWithinPartitions("tile", "fp").mapInArrow(run, "a long, b long").distinct())
 
 
-def linked_roots(buckets: DataFrame, sets_of, per_cent: int, tile: int = TILE, more: DataFrame | None = None) -> DataFrame:
-    """Rows (fp, root) of all sets that links join. ``sets_of``: a function from rows (fp) to rows (fp, shingles) of at least these; ``more``: candidate pairs (a, b) besides."""
+def linked_roots(buckets: DataFrame, sets_of, per_cent: int, more: DataFrame | None = None, **how) -> DataFrame:
+    """Rows (fp, root) of all sets that links join. ``sets_of``: a function from rows (fp) to rows (fp, shingles) of at least these; ``more``: candidate pairs (a, b) besides; ``how``: the sizes of :func:`within`."""
     met = checkpoint(centred(buckets))
     stars = met.filter("fp != centre").select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
     stars = checkpoint((stars if more is None else stars.unionByName(more)).distinct())
@@ -154,5 +173,5 @@ def linked_roots(buckets: DataFrame, sets_of, per_cent: int, tile: int = TILE, m
     rest = checkpoint(open_rows.join(parted, "k"))
     if rest.isEmpty():
         return roots
-    found = within(rest, sets, per_cent, tile)
+    found = within(rest, sets, per_cent, **how)
     return roots if found.isEmpty() else roots_of(edges.unionByName(found))

@@ -78,8 +78,8 @@ def _once(fp: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return use & (counts > 0)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, per_cent: int = PER_CENT, bands: int = BANDS, rows: int = ROWS, tile: int | None = None) -> DataFrame:
-    """One row for each row of ``docs``: id, row_key, n_shingles, component_id (the smallest id reachable over links), root (a set that stands for the component; of an empty set its row's key) and copies."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, per_cent: int = PER_CENT, bands: int = BANDS, rows: int = ROWS, **how) -> DataFrame:
+    """One row for each row of ``docs``: id, row_key, n_shingles, component_id (the smallest id reachable over links), root (a set that stands for the component; of an empty set its row's key). ``how``: the sizes of :func:`linking.within`."""
     told = docs.select(F.col(doc_id).cast("long").alias("id"), row_key(doc_id, text).alias("row_key"), F.col(text).cast("string").alias("text"))
 
     def prints_of(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -97,7 +97,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     prints = checkpoint(map_text(told, "text", prints_of, "id long, row_key long, fp long, n_shingles long"))
     signed = checkpoint(map_text(told.select("text"), "text", keys_of, "fp long, keys array<long>").dropDuplicates(["fp"]))
-    roots = linked_roots(signed.select(F.explode("keys").alias("k"), "fp"), lambda wanted: sets_with(told, wanted, width), per_cent, **({"tile": tile} if tile else {}))
+    roots = linked_roots(signed.select(F.explode("keys").alias("k"), "fp"), lambda wanted: sets_with(told, wanted, width), per_cent, **how)
     # The empty set links nothing: its rows stand alone. A component, or a set, may have a third of all rows; checkpoints part joins from aggregates.
     some = prints.filter("n_shingles > 0")
     least = checkpoint(some.groupBy("fp").agg(F.min("id").alias("least")).join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))

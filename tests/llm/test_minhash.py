@@ -52,10 +52,10 @@ def found(spark, rows, **how):
     return sorted((str(r["id"]), r["n_shingles"], str(r["component_id"])) for r in minhash.near_duplicates(docs, **how).collect())
 
 
-@pytest.mark.parametrize(("seed", "tile"), [(1, None), (2, 300)])
-def test_components_equal_brute_force(spark, seed, tile):
+@pytest.mark.parametrize(("seed", "how"), [(1, {}), (2, {"tile": 300, "most_blocks": 1}), (3, {"members": 30})])
+def test_components_equal_brute_force(spark, seed, how):
     rows = corpus(seed)
-    got = found(spark, rows, tile=tile)
+    got = found(spark, rows, **how)
     want = brute(rows)
     assert sum(w[0] != w[2] for w in want) > 40 and got == want
 
@@ -80,14 +80,15 @@ def test_copies_of_many_kinds_write_rows_in_proportion(spark):
     assert found(spark, told) == brute(told)
 
 
-def test_one_bucket_of_many_unlinked_sets_is_cut_into_tiles(spark):
+@pytest.mark.parametrize("most_blocks", [1, 1000])
+def test_one_bucket_of_many_unlinked_sets_is_cut_into_tiles(spark, most_blocks):
     """A third of all sets in one bucket: no task holds more than two tiles' shingles, and links across tiles are found."""
     rng = np.random.default_rng(5)
     sets = [(int(i), sorted(rng.integers(0, 1 << 40, 20).tolist())) for i in range(600)]
     sets += [(int(i) + 1000, [*s[:-1], 7]) for i, s in sets[::6]]
     table = spark.createDataFrame(sets, "fp long, shingles array<long>")
     rest = table.select(F.lit(1).cast("long").alias("k"), "fp", F.col("fp").alias("root"))
-    got = {(r.a, r.b) for r in linking.within(rest, table, 80, 500).collect()}
+    got = {(r.a, r.b) for r in linking.within(rest, table, 80, 500, 100, most_blocks).collect()}
     assert got == {(i, i + 1000) for i, _ in sets[:600:6]}
 
 
