@@ -28,6 +28,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint whose size estimate starts anew, for loops.
+
+    A checkpoint keeps the estimate of the plan that made it, and a join's is the product of its sides', so that in a loop of joins its digits grow exponentially until planning itself
+    takes minutes and gigabytes. Rows pass through their public form, which is cheap for narrow ones.
+    """
+    spark, kept = df.sparkSession, checkpoint(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.javaRDD(), kept._jdf.schema()), spark)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

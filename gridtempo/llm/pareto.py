@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import checkpoint
+from ._shared import checkpoint, settled
 
 MOST, BLOCK = 24, 32_768
 #: Scopes whose counts are broadcast; more are joined by a shuffle.
@@ -193,7 +193,7 @@ def _by_slabs(rows: DataFrame, scope: str, dims: list[str], most: int, block: in
 
     told = state.withColumn("old", F.lit(True)).withColumn("rose", F.lit(True))
     for _ in range(most + 2):
-        state = checkpoint(told.groupBy(scope, "slab").applyInArrow(solve, f"{kinds}, slab int, layer long, rose boolean"))
+        state = settled(told.groupBy(scope, "slab").applyInArrow(solve, f"{kinds}, slab int, layer long, rose boolean"))
         moved = checkpoint(state.filter("rose").select(scope, "slab").distinct()) if _ else slabs
         open_pairs = pairs.join(moved, [scope, "slab"], "left_semi")
         sent = state.filter(F.col("layer") <= most).join(open_pairs, [scope, "slab"]).select(scope, *dims, "slab", "later", "layer", F.lit(True).alias("source"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from ._shared import checkpoint, map_text, partitions, row_key
+from ._shared import checkpoint, map_text, partitions, row_key, settled
 from ._words import Words
 
 SEED = 42
@@ -234,7 +234,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         h = F.xxhash64("u", "v")
         return tuple(df.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
 
-    now = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    now = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     before = state(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -242,7 +242,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = checkpoint(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         down = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u")
-        step = checkpoint(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct())
+        step = settled(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct())
         now, last, before = step, before, state(step)
         if last == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
