@@ -42,15 +42,40 @@ def corpus(seed, texts=20, copies=12):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_brute_force(spark, seed):
-    texts = corpus(seed)
-    found = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+def groups(spark, texts, **how):
     by = {}
-    for r in found:
+    for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **how).collect():
         by.setdefault(r.root, set()).add(r.id)
+    return {frozenset(g) for g in by.values()}
+
+
+@pytest.mark.parametrize(("seed", "crowded"), [(1, jaccard.CROWDED), (2, 5)])
+def test_components_equal_brute_force(spark, seed, crowded):
+    """Crowded: buckets pass in pieces of a few rows."""
+    texts = corpus(seed)
+    want = brute_groups(texts)
+    assert any(len(g) > 1 for g in want) and groups(spark, texts, crowded=crowded) == want
+
+
+def test_copies_changed_at_one_of_18_places(spark):
+    """Copies of a place are alike, those of different places just not: 18 components in the same buckets, and no candidate pair is written for them."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[: 5 + 3 * (i % 18)], f"x{i % 18}y{i % 54}", *words[6 + 3 * (i % 18) :]]) for i in range(240)]
     want = brute_groups(texts)
-    assert any(len(g) > 1 for g in want) and {frozenset(g) for g in by.values()} == want
+    assert groups(spark, texts, crowded=20) == want and len(want) >= 18
+
+
+def test_pieces_of_crowded_buckets():
+    """Every row passes once, in order; whole buckets are unflagged, crowded ones come in pieces that begin with their bucket."""
+    import pyarrow as pa
+
+    k = [1, 1, 2] + [3] * 17 + [4] + [5] * 9
+    for step in (1, 4, 40):
+        batches = [pa.RecordBatch.from_arrays([pa.array(k[i : i + step]), pa.array(range(i, min(i + step, len(k))))], ["k", "i"]) for i in range(0, len(k), step)]
+        seen = list(jaccard._pieces(batches, 5))
+        assert [x for (_, i), _ in seen for x in i.tolist()] == list(range(len(k)))
+        assert {x for (c, _), crowded in seen if crowded for x in c.tolist()} <= {3, 4, 5} and all(len(c) <= 5 + step for (c, _), crowded in seen if crowded)
+        assert all(set(c.tolist()) <= {1, 2, 4} for (c, _), crowded in seen if not crowded) or step == 40
 
 
 def test_given_documents_equal_brute_force(spark, sf_dir):
