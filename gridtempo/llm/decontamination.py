@@ -200,9 +200,9 @@ def best_window(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int
     return int((sums[width:] - sums[:-width]).max()), width
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Rows (id, row_key, item_id, matched, width) for every document and item that overlap."""
-    table = checkpoint(items(benchmark, item_id, item_text))
+def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 1) -> DataFrame:
+    """Rows (id, row_key, item_id, matched, width) for every document and item of ``least`` tokens or more that overlap."""
+    table = checkpoint(items(benchmark, item_id, item_text).filter(F.octet_length("tokens") >= 8 * least))
     hashes = checkpoint(seeds(table))
     lengths = sorted(r[0] for r in table.select((F.octet_length("tokens") / 8).cast("int").alias("n")).filter(F.col("n").between(1, WINDOW - 1)).distinct().collect())
     shared = docs.sparkSession.sparkContext.broadcast(hash_filter(hashes))
@@ -227,6 +227,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = SHORT) -> DataFrame:
     """``docs`` without the documents that overlap with an item of ``least`` tokens or more."""
-    found = overlaps(docs, benchmark, doc_id, text, item_id, item_text)
-    leaked = found.filter(F.col("width") >= least).select(F.col("row_key").alias("__row_key")).distinct()
+    leaked = overlaps(docs, benchmark, doc_id, text, item_id, item_text, least).select(F.col("row_key").alias("__row_key")).distinct()
     return docs.withColumn("__row_key", row_key(doc_id, text)).join(leaked, "__row_key", "left_anti").drop("__row_key")

@@ -331,8 +331,11 @@ def deep_prefixes(windows: DataFrame, n: int) -> DataFrame:
 
 
 def _shared_prefixes(rows: DataFrame, group_rows: int) -> DataFrame:
-    """Rows (row_key, large, keys) of the prefixes that occur twice; large: over ``group_rows`` times."""
-    shared = rows.groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key", (F.col("times") > group_rows).alias("large"))
+    """Rows (row_key, large, keys) of the prefixes that occur twice; large: over ``group_rows`` times.
+
+    The checkpoint parts the join from its aggregate: a prefix may be in a third of all texts, and both sides are plain exchanges, which adaptive execution splits.
+    """
+    shared = checkpoint(rows.groupBy("key").agg(F.sum("times").alias("times")).filter("times > 1").select("key", (F.col("times") > group_rows).alias("large")))
     return rows.select("key", "row_key").join(shared, "key").groupBy("row_key", "large").agg(F.collect_set("key").alias("keys"))
 
 

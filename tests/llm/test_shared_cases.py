@@ -80,3 +80,11 @@ def test_decontamination_of_odd_rows(docs, benchmark):
     assert {(r.id, r.item_id) for r in out} == {(5, 1)}
     assert decontamination.overlaps(docs.limit(0), benchmark).count() == 0
     assert decontamination.overlaps(docs, benchmark.limit(0)).count() == 0
+
+
+def test_items_below_the_least_length_are_left_out_before_the_search(spark):
+    docs = spark.createDataFrame([(i, f"the cat {i} sat on the mat and slept all day") for i in range(5)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "The cat"), (3, "sat on the mat and slept")], "item_id long, text string")
+    assert {r.item_id for r in decontamination.overlaps(docs, items).collect()} == {1, 2, 3}
+    assert {r.item_id for r in decontamination.overlaps(docs, items, least=5).collect()} == {3}
+    assert decontamination.decontaminate(docs, items.filter("item_id < 3")).count() == 5 and decontamination.decontaminate(docs, items).count() == 0
