@@ -42,6 +42,11 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def narrow(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """In as many partitions as at most ``rows`` narrow rows need: of many short steps, a file for each of many empty partitions adds up."""
+    return df.coalesce(max(1, min(partitions(df), 1 + rows // each)))
+
+
 def row_key(*cols: str) -> Column:
     """A 64-bit key of a row's content: rows that share it are interchangeable, so it survives recomputation, repeated ids and null ids."""
     return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in cols])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import checkpoint, partitions
+from ._shared import checkpoint, narrow, partitions
 from .simhash import components
 
 #: Shingles and members of a block; a task holds two such blocks. Blocks of a cluster that is searched as a whole.
@@ -55,7 +55,7 @@ def checked(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 def roots_of(edges: DataFrame) -> DataFrame:
     """Rows (fp, root) for all ends of the edges."""
     found = components(edges)
-    return checkpoint(found.select(F.col("node").alias("fp"), "root").unionByName(found.select(F.col("root").alias("fp"), "root").distinct()))
+    return checkpoint(narrow(found.select(F.col("node").alias("fp"), "root").unionByName(found.select(F.col("root").alias("fp"), "root").distinct()), 2 * found.count()))
 
 
 def runs(batches, columns: int) -> Iterator[list]:
@@ -136,18 +136,18 @@ def _tiles(rows: DataFrame) -> DataFrame:
 
 def within(rest: DataFrame, sets: DataFrame, per_cent: int, tile: int = TILE, members: int = MEMBERS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """Rows (a, b): links between members of a bucket that join different components; ``rest``: rows (k, fp, root)."""
-    n = partitions(rest)
-    size = checkpoint(sets.select("fp", F.size("shingles").alias("size")))
-    hubs = checkpoint(rest.groupBy("k").agg(F.min("fp").alias("b")))
+    n, rows = partitions(rest), rest.count()
+    size = sets.select("fp", F.size("shingles").alias("size"))
+    hubs = checkpoint(narrow(rest.groupBy("k").agg(F.min("fp").alias("b")), rows))
     clusters = roots_of(rest.join(hubs, "k").select(F.col("fp").alias("a"), "b").filter("a != b")).withColumnRenamed("root", "cluster")
-    named = checkpoint(checkpoint(rest.select("fp", "root").distinct()).join(size, "fp").join(clusters, "fp"))
-    sized = checkpoint(named.groupBy("cluster").agg(_blocks(tile, members)))
+    named = checkpoint(narrow(checkpoint(narrow(rest.select("fp", "root").distinct(), rows)).join(size, "fp").join(clusters, "fp"), rows))
+    sized = checkpoint(narrow(named.groupBy("cluster").agg(_blocks(tile, members)), rows))
     placed = named.join(sized, "cluster")
-    tiles = checkpoint(_tiles(placed.filter(F.col("blocks") <= most_blocks).withColumnRenamed("cluster", "k")))
-    large = checkpoint(placed.filter(F.col("blocks") > most_blocks).select("fp", "size"))
+    tiles = checkpoint(narrow(_tiles(placed.filter(F.col("blocks") <= most_blocks).withColumnRenamed("cluster", "k")), rows * most_blocks))
+    large = checkpoint(narrow(placed.filter(F.col("blocks") > most_blocks).select("fp", "size"), rows))
     if not large.isEmpty():
-        rows = checkpoint(rest.join(large, "fp"))
-        tiles = checkpoint(tiles.unionByName(_tiles(rows.join(checkpoint(rows.groupBy("k").agg(_blocks(tile, members))), "k"))))
+        crowd = checkpoint(rest.join(large, "fp"))
+        tiles = checkpoint(tiles.unionByName(_tiles(crowd.join(checkpoint(crowd.groupBy("k").agg(_blocks(tile, members))), "k"))))
 
     def run(batches):
         for _, fp, root, side, values, counts in runs(batches, 5):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from ._shared import checkpoint, map_text, partitions, row_key, settled
+from ._shared import checkpoint, map_text, narrow, partitions, row_key, settled
 from ._words import Words
 
 SEED = 42
@@ -237,12 +237,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     before = state(now)
     for _ in range(max_rounds):
+        size = 2 * before[0]
+        now = narrow(now, size)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = checkpoint(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        down = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = checkpoint(narrow(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), size))
+        large = checkpoint(narrow(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), size))
+        down = checkpoint(narrow(large.groupBy("u").agg(F.min("v").alias("m")), size))
         small = large.join(down, "u")
-        step = settled(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct())
+        step = settled(narrow(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct(), size))
         now, last, before = step, before, state(step)
         if last == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
