@@ -107,31 +107,6 @@ def joint_kl(p: DataFrame, q: DataFrame, vector: str) -> float:
     return gaussian_kl(*moments(p, vector), *moments(q, vector))
 
 
-def knn_kl(p: np.ndarray, q: np.ndarray, k: int = 5, chunk: int = 512) -> float:
-    """The k-nearest-neighbour estimate of Wang, Kulkarni and Verdu. Repeated draws have distance zero, which counts as the smallest double."""
-    if len(p) <= k or len(q) < k:
-        raise ValueError("too few draws")
-
-    def distance(a: np.ndarray, b: np.ndarray, nth: int) -> np.ndarray:
-        out = [np.partition(np.sqrt(np.maximum(((a[i : i + chunk, None, :] - b[None, :, :]) ** 2).sum(-1), 0)), nth, axis=1)[:, nth] for i in range(0, len(a), chunk)]
-        return np.concatenate(out)
-
-    own, other = distance(p, p, k), distance(p, q, k - 1)
-    own, other = np.maximum(own, np.finfo(float).tiny), np.maximum(other, np.finfo(float).tiny)
-    return float(p.shape[1] * np.mean(np.log(other / own)) + math.log(len(q) / (len(p) - 1)))
-
-
-def knn_kl_by(rows: DataFrame, by: list[str], side: str, vector: str, k: int = 5) -> DataFrame:
-    """Per group, between its draws of side 0 and of side 1."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = (np.stack(pdf.loc[pdf[side] == s, vector].to_numpy()).astype(float) for s in (0, 1))
-        return pd.DataFrame([[*pdf[by].iloc[0], knn_kl(p, q, k)]], columns=[*by, "kl"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in by)
-    return rows.select(*by, side, vector).groupBy(*by).applyInPandas(run, f"{schema}, kl double")
-
-
 def noise_floor(rows: DataFrame, by: list[str], vector: str, repeats: int = 20, seed: int = 0) -> DataFrame:
     """Mean and spread of the joint KL between random disjoint halves of the same draws."""
 

@@ -6,14 +6,18 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import mathx
+from ..lineage import checkpoint
 
-#: Differences held at a time between a group's draws.
-PAIR_CELLS = 4_000_000
+#: Distances held at a time, and draws of a block.
+PAIR_CELLS, DRAWS = 2_000_000, 2048
+#: Squared distances below this part of the vectors' squared lengths are computed from differences.
+CLOSE = 1e-4
 
 
 def crps_gaussian(y: str, mean: str, sd: str) -> str:
@@ -39,19 +43,55 @@ def log_score_samples(draws: DataFrame, by: list[str], value: str, y: str) -> Da
     return moments.select(*by, mathx.col(log_score_gaussian("y", "m", "s")).alias("log_score"))
 
 
-def energy_score(paths: DataFrame, by: list[str], path: str, y: str, chunk: int = 256) -> DataFrame:
-    """Whole paths (arrays): mean distance to the outcome less half the mean distance of all pairs. A task holds one group's draws."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf[path].to_numpy()).astype(float)
-        target = np.asarray(pdf[y].iloc[0], dtype=float)
-        at_once = max(1, min(chunk, PAIR_CELLS // max(1, x.size)))
-        total = sum(np.sqrt(np.maximum(((x[a : a + at_once, None, :] - x[None, :, :]) ** 2).sum(-1), 0)).sum() for a in range(0, len(x), at_once))
-        score = np.sqrt(((x - target) ** 2).sum(1)).mean() - 0.5 * total / len(x) ** 2
-        return pd.DataFrame([[*pdf[by].iloc[0], score]], columns=[*by, "energy_score"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in paths.schema if f.name in by)
-    return paths.select(*by, path, y).groupBy(*by).applyInPandas(run, f"{schema}, energy_score double")
+def energy_score(paths: DataFrame, by: list[str], path: str, y: str, block: int = DRAWS) -> DataFrame:
+    """Whole paths (arrays): mean distance to the outcome less half the mean distance of all pairs.
+
+    A group's draws are dealt by hash into blocks of about ``block``; each pair of blocks is a task's work of its own and sends one partial sum, so that no task holds a group.
+    The work grows with the square of a group's draws, which is the definition's own, the rows sent with their number times that of blocks.
+    """
+    x = F.col(path).cast("array<double>")
+    away = F.sqrt(F.aggregate(F.zip_with(x, F.col(y).cast("array<double>"), lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda t, v: t + v))
+    rows = paths.select(*by, x.alias("__x"), away.alias("__away"))
+    sizes = checkpoint(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.avg("__away").alias("__first")))
+    blocks = F.ceil(F.col("__n") / F.lit(block))
+    key = F.struct(*by)
+    named = sizes.select(key.alias("__key"), blocks.alias("__blocks"))
+    dealt = rows.select(key.alias("__key"), "__x").join(named, "__key").withColumn("__own", F.pmod(F.xxhash64("__x"), F.col("__blocks")))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1), lambda o: F.struct(F.least("__own", o).alias("i"), F.greatest("__own", o).alias("j")))
+    tiles = dealt.select("__key", "__own", "__x", F.explode(pair).alias("__t")).select("__key", "__own", "__x", "__t.i", "__t.j")
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = table.column("__x").combine_chunks()
+        x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+        own, i, j = table.column("__own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        total = distances(x, x) if i == j else 2 * distances(x[own == i], x[own == j])
+        kind = pa.struct([f.with_nullable(True) for f in table.schema.field("__key").type])
+        return pa.table([pa.array([table.column("__key")[0].as_py()], kind), pa.array([total])], names=["__key", "__total"])
+
+    sums = tiles.groupBy("__key", "i", "j").applyInArrow(run, f"__key {dealt.schema['__key'].dataType.simpleString()}, __total double").groupBy("__key").agg(F.sum("__total").alias("__total"))
+    score = F.col("__first") - F.col("__total") / (2 * F.col("__n") * F.col("__n"))
+    return sizes.withColumn("__key", key).join(sums, "__key").select(*by, score.alias("energy_score"))
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> float:
+    """The sum of the distances between all rows of ``a`` and of ``b``, in runs of bounded memory."""
+    if not len(a) or not len(b):
+        return 0.0
+    at_once, centre = max(1, PAIR_CELLS // len(b)), b.mean(axis=0)
+    a, b = a - centre, b - centre
+    own, other = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    total = 0.0
+    for k in range(0, len(a), at_once):
+        part = a[k : k + at_once]
+        scale = own[k : k + at_once, None] + other
+        square = np.maximum(scale - 2 * part @ b.T, 0)
+        # Where the product cancels, as for repeated draws, the differences themselves are taken.
+        r, c = np.nonzero(square < CLOSE * scale)
+        for m in range(0, len(r), max(1, PAIR_CELLS // a.shape[1])):
+            near = slice(m, m + max(1, PAIR_CELLS // a.shape[1]))
+            square[r[near], c[near]] = ((part[r[near]] - b[c[near]]) ** 2).sum(axis=1)
+        total += float(np.sqrt(square).sum())
+    return total
 
 
 def pinball(y: Column, q: Column, level: Column) -> Column:

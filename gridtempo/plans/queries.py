@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import mathx
-from ..operators import buckets, calibration, cleanse, convergence, diagnostics, features, forecasters, gates, innovations, models, ranking, reports, scenarios, scores, splits, timegrid
+from ..operators import buckets, calibration, cleanse, convergence, diagnostics, features, forecasters, gates, innovations, models, neighbours, ranking, reports, scenarios, scores, splits, timegrid
 
 KEYS = ["event_type"]
 SYDNEY, BRISBANE = "Australia/Sydney", "Australia/Brisbane"
@@ -954,7 +954,7 @@ def bootstrap(t):
 @query()
 def knn_kl(t):
     rows = t("embeddings").select((F.col("label") % 3).alias("g"), (F.col("vec_id") % 2).alias("side"), F.col("embedding").cast("array<double>").alias("v"))
-    return diagnostics.knn_kl_by(rows, ["g"], "side", "v")
+    return neighbours.knn_kl(rows, ["g"], "side", "v")
 
 
 @query()

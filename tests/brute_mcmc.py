@@ -1,4 +1,4 @@
-"""R-hat and effective sizes of chains held whole in NumPy, for comparison."""
+"""R-hat, effective sizes and neighbour estimates of draws held whole in NumPy, for comparison."""
 
 import math
 from statistics import NormalDist
@@ -57,3 +57,17 @@ def summary(x: np.ndarray) -> tuple[float, float, float]:
     low, high = np.quantile(x, [0.05, 0.95])
     tail = min(effective_size(split((x <= low).astype(float))), effective_size(split((x <= high).astype(float))))
     return rank_r_hat(x), effective_size(ranks_to_normal(split(x))), tail
+
+
+def knn_kl(p: np.ndarray, q: np.ndarray, k: int = 5, chunk: int = 512) -> float:
+    """The k-nearest-neighbour estimate of Wang, Kulkarni and Verdu. Repeated draws have distance zero, which counts as the smallest double."""
+    if len(p) <= k or len(q) < k:
+        raise ValueError("too few draws")
+
+    def distance(a: np.ndarray, b: np.ndarray, nth: int) -> np.ndarray:
+        out = [np.partition(np.sqrt(np.maximum(((a[i : i + chunk, None, :] - b[None, :, :]) ** 2).sum(-1), 0)), nth, axis=1)[:, nth] for i in range(0, len(a), chunk)]
+        return np.concatenate(out)
+
+    own, other = distance(p, p, k), distance(p, q, k - 1)
+    own, other = np.maximum(own, np.finfo(float).tiny), np.maximum(other, np.finfo(float).tiny)
+    return float(p.shape[1] * np.mean(np.log(other / own)) + math.log(len(q) / (len(p) - 1)))
