@@ -1,6 +1,6 @@
 """The forecaster contract and its runs over origins and weather variants.
 
-A forecaster is fitted once and forecasts any origins from data before each, plus covariates of the horizon. Forecasts are rows
+A forecaster is fitted once (what it learns is written, a row for each series or half hour of the week) and forecasts any origins from data before each, plus covariates of the horizon. Forecasts are rows
 (keys, origin, step, mean, sd).
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import mathx
+from ..lineage import checkpoint
 from . import innovations, models, scores, splits
 from .features import half_hour_of_day, half_hour_of_week, override
 from .timegrid import order, to_zone
@@ -56,7 +57,7 @@ class SeasonalNaive(Forecaster):
 
     def fit(self, panel: DataFrame) -> SeasonalNaive:
         rows = panel.withColumn("__e", F.col(self.value) - F.lag(self.value, self.season).over(order(self.keys)))
-        self.fitted = rows.groupBy(*self.keys, half_hour_of_week(F.col("ts")).alias("how")).agg(F.stddev_samp("__e").alias("sd"))
+        self.fitted = checkpoint(rows.groupBy(*self.keys, half_hour_of_week(F.col("ts")).alias("how")).agg(F.stddev_samp("__e").alias("sd")))
         self.naive_error = rows.groupBy(*self.keys).agg(F.avg(F.abs("__e")).alias("naive_error"))
         return self
 
@@ -78,7 +79,7 @@ class ArRegression(Forecaster):
         self.features, self.p, self.derive = features, p, derive or (lambda rows: rows)
 
     def fit(self, panel: DataFrame) -> ArRegression:
-        self.fitted = models.ar_regression(panel, self.keys, self.value, self.features, self.p)
+        self.fitted = checkpoint(models.ar_regression(panel, self.keys, self.value, self.features, self.p))
         return self
 
     def forecast(self, panel: DataFrame, origins: DataFrame, overrides: DataFrame | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import mathx
+from ..lineage import checkpoint
 from ..operators import buckets, calibration, cleanse, convergence, diagnostics, features, forecasters, gates, innovations, models, neighbours, ranking, reports, scenarios, scores, splits, timegrid
 
 KEYS = ["event_type"]
@@ -451,7 +452,8 @@ def panel(t) -> DataFrame:
     rows = filled(t)
     one = lambda kind, name: rows.filter(F.col("event_type") == kind).select("ts", F.col("y").alias(name))
     out = one("purchase", "demand_mw").join(one("view", "temp"), "ts").join(one("click", "temp_fc"), "ts")
-    return out.select(F.lit("all").alias("event_type"), "*").withColumns({"dew": F.col("temp") - 5, "dni": F.lit(0.0), "dhi": F.lit(0.0), "wind": F.col("temp") / 2, "apptemp": F.col("temp") - 1, "is_holiday": F.lit(False)})
+    # Written once; besides, a literal key would let the optimiser turn joins on it into products of all rows.
+    return checkpoint(out.select(F.lit("all").alias("event_type"), "*").withColumns({"dew": F.col("temp") - 5, "dni": F.lit(0.0), "dhi": F.lit(0.0), "wind": F.col("temp") / 2, "apptemp": F.col("temp") - 1, "is_holiday": F.lit(False)}))
 
 
 PANEL = (*FILLED, "pn AS (SELECT ts, p.y AS demand_mw, w.y AS temp, c.y AS temp_fc FROM (SELECT * FROM f WHERE event_type = 'purchase') p JOIN (SELECT * FROM f WHERE event_type = 'view') w USING (ts) JOIN (SELECT * FROM f WHERE event_type = 'click') c USING (ts))")
