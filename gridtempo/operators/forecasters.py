@@ -135,6 +135,7 @@ def simulated_errors(model: DataFrame, cases: DataFrame, keys: list[str], variab
     rows = cases.join(schedule, keys).withColumns({"__first": first, "__ns": F.unix_micros(F.col("origin").cast("timestamp")) * 1000})
 
     def path(case: dict, series: list) -> np.ndarray:
+        # What seeds a path, and in which order.
         tokens = [int(case["seed"]), int(case["__ns"]) % 2**31, variable, round(10 * case["multiplier"])]
         z = np.random.default_rng(tokens + [zlib.crc32(str(k).encode()) for k in series]).standard_normal(steps)
         schedule = np.asarray(case["__sigma"], dtype=float)

@@ -27,7 +27,10 @@ def horizon(origins: DataFrame, keys: list[str], steps: int = 48, seconds: int =
 
 
 def balanced_permutation(n: int, seed: int) -> list[bool]:
-    """For each of n months whether validation has the early window: half of them, rounded down, by a seeded permutation."""
+    """For each of n months whether validation has the early window: half of them, rounded down, by a seeded permutation.
+
+    Fixed values: the generator, its seed and the order of its calls decide the published splits.
+    """
     early = np.zeros(n, dtype=bool)
     early[: n // 2] = True
     return np.random.default_rng(seed).permutation(early).tolist()

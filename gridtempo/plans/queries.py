@@ -1209,10 +1209,10 @@ def innovations_moments(t):
     for k in (1, 2):
         at = at.withColumns({f"y{k}": F.lag("y_z", k).over(w), f"x{k}": F.lag("x", k).over(w)})
     origin = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
-    ahead = rows.filter((F.col("ts") >= origin) & (F.col("ts") < origin + F.expr("INTERVAL 12 HOURS"))).withColumns({"x": x, "z": F.array("day_sin1")})
+    ahead = rows.filter((F.col("ts") >= origin) & (F.col("ts") < origin + F.expr("INTERVAL 24 HOURS"))).withColumns({"x": x, "z": F.array("day_sin1")})
     design = ahead.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ts", "x", "z"))).alias("d")).select(*KEYS, origin.alias("origin"), F.transform("d", lambda d: d["x"]).alias("xs"), F.transform("d", lambda d: d["z"]).alias("zs"))
     residuals = innovations.origin_residuals(found, at.filter(F.col("ts") == origin).withColumnRenamed("ts", "origin").select(*KEYS, "origin", "y1", "x1", "y2", "x2"), KEYS)
-    moments = innovations.horizon_moments(found, residuals, design, KEYS, 24)
+    moments = innovations.horizon_moments(found, residuals, design, KEYS, 48)
     return scenarios.variance_split(moments, [*KEYS, "step"], "mean", "variance")
 
 
