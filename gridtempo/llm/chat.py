@@ -9,7 +9,8 @@ string, so this settles. The whole rendered conversation is reparsed in the end,
 The loss mask is a list of spans (start from 0, length, in code points of the rendered text), one for each text of an assistant.
 
 Defined results: a null text or role counts as empty; turns with equal or null numbers (nulls first) are ordered by role and text; a null
-conversation id is a conversation; repeated rows are turns of their own; an empty table gives an empty one.
+conversation id is a conversation; repeated rows are turns of their own; an empty table gives an empty one. A conversation's turns
+are held in one row, so that its text is bounded by a row's two gigabytes.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ columns, ``pre`` unchanged, runs of white space elsewhere as one blank.
 Defined results: a null or empty page has an empty text; a page cut anywhere, also within a tag or an entity, renders what is complete
 (an incomplete tag at the end is dropped, also one cut within a quoted value, an incomplete entity is text); of equal formatting elements three are
 reopened at most, as in browsers; a column of a table is padded up to ``WIDEST`` characters;
-repeated pages and null ids have rows like others; an empty table gives an empty one. Nothing is recursive, so depth is unbounded.
+repeated pages and null ids have rows like others; an empty table gives an empty one. Nothing is recursive, so depth is unbounded. Ids are numbers or
+text that reads as such; another id is an error (ANSI cast).
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ rows of the given tables). Words and n-grams are held and found by 64-bit hashes
 
 Words are runs of letters, lower-cased. Defined results: a text without letters or a null one is ``und`` with score 0; without any labelled row
 every text is ``und``; letters the model has never seen score alike in all languages, and the smallest language name wins ties; repeated rows
-count as often as they occur; an empty table gives an empty one.
+count as often as they occur; an empty table gives an empty one. Ids are numbers or
+text that reads as such; another id is an error (ANSI cast).
 """
 
 from __future__ import annotations

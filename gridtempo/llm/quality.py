@@ -11,7 +11,8 @@ Everything else covers all documents.
 
 Defined results: a null or empty text has no words and fails the plain rules; without labelled rows of both kinds, or with no
 document to fit on, the method rejects nothing; repeated labels count as often as they occur, null labels don't; repeated rows have
-rows of their own; an empty table gives an empty one.
+rows of their own; an empty table gives an empty one. Ids are numbers or
+text that reads as such; another id is an error (ANSI cast).
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ eight, and should that not part them, by all 2024 ways to blank three of the 24
 Nothing is dropped at any size. Components are found by alternating stars over checkpointed tables.
 
 Defined results: a null or empty text has no shingle and fingerprint zero, which links like any other; repeated rows are copies
-of one another; a null id has its row, and doesn't count for the smallest id; an empty table gives an empty one.
+of one another; a null id has its row, and doesn't count for the smallest id; an empty table gives an empty one. Ids are numbers or
+text that reads as such; another id is an error (ANSI cast).
 """
 
 from __future__ import annotations

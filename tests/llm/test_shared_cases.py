@@ -88,3 +88,10 @@ def test_items_below_the_least_length_are_left_out_before_the_search(spark):
     assert {r.item_id for r in decontamination.overlaps(docs, items).collect()} == {1, 2, 3}
     assert {r.item_id for r in decontamination.overlaps(docs, items, least=5).collect()} == {3}
     assert decontamination.decontaminate(docs, items.filter("item_id < 3")).count() == 5 and decontamination.decontaminate(docs, items).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n in OPERATORS if n not in ("mixing", "substrings", "sharding")])
+def test_an_id_that_is_no_number_is_an_error(name, spark, labels, benchmark):
+    docs = spark.createDataFrame([("seven", "alpha beta gamma delta", "en", "s1")], "doc_id string, text string, lang string, source string")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        OPERATORS[name](docs, labels, benchmark).collect()
