@@ -35,7 +35,7 @@ from .simhash import keep_first, links, majority
 WIDTH, SIMILARITY = 5, 0.8
 SAMPLE_ROWS, COMMON = 20_000, 100_000
 SMALL = 64
-CROWDED = 65_536
+CROWDED, COMPARED = 65_536, 8_192
 
 
 def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,6 +181,27 @@ def _stars(met: DataFrame, n: int, similarity: float, limit: int = CROWDED) -> D
     return ranked.repartition(n, "k").sortWithinPartitions("k", "rank", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
+def _open(rest: DataFrame, n: int, similarity: float, limit: int = COMPARED) -> DataFrame:
+    """Rows (k, fp, root) of the members that may link to one of another component in their bucket; ``rest``: rows (k, fp, n, pos, root). Buckets of more than ``limit`` rows pass whole."""
+
+    def run(batches):
+        for (k, fp, size, pos, root), crowded in _pieces(batches, limit):
+            use = np.full(len(k), crowded)
+            start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            for s, e in zip(start.tolist(), np.append(start[1:], len(k)).tolist(), strict=True):
+                _, label, many = np.unique(root[s:e], return_inverse=True, return_counts=True)
+                if crowded or len(many) < 2:
+                    continue
+                m, p = size[s:e].astype(np.int64), pos[s:e].astype(np.int64)
+                for x in np.flatnonzero(label != many.argmax()).tolist():
+                    hit = _may_link(similarity, m, p, m[x], p[x]) & (label != label[x])
+                    use[s:e] |= hit
+                    use[s + x] |= hit.any()
+            yield pa.RecordBatch.from_arrays([pa.array(k[use]), pa.array(fp[use]), pa.array(root[use])], ["k", "fp", "root"])
+
+    return rest.repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "k long, fp long, root long")
+
+
 def sets_with(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Rows (fp, shingles) of the wanted sets, and of a few others that share their bits in a filter of 8 MB."""
     word, bit = F.shiftrightunsigned("fp", 44), F.shiftrightunsigned("fp", 38).bitwiseAND(F.lit(63)).cast("int")
@@ -228,9 +249,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     per_cent = round(100 * similarity)
     edges = linking.checked(stars, sets, per_cent)
     roots = linking.roots_of(edges)
-    rest = checkpoint(met.filter("many > 2").select("k", "fp").join(roots, "fp", "left").select("k", "fp", F.coalesce("root", "fp").alias("root")))
-    parted = checkpoint(rest.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("k"))
-    rest = checkpoint(rest.join(parted, "k"))
+    named = met.filter("many > 2").select("k", "fp", "n", "pos").join(roots, "fp", "left").select("k", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+    rest = checkpoint(_open(named, n, similarity))
     if not rest.isEmpty():
         more = linking.within(rest, sets, per_cent)
         roots = roots if more.isEmpty() else linking.roots_of(edges.unionByName(more))
