@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions import mathx
 from ..lineage import checkpoint
-from . import innovations, models, scores, splits
+from . import autoregression, innovations, models, scores, splits
 from .features import half_hour_of_day, half_hour_of_week, override
 from .timegrid import order, to_zone
 
@@ -79,7 +79,7 @@ class ArRegression(Forecaster):
         self.features, self.p, self.derive = features, p, derive or (lambda rows: rows)
 
     def fit(self, panel: DataFrame) -> ArRegression:
-        self.fitted = checkpoint(models.ar_regression(panel, self.keys, self.value, self.features, self.p))
+        self.fitted = checkpoint(autoregression.ar_regression(panel, self.keys, self.value, self.features, self.p))
         return self
 
     def forecast(self, panel: DataFrame, origins: DataFrame, overrides: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Forecasters: seasonal naive, autoregressive-error regression, AR(2) innovations, perturbed weather, boosted quantiles, VI and NUTS.
+"""Forecasters: seasonal naive, AR(2) innovations, perturbed weather, boosted quantiles, VI and NUTS.
 
 Fits are numerical code over one series each (``applyInPandas``), so that many series fit in parallel; forecasts are joins and expressions.
 """
@@ -86,29 +86,6 @@ def perturbation_sample(model: DataFrame, keys: list[str], draws: int, seed: int
     return model.groupBy(*keys).applyInPandas(run, f"{schema}, draw int, error array<double>")
 
 
-def ar_errors_fit(y: np.ndarray, x: np.ndarray, p: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
-    """Regression with AR(p) errors by iterated generalised least squares: beta, phi, innovation spread.
-
-    Rows are on a strict grid. An equation counts if its row and the ``p`` rows before it have no missing value, so that no lag spans a gap.
-    """
-    seen = np.isfinite(y) & np.isfinite(x).all(axis=1)
-    y, x = np.where(seen, y, 0.0), np.where(seen[:, None], x, 0.0)
-    whole = np.logical_and.reduce([seen[p - k : len(y) - k] for k in range(p + 1)])
-    phi = np.zeros(p)
-    for _ in range(rounds):
-        ys = y[p:] - sum(phi[k] * y[p - 1 - k : len(y) - 1 - k] for k in range(p))
-        xs = x[p:] - sum(phi[k] * x[p - 1 - k : len(x) - 1 - k] for k in range(p))
-        beta = np.linalg.lstsq(xs[whole], ys[whole], rcond=None)[0]
-        e = y - x @ beta
-        lagged = np.stack([e[p - 1 - k : len(e) - 1 - k] for k in range(p)], axis=1)[whole]
-        new = np.linalg.lstsq(lagged, e[p:][whole], rcond=None)[0]
-        done = np.abs(new - phi).max() < 1e-9
-        phi = new
-        if done:
-            break
-    return beta, phi, float((e[p:][whole] - lagged @ phi).std(ddof=0))
-
-
 def impulse_response(phi: np.ndarray, horizon: int) -> np.ndarray:
     psi = np.zeros(horizon)
     psi[0] = 1.0
@@ -127,19 +104,6 @@ def carry(phi: np.ndarray, last: np.ndarray, horizon: int) -> np.ndarray:
     return np.array(out)
 
 
-def ar_regression(rows: DataFrame, keys: list[str], y: str, features: list[str], p: int, ts: str = "ts") -> DataFrame:
-    """One row for each series on its strict grid: beta (constant first), phi, sigma."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        x = np.column_stack([np.ones(len(pdf)), pdf[features].to_numpy(dtype=float)])
-        beta, phi, sigma = ar_errors_fit(pdf[y].to_numpy(dtype=float), x, p)
-        return pd.DataFrame([[*pdf[keys].iloc[0], beta.tolist(), phi.tolist(), sigma]], columns=[*keys, "beta", "phi", "sigma"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    return rows.select(*keys, ts, y, *features).groupBy(*keys).applyInPandas(run, f"{schema}, beta array<double>, phi array<double>, sigma double")
-
-
 def ar_paths(model: DataFrame, keys: list[str], horizon: int, draws: int, seed: int, mean: Column | None = None) -> DataFrame:
     """Rows (keys, draw, path): simulated errors ahead, of innovations phi and sigma; each series has draws of its own."""
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import mathx
 from ..lineage import checkpoint
-from ..operators import buckets, calibration, cleanse, convergence, diagnostics, features, forecasters, gates, innovations, models, neighbours, ranking, reports, scenarios, scores, splits, timegrid
+from ..operators import autoregression, buckets, calibration, cleanse, convergence, diagnostics, features, forecasters, gates, innovations, models, neighbours, ranking, reports, scenarios, scores, splits, timegrid
 
 KEYS = ["event_type"]
 SYDNEY, BRISBANE = "Australia/Sydney", "Australia/Brisbane"
@@ -972,20 +972,53 @@ def rhat_ess(t):
     return convergence.mcmc_summary(draws_, ["site"], "chain", "place", "energy")
 
 
+def daily_waves(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    named = features.fourier(features.phases("ts", SYDNEY)[0], 2, "day")
+    return rows.withColumns(named), list(named)
+
+
 @query()
 def ar_regression(t):
-    rows = filled(t)
-    daily, _ = features.phases("ts", SYDNEY)
-    named = features.fourier(daily, 2, "day")
-    return models.ar_regression(rows.withColumns(named), KEYS, "y", list(named), 2).select("event_type", F.get("phi", F.lit(0)).alias("phi1"), F.get("phi", F.lit(1)).alias("phi2"), "sigma")
+    rows, named = daily_waves(filled(t))
+    return autoregression.ar_regression(rows, KEYS, "y", named, 2).select("event_type", F.get("phi", F.lit(0)).alias("phi1"), F.get("phi", F.lit(1)).alias("phi2"), "sigma")
+
+
+@query()
+def ar_orders(t):
+    """Orders 1 to 4 of the errors by the exact likelihood of the readings as they are, gaps left open."""
+    rows, named = daily_waves(aligned(t))
+    rows = checkpoint(rows.select(*KEYS, "ts", "v", *named))
+    fits = [autoregression.ar_regression(rows, KEYS, "v", named, p).withColumn("point", F.lit(p)) for p in (1, 2, 3, 4)]
+    points = checkpoint(fits[0].unionByName(fits[1]).unionByName(fits[2]).unionByName(fits[3]))
+    found = autoregression.ar_log_likelihood(rows, points, KEYS, "v", named)
+    size = F.col("point") + F.lit(len(named) + 2)
+    return found.select("event_type", F.col("point").alias("p"), "n", "log_likelihood", autoregression.akaike(size, F.col("log_likelihood")).alias("aic"))
+
+
+@query(
+    sql(
+        "FROM s GROUP BY event_type, phi", *SERIES,
+        "m AS (SELECT event_type, avg(v) AS level, var_pop(v) AS spread FROM a GROUP BY event_type)",
+        "o AS (SELECT event_type, v - level AS e, spread, lag(v - level) OVER w AS before, date_diff('minute', lag(ts) OVER w, ts) / 30 AS gap FROM a JOIN m USING (event_type) WHERE v IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY ts))",
+        "q AS (SELECT *, e - coalesce(pow(phi, gap) * before, 0) AS r, spread * (1 - coalesce(pow(phi, 2 * gap), 0)) AS var FROM o, (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS phi))",
+        "s AS (SELECT event_type, CAST(phi AS DOUBLE) AS phi, -0.5 * (ln(2 * pi() * var) + r * r / var) AS l FROM q)",
+        event_type="event_type", phi="~phi", n="count(*)", log_likelihood="~sum(l)",
+    )
+)
+def ar_profile(t):
+    """The exact likelihood of AR(1) deviations from the mean, by phi at a fixed spread, gaps left open."""
+    rows = checkpoint(aligned(t).select(*KEYS, "ts", "v"))
+    level = rows.groupBy(*KEYS).agg(F.avg("v").alias("level"), F.var_pop("v").alias("spread"))
+    points = level.withColumn("point", F.explode(F.array(*[F.lit(x) for x in (0.1, 0.3, 0.5, 0.7, 0.9)])))
+    points = points.select(*KEYS, "point", F.array("level").alias("beta"), F.array("point").alias("phi"), F.sqrt(F.col("spread") * (1 - F.col("point") ** 2)).alias("sigma"))
+    found = autoregression.ar_log_likelihood(rows, points, KEYS, "v", [], bucket=BUCKET_STEPS)
+    return found.select("event_type", F.col("point").alias("phi"), "n", "log_likelihood")
 
 
 @query()
 def ar2_paths(t):
-    rows = filled(t)
-    daily, _ = features.phases("ts", SYDNEY)
-    named = features.fourier(daily, 2, "day")
-    model = models.ar_regression(rows.withColumns(named), KEYS, "y", list(named), 2)
+    rows, named = daily_waves(filled(t))
+    model = autoregression.ar_regression(rows, KEYS, "y", named, 2)
     return scenarios.marginal_quantiles(models.ar_paths(model, KEYS, 48, 200, 3), KEYS, "path", [0.05, 0.5, 0.95])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import brute_mcmc
-from gridtempo.operators import calibration, cleanse, diagnostics, features, gates, models, scenarios, scores, splits, timegrid
+from gridtempo.operators import autoregression, calibration, cleanse, diagnostics, features, gates, models, scenarios, scores, splits, timegrid
 
 START = dt.datetime(2025, 6, 1)
 HALF = dt.timedelta(minutes=30)
@@ -201,9 +201,9 @@ def test_ar2_errors_are_recovered(spark):
         e[t] = 0.5 * e[t - 1] + 0.3 * e[t - 2] + rng.normal() * 2
     x = rng.normal(size=n)
     df = spark.createDataFrame(pd.DataFrame({"k": "a", "ts": pd.date_range(START, periods=n, freq="30min"), "x": x, "y": 3 + 2 * x + e}))
-    r = models.ar_regression(df, ["k"], "y", ["x"], 2).first()
+    r = autoregression.ar_regression(df, ["k"], "y", ["x"], 2).first()
     assert r.beta[1] == pytest.approx(2, abs=0.1) and r.phi == pytest.approx([0.5, 0.3], abs=0.05) and r.sigma == pytest.approx(2, abs=0.1)
-    paths = models.ar_paths(models.ar_regression(df, ["k"], "y", ["x"], 2), ["k"], 30, 4000, 1)
+    paths = models.ar_paths(autoregression.ar_regression(df, ["k"], "y", ["x"], 2), ["k"], 30, 4000, 1)
     psi = models.impulse_response(np.array(r.phi), 30)
     sd = paths.select(F.stddev_pop(F.get("path", F.lit(29)))).first()[0]
     assert sd == pytest.approx(r.sigma * math.sqrt((psi**2).sum()), rel=0.06)
