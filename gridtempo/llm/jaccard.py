@@ -183,20 +183,38 @@ def _across(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     return rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "a long, b long")
 
 
-def sets_with(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Rows (fp, shingles) of the wanted sets, and of a few others that share their bits in a filter of 8 MB."""
-    word, bit = F.shiftrightunsigned("fp", 44), F.shiftrightunsigned("fp", 38).bitwiseAND(F.lit(63)).cast("int")
-    told = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).toArrow()
+def _held(fps: DataFrame):
+    """A test for whether numbers are among the first column of ``fps``, or share their bits in a broadcast filter of 8 MB, which is its size for any input."""
+    fp = F.col(fps.columns[0])
+    word, bit = F.shiftrightunsigned(fp, 44), F.shiftrightunsigned(fp, 38).bitwiseAND(F.lit(63)).cast("int")
+    told = fps.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).toArrow()
     bits = np.zeros(1 << 20, dtype=np.uint64)
     bits[told.column(0).to_numpy()] = told.column(1).to_numpy().view(np.uint64)
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    shared = fps.sparkSession.sparkContext.broadcast(bits)
+    return lambda x: (shared.value[(x >> np.uint64(44)).astype(np.int64)] >> (x >> np.uint64(38) & np.uint64(63)) & np.uint64(1)) > 0
+
+
+def _among(sets: DataFrame, fps: DataFrame) -> DataFrame:
+    """Those of the sets that are wanted, and a few others, before they are sent anywhere."""
+    held = _held(fps)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(held(batch.column(0).to_numpy().view(np.uint64))))
+
+    return sets.select("fp", "shingles").mapInArrow(run, "fp long, shingles array<long>")
+
+
+def sets_with(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Rows (fp, shingles) of the wanted sets, and of a few others."""
+    held = _held(wanted)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, doc, counts = shingle_sets(Words(batch.column(0)), width)
         fp = set_prints(values, counts)
         use = np.zeros(len(fp), dtype=bool)
         use[np.unique(fp, return_index=True)[1]] = True
-        use &= (shared.value[(fp >> np.uint64(44)).astype(np.int64)] >> (fp >> np.uint64(38) & np.uint64(63)) & np.uint64(1)) > 0
+        use &= held(fp)
         ends = np.concatenate([[0], np.cumsum(counts[use])]).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(fp[use].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values[use[doc]].view(np.int64)))], ["fp", "shingles"])
 
@@ -204,8 +222,8 @@ def sets_with(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose Jaccard similarity is reached."""
-    of = lambda x: sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"s{x}"))
+    """Those of the pairs (a, b) whose Jaccard similarity is reached. A join is sent the sets of its own side of the pairs alone."""
+    of = lambda x: _among(sets, pairs.select(x)).select(F.col("fp").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     return checkpoint(both.filter(shared >= F.lit(similarity) * (total - shared) - F.lit(1e-9)).select("a", "b"))
