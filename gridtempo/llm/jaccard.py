@@ -11,8 +11,10 @@ common last, and the others by their hash; any order is right, this one keeps co
 bounds what they can share, which drops most pairs unread.
 
 A key's bucket proposes its members against its centre first, the member with the most keys that others share: edits give a set keys of its
-own, so the centre is the least edited one. What that links is contracted, and only members of different components are then proposed
-against each other, so that a large group of copies costs a row each and not a row for each pair.
+own, so the centre is the least edited one. What that links is contracted. Members of different components meet in their bucket with counts of
+their shingles in a few hundred bins, whose common part bounds what two sets share; those that may still be alike are compared where their sets meet
+(:func:`linking.within`), and only links that join two components are written. So a large group of copies writes rows in proportion to its size, linked
+or not. A bucket of more than ``CROWDED`` rows passes through memory in pieces.
 
 Words are told apart by 64-bit hashes, A-Z folded; sets by a 64-bit hash of theirs. Defined results: a null or empty text has the empty set,
 all of which are copies of one another; repeated and null ids and empty tables are as in :mod:`simhash`.
@@ -25,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import linking
 from ._lookup import Lookup
-from ._shared import checkpoint, map_text, partitions, row_key
+from ._shared import checkpoint, map_text, narrow, partitions, row_key
 from ._words import Words, grams, mix
-from .simhash import components, keep_first, links, majority
+from .simhash import keep_first, links, majority
 
 WIDTH, SIMILARITY = 5, 0.8
 SAMPLE_ROWS, COMMON = 20_000, 100_000
 SMALL = 64
+CROWDED, COMPARED, BINS = 65_536, 8_192, 512
 
 
 def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,32 +106,47 @@ def _keyed(rows: DataFrame, width: int, similarity: float) -> DataFrame:
     return map_text(rows.select("text"), "text", run, "k long, fp long, n int, pos int")
 
 
-def _buckets(batches):
-    """Columns of whole buckets, from batches sorted by their first column."""
-    held = []
+def _pieces(batches, limit: int):
+    """(columns of whole buckets, False) from batches sorted by their first column; a bucket of more than ``limit`` rows comes in pieces (columns, True), none held longer than needed."""
+    held, crowded = [], None
     for batch in batches:
-        if not batch.num_rows:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if crowded is not None:
+            more = int(np.searchsorted(now[0], crowded, "right"))
+            if more:
+                yield [c[:more] for c in now], True
+            now = [c[more:] for c in now]
+        if not len(now[0]):
             continue
-        now = [c.to_numpy() for c in batch.columns]
+        crowded = None
         cut = int(np.searchsorted(now[0], now[0][-1], "left"))
         if held and (cut or held[-1][0][-1] != now[0][0]):
-            yield [np.concatenate(c) for c in zip(*held, [c[:cut] for c in now], strict=True)]
+            yield [np.concatenate(c) for c in zip(*held, [c[:cut] for c in now], strict=True)], False
             held = []
         elif cut:
-            yield [c[:cut] for c in now]
+            yield [c[:cut] for c in now], False
         held.append([c[cut:] for c in now])
+        if sum(len(h[0]) for h in held) > limit:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)], True
+            held, crowded = [], now[0][-1]
     if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield [np.concatenate(c) for c in zip(*held, strict=True)], False
 
 
-def _met(keyed: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Rows (k, fp, n, pos, many) of buckets of several sets; in small ones, of those that may link to any."""
+def _met(keyed: DataFrame, n: int, similarity: float, limit: int = CROWDED) -> DataFrame:
+    """Rows (k, fp, n, pos, many) of buckets of several sets; in small ones, of those that may link to any. Of a bucket of more than ``limit`` rows, ``many`` is the limit."""
 
     def run(batches):
-        for k, fp, size, pos in _buckets(batches):
+        last = None
+        for (k, fp, size, pos), crowded in _pieces(batches, limit):
             new = np.ones(len(k), dtype=bool)
+            new[0] = last != (k[0], fp[0])
+            last = (k[-1], fp[-1])
             new[1:] = (k[1:] != k[:-1]) | (fp[1:] != fp[:-1])
             k, fp, size, pos = k[new], fp[new], size[new].astype(np.int64), pos[new].astype(np.int64)
+            if crowded:
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fp), pa.array(size.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(np.full(len(k), limit, np.int32))], ["k", "fp", "n", "pos", "many"])
+                continue
             start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             many = np.diff(np.append(start, len(k)))
             use = np.repeat(many > SMALL, many)
@@ -143,44 +162,84 @@ def _met(keyed: DataFrame, n: int, similarity: float) -> DataFrame:
     return keyed.repartition(n, "k").sortWithinPartitions("k", "fp").mapInArrow(run, "k long, fp long, n int, pos int, many int")
 
 
-def _stars(met: DataFrame, n: int, similarity: float) -> DataFrame:
+def _stars(met: DataFrame, n: int, similarity: float, limit: int = CROWDED) -> DataFrame:
     """Rows (a, b): each bucket's centre and those that may link to it. The centre is the member with the most keys that others share, which is the one least edited."""
     shared = checkpoint(met.groupBy("fp").agg(F.count(F.lit(1)).alias("shared")))
     ranked = met.join(shared, "fp").select("k", (-F.col("shared")).alias("rank"), "fp", "n", "pos")
 
     def run(batches):
-        for k, _, fp, size, pos in _buckets(batches):
+        centre = None
+        for (k, _, fp, size, pos), crowded in _pieces(batches, limit):
+            if crowded and centre and centre[0] == k[0]:  # a bucket's further piece keeps its centre
+                k, fp, size, pos = (np.append(c, x) for c, x in zip(centre, (k, fp, size, pos), strict=True))
             size, pos = size.astype(np.int64), pos.astype(np.int64)
             start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             first = np.repeat(start, np.diff(np.append(start, len(k))))
             may = _may_link(similarity, size, pos, size[first], pos[first]) & (first != np.arange(len(k)))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp, fp[first])[may]), pa.array(np.maximum(fp, fp[first])[may])], ["a", "b"])
+            centre = tuple(c[start[-1] : start[-1] + 1] for c in (k, fp, size, pos))
 
     return ranked.repartition(n, "k").sortWithinPartitions("k", "rank", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(rows: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Rows (a, b): members of a bucket that are of different components and may link."""
+def _open(rest: DataFrame, n: int, similarity: float, limit: int = COMPARED) -> DataFrame:
+    """Those of the rows (k, fp, n, pos, root) that may link to one of another component in their bucket. Buckets of more than ``limit`` rows pass whole."""
 
     def run(batches):
-        for k, fp, size, pos, label in _buckets(batches):
+        for (k, fp, size, pos, root), crowded in _pieces(batches, limit):
+            use = np.full(len(k), crowded)
             start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            found = [], []
             for s, e in zip(start.tolist(), np.append(start[1:], len(k)).tolist(), strict=True):
-                own, inverse, many = np.unique(label[s:e], return_inverse=True, return_counts=True)
-                if len(own) < 2:
+                _, label, many = np.unique(root[s:e], return_inverse=True, return_counts=True)
+                if crowded or len(many) < 2:
                     continue
-                f, m, p = fp[s:e], size[s:e].astype(np.int64), pos[s:e].astype(np.int64)
-                largest = int(np.argmax(many))
-                for x in np.flatnonzero(inverse != largest).tolist():
-                    hit = _may_link(similarity, m, p, m[x], p[x]) & (inverse != inverse[x]) & ((inverse == largest) | (f > f[x]))
-                    if hit.any():
-                        found[0].append(np.minimum(f[hit], f[x]))
-                        found[1].append(np.maximum(f[hit], f[x]))
-            if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["a", "b"])
+                m, p = size[s:e].astype(np.int64), pos[s:e].astype(np.int64)
+                for x in np.flatnonzero(label != many.argmax()).tolist():
+                    hit = _may_link(similarity, m, p, m[x], p[x]) & (label != label[x])
+                    use[s:e] |= hit
+                    use[s + x] |= hit.any()
+            yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in (k, fp, size, pos, root)], ["k", "fp", "n", "pos", "root"])
 
-    return rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "a long, b long")
+    return rest.repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "k long, fp long, n int, pos int, root long")
+
+
+def _near(met: DataFrame, sets: DataFrame, n: int, similarity: float, limit: int = COMPARED) -> DataFrame:
+    """Rows (k, fp, root): the members that may still link to another component by their counts of shingles in ``BINS`` bins, which bound what two sets share; ``met``: rows as of :func:`_open`.
+
+    A bucket falls into groups (k) that such pairs hold together. Of a bucket of more than ``limit`` rows all stay in one group.
+    """
+
+    def binned(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            at = (lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(BINS)).astype(np.int64)
+            counts = np.minimum(np.bincount(owner * BINS + at, minlength=len(lists) * BINS), 255).astype(np.uint8).reshape(len(lists), BINS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in counts], pa.binary())], ["fp", "bins"])
+
+    def run(batches):
+        for (k, fp, size, pos, root, bins), crowded in _pieces(batches, limit):
+            group, use = k.copy(), np.full(len(k), crowded)
+            start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            for s, e in [] if crowded else zip(start.tolist(), np.append(start[1:], len(k)).tolist(), strict=True):
+                _, label, many = np.unique(root[s:e], return_inverse=True, return_counts=True)
+                m, p = size[s:e].astype(np.int64), pos[s:e].astype(np.int64)
+                held = np.frombuffer(b"".join(bins[s:e]), np.uint8).reshape(e - s, BINS)
+                beyond = m - held.sum(axis=1, dtype=np.int64)  # of bins with more than 255
+                source, place, together = label != many.argmax(), np.arange(e - s), np.arange(e - s)
+                for x in np.flatnonzero(source).tolist():
+                    near = np.flatnonzero(_may_link(similarity, m, p, m[x], p[x]) & (label != label[x]) & (~source | (place > x)))
+                    most = np.minimum(held[near], held[x]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[near], beyond[x])
+                    near = near[most >= _least(similarity / (1 + similarity), m[near] + m[x])]
+                    if len(near):
+                        joined = np.append(together[near], together[x])
+                        together[np.isin(together, joined)] = joined.min()
+                use[s:e] = np.bincount(together, minlength=e - s)[together] > 1
+                group[s:e] = mix(k[s:e].view(np.uint64) ^ mix(fp[s:e][together].view(np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in (group, fp, root)], ["k", "fp", "root"])
+
+    held = _among(sets, met.select("fp")).mapInArrow(binned, "fp long, bins binary")
+    return met.join(held, "fp").select("k", "fp", "n", "pos", "root", "bins").repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "k long, fp long, root long")
 
 
 def _held(fps: DataFrame):
@@ -239,7 +298,7 @@ def _close(prints: DataFrame) -> DataFrame:
     return equal.union(near).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, crowded: int = CROWDED, compared: int = COMPARED) -> DataFrame:
     """One row for each row of ``docs``: id, row_key, fp (of the set), sim (its SimHash) and root, which is the same for all rows reachable over links."""
     n = partitions(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), row_key(doc_id, text).alias("row_key"), F.col(text).cast("string").alias("text"))
@@ -250,24 +309,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64)), pa.array(sim.view(np.int64))], ["id", "row_key", "fp", "sim"])
 
     prints = checkpoint(map_text(rows, "text", run, "id long, row_key long, fp long, sim long"))
-    met = checkpoint(_met(_keyed(rows, width, similarity), n, similarity))
-    stars = checkpoint(_stars(met, n, similarity).union(_close(prints)).distinct())
+    met = checkpoint(_met(_keyed(rows, width, similarity), n, similarity, crowded))
+    stars = checkpoint(_stars(met, n, similarity, crowded).union(_close(prints)).distinct())
     sets = checkpoint(sets_with(rows, met.select("fp").union(stars.select("a")).union(stars.select("b")), width))
     edges = _linked(stars, sets, similarity)
-    roots = _roots(edges)
-    rest = met.filter("many > 2").select("k", "fp", "n", "pos").join(roots, "fp", "left").select("k", "fp", "n", "pos", F.coalesce("root", "fp").alias("label"))
-    pairs = checkpoint(_across(rest, n, similarity).distinct().join(stars, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        roots = _roots(edges.unionByName(_linked(pairs, sets, similarity)))
+    roots = linking.roots_of(edges)
+    named = met.filter("many > 2").select("k", "fp", "n", "pos").join(roots, "fp", "left").select("k", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+    rest = checkpoint(_open(named, n, similarity, compared))
+    rest = checkpoint(narrow(_near(rest, sets, n, similarity, compared), rest.count()))
+    if not rest.isEmpty():
+        more = linking.within(rest, _among(sets, rest.select("fp")), 100 * similarity - 1e-7)
+        roots = roots if more.isEmpty() else linking.roots_of(edges.unionByName(more))
     return prints.join(roots, "fp", "left").select("id", "row_key", "fp", "sim", F.coalesce("root", "fp").alias("root"))
 
 
-def _roots(edges: DataFrame) -> DataFrame:
-    """Rows (fp, root) for all ends of the edges."""
-    found = components(edges)
-    return checkpoint(found.select(F.col("node").alias("fp"), "root").unionByName(found.select(F.col("root").alias("fp"), "root").distinct()))
-
-
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` with one row kept of each component: of the smallest id, and among rows of that id the smallest row key."""
     return keep_first(docs, near_duplicates(docs, doc_id, text, **how), doc_id, text)
