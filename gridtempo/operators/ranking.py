@@ -16,22 +16,34 @@ from ..lineage import checkpoint
 
 def frequencies(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Rows (by, value, __n, __before), checkpointed: how often each distinct value of a group occurs, and how many rows of the group have a smaller one."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    return cumulated(rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")), by, value, {"__n": "__before"})
+
+
+def cumulated(counted: DataFrame, by: list[str], value: str, counts: dict[str, str]) -> DataFrame:
+    """The rows, one for each distinct (by, value), checkpointed, with the sums of some counts over the group's smaller values. ``counts``: the name of each count's sum."""
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The ranges' bounds come from a sample, so their numbers are fixed once.
     placed = checkpoint(counted.repartitionByRange(parts, *by, value).withColumn("__range", F.spark_partition_id()))
-    inner = F.sum("__n").over(Window.partitionBy("__range", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    totals = placed.groupBy("__range", *by).agg(F.sum("__n").alias("__total"))
+    over = Window.partitionBy("__range", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inner = {f"__in_{n}": F.sum(n).over(over) for n in counts}
+    totals = placed.groupBy("__range", *by).agg(*[F.sum(n).alias(f"__of_{n}") for n in counts])
     if by:
-        earlier = F.sum("__total").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-        offsets = totals.select(F.struct("__range", *by).alias("__at"), F.coalesce(earlier, F.lit(0)).alias("__offset"))
-        summed = placed.withColumns({"__inner": inner, "__at": F.struct("__range", *by)}).join(offsets, "__at")
+        earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(F.struct("__range", *by).alias("__at"), *[F.coalesce(F.sum(f"__of_{n}").over(earlier), F.lit(0)).alias(f"__of_{n}") for n in counts])
+        summed = placed.withColumns({**inner, "__at": F.struct("__range", *by)}).join(offsets, "__at")
     else:  # a row for each range, as many as partitions
-        known, offsets = dict(totals.collect()), [0]
-        for i in range(parts):
-            offsets.append(offsets[-1] + known.get(i, 0))
-        summed = placed.withColumns({"__inner": inner, "__offset": F.get(F.lit(offsets), F.col("__range"))})
-    return checkpoint(summed.select(*by, value, "__n", (F.coalesce("__inner", F.lit(0)) + F.col("__offset")).cast("long").alias("__before")))
+        known, summed = {r["__range"]: r for r in totals.collect()}, placed.withColumns(inner)
+        for n in counts:
+            offsets = [0]
+            for i in range(parts):
+                offsets.append(offsets[-1] + (known[i][f"__of_{n}"] if i in known else 0))
+            summed = summed.withColumn(f"__of_{n}", F.get(F.lit(offsets), F.col("__range")))
+    return checkpoint(summed.select(*counted.columns, *[(F.coalesce(f"__in_{n}", F.lit(0)) + F.col(f"__of_{n}")).cast("long").alias(out) for n, out in counts.items()]))
+
+
+def placed(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """Rows, one for each distinct (by, value), with their place from 0 within the group; they are not joined with their places."""
+    return cumulated(rows.withColumn("__one", F.lit(1)), by, value, {"__one": out}).drop("__one")
 
 
 def with_frequencies(rows: DataFrame, found: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -56,3 +56,12 @@ def test_draws_that_a_chain_lacks_are_left_out(spark):
 
 def test_no_rows(spark):
     assert convergence.mcmc_summary(spark.createDataFrame([], "s string, c int, d int, x double"), ["s"], "c", "d", "x").count() == 0
+
+
+def test_a_block_of_draws_is_one_row(spark, monkeypatch):
+    """Blocks are what rounds of lags send: four chains of two halves of 320 draws in blocks of 16."""
+    draws = [("s", c, t, float(v)) for c, chain in enumerate(chains("good", 640)) for t, v in enumerate(chain)]
+    seen, whole = [], convergence._packed
+    monkeypatch.setattr(convergence, "_packed", lambda rows, block: (kept := whole(rows, block), seen.append(kept))[0])
+    convergence.mcmc_summary(spark.createDataFrame(draws, "s string, c int, d int, x double"), ["s"], "c", "d", "x", 16).collect()
+    assert seen[0].count() == 4 * 2 * 20
