@@ -1,14 +1,16 @@
 """Language-model scoring by Brown class-based n-grams.
 
 The probability of a token is that of its class after the class before it, times that of the token in its class. Classes come
-from exchange clustering of words. The ``CORE`` most frequent words move between classes, one at a time, wherever that raises the
-likelihood of the class bigrams most, until a sweep moves none. Every other word of the ``LISTED`` most frequent ones is then placed by itself: in
-the class that makes its own neighbours, over all training rows, most likely. The end of a text is a class by itself (it also stands
-before the first word), and so are the words beyond ``LISTED``, too rare for a bigram row of their own, together with those not seen in training.
+from exchange clustering of all words that training has twice or more. The ``CORE`` most frequent ones seed it: they move between classes, one at a time, wherever that
+raises the likelihood of the class bigrams most, until a sweep moves none, and each other word joins the class that makes its neighbours in the core most likely. Then come rounds over all
+words and all bigrams: the core is exchanged again, now with the classes of all other words as neighbours, and every other word moves, as in distributed
+exchange, to the class that makes all its neighbours most likely, its own share of the counts left out. Rounds end when one doesn't raise the likelihood, or after ``ROUNDS``.
+The end of a text is a class by itself (it also stands before the first word). So are the words seen once, together with those not seen in training:
+without its only occurrence such a word is unseen, and tells what follows unseen ones.
 
-Counts cover the whole training part: all words and all bigrams. Arrays of fixed size for each task hold the core's bigrams and the classes'; the neighbours of
-listed words are shuffled by word, rare words by their hash, as are the (document, word) rows that ask for their counts. No word is left out. Words are told
-apart by 64-bit hashes. ``LISTED`` bounds what is broadcast (3 MB).
+Counts cover the whole training part: all words and all bigrams. Arrays of fixed size for each task hold the core's bigrams and the classes'. The ``LISTED`` most frequent words have
+their classes broadcast (5 MB), which bounds a task's memory, not the clustering: of every other word the neighbours are collected by a shuffle, it is placed by the same rule, and
+its class is sent to its neighbours in each round and to the documents that ask for it. No word is left out, and no neighbour. Words are told apart by 64-bit hashes.
 
 Smoothing: class transitions are discounted by ``DISCOUNT`` and interpolated with class frequencies. A word seen c times has c / T in a class of T tokens; in
 the class of rare words, of V words, it has (c - DISCOUNT) / (T + 1), and unseen words together (DISCOUNT * V + 1) / (T + 1). All sum to one.
@@ -23,8 +25,11 @@ text that reads as such; another id is an error (ANSI cast).
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +37,14 @@ from ._lookup import Lookup
 from ._shared import checkpoint, map_text, row_key, text_slices
 from ._words import Words
 
-LISTED, CORE, CLASSES = 1 << 17, 1024, 64
+LISTED, CORE, CLASSES = 1 << 19, 1024, 64
 END, RARE = 0, 1
-SWEEPS, DISCOUNT = 12, 0.7
-FLUSH, EXACT = 1 << 21, 4096
+SWEEPS, ROUNDS, DISCOUNT = 12, 2, 0.7
+FLUSH, EXACT, SLICE = 1 << 21, 4096, 1 << 21
+#: Of a neighbour: no class yet; of an unlisted word's neighbour: the end of a text.
+NONE, EDGE = -1, -1
+#: Before or after an unlisted word: another one.
+OPEN = 255
 
 
 class Tokens:
@@ -59,8 +68,8 @@ class Tokens:
         self.before = np.concatenate([[end], self.unit[:-1]]) if len(self.unit) else self.unit
 
 
-def frequent(training: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent words of all training rows, at most LISTED, the most frequent first."""
+def frequent(training: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Hashes and counts of the most frequent words of all training rows, at most LISTED of those seen twice or more, the most frequent first; and all words' counts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         word, n = np.unique(Words(batch.column(0)).hashes(fold=True), return_counts=True)
@@ -70,7 +79,7 @@ def frequent(training: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     # ranks of counts, exact for small ones; a few thousand whatever the corpus, so that no task sorts the vocabulary
     step = F.when(F.col("n") < EXACT, F.col("n")).otherwise(EXACT + F.floor((F.log2("n") - float(np.log2(EXACT))) * 256))
     listed, least = 0, None
-    for rank, words in sorted((tuple(r) for r in counts.groupBy(step.alias("rank")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True):
+    for rank, words in sorted((tuple(r) for r in counts.filter("n > 1").groupBy(step.alias("rank")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True):
         listed += words
         if listed > LISTED:
             break
@@ -78,7 +87,7 @@ def frequent(training: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     top = counts.filter(step >= least if least is not None else F.lit(False)).toArrow()
     word, n = top.column(0).to_numpy(), top.column(1).to_numpy()
     order = np.lexsort((word, -n))
-    return word[order].view(np.uint64), n[order]
+    return word[order].view(np.uint64), n[order], counts
 
 
 def core_units(size: int) -> np.ndarray:
@@ -95,7 +104,7 @@ def bigrams(training: DataFrame, listed: np.ndarray, unit_of: np.ndarray) -> np.
         listed, unit_of = shared.value
         lookup, pairs = Lookup(listed), np.zeros(units * units, np.int64)
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE):
                 t = Tokens(lookup, unit_of, part.column(0))
                 pairs += np.bincount(t.before * units + t.unit, minlength=units * units)
         some = np.flatnonzero(pairs)
@@ -109,75 +118,246 @@ def bigrams(training: DataFrame, listed: np.ndarray, unit_of: np.ndarray) -> np.
     return pairs.reshape(units, units)
 
 
-def placed(training: DataFrame, listed: np.ndarray, unit_of: np.ndarray, of: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The class of each listed word: of the core's as given, of the others the one in which their neighbours are most likely.
+def _packed(keys: np.ndarray, values: np.ndarray) -> list[pa.Array]:
+    """Distinct keys, in order, and the bytes of the values of each."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], np.ascontiguousarray(values[order])
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    ends = np.append(head, len(keys)) * (values.nbytes // max(1, len(values)))
+    return [pa.array(keys[head]), pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])]
 
-    Neighbours are the core's words and ends before and after each occurrence in all training rows; a word without any joins the rare ones.
-    """
-    shared, width = training.sparkSession.sparkContext.broadcast((listed, unit_of, of)), 2 * CLASSES
-    core = int(unit_of[-2])
+
+def _unpacked(pieces: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each value, and the values, of a column of bytes or of lists of them (null: none)."""
+    rows = np.arange(len(pieces))
+    if pa.types.is_list(pieces.type):
+        rows, pieces = np.repeat(rows, pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)), pieces.flatten()
+    ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int32)
+    body = pieces.buffers()[2] if len(pieces) else None
+    data = np.frombuffer(body, np.uint8)[ends[0] : ends[-1]] if body is not None else np.zeros(0, np.uint8)
+    return np.repeat(rows, np.diff(ends) // np.dtype(kind).itemsize), np.frombuffer(data.tobytes(), kind)
+
+
+def _cells(keys: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each word: how often (or with which sum of ``n``) it has which cells. A key is a word's position above a byte for the cell: a class, plus CLASSES where that comes after the word."""
+    if n is None:
+        keys, times = np.unique(keys, return_counts=True)
+    else:
+        keys, at = np.unique(keys, return_inverse=True)
+        times = np.bincount(at, n, len(keys)).astype(np.int64)
+    return pa.RecordBatch.from_arrays(_packed((keys >> 8).astype(np.int32), (times << 8 | keys & 255).astype(np.int32)), ["word", "cells"])
+
+
+def _counts(rows: int, width: int, owner: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return np.bincount(owner * width + (cells & 255), cells >> 8, rows * width).reshape(rows, width)
+
+
+def best(n: np.ndarray, here: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class in which the neighbours of each word are most likely, its own share of the class it is in left out; without neighbours that of the rare ones."""
+    smooth, k = table + 0.1, len(table)
+    # what a class lends to a neighbour of each class before it, and after it
+    lent = np.concatenate([np.log(smooth) - np.log(smooth.sum(axis=0, keepdims=True)), (np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True))).T])
+    gain = n @ lent
+    own = np.flatnonzero(here >= 0)
+    gain[own, here[own]] = 0
+    for x, s in ((n[own, :k], smooth.T), (n[own, k:], smooth)):
+        mine = s[here[own]]
+        rest = np.log(np.maximum(mine - x, 0.1)) - np.log(np.maximum(mine.sum(axis=1) - x.sum(axis=1), 0.1 * k))[:, None]
+        gain[own, here[own]] += (x * rest).sum(axis=1)
+    gain[:, [END, RARE]] = -np.inf
+    return np.where(n.any(axis=1), gain.argmax(axis=1), RARE)
+
+
+def listed_cells(training: DataFrame, listed: np.ndarray, of: np.ndarray, core: int) -> DataFrame:
+    """Of each listed word beyond the core the classes of its neighbours in all training rows. ``of`` ends with the classes of other words and the end; NONE isn't counted."""
+    shared = training.sparkSession.sparkContext.broadcast((listed, of.astype(np.int16)))
 
     def run(batches):
-        listed, unit_of, of = shared.value
-        lookup, held, many = Lookup(listed), [], 0
+        listed, of = shared.value
+        lookup, keys, many = Lookup(listed), [], 0
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                t = Tokens(lookup, unit_of, part.column(0))
-                at = np.full(len(t.unit), -1, dtype=np.int64)
+            for part in text_slices(batch, "text", SLICE):
+                t = Tokens(lookup, of, part.column(0))
+                at = np.full(len(t.unit), -1, dtype=np.int32)
                 at[t.is_word] = t.at
                 mine = np.flatnonzero(at >= core)
-                before, after = t.before[mine], t.unit[mine + 1]
-                held.append(at[mine][before != core] * width + of[before[before != core]])
-                held.append(at[mine][after != core] * width + CLASSES + of[after[after != core]])
-                many += len(held[-1]) + len(held[-2])
+                word = at[mine] << 8
+                for side, near in ((0, t.before[mine]), (CLASSES, t.unit[mine + 1])):
+                    keys.append((word + near.astype(np.int32) + side)[near >= 0])
+                    many += len(keys[-1])
                 if many > FLUSH:
-                    yield _counted(held)
-                    held, many = [], 0
+                    yield _cells(np.concatenate(keys))
+                    keys, many = [], 0
         if many:
-            yield _counted(held)
+            yield _cells(np.concatenate(keys))
+
+    return training.select("text").mapInArrow(run, "word int, cells binary")
 
-    seen = training.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    words = seen.groupBy((F.col("cell") / width).cast("int").alias("word")).agg(F.collect_list(F.struct((F.col("cell") % width).cast("int").alias("cell"), "n")).alias("cells"))  # at most 2 * CLASSES each
-    smooth = table + 0.1
-    # what a class lends to a neighbour of each class before it, and after it
-    lent = np.concatenate([np.log(smooth) - np.log(smooth.sum(axis=0, keepdims=True)), (np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True))).T])
 
-    def best(batches):
+def unlisted(training: DataFrame, listed: np.ndarray) -> DataFrame:
+    """Words seen twice or more that aren't listed: word, n, and what comes before and after each occurrence, as position in the list, EDGE or hash."""
+    shared = training.sparkSession.sparkContext.broadcast(listed)
+
+    def run(batches):
+        lookup, words, near, many = Lookup(shared.value), [], [], 0
         for batch in batches:
-            cells = batch.column(1)
-            owner = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
-            flat = cells.flatten()
-            n = np.zeros((len(cells), width))
-            n[owner, flat.field(0).to_numpy()] = flat.field(1).to_numpy()
-            gain = n @ lent
-            gain[:, [END, RARE]] = -np.inf
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gain.argmax(axis=1).astype(np.int32))], ["word", "class"])
-
-    found = words.mapInArrow(best, "word int, class int").toArrow()  # at most LISTED rows
-    out = np.full(len(listed), RARE, dtype=np.int64)
-    out[:core] = of[:core]
-    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return out
+            for part in text_slices(batch, "text", SLICE):
+                t = Tokens(lookup, np.zeros(len(shared.value) + 2, np.int16), part.column(0))
+                code = np.full(len(t.unit) + 1, EDGE, dtype=np.int64)
+                code[1:][t.is_word] = np.where(t.at >= 0, t.at, t.hashes.view(np.int64))
+                place = np.flatnonzero(t.is_word)[t.at < 0]
+                words.append(code[place + 1])
+                near.append(np.stack([code[place], code[place + 2]], axis=1))
+                many += len(place)
+                if many > FLUSH // 8:
+                    yield pa.RecordBatch.from_arrays(_packed(np.concatenate(words), np.concatenate(near)), ["word", "seen"])
+                    words, near, many = [], [], 0
+        if many:
+            yield pa.RecordBatch.from_arrays(_packed(np.concatenate(words), np.concatenate(near)), ["word", "seen"])
 
+    rows = training.select("text").mapInArrow(run, "word long, seen binary")
+    return checkpoint(rows.groupBy("word").agg((F.sum(F.length("seen")) / 16).cast("long").alias("n"), F.collect_list("seen").alias("seen")).filter("n > 1"))
 
-def _counted(cells: list[np.ndarray]) -> pa.RecordBatch:
-    cell, n = np.unique(np.concatenate(cells), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
 
+class Open:
+    """Of a batch of unlisted words the row, the side (0 before, ``classes`` after) and the code of each neighbour; ``known`` marks listed ones and ends."""
+
+    def __init__(self, batch: pa.RecordBatch, listed: int, classes: int):
+        row, code = _unpacked(batch.column(batch.schema.get_field_index("seen")), np.int64)
+        self.row, self.code = row, code
+        self.side = np.tile([0, classes], len(code) // 2)
+        self.known = (code >= EDGE) & (code < listed)
+
+
+def first_classes(words: DataFrame, of: np.ndarray, table: np.ndarray) -> DataFrame:
+    """Unlisted words with the class that their neighbours in ``of`` give."""
+    shared = words.sparkSession.sparkContext.broadcast((of.astype(np.int16), table))
+
+    def run(batches):
+        of, table = shared.value
+        for batch in batches:
+            o = Open(batch, len(of) - 2, CLASSES)
+            near = np.where(o.known, of[np.where(o.known, o.code, 0)], NONE)
+            ok = near >= 0
+            n = np.bincount(o.row[ok] * 2 * CLASSES + near[ok] + o.side[ok], minlength=batch.num_rows * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best(n, np.full(len(n), NONE), table).astype(np.int32))], ["word", "n", "seen", "class"])
+
+    return checkpoint(words.mapInArrow(run, "word long, n long, seen array<binary>, class int"))
+
+
+def told(words: DataFrame, listed: int) -> DataFrame:
+    """Unlisted words with what those next to them tell: ``cells``, a byte for each neighbour that is one of these words, its class and side."""
+
+    def run(batches):
+        for batch in batches:
+            o, mine = Open(batch, listed, CLASSES), batch.column(batch.schema.get_field_index("class")).to_numpy()
+            to = np.flatnonzero(~o.known)
+            if len(to):
+                # for a word before this one, this one comes after
+                yield pa.RecordBatch.from_arrays(_packed(o.code[to], (mine[o.row[to]] + CLASSES - o.side[to]).astype(np.uint8)), ["word", "cells"])
+
+    sent = words.mapInArrow(run, "word long, cells binary").groupBy("word").agg(F.collect_list("cells").alias("cells"))
+    return checkpoint(words.join(sent, "word", "left"))
+
+
+def open_bigrams(words: DataFrame, unit_of: np.ndarray, core: int) -> np.ndarray:
+    """What the unlisted words' classes change in the matrix of unit bigrams, where all of them stood for rare ones."""
+    shared, units = words.sparkSession.sparkContext.broadcast(unit_of.astype(np.int16)), core + CLASSES
+
+    def run(batches):
+        unit_of, pairs, rare = shared.value.astype(np.int64), np.zeros(units * units, np.int64), core + RARE
+        add = lambda a, b, n=1: np.add.at(pairs, a * units + b, n)
+        for batch in batches:
+            o, mine = Open(batch, len(unit_of) - 2, CLASSES), core + batch.column(batch.schema.get_field_index("class")).to_numpy().astype(np.int64)
+            for side in (0, CLASSES):
+                at = np.flatnonzero(o.known & (o.side == side))
+                near, own = unit_of[o.code[at]], mine[o.row[at]]
+                for unit, n in ((own, 1), (np.full(len(own), rare), -1)):
+                    add(near if side == 0 else unit, unit if side == 0 else near, n)
+            row, cell = _unpacked(batch.column(batch.schema.get_field_index("cells")), np.uint8)
+            before = cell < CLASSES  # pairs of two such words are counted at the second one
+            add(core + cell[before].astype(np.int64), mine[row[before]])
+            once = [np.bincount(o.row[~o.known & (o.side == side)], minlength=len(mine)) - np.bincount(row[before == (side == 0)], minlength=len(mine)) for side in (0, CLASSES)]
+            add(np.full(len(mine), rare), mine, once[0])
+            add(mine, np.full(len(mine), rare), once[1])
+            pairs[rare * units + rare] -= int(before.sum() + once[0].sum() + once[1].sum())
+        some = np.flatnonzero(pairs)
+        for a in range(0, len(some), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 50_000]), pa.array(pairs[some[a : a + 50_000]])], ["cell", "n"])
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, alone: int = 1) -> np.ndarray:
+    cells = words.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(units * units, np.int64)
+    pairs[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
+    return pairs.reshape(units, units)
+
+
+def open_cells(words: DataFrame, listed: int, core: int) -> DataFrame:
+    """What the unlisted words' classes change in :func:`listed_cells`, where all of them stood for rare ones."""
+
+    def run(batches):
+        for batch in batches:
+            o, mine = Open(batch, listed, CLASSES), batch.column(batch.schema.get_field_index("class")).to_numpy()
+            at = np.flatnonzero(o.known & (o.code >= core))
+            if len(at):
+                side = CLASSES - o.side[at]
+                yield _cells(np.tile(o.code[at] << 8, 2) + np.concatenate([mine[o.row[at]] + side, RARE + side]), np.repeat([1, -1], len(at)))
+
+    return words.mapInArrow(run, "word int, cells binary")
+
+
+def moved_unlisted(words: DataFrame, of: np.ndarray, table: np.ndarray) -> DataFrame:
+    """Unlisted words with the class that all their neighbours give."""
+    shared = words.sparkSession.sparkContext.broadcast((of.astype(np.int16), table))
+
+    def run(batches):
+        of, table = shared.value
+        for batch in batches:
+            o, here = Open(batch, len(of) - 2, CLASSES), batch.column(3).to_numpy()
+            near = np.where(o.known, of[np.where(o.known, o.code, 0)], RARE)
+            n = np.bincount(o.row * 2 * CLASSES + near + o.side, minlength=batch.num_rows * 2 * CLASSES)
+            row, cell = _unpacked(batch.column(4), np.uint8)
+            n += np.bincount(row * 2 * CLASSES + cell, minlength=len(n)) - np.bincount(row * 2 * CLASSES + RARE + np.where(cell < CLASSES, 0, CLASSES), minlength=len(n))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(best(n.reshape(-1, 2 * CLASSES), here, table).astype(np.int32))], ["word", "n", "seen", "class"])
+
+    return checkpoint(words.select("word", "n", "seen", "class", "cells").mapInArrow(run, "word long, n long, seen array<binary>, class int"))
+
+
+def moved_listed(cells: DataFrame, of: np.ndarray, table: np.ndarray, core: int) -> np.ndarray:
+    """The class of each listed word: of the core's as given, of the others the one that their neighbours give."""
+    shared = cells.sparkSession.sparkContext.broadcast((of.astype(np.int16), table))
+
+    def run(batches):
+        of, table = shared.value
+        for batch in batches:
+            word = batch.column(0).to_numpy()
+            found = best(_counts(len(word), 2 * CLASSES, *_unpacked(batch.column(1), np.int32)), of[word], table)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.astype(np.int32))], ["word", "class"])
+
+    found = cells.groupBy("word").agg(F.collect_list("cells").alias("cells")).mapInArrow(run, "word int, class int").toArrow()  # at most LISTED rows
+    out = of.copy()
+    out[core:-2] = RARE
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
+
+
+def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, alone: int = 1, given: np.ndarray | None = None) -> np.ndarray:
     """The class of each unit; the last units are alone in classes 0 (the very last), 1 and so on.
 
     The most frequent units start a class each; the others join, by frequency, the class that raises the likelihood most, and then all move
     likewise. Likelihood of the class bigrams: the sum of n log n over pairs of classes, less those of their left and right totals.
+
+    With ``given`` classes the units move from there, and the last units, one for each class, stay.
     """
     units = len(pairs)
     pairs = pairs.astype(np.float64)
     weight = pairs.sum(axis=0)
-    order = np.argsort(-weight[: units - alone], kind="stable")
-    of = np.full(units, -1)
-    of[units - alone :] = np.arange(alone)[::-1]
-    of[order[: classes - alone]] = alone + np.arange(min(classes - alone, units - alone))
+    order = np.argsort(-weight[: units - (alone if given is None else classes)], kind="stable")
+    if given is None:
+        of = np.full(units, -1)
+        of[units - alone :] = np.arange(alone)[::-1]
+        of[order[: classes - alone]] = alone + np.arange(min(classes - alone, units - alone))
+    else:
+        of = given.copy()
     one = np.zeros((units, classes))
     one[of >= 0, of[of >= 0]] = 1
     table = one.T @ pairs @ one
@@ -215,45 +395,100 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, al
     return of
 
 
+def likelihood(table: np.ndarray) -> float:
+    g = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    return float(g(table) - g(table.sum(0)) - g(table.sum(1)))
+
+
 class Model:
-    """Classes of the listed words, transitions between classes, and what the listed words have in theirs."""
+    """Classes of the words, transitions between classes, and what the listed words have in theirs; ``rest`` has the other words: word, n, class."""
 
-    def __init__(self, listed: np.ndarray, counts: np.ndarray, of: np.ndarray, table: np.ndarray):
-        self.listed, self.counts, self.of = listed, counts, of
+    def __init__(self, common: np.ndarray, counts: np.ndarray, common_of: np.ndarray, table: np.ndarray, rest: DataFrame, distinct: int, rare_words: int):
+        self.common, self.counts, self.common_of, self.rest = common, counts, common_of, rest
         self.tokens = table.sum(axis=0)
         self.train_tokens, self.ends = int(table.sum()), int(self.tokens[END])
-        common = (self.tokens + 1) / (self.tokens.sum() + CLASSES)
+        self.distinct = distinct + (self.ends > 0)
+        frequency = (self.tokens + 1) / (self.tokens.sum() + CLASSES)
         left = table.sum(axis=1, keepdims=True)
         spared = DISCOUNT * (table > 0).sum(axis=1, keepdims=True) + 1
-        self.step = np.log10((np.maximum(table - DISCOUNT, 0) + spared * common[None, :]) / (left + 1))
+        self.step = np.log10((np.maximum(table - DISCOUNT, 0) + spared * frequency[None, :]) / (left + 1))
         self.rare_log = float(np.log10(self.tokens[RARE] + 1))
-        self.word_log = np.where(of == RARE, np.log10(np.maximum(counts - DISCOUNT, 1 - DISCOUNT)) - self.rare_log, np.log10(np.maximum(counts, 1)) - np.log10(np.maximum(self.tokens[of], 1)))
+        self.unseen_log = float(np.log10(DISCOUNT * rare_words + 1)) - self.rare_log
+        self.word_log = self.emitted(counts, common_of)
+
+    def emitted(self, n: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.where(of == RARE, np.log10(np.maximum(n - DISCOUNT, 1 - DISCOUNT)) - self.rare_log, np.log10(np.maximum(n, 1)) - np.log10(np.maximum(self.tokens[of], 1)))
+
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and classes of all words that have classes of their own, in the driver: for looking at models of small corpora; scores don't need it."""
+        rest = self.rest.filter(F.col("class") != RARE).select("word", "class").toArrow()
+        return np.concatenate([self.common, rest.column(0).to_numpy().view(np.uint64)]), np.concatenate([self.common_of, rest.column(1).to_numpy()])
+
+    listed = property(lambda self: self.words[0])
+    of = property(lambda self: self.words[1])
 
 
 def fit(training: DataFrame) -> Model:
-    listed, counts = frequent(training)
-    unit_of = core_units(len(listed))
-    pairs = bigrams(training, listed, unit_of)
-    of = exchange(pairs, CLASSES, alone=2)
+    listed, n, counts = frequent(training)
+    core = min(CORE, len(listed))
+    pairs = bigrams(training, listed, core_units(len(listed)))
+    seeds = exchange(pairs, CLASSES, alone=2)
     one = np.zeros((len(pairs), CLASSES))
-    one[np.arange(len(pairs)), of] = 1
-    words = placed(training, listed, unit_of, of, one.T @ pairs @ one)
-    table = np.zeros((CLASSES, CLASSES))
-    found = bigrams(training, listed, np.concatenate([words, [RARE, END]]))
-    table[: len(found), : len(found)] = found
-    return Model(listed, counts, words, table)
+    one[np.arange(len(pairs)), seeds] = 1
+    table = one.T @ pairs @ one
+    words = unlisted(training, listed)
+    many = words.count()
+
+    of = np.concatenate([seeds[:core], np.full(len(listed) - core, NONE), [NONE, END]])
+    if many:
+        words = first_classes(words, of, table)
+    of = moved_listed(listed_cells(training, listed, of, core), of, table, core)
+    of[-2] = RARE
+
+    kept = None
+    for again in range(ROUNDS + 1):
+        unit_of = np.concatenate([np.arange(core), core + of[core:]])
+        pairs = np.zeros((core + CLASSES, core + CLASSES), np.int64)
+        found = bigrams(training, listed, unit_of)
+        pairs[: len(found), : len(found)] = found
+        if many:
+            words = told(words, len(listed))
+            pairs += open_bigrams(words, unit_of, core)
+        units = exchange(pairs, CLASSES, alone=2, given=np.concatenate([of[:core], np.arange(CLASSES)]))
+        of[:core] = units[:core]
+        one = np.zeros((len(pairs), CLASSES))
+        one[np.arange(len(pairs)), units] = 1
+        table = (one.T @ pairs @ one).round()
+        value = likelihood(table)
+        if again > 1 and value <= kept[0]:  # the seeds leave words without a neighbour in the core unplaced
+            break
+        kept = value, of.copy(), table, words
+        if again < ROUNDS:
+            cells = listed_cells(training, listed, of, core)
+            if many:
+                cells = cells.unionByName(open_cells(words, len(listed), core))
+                words = moved_unlisted(words, of, table)
+            of = moved_listed(cells, of, table, core)
+
+    _, of, table, words = kept
+    once = counts.filter("n = 1").select("word", "n", F.lit(RARE).alias("class"))
+    rest = once.unionByName(words.select("word", "n", "class")) if many else once
+    rare_words = rest.filter(F.col("class") == RARE).count() + int((of[:-2] == RARE).sum())
+    return Model(listed, n, of[:-2], table, rest, counts.count(), rare_words)
 
 
 def _located(rows: DataFrame, model: Model) -> DataFrame:
-    """What a text's listed words give, and the rare words, whose counts are elsewhere."""
-    shared = rows.sparkSession.sparkContext.broadcast((model.listed, model.counts, model.word_log, model.of, model.step, model.rare_log, model.ends))
+    """What a text's listed words give, and its other words with the place of each and the classes beside it; steps from and to these are left to :func:`_asked`."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.common, model.counts, model.word_log, model.common_of.astype(np.int16), model.step, model.ends))
 
     def run(batches):
-        listed, counts, word_log, of, step, rare_log, ends = shared.value
-        lookup, base_log, class_of = Lookup(listed), np.append(np.log10(counts + 1.0), 0.0), np.concatenate([of, [RARE, END]])
-        word_log = np.append(word_log, -rare_log)
+        listed, counts, word_log, of, step, ends = shared.value
+        lookup, base_log, class_of = Lookup(listed), np.append(np.log10(counts + 1.0), 0.0), np.concatenate([of, [OPEN, END]]).astype(np.int16)
+        word_log = np.append(word_log, 0.0)
+        step = np.pad(step, ((0, OPEN + 1 - len(step)),) * 2)  # no step from or to OPEN
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE):
                 t = Tokens(lookup, class_of, part.column(3))
                 bounds = t.words.bounds
                 sums = lambda x, at: np.diff(np.concatenate([[0.0], np.cumsum(x)])[at])
@@ -261,20 +496,53 @@ def _located(rows: DataFrame, model: Model) -> DataFrame:
                 own = sums(word_log[t.at], bounds) + sums(step[t.before, t.unit], np.append(t.starts, len(t.unit)))
                 known = sums(t.at >= 0, bounds).astype(np.int64) + (ends > 0)
                 rare = np.flatnonzero(t.at < 0)
+                place = np.flatnonzero(t.is_word)[rare]
                 doc = t.words.documents()[rare]
-                order = np.lexsort((t.hashes[rare], doc))
-                rare, doc = rare[order], doc[order]
+                near = (place - t.starts[doc]) << 16 | t.before[place] << 8 | t.unit[place + 1]
                 h = t.hashes[rare]
+                order = np.lexsort((h, doc))
+                h, doc, near = h[order], doc[order], near[order]
                 head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
-                times = np.diff(np.append(head, len(h)))
-                entries = pa.StructArray.from_arrays([pa.array(h[head].view(np.int64)), pa.array(times.astype(np.int32))], ["word", "n"])
+                near = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((np.append(head, len(h)) * 8).astype(np.int32)), pa.py_buffer(near.astype(np.int64))])
+                entries = pa.StructArray.from_arrays([pa.array(h[head].view(np.int64)), near], ["word", "near"])
                 offsets = np.searchsorted(doc[head], np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2), pa.array((t.words.counts + 1).astype(np.int64)), pa.array(known), pa.array(base), pa.array(own), pa.ListArray.from_arrays(pa.array(offsets), entries)],
                     ["id", "row_key", "trained", "n_tokens", "known", "base", "own", "rare"],
                 )
 
-    return rows.mapInArrow(run, "id long, row_key long, trained boolean, n_tokens long, known long, base double, own double, rare array<struct<word: long, n: int>>")
+    return rows.mapInArrow(run, "id long, row_key long, trained boolean, n_tokens long, known long, base double, own double, rare array<struct<word: long, near: binary>>")
+
+
+def _asked(marked: DataFrame, model: Model) -> DataFrame:
+    """What a text's unlisted words give: uid, rare_known, rare_base, rare_score."""
+    asked = marked.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.near").join(model.rest, "word", "left")
+    texts = asked.groupBy("uid").agg(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(RARE)).alias("class"), "near")).alias("words"))
+    shared = marked.sparkSession.sparkContext.broadcast(model.step)
+    rare_log, unseen_log, tokens = model.rare_log, model.unseen_log, model.tokens
+
+    def run(batches):
+        step = shared.value
+        for batch in batches:
+            words = batch.column(1)
+            text = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
+            flat = words.flatten()
+            n, of = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            entry, near = _unpacked(flat.field(2), np.int64)
+            seen = np.where(of == RARE, np.log10(np.maximum(n - DISCOUNT, 1 - DISCOUNT)) - rare_log, np.log10(np.maximum(n, 1)) - np.log10(np.maximum(tokens[of], 1)))
+            score = np.where(n > 0, seen, unseen_log)[entry]
+            order = np.lexsort((near >> 16, text[entry]))
+            entry, near, score = entry[order], near[order], score[order]
+            own, before, after = of[entry].astype(np.int64), near >> 8 & 255, near & 255
+            before = np.where(before == OPEN, np.concatenate([[END], own[:-1]])[: len(own)], before)  # the word before is then the entry before
+            score = score + step[before, own] + np.where(after == OPEN, 0.0, step[own, np.where(after == OPEN, END, after)])
+            total = lambda x: np.bincount(text[entry], x, len(words))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(total(n[entry] > 0).astype(np.int64)), pa.array(total(np.log10(n[entry] + 1.0))), pa.array(total(score))],
+                ["uid", "rare_known", "rare_base", "rare_score"],
+            )
+
+    return texts.mapInArrow(run, "uid long, rare_known long, rare_base double, rare_score double")
 
 
 def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -282,27 +550,14 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), row_key(doc_id, text).alias("row_key"), train.alias("trained"), F.col(text).cast("string").alias("text"))
     model = fit(rows.filter("trained").select("row_key", "text"))
     marked = checkpoint(_located(rows, model).withColumn("uid", F.monotonically_increasing_id()))
-
-    rare = marked.select("uid", "trained", F.explode("rare").alias("r")).select("uid", "trained", "r.word", "r.n")
-    counted = checkpoint(rare.filter("trained").groupBy("word").agg(F.sum("n").alias("c")))
-    few = counted.count()
-    distinct = len(model.listed) + few + (model.ends > 0)
-
-    unseen = float(np.log10(DISCOUNT * (few + int((model.of == RARE).sum())) + 1))
-    asked = rare.join(counted, "word", "left")
-    found = asked.groupBy("uid").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("rare_base"),
-        F.sum(F.col("n") * F.when(F.col("c").isNotNull(), F.log10(F.col("c") - F.lit(DISCOUNT))).otherwise(unseen)).alias("rare_score"),
-    )
     zero = F.lit(0)
-    return marked.drop("rare").join(found, "uid", "left").select(
+    return marked.drop("rare").join(_asked(marked, model), "uid", "left").select(
         "id",
         "row_key",
         "trained",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", zero)).cast("long").alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", zero) - F.col("n_tokens") * float(np.log10(model.train_tokens + distinct + 1))).alias("base_score"),
+        (F.col("base") + F.coalesce("rare_base", zero) - F.col("n_tokens") * float(np.log10(model.train_tokens + model.distinct + 1))).alias("base_score"),
         (F.col("own") + F.coalesce("rare_score", zero)).alias("score"),
     )
