@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Word and separator pattern of all text contracts: everything but blank, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW_BYTES = 4 << 20
+#: For the steps of the pipeline, whose Python workers all stay beside a full heap: one keeps what its largest window took.
+LEAN_BYTES = 1 << 20
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -69,12 +71,12 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = WINDOW_BYTES) -
         yield batch.slice(lo, hi - lo)
 
 
-def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = WINDOW_BYTES) -> DataFrame:
     """``mapInArrow`` over slices of bounded text size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, column):
+            for part in text_slices(batch, column, limit):
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out

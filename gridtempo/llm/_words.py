@@ -21,7 +21,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 #: Every ASCII byte but letters and digits parts tokens; bytes of other characters belong to them.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_PIECE = 1 << 21
+#: Bytes hashed at a time, which changes no hash; a worker holds some six arrays of 8 bytes for each.
+_PIECE = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import checkpoint, map_text, row_key
+from ._shared import LEAN_BYTES, checkpoint, map_text, row_key
 from ._words import NOT_ALNUM, Words, mix
 
 # 1 counts, 0 is ignored.
@@ -145,7 +145,7 @@ def short_hits(docs: DataFrame, doc_id: str, text: str, shared, lengths: list[in
         doc = pa.array(doc[new])
         return pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(seed[new].view(np.int64))], ["id", "row_key", "hash"])
 
-    return map_text(_rows(docs, doc_id, text), "text", run, "id long, row_key long, hash long")
+    return map_text(_rows(docs, doc_id, text), "text", run, "id long, row_key long, hash long", LEAN_BYTES)
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -187,7 +187,7 @@ def segments(docs: DataFrame, doc_id: str, text: str, shared, short: bool) -> Da
             ["id", "row_key", "start", "tokens", "hits"],
         )
 
-    return map_text(_rows(docs, doc_id, text), "text", run, "id long, row_key long, start int, tokens binary, hits array<struct<hash: long, at: int>>")
+    return map_text(_rows(docs, doc_id, text), "text", run, "id long, row_key long, start int, tokens binary, hits array<struct<hash: long, at: int>>", LEAN_BYTES)
 
 
 def best_window(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:

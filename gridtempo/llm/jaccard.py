@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import linking
 from ._lookup import Lookup
-from ._shared import checkpoint, map_text, narrow, partitions, row_key
+from ._shared import LEAN_BYTES, checkpoint, map_text, narrow, partitions, row_key
 from ._words import Words, grams, mix
 from .simhash import keep_first, links, majority
 
@@ -37,6 +37,7 @@ WIDTH, SIMILARITY = 5, 0.8
 SAMPLE_ROWS, COMMON = 20_000, 100_000
 SMALL = 64
 CROWDED, COMPARED, BINS = 65_536, 8_192, 512
+SETS = 1_024  # whose shingles or bins are held at a time
 
 
 def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,7 +83,7 @@ def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
         values, n = np.unique(shingle_sets(Words(batch.column(0)), width)[0], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
-    counts = map_text(sample.select("text"), "text", run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 2")
+    counts = map_text(sample.select("text"), "text", run, "shingle long, n long", LEAN_BYTES).groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 2")
     top = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toArrow()
     return top.column(0).to_numpy().view(np.uint64)[::-1].copy()
 
@@ -103,7 +104,7 @@ def _keyed(rows: DataFrame, width: int, similarity: float) -> DataFrame:
         doc = doc[use]
         return pa.RecordBatch.from_arrays([pa.array(values[use].view(np.int64)), pa.array(fp[doc].view(np.int64)), pa.array(counts[doc].astype(np.int32)), pa.array(pos[use].astype(np.int32))], ["k", "fp", "n", "pos"])
 
-    return map_text(rows.select("text"), "text", run, "k long, fp long, n int, pos int")
+    return map_text(rows.select("text"), "text", run, "k long, fp long, n int, pos int", LEAN_BYTES)
 
 
 def _pieces(batches, limit: int):
@@ -209,13 +210,12 @@ def _near(met: DataFrame, sets: DataFrame, n: int, similarity: float, limit: int
     A bucket falls into groups (k) that such pairs hold together. Of a bucket of more than ``limit`` rows all stay in one group.
     """
 
-    def binned(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            at = (lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(BINS)).astype(np.int64)
-            counts = np.minimum(np.bincount(owner * BINS + at, minlength=len(lists) * BINS), 255).astype(np.uint8).reshape(len(lists), BINS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in counts], pa.binary())], ["fp", "bins"])
+    def binned(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(1)
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        at = (lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(BINS)).astype(np.int64)
+        counts = np.minimum(np.bincount(owner * BINS + at, minlength=len(lists) * BINS), 255).astype(np.uint8).reshape(len(lists), BINS)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in counts], pa.binary())], ["fp", "bins"])
 
     def run(batches):
         for (k, fp, size, pos, root, bins), crowded in _pieces(batches, limit):
@@ -238,7 +238,7 @@ def _near(met: DataFrame, sets: DataFrame, n: int, similarity: float, limit: int
                 group[s:e] = mix(k[s:e].view(np.uint64) ^ mix(fp[s:e][together].view(np.uint64))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in (group, fp, root)], ["k", "fp", "root"])
 
-    held = _among(sets, met.select("fp")).mapInArrow(binned, "fp long, bins binary")
+    held = _among(sets, met.select("fp"), binned, "fp long, bins binary")
     return met.join(held, "fp").select("k", "fp", "n", "pos", "root", "bins").repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "k long, fp long, root long")
 
 
@@ -253,15 +253,19 @@ def _held(fps: DataFrame):
     return lambda x: (shared.value[(x >> np.uint64(44)).astype(np.int64)] >> (x >> np.uint64(38) & np.uint64(63)) & np.uint64(1)) > 0
 
 
-def _among(sets: DataFrame, fps: DataFrame) -> DataFrame:
-    """Those of the sets that are wanted, and a few others, before they are sent anywhere."""
+def _among(sets: DataFrame, fps: DataFrame, fn=None, schema: str = "fp long, shingles array<long>") -> DataFrame:
+    """Those of the sets that are wanted, and a few others, before they are sent anywhere; ``fn``: what is made of them in the same pass, since each map of a stage has Python workers of its own."""
     held = _held(fps)
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(held(batch.column(0).to_numpy().view(np.uint64))))
+            for at in range(0, batch.num_rows, SETS):
+                part = batch.slice(at, SETS)
+                part = part.filter(pa.array(held(part.column(0).to_numpy().view(np.uint64))))
+                if part.num_rows:
+                    yield fn(part) if fn else part
 
-    return sets.select("fp", "shingles").mapInArrow(run, "fp long, shingles array<long>")
+    return sets.select("fp", "shingles").mapInArrow(run, schema)
 
 
 def sets_with(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -277,7 +281,7 @@ def sets_with(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         ends = np.concatenate([[0], np.cumsum(counts[use])]).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(fp[use].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values[use[doc]].view(np.int64)))], ["fp", "shingles"])
 
-    return map_text(rows.select("text"), "text", run, "fp long, shingles array<long>").dropDuplicates(["fp"])
+    return map_text(rows.select("text"), "text", run, "fp long, shingles array<long>", LEAN_BYTES).dropDuplicates(["fp"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -308,7 +312,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         fp, sim = set_prints(values, counts), majority(values, counts)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64)), pa.array(sim.view(np.int64))], ["id", "row_key", "fp", "sim"])
 
-    prints = checkpoint(map_text(rows, "text", run, "id long, row_key long, fp long, sim long"))
+    prints = checkpoint(map_text(rows, "text", run, "id long, row_key long, fp long, sim long", LEAN_BYTES))
     met = checkpoint(_met(_keyed(rows, width, similarity), n, similarity, crowded))
     stars = checkpoint(_stars(met, n, similarity, crowded).union(_close(prints)).distinct())
     sets = checkpoint(sets_with(rows, met.select("fp").union(stars.select("a")).union(stars.select("b")), width))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import checkpoint, map_text, row_key, text_slices
+from ._shared import LEAN_BYTES, checkpoint, map_text, row_key, text_slices
 from ._words import Words, grams, mix
 
 # Fixed values of the contract.
@@ -181,7 +181,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         return pa.RecordBatch.from_arrays(columns, ["id", "row_key", *COUNTS, "base_failed", "stats"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), row_key(doc_id, text).alias("row_key"), F.col(text).cast("string").alias("text"))
-    return map_text(rows, "text", run, "id long, row_key long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, stats array<double>")
+    return map_text(rows, "text", run, "id long, row_key long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, stats array<double>", LEAN_BYTES)
 
 
 def scored(rows: DataFrame, forest: IsolationForest, columns: np.ndarray) -> DataFrame:
@@ -251,7 +251,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, text, LEAN_BYTES):
                 counts, stats = statistics(part.column(part.schema.get_field_index(text)))
                 yield part.filter(pa.array(~plainly_bad(counts) & found.kept(stats)))
 
