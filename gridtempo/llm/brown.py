@@ -8,8 +8,9 @@ exchange, to the class that makes all its neighbours most likely, its own share
 The end of a text is a class by itself (it also stands before the first word). So are the words seen once, together with those not seen in training:
 without its only occurrence such a word is unseen, and tells what follows unseen ones.
 
-Counts cover the whole training part: all words and all bigrams. Arrays of fixed size for each task hold the core's bigrams and the classes'. The ``LISTED`` most frequent words have
-their classes broadcast (5 MB), which bounds a task's memory, not the clustering: of every other word the neighbours are collected by a shuffle, it is placed by the same rule, and
+Counts cover the whole training part: all words and all bigrams. The texts are read once for the counts of words and once for the neighbours of each word, which are kept by buckets of words, a row for each bucket;
+rounds read these rows only. Arrays of fixed size for each task hold the core's bigrams and the classes'. The ``LISTED`` most frequent words have
+their classes broadcast (5 MB), which bounds a task's memory, not the clustering: every other word is placed by the same rule, and
 its class is sent to its neighbours in each round and to the documents that ask for it. No word is left out, and no neighbour. Words are told apart by 64-bit hashes.
 
 Smoothing: class transitions are discounted by ``DISCOUNT`` and interpolated with class frequencies. A word seen c times has c / T in a class of T tokens; in
@@ -34,13 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._lookup import Lookup
-from ._shared import checkpoint, map_text, row_key, text_slices
+from ._shared import checkpoint, row_key, text_slices
 from ._words import Words
 
 LISTED, CORE, CLASSES = 1 << 19, 1024, 64
 END, RARE = 0, 1
 SWEEPS, ROUNDS, DISCOUNT = 12, 2, 0.7
 FLUSH, EXACT, SLICE = 1 << 21, 4096, 1 << 21
+#: Most tokens and words of a bucket of listed words (a row for each bucket spares Spark one for each word), and how many buckets a small table has.
+BUCKET, BUCKET_WORDS, BUCKETS = 1 << 17, 1 << 11, 256
 #: Of a neighbour: no class yet; of an unlisted word's neighbour: the end of a text.
 NONE, EDGE = -1, -1
 #: Before or after an unlisted word: another one.
@@ -71,11 +74,26 @@ class Tokens:
 def frequent(training: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame]:
     """Hashes and counts of the most frequent words of all training rows, at most LISTED of those seen twice or more, the most frequent first; and all words' counts."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        word, n = np.unique(Words(batch.column(0)).hashes(fold=True), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+    def run(batches):
+        words, times, many = [], [], 0
+
+        def summed():
+            word, at = np.unique(np.concatenate(words), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bincount(at, np.concatenate(times)).astype(np.int64))], ["word", "n"])
 
-    counts = checkpoint(map_text(training.select("text"), "text", run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+        for batch in batches:
+            for part in text_slices(batch, "text", SLICE):
+                word, n = np.unique(Words(part.column(0)).hashes(fold=True), return_counts=True)
+                words.append(word)
+                times.append(n)
+                many += len(word)
+                if many > FLUSH // 2:
+                    yield summed()
+                    words, times, many = [], [], 0
+        if many:
+            yield summed()
+
+    counts = checkpoint(training.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     # ranks of counts, exact for small ones; a few thousand whatever the corpus, so that no task sorts the vocabulary
     step = F.when(F.col("n") < EXACT, F.col("n")).otherwise(EXACT + F.floor((F.log2("n") - float(np.log2(EXACT))) * 256))
     listed, least = 0, None
@@ -90,34 +108,169 @@ def frequent(training: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame]:
     return word[order].view(np.uint64), n[order], counts
 
 
-def core_units(size: int) -> np.ndarray:
-    """A unit for each word of the core, one for all other words, and one for the end."""
-    core = min(CORE, size)
-    return np.concatenate([np.minimum(np.arange(size), core), [core, core + 1]])
+def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of the values between each two cuts."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _bytes(column: pa.Array) -> bytes:
+    """All bytes of a column of them, one row's after the other's."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return column.buffers()[2][ends[0] : ends[-1]].to_pybytes() if ends[-1] > ends[0] else b""
+
+
+def _runs(batches):
+    """The buckets of sorted rows, with the bytes of each further column in all of a bucket's rows."""
+    now, pieces = None, []
+    for batch in batches:
+        bucket = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if bucket[lo] != now and pieces:
+                yield now, [b"".join(x) for x in zip(*pieces, strict=True)]
+                pieces = []
+            now = int(bucket[lo])
+            pieces.append([_bytes(x.slice(lo, hi - lo)) for x in batch.columns[1:]])
+    if pieces:
+        yield now, [b"".join(x) for x in zip(*pieces, strict=True)]
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
 
+def bucket_size(tokens: int) -> int:
+    """Tokens of a bucket, of so many in all."""
+    return max(1, min(BUCKET, tokens // BUCKETS))
 
-def bigrams(training: DataFrame, listed: np.ndarray, unit_of: np.ndarray) -> np.ndarray:
-    """The matrix of unit bigrams over all training rows."""
-    shared, units = training.sparkSession.sparkContext.broadcast((listed, unit_of)), int(unit_of.max()) + 1
+
+def buckets(n: np.ndarray, core: int) -> np.ndarray:
+    """The first listed word of each bucket of words beyond the core, and the end of the list. A bucket has at most BUCKET_WORDS, and beside its first word at most BUCKET tokens."""
+    load = np.cumsum(n[core:] / bucket_size(int(n[core:].sum())) + 1 / BUCKET_WORDS)
+    at = np.floor(load - load[:1])
+    return core + np.concatenate([np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64), [len(at)]]).astype(np.int64)
+
+
+def neighbours(training: DataFrame, listed: np.ndarray, core: int, first: np.ndarray, others: int) -> DataFrame:
+    """What stands beside what in all training rows, from one pass; a row for each bucket, with these columns of bytes.
+
+    ``bucket`` from 0: listed words beyond the core. ``word`` has how often each occurs, ``before`` and ``after`` the codes of what is beside each occurrence, word by word.
+    After these, ``others`` buckets of the words that aren't listed, of those seen twice or more: ``word`` has the hash at each occurrence, in order; of their neighbours that aren't listed the code is the hash, of an end EDGE.
+    Below 0: pairs of units (each word of the core, the listed words beyond it, other words, the end): ``before`` has cells of their matrix, ``after`` counts.
+    A code is a position in the list, its length for other words, one more for the end.
+    """
+    shared, units, rest = training.sparkSession.sparkContext.broadcast((listed, first)), core + 3, len(first) - 1
+    names, schema = ["bucket", "word", "before", "after"], "bucket int, word binary, before binary, after binary"
+
+    def row(bucket, *columns):
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in columns]], names)
 
     def run(batches):
-        listed, unit_of = shared.value
-        lookup, pairs = Lookup(listed), np.zeros(units * units, np.int64)
+        listed, first = shared.value
+        lookup, other = Lookup(listed), len(listed)
+        unit_of = np.concatenate([np.arange(core), np.full(other - core, core), [core + 1, core + 2]])
+        pairs, beside, apart, many = np.zeros(units * units, np.int64), [], [], 0
+
+        def dealt():
+            word, before, after = np.concatenate(beside, axis=1)
+            order = np.argsort(word)
+            word = word[order]
+            cuts = np.searchsorted(word, first)
+            some = np.flatnonzero(np.diff(cuts))
+            cuts = np.append(cuts[some], len(word))
+            offset = (word - np.repeat(first[some], np.diff(cuts))).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), _binary(offset, cuts), _binary(before[order], cuts), _binary(after[order], cuts)], names)
+            word, before, after = np.concatenate(apart, axis=1)
+            bucket = (word.view(np.uint64) % np.uint64(others)).astype(np.int32)
+            order = np.argsort(bucket)
+            bucket = bucket[order]
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rest + bucket[cuts[:-1]]), *[_binary(x[order], cuts) for x in (word, before, after)]], names)
+
         for batch in batches:
             for part in text_slices(batch, "text", SLICE):
-                t = Tokens(lookup, unit_of, part.column(0))
-                pairs += np.bincount(t.before * units + t.unit, minlength=units * units)
+                t = Tokens(lookup, np.arange(other + 2), part.column(0))
+                before, unit = unit_of[t.before], unit_of[t.unit]
+                pairs += np.bincount(before * units + unit, minlength=units * units)
+                mine = np.flatnonzero(unit == core)
+                beside.append(np.stack([t.unit[mine], t.before[mine], t.unit[mine + 1]]).astype(np.int32))
+                code = np.full(len(unit) + 1, EDGE, dtype=np.int64)
+                code[1:][t.is_word] = np.where(t.at >= 0, t.at, t.hashes.view(np.int64))
+                mine = np.flatnonzero(t.unit == other)
+                apart.append(np.stack([code[mine + 1], code[mine], code[mine + 2]]))
+                many += beside[-1].shape[1] + 2 * len(mine)
+                if many > FLUSH:
+                    yield from dealt()
+                    beside, apart, many = [], [], 0
+        if many:
+            yield from dealt()
         some = np.flatnonzero(pairs)
-        for a in range(0, len(some), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 50_000]), pa.array(pairs[some[a : a + 50_000]])], ["cell", "n"])
-
-    # at most (CORE + 2) ** 2 rows, whatever the corpus
-    cells = training.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        part = some >> 14
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(some) else np.zeros(1, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array((-1 - part[cuts[:-1]]).astype(np.int32)), _binary(some, np.zeros(len(cuts), np.int64)), _binary(some, cuts), _binary(pairs[some], cuts)], names)
+
+    def merged(batches):
+        first = shared.value[1]
+        for bucket, (word, before, after) in _runs(batches):
+            if bucket < 0:
+                cells, at = np.unique(np.frombuffer(before, np.int64), return_inverse=True)
+                yield row(bucket, cells[:0], cells, np.bincount(at, np.frombuffer(after, np.int64)).astype(np.int64))
+            elif bucket < rest:
+                word = np.frombuffer(word, np.uint16)
+                order = np.argsort(word, kind="stable")
+                yield row(bucket, np.bincount(word, minlength=first[bucket + 1] - first[bucket]).astype(np.int32), np.frombuffer(before, np.int32)[order], np.frombuffer(after, np.int32)[order])
+            else:
+                word, at, times = np.unique(np.frombuffer(word, np.int64), return_inverse=True, return_counts=True)
+                order = np.argsort(at, kind="stable")
+                order = order[times[at[order]] > 1]
+                yield row(bucket, word[at[order]], np.frombuffer(before, np.int64)[order], np.frombuffer(after, np.int64)[order])
+
+    return checkpoint(_by_bucket(training.select("text").mapInArrow(run, schema)).mapInArrow(merged, schema))
+
+
+def core_bigrams(near: DataFrame, core: int) -> np.ndarray:
+    """The matrix of the units of :func:`neighbours`: each word of the core, the other listed words, words that aren't listed, the end."""
+    pairs = np.zeros((core + 3) ** 2, np.int64)
+    for part in near.filter("bucket < 0").select("before", "after").toArrow().to_batches():  # at most (CORE + 3) ** 2 cells, whatever the corpus
+        cells, n = (np.frombuffer(_bytes(x), np.int64) for x in part.columns)
+        pairs[cells] = n
+    return pairs.reshape(core + 3, core + 3)
+
+
+def _matrix(cells: DataFrame, units: int) -> np.ndarray:
+    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # bounded by the number of units
     pairs = np.zeros(units * units, np.int64)
-    pairs[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
+    pairs[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return pairs.reshape(units, units)
 
 
+def _nonzero(cells: np.ndarray, n: np.ndarray):
+    for a in range(0, len(cells), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(cells[a : a + 50_000]), pa.array(n[a : a + 50_000])], ["cell", "n"])
+
+
+def listed_bigrams(near: DataFrame, of: np.ndarray, core: int, first: np.ndarray) -> np.ndarray:
+    """The bigrams with a listed word beyond the core, units being the core's words and the classes of all others."""
+    shared, units, classes = near.sparkSession.sparkContext.broadcast((of.astype(np.int16), first)), core + CLASSES, CLASSES
+
+    def run(batches):
+        of, first = shared.value
+        unit_of = np.concatenate([np.arange(core), core + of[core:]]).astype(np.int32)
+        left, right = np.zeros(units * classes, np.int64), np.zeros(classes * units, np.int64)
+        for batch in batches:
+            for bucket, (word, before, after) in _runs([batch]):
+                own = np.repeat(of[first[bucket] : first[bucket + 1]], np.frombuffer(word, np.int32)).astype(np.int32)
+                left += np.bincount(unit_of[np.frombuffer(before, np.int32)] * classes + own, minlength=len(left))
+                after = np.frombuffer(after, np.int32)
+                ends = (after < core) | (after >= len(of) - 2)  # a pair of two such words is counted at the second one
+                right += np.bincount(own[ends] * units + unit_of[after[ends]], minlength=len(right))
+        a, b = np.flatnonzero(left), np.flatnonzero(right)
+        yield from _nonzero(a // classes * units + core + a % classes, left[a])
+        yield from _nonzero(core * units + b, right[b])
+
+    return _matrix(near.mapInArrow(run, "cell long, n long"), units)
+
+
 def _packed(keys: np.ndarray, values: np.ndarray) -> list[pa.Array]:
     """Distinct keys, in order, and the bytes of the values of each."""
     order = np.argsort(keys, kind="stable")
@@ -138,20 +291,6 @@ def _unpacked(pieces: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(rows, np.diff(ends) // np.dtype(kind).itemsize), np.frombuffer(data.tobytes(), kind)
 
 
-def _cells(keys: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
-    """A row for each word: how often (or with which sum of ``n``) it has which cells. A key is a word's position above a byte for the cell: a class, plus CLASSES where that comes after the word."""
-    if n is None:
-        keys, times = np.unique(keys, return_counts=True)
-    else:
-        keys, at = np.unique(keys, return_inverse=True)
-        times = np.bincount(at, n, len(keys)).astype(np.int64)
-    return pa.RecordBatch.from_arrays(_packed((keys >> 8).astype(np.int32), (times << 8 | keys & 255).astype(np.int32)), ["word", "cells"])
-
-
-def _counts(rows: int, width: int, owner: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return np.bincount(owner * width + (cells & 255), cells >> 8, rows * width).reshape(rows, width)
-
-
 def best(n: np.ndarray, here: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The class in which the neighbours of each word are most likely, its own share of the class it is in left out; without neighbours that of the rare ones."""
     smooth, k = table + 0.1, len(table)
@@ -168,55 +307,38 @@ def best(n: np.ndarray, here: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(n.any(axis=1), gain.argmax(axis=1), RARE)
 
 
-def listed_cells(training: DataFrame, listed: np.ndarray, of: np.ndarray, core: int) -> DataFrame:
-    """Of each listed word beyond the core the classes of its neighbours in all training rows. ``of`` ends with the classes of other words and the end; NONE isn't counted."""
-    shared = training.sparkSession.sparkContext.broadcast((listed, of.astype(np.int16)))
+def listed_cells(near: DataFrame, of: np.ndarray, first: np.ndarray) -> DataFrame:
+    """Of the listed words of each bucket how often they have a neighbour of which class: ``cells`` has pairs of cell and count. A cell is a class, plus CLASSES where that comes after the word, plus twice CLASSES for each word before
+    this one in the bucket. ``of`` ends with the classes of other words and the end; NONE isn't counted."""
+    shared, width = near.sparkSession.sparkContext.broadcast((of.astype(np.int16), first)), 2 * CLASSES
 
     def run(batches):
-        listed, of = shared.value
-        lookup, keys, many = Lookup(listed), [], 0
+        of, first = shared.value
         for batch in batches:
-            for part in text_slices(batch, "text", SLICE):
-                t = Tokens(lookup, of, part.column(0))
-                at = np.full(len(t.unit), -1, dtype=np.int32)
-                at[t.is_word] = t.at
-                mine = np.flatnonzero(at >= core)
-                word = at[mine] << 8
-                for side, near in ((0, t.before[mine]), (CLASSES, t.unit[mine + 1])):
-                    keys.append((word + near.astype(np.int32) + side)[near >= 0])
-                    many += len(keys[-1])
-                if many > FLUSH:
-                    yield _cells(np.concatenate(keys))
-                    keys, many = [], 0
-        if many:
-            yield _cells(np.concatenate(keys))
+            for bucket, (word, before, after) in _runs([batch]):
+                times = np.frombuffer(word, np.int32)
+                owner, n = np.repeat(np.arange(len(times), dtype=np.int32) * width, times), np.zeros(len(times) * width, np.int64)
+                for side, codes in ((0, before), (width // 2, after)):
+                    found = of[np.frombuffer(codes, np.int32)]
+                    n += np.bincount((owner + found + side)[found >= 0], minlength=len(n))
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.stack([some, n[some]], axis=1).astype(np.int32).tobytes()], pa.binary())], ["bucket", "cells"])
 
-    return training.select("text").mapInArrow(run, "word int, cells binary")
+    return near.select("bucket", "word", "before", "after").mapInArrow(run, "bucket int, cells binary")
 
 
-def unlisted(training: DataFrame, listed: np.ndarray) -> DataFrame:
+def unlisted(near: DataFrame) -> DataFrame:
     """Words seen twice or more that aren't listed: word, n, and what comes before and after each occurrence, as position in the list, EDGE or hash."""
-    shared = training.sparkSession.sparkContext.broadcast(listed)
 
     def run(batches):
-        lookup, words, near, many = Lookup(shared.value), [], [], 0
         for batch in batches:
-            for part in text_slices(batch, "text", SLICE):
-                t = Tokens(lookup, np.zeros(len(shared.value) + 2, np.int16), part.column(0))
-                code = np.full(len(t.unit) + 1, EDGE, dtype=np.int64)
-                code[1:][t.is_word] = np.where(t.at >= 0, t.at, t.hashes.view(np.int64))
-                place = np.flatnonzero(t.is_word)[t.at < 0]
-                words.append(code[place + 1])
-                near.append(np.stack([code[place], code[place + 2]], axis=1))
-                many += len(place)
-                if many > FLUSH // 8:
-                    yield pa.RecordBatch.from_arrays(_packed(np.concatenate(words), np.concatenate(near)), ["word", "seen"])
-                    words, near, many = [], [], 0
-        if many:
-            yield pa.RecordBatch.from_arrays(_packed(np.concatenate(words), np.concatenate(near)), ["word", "seen"])
+            for _, (word, before, after) in _runs([batch]):
+                word, seen = np.frombuffer(word, np.int64), np.stack([np.frombuffer(x, np.int64) for x in (before, after)], axis=1)
+                cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]])) if len(word) else np.zeros(1, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cuts)).astype(np.int32)), _binary(seen, cuts * 2))
+                yield pa.RecordBatch.from_arrays([pa.array(word[cuts[:-1]]), pa.array(np.diff(cuts)), lists], ["word", "n", "seen"])
 
-    rows = training.select("text").mapInArrow(run, "word long, seen binary")
-    return checkpoint(rows.groupBy("word").agg((F.sum(F.length("seen")) / 16).cast("long").alias("n"), F.collect_list("seen").alias("seen")).filter("n > 1"))
+    return near.mapInArrow(run, "word long, n long, seen array<binary>")
 
 
 class Open:
@@ -282,27 +404,41 @@ def open_bigrams(words: DataFrame, unit_of: np.ndarray, core: int) -> np.ndarray
             add(mine, np.full(len(mine), rare), once[1])
             pairs[rare * units + rare] -= int(before.sum() + once[0].sum() + once[1].sum())
         some = np.flatnonzero(pairs)
-        for a in range(0, len(some), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 50_000]), pa.array(pairs[some[a : a + 50_000]])], ["cell", "n"])
+        yield from _nonzero(some, pairs[some])
 
-    cells = words.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(units * units, np.int64)
-    pairs[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
-    return pairs.reshape(units, units)
+    return _matrix(words.mapInArrow(run, "cell long, n long"), units)
 
 
-def open_cells(words: DataFrame, listed: int, core: int) -> DataFrame:
+def open_cells(words: DataFrame, listed: int, core: int, first: np.ndarray) -> DataFrame:
     """What the unlisted words' classes change in :func:`listed_cells`, where all of them stood for rare ones."""
+    shared, width = words.sparkSession.sparkContext.broadcast(first), 2 * CLASSES
 
     def run(batches):
+        first, keys, times, many = shared.value, [], [], 0
+
+        def dealt():
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(at, np.concatenate(times))
+            cuts = np.searchsorted(key, first * width)
+            some = np.flatnonzero(np.diff(cuts))
+            cuts = np.append(cuts[some], len(key))
+            cells = np.stack([key - np.repeat(first[some] * width, np.diff(cuts)), n], axis=1).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), _binary(cells, cuts * 2)], ["bucket", "cells"])
+
         for batch in batches:
-            o, mine = Open(batch, listed, CLASSES), batch.column(batch.schema.get_field_index("class")).to_numpy()
+            o, mine = Open(batch, listed, width // 2), batch.column(batch.schema.get_field_index("class")).to_numpy()
             at = np.flatnonzero(o.known & (o.code >= core))
-            if len(at):
-                side = CLASSES - o.side[at]
-                yield _cells(np.tile(o.code[at] << 8, 2) + np.concatenate([mine[o.row[at]] + side, RARE + side]), np.repeat([1, -1], len(at)))
+            cell = o.code[at] * width + width // 2 - o.side[at]
+            keys += [cell + mine[o.row[at]], cell + RARE]
+            times += [np.ones(len(at)), np.full(len(at), -1.0)]
+            many += 2 * len(at)
+            if many > FLUSH // 2:
+                yield dealt()
+                keys, times, many = [], [], 0
+        if many:
+            yield dealt()
 
-    return words.mapInArrow(run, "word int, cells binary")
+    return words.mapInArrow(run, "bucket int, cells binary")
 
 
 def moved_unlisted(words: DataFrame, of: np.ndarray, table: np.ndarray) -> DataFrame:
@@ -322,21 +458,22 @@ def moved_unlisted(words: DataFrame, of: np.ndarray, table: np.ndarray) -> DataF
     return checkpoint(words.select("word", "n", "seen", "class", "cells").mapInArrow(run, "word long, n long, seen array<binary>, class int"))
 
 
-def moved_listed(cells: DataFrame, of: np.ndarray, table: np.ndarray, core: int) -> np.ndarray:
-    """The class of each listed word: of the core's as given, of the others the one that their neighbours give."""
-    shared = cells.sparkSession.sparkContext.broadcast((of.astype(np.int16), table))
+def moved_listed(cells: DataFrame, of: np.ndarray, table: np.ndarray, core: int, first: np.ndarray) -> np.ndarray:
+    """The class of each listed word: of the core's as given, of the others the one that their neighbours give. All cells of a bucket are next to one another."""
+    shared, width = cells.sparkSession.sparkContext.broadcast((of.astype(np.int16), table, first)), 2 * CLASSES
 
     def run(batches):
-        of, table = shared.value
-        for batch in batches:
-            word = batch.column(0).to_numpy()
-            found = best(_counts(len(word), 2 * CLASSES, *_unpacked(batch.column(1), np.int32)), of[word], table)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.astype(np.int32))], ["word", "class"])
+        of, table, first = shared.value
+        for bucket, (found,) in _runs(batches):
+            here, found = of[first[bucket] : first[bucket + 1]], np.frombuffer(found, np.int32).reshape(-1, 2)
+            n = np.bincount(found[:, 0], found[:, 1], len(here) * width).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([best(n, here, table).astype(np.int16).tobytes()], pa.binary())], ["bucket", "classes"])
 
-    found = cells.groupBy("word").agg(F.collect_list("cells").alias("cells")).mapInArrow(run, "word int, class int").toArrow()  # at most LISTED rows
+    found = cells.mapInArrow(run, "bucket int, classes binary").toArrow()  # at most LISTED words
     out = of.copy()
     out[core:-2] = RARE
-    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    for bucket, classes in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        out[first[bucket] : first[bucket + 1]] = np.frombuffer(classes, np.int16)
     return out
 
 
@@ -432,26 +569,36 @@ class Model:
 def fit(training: DataFrame) -> Model:
     listed, n, counts = frequent(training)
     core = min(CORE, len(listed))
-    pairs = bigrams(training, listed, core_units(len(listed)))
+    distinct, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    first = buckets(n, core)
+    loose = 2 * (tokens - int(n.sum()))  # a token of these takes twice the bytes
+    near = neighbours(training, listed, core, first, 1 + loose // bucket_size(loose))
+    found = core_bigrams(near, core)
+    fold = np.concatenate([np.arange(core), [core, core, core + 1]])
+    pairs = np.zeros((core + 2, core + 2), np.int64)
+    np.add.at(pairs, np.ix_(fold, fold), found)
     seeds = exchange(pairs, CLASSES, alone=2)
     one = np.zeros((len(pairs), CLASSES))
     one[np.arange(len(pairs)), seeds] = 1
     table = one.T @ pairs @ one
-    words = unlisted(training, listed)
-    many = words.count()
+    apart = F.col("bucket") >= len(first) - 1
+    words = unlisted(near.filter(apart))
+    many = near.filter(apart & (F.length("word") > 0)).limit(1).count()
+    near = near.filter((F.col("bucket") >= 0) & ~apart)
 
     of = np.concatenate([seeds[:core], np.full(len(listed) - core, NONE), [NONE, END]])
     if many:
         words = first_classes(words, of, table)
-    of = moved_listed(listed_cells(training, listed, of, core), of, table, core)
+    of = moved_listed(listed_cells(near, of, first), of, table, core, first)
     of[-2] = RARE
+    fixed = np.zeros((core + CLASSES, core + CLASSES), np.int64)
+    some, at = np.delete(np.arange(core + 3), core), np.concatenate([np.arange(core), [core + RARE, core + END]])
+    fixed[np.ix_(at, at)] = found[np.ix_(some, some)]
 
     kept = None
     for again in range(ROUNDS + 1):
         unit_of = np.concatenate([np.arange(core), core + of[core:]])
-        pairs = np.zeros((core + CLASSES, core + CLASSES), np.int64)
-        found = bigrams(training, listed, unit_of)
-        pairs[: len(found), : len(found)] = found
+        pairs = fixed + listed_bigrams(near, of, core, first)
         if many:
             words = told(words, len(listed))
             pairs += open_bigrams(words, unit_of, core)
@@ -465,17 +612,17 @@ def fit(training: DataFrame) -> Model:
             break
         kept = value, of.copy(), table, words
         if again < ROUNDS:
-            cells = listed_cells(training, listed, of, core)
+            cells = listed_cells(near, of, first)
             if many:
-                cells = cells.unionByName(open_cells(words, len(listed), core))
+                cells = _by_bucket(cells.unionByName(open_cells(words, len(listed), core, first)))
                 words = moved_unlisted(words, of, table)
-            of = moved_listed(cells, of, table, core)
+            of = moved_listed(cells, of, table, core, first)
 
     _, of, table, words = kept
     once = counts.filter("n = 1").select("word", "n", F.lit(RARE).alias("class"))
     rest = once.unionByName(words.select("word", "n", "class")) if many else once
     rare_words = rest.filter(F.col("class") == RARE).count() + int((of[:-2] == RARE).sum())
-    return Model(listed, n, of[:-2], table, rest, counts.count(), rare_words)
+    return Model(listed, n, of[:-2], table, rest, distinct, rare_words)
 
 
 def _located(rows: DataFrame, model: Model) -> DataFrame:
