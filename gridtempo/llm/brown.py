@@ -41,7 +41,7 @@ from ._words import Words
 LISTED, CORE, CLASSES = 1 << 19, 1024, 64
 END, RARE = 0, 1
 SWEEPS, ROUNDS, DISCOUNT = 12, 2, 0.7
-FLUSH, EXACT, SLICE = 1 << 21, 4096, 1 << 21
+FLUSH, EXACT, SLICE = 1 << 20, 4096, 1 << 21
 #: Most tokens and words of a bucket of listed words (a row for each bucket spares Spark one for each word), and how many buckets a small table has.
 BUCKET, BUCKET_WORDS, BUCKETS = 1 << 17, 1 << 11, 256
 #: Of a neighbour: no class yet; of an unlisted word's neighbour: the end of a text.
@@ -307,38 +307,33 @@ def best(n: np.ndarray, here: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(n.any(axis=1), gain.argmax(axis=1), RARE)
 
 
+def _listed_cells(batches, of: np.ndarray, first: np.ndarray, width: int):
+    for batch in batches:
+        for bucket, (word, before, after) in _runs([batch]):
+            times = np.frombuffer(word, np.int32)
+            owner, n = np.repeat(np.arange(len(times), dtype=np.int32) * width, times), np.zeros(len(times) * width, np.int64)
+            for side, codes in ((0, before), (width // 2, after)):
+                found = of[np.frombuffer(codes, np.int32)]
+                n += np.bincount((owner + found + side)[found >= 0], minlength=len(n))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.stack([some, n[some]], axis=1).astype(np.int32).tobytes()], pa.binary())], ["bucket", "cells"])
+
+
 def listed_cells(near: DataFrame, of: np.ndarray, first: np.ndarray) -> DataFrame:
     """Of the listed words of each bucket how often they have a neighbour of which class: ``cells`` has pairs of cell and count. A cell is a class, plus CLASSES where that comes after the word, plus twice CLASSES for each word before
     this one in the bucket. ``of`` ends with the classes of other words and the end; NONE isn't counted."""
     shared, width = near.sparkSession.sparkContext.broadcast((of.astype(np.int16), first)), 2 * CLASSES
+    return near.mapInArrow(lambda batches: _listed_cells(batches, *shared.value, width), "bucket int, cells binary")
 
-    def run(batches):
-        of, first = shared.value
-        for batch in batches:
-            for bucket, (word, before, after) in _runs([batch]):
-                times = np.frombuffer(word, np.int32)
-                owner, n = np.repeat(np.arange(len(times), dtype=np.int32) * width, times), np.zeros(len(times) * width, np.int64)
-                for side, codes in ((0, before), (width // 2, after)):
-                    found = of[np.frombuffer(codes, np.int32)]
-                    n += np.bincount((owner + found + side)[found >= 0], minlength=len(n))
-                some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.stack([some, n[some]], axis=1).astype(np.int32).tobytes()], pa.binary())], ["bucket", "cells"])
-
-    return near.select("bucket", "word", "before", "after").mapInArrow(run, "bucket int, cells binary")
 
-
-def unlisted(near: DataFrame) -> DataFrame:
+def _unlisted(batches):
     """Words seen twice or more that aren't listed: word, n, and what comes before and after each occurrence, as position in the list, EDGE or hash."""
-
-    def run(batches):
-        for batch in batches:
-            for _, (word, before, after) in _runs([batch]):
-                word, seen = np.frombuffer(word, np.int64), np.stack([np.frombuffer(x, np.int64) for x in (before, after)], axis=1)
-                cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]])) if len(word) else np.zeros(1, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cuts)).astype(np.int32)), _binary(seen, cuts * 2))
-                yield pa.RecordBatch.from_arrays([pa.array(word[cuts[:-1]]), pa.array(np.diff(cuts)), lists], ["word", "n", "seen"])
-
-    return near.mapInArrow(run, "word long, n long, seen array<binary>")
+    for batch in batches:
+        for _, (word, before, after) in _runs([batch]):
+            word, seen = np.frombuffer(word, np.int64), np.stack([np.frombuffer(x, np.int64) for x in (before, after)], axis=1)
+            cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]])) if len(word) else np.zeros(1, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cuts)).astype(np.int32)), _binary(seen, cuts * 2))
+            yield pa.RecordBatch.from_arrays([pa.array(word[cuts[:-1]]), pa.array(np.diff(cuts)), lists], ["word", "n", "seen"])
 
 
 class Open:
@@ -351,20 +346,20 @@ class Open:
         self.known = (code >= EDGE) & (code < listed)
 
 
-def first_classes(words: DataFrame, of: np.ndarray, table: np.ndarray) -> DataFrame:
-    """Unlisted words with the class that their neighbours in ``of`` give."""
-    shared = words.sparkSession.sparkContext.broadcast((of.astype(np.int16), table))
+def first_classes(apart: DataFrame, of: np.ndarray, table: np.ndarray) -> DataFrame:
+    """Unlisted words, from their buckets, with the class that their neighbours in ``of`` give."""
+    shared = apart.sparkSession.sparkContext.broadcast((of.astype(np.int16), table))
 
     def run(batches):
         of, table = shared.value
-        for batch in batches:
+        for batch in _unlisted(batches):
             o = Open(batch, len(of) - 2, CLASSES)
             near = np.where(o.known, of[np.where(o.known, o.code, 0)], NONE)
             ok = near >= 0
             n = np.bincount(o.row[ok] * 2 * CLASSES + near[ok] + o.side[ok], minlength=batch.num_rows * 2 * CLASSES).reshape(-1, 2 * CLASSES)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best(n, np.full(len(n), NONE), table).astype(np.int32))], ["word", "n", "seen", "class"])
 
-    return checkpoint(words.mapInArrow(run, "word long, n long, seen array<binary>, class int"))
+    return checkpoint(apart.mapInArrow(run, "word long, n long, seen array<binary>, class int"))
 
 
 def told(words: DataFrame, listed: int) -> DataFrame:
@@ -459,12 +454,14 @@ def moved_unlisted(words: DataFrame, of: np.ndarray, table: np.ndarray) -> DataF
 
 
 def moved_listed(cells: DataFrame, of: np.ndarray, table: np.ndarray, core: int, first: np.ndarray) -> np.ndarray:
-    """The class of each listed word: of the core's as given, of the others the one that their neighbours give. All cells of a bucket are next to one another."""
+    """The class of each listed word: of the core's as given, of the others the one that their neighbours give. ``cells``: all cells of a bucket next to one another, or rows of :func:`neighbours`,
+    whose cells are counted in the same Python workers."""
+    counted = "cells" in cells.columns
     shared, width = cells.sparkSession.sparkContext.broadcast((of.astype(np.int16), table, first)), 2 * CLASSES
 
     def run(batches):
         of, table, first = shared.value
-        for bucket, (found,) in _runs(batches):
+        for bucket, (found,) in _runs(batches if counted else _listed_cells(batches, of, first, width)):
             here, found = of[first[bucket] : first[bucket + 1]], np.frombuffer(found, np.int32).reshape(-1, 2)
             n = np.bincount(found[:, 0], found[:, 1], len(here) * width).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([best(n, here, table).astype(np.int16).tobytes()], pa.binary())], ["bucket", "classes"])
@@ -582,14 +579,14 @@ def fit(training: DataFrame) -> Model:
     one[np.arange(len(pairs)), seeds] = 1
     table = one.T @ pairs @ one
     apart = F.col("bucket") >= len(first) - 1
-    words = unlisted(near.filter(apart))
-    many = near.filter(apart & (F.length("word") > 0)).limit(1).count()
+    words = near.filter(apart & (F.length("word") > 0))
+    many = words.limit(1).count()
     near = near.filter((F.col("bucket") >= 0) & ~apart)
 
     of = np.concatenate([seeds[:core], np.full(len(listed) - core, NONE), [NONE, END]])
     if many:
         words = first_classes(words, of, table)
-    of = moved_listed(listed_cells(near, of, first), of, table, core, first)
+    of = moved_listed(near, of, table, core, first)
     of[-2] = RARE
     fixed = np.zeros((core + CLASSES, core + CLASSES), np.int64)
     some, at = np.delete(np.arange(core + 3), core), np.concatenate([np.arange(core), [core + RARE, core + END]])
@@ -612,9 +609,9 @@ def fit(training: DataFrame) -> Model:
             break
         kept = value, of.copy(), table, words
         if again < ROUNDS:
-            cells = listed_cells(near, of, first)
+            cells = near
             if many:
-                cells = _by_bucket(cells.unionByName(open_cells(words, len(listed), core, first)))
+                cells = _by_bucket(listed_cells(near, of, first).unionByName(open_cells(words, len(listed), core, first)))
                 words = moved_unlisted(words, of, table)
             of = moved_listed(cells, of, table, core, first)
 
